@@ -22,9 +22,11 @@ def corpus_folder(spark, d: str) -> str:
     if key not in _FOLDERS:
         root = shared_dir(spark, "corpus")
         one = {"maxRecordsPerFile": 1}
-        load(spark, d, "documents").select("text").write.options(**one).text(f"{root}/notes")
-        load(spark, d, "labels").write.options(**one).json(f"{root}/labels")
-        load(spark, d, "supplier").write.options(header=True, **one).csv(f"{root}/tables/supplier")
+        docs = spread(load(spark, d, "documents"), "doc_id")
+        docs.select("text").write.options(**one).text(f"{root}/notes")
+        spread(load(spark, d, "labels")).write.options(**one).json(f"{root}/labels")
+        suppliers = spread(load(spark, d, "supplier"))
+        suppliers.write.options(header=True, **one).csv(f"{root}/tables/supplier")
         load(spark, d, "region").write.options(**one).parquet(f"{root}/other")
         _FOLDERS[key] = root
     return _FOLDERS[key]

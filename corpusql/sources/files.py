@@ -9,6 +9,7 @@ from collections.abc import Iterator, Mapping
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusql.functions import ids
 from corpusql.functions import text as tx
@@ -132,7 +133,7 @@ def text_documents(files: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _indent_json(texts: pd.Series) -> pd.Series:
     def render(value: str | None) -> str | None:
         try:
@@ -165,7 +166,16 @@ def json_documents(docs: DataFrame) -> DataFrame:
     )
 
 
-CSV_RESULT = "text string, row_count bigint, column_count int, columns string, dtypes string, error string"
+CSV_RESULT = T.StructType(
+    [
+        T.StructField("text", T.StringType()),
+        T.StructField("row_count", T.LongType()),
+        T.StructField("column_count", T.IntegerType()),
+        T.StructField("columns", T.StringType()),
+        T.StructField("dtypes", T.StringType()),
+        T.StructField("error", T.StringType()),
+    ]
+)
 
 
 @F.pandas_udf(CSV_RESULT)
@@ -185,8 +195,7 @@ def _csv_summary(names: pd.Series, extensions: pd.Series, contents: pd.Series) -
             out.append(("\n".join(lines), len(table), table.shape[1], names_json, types_json, None))
         except Exception as problem:  # a bad file must not stop the corpus
             out.append((None, None, None, None, None, str(problem)))
-    fields = [f.split()[0] for f in CSV_RESULT.split(", ")]
-    return pd.DataFrame(out, columns=fields)
+    return pd.DataFrame(out, columns=CSV_RESULT.names)
 
 
 def csv_documents(files: DataFrame) -> DataFrame:
