@@ -92,7 +92,8 @@ def lineage_counts(spark, d):
 
 @query("entity_provenance", f"""
 WITH {DOCS_SQL}
-SELECT 'o' || o_orderkey AS order_id, o_custkey::VARCHAR AS doc_id, o_totalprice, filename, {TYPE_SQL} AS source_type
+SELECT 'o' || o_orderkey AS order_id, o_custkey::VARCHAR AS doc_id, o_totalprice, filename,
+  CASE WHEN filename IS NOT NULL THEN {TYPE_SQL} END AS source_type
 FROM orders LEFT JOIN docs ON doc_id = o_custkey::VARCHAR
 """)
 def entity_provenance(spark, d):

@@ -26,12 +26,16 @@ def strip_fences(reply: Column) -> Column:
 
 
 def slice_json(body: Column) -> Column:
-    """The outermost object, or the outermost list when it encloses the object."""
-    array = F.regexp_extract(body, r"(?s)\A[^{\[]*(\[.*\])", 1)
+    """The list of objects that encloses everything, else the outermost object, else a list."""
+    objects = F.regexp_extract(body, r"(?s)\A[^{\[]*(\[\s*\{.*\}[\s,]*\])[^}\]]*\z", 1)
     obj = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
-    # A bracket in the chatter ("[note] {...}") must not win over the object.
-    use_array = (array != "") & is_json(array)
-    return F.when(use_array, array).when(obj != "", obj).otherwise(body)
+    array = F.regexp_extract(body, r"(?s)(\[.*\])", 1)
+    return (
+        F.when(objects != "", objects)
+        .when(obj != "", obj)
+        .when(array != "", array)
+        .otherwise(body)
+    )
 
 
 def is_json(text: Column) -> Column:
@@ -40,6 +44,14 @@ def is_json(text: Column) -> Column:
     return F.try_parse_json(wrapped).isNotNull() & (strip(text) != "")
 
 
+def _one_value(text: Column) -> Column:
+    """A bare run of objects (``{...},{...}``) as a list."""
+    wrapped = F.concat(F.lit("["), text, F.lit("]"))
+    run = text.startswith("{") & text.rlike(r"\}\s*,\s*\{")
+    many = run & (F.size(F.from_json(wrapped, "array<string>")) > 1)
+    return F.when(many, wrapped).otherwise(text)
+
+
 def repair(text: Column) -> Column:
     # Single quotes become double quotes only if the reply uses no double quote.
     fixed = F.when(text.contains('"'), text).otherwise(F.translate(text, "'", '"'))
@@ -67,7 +79,7 @@ def parse_reply(reply: Column) -> Column:
 
     def choose(body: Column, cut: Column, fixed: Column) -> Column:
         def level(n: int, text: Column) -> Column:
-            return F.struct(text.alias("json"), F.lit(n).alias("repair_level"))
+            return F.struct(_one_value(text).alias("json"), F.lit(n).alias("repair_level"))
 
         none = F.struct(
             F.lit(None).cast("string").alias("json"), F.lit(None).cast("int").alias("repair_level")

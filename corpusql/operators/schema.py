@@ -17,7 +17,7 @@ ITERATION_CONFIDENCE = 0.9
 MAX_EXAMPLES = 5
 ROUNDS = 4
 
-LABEL_LINE = r"(?m)^[ \t]*([A-Za-z][A-Za-z0-9 _]{0,60}):[ \t]*([^ \t\n\r][^\n\r]*)"
+LABEL_LINE = r"(?m)^[ \t]*([A-Za-z][A-Za-z0-9 _]{0,60}):(?!//)[ \t]*([^ \t\n\r][^\n\r]*)"
 
 ATTRIBUTE_SCHEMA = (
     "entity string, name string, type string, confidence double, is_primary_key boolean, "
@@ -44,11 +44,13 @@ def labelled_values(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "t
     )
 
 
-def json_values(docs: DataFrame, doc_col: str, json_col: str) -> DataFrame:
+def json_values(
+    docs: DataFrame, doc_col: str, json_col: str, keep: Sequence[str] = ()
+) -> DataFrame:
     """(doc, name, value) from the keys of a JSON object per row."""
     entries = F.from_json(json_col, "map<string,string>")
-    return docs.select(doc_col, F.explode(entries).alias("key", "value")).select(
-        doc_col, clean_name(F.col("key")).alias("name"), "value"
+    return docs.select(doc_col, *keep, F.explode(entries).alias("key", "value")).select(
+        doc_col, *keep, clean_name(F.col("key")).alias("name"), "value"
     )
 
 
@@ -59,40 +61,50 @@ def clean_name(name: Column) -> Column:
 def induce_attributes(
     values: DataFrame,
     documents: DataFrame,
-    entity: str,
+    entity: str | None = None,
     doc_col: str = "doc_id",
     max_examples: int = MAX_EXAMPLES,
 ) -> DataFrame:
     """Attribute rows for the recurring labels of a corpus.
 
-    Confidence is the share of all documents that hold the label. The type is
-    the narrowest one that every present value parses to. Values are counted
-    per (name, value) first, so types are tried once per distinct value and a
-    label found in every document does not meet in one task as raw rows.
+    Without ``entity`` both frames carry an ``entity`` column, and all entities
+    are described by the same plan. Confidence is the share of the entity's
+    documents that hold the label. The type is the narrowest one that every
+    present value parses to. Values are counted per (name, value) first, so
+    types are tried once per distinct value, and a label found in every
+    document does not meet in one task as raw rows.
     """
+    if entity is not None:
+        values = values.withColumn("entity", F.lit(entity))
+        documents = documents.withColumn("entity", F.lit(entity))
+    keys = ["entity", "name"]
+    distinct = values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
     value = F.col("value")
-    filled = sd.null_token(value).isNotNull()
-    distinct = values.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+    tried = distinct.select(
+        *keys,
+        sd.null_token(value).isNotNull().alias("filled"),
+        sd.real(value).alias("real"),
+        sd.boolean(value).isNotNull().alias("boolean"),
+        sd.iso_date(value).isNotNull().alias("date"),
+    )
 
-    def fits(parsed: Column) -> Column:
-        return F.every(parsed.isNotNull() | ~filled)
+    def all_fit(parsed: Column) -> Column:
+        return F.every(F.coalesce(parsed, F.lit(False)) | ~F.col("filled"))
 
-    whole = sd.real(value) == F.floor(sd.real(value))
-    types = distinct.groupBy("name").agg(
-        F.count_if(filled).alias("n_filled"),
-        fits(sd.boolean(value)).alias("is_boolean"),
-        F.every(F.coalesce(whole, F.lit(False)) | ~filled).alias("is_integer"),
-        fits(sd.real(value)).alias("is_real"),
-        fits(sd.iso_date(value)).alias("is_date"),
+    types = tried.groupBy(*keys).agg(
+        F.count_if("filled").alias("n_filled"),
+        all_fit(F.col("real") == F.floor("real")).alias("is_integer"),
+        all_fit(F.col("real").isNotNull()).alias("is_real"),
+        all_fit(F.col("date")).alias("is_date"),
+        all_fit(F.col("boolean")).alias("is_boolean"),
     )
     # One row per (name, document) before counting documents.
     shares = (
-        values.select("name", doc_col).distinct().groupBy("name").agg(
+        values.select(*keys, doc_col).distinct().groupBy(*keys).agg(
             F.count(F.lit(1)).alias("documents")
         )
     )
-    ranked = top_examples(distinct, max_examples)
-    total = documents.select(F.count(F.lit(1))).scalar()
+    totals = documents.groupBy("entity").agg(F.count(F.lit(1)).alias("total"))
     kind = (
         F.when(F.col("n_filled") == 0, "TEXT")
         .when(F.col("is_integer"), "INTEGER")
@@ -102,12 +114,11 @@ def induce_attributes(
         .otherwise("TEXT")
     )
     return (
-        shares.join(types, "name")
-        .join(ranked, "name", "left")
-        .withColumn("total", total)
+        shares.join(types, keys)
+        .join(top_examples(distinct, max_examples), keys, "left")
+        .join(totals, "entity")
         .select(
-            F.lit(entity).alias("entity"),
-            "name",
+            *keys,
             kind.alias("type"),
             (F.col("documents") / F.col("total")).alias("confidence"),
             F.lit(False).alias("is_primary_key"),
@@ -120,10 +131,10 @@ def induce_attributes(
 
 
 def top_examples(distinct: DataFrame, n: int) -> DataFrame:
-    """Most frequent values per name, at most ``n``, ties in text order."""
-    order = W.partitionBy("name").orderBy(F.desc("n"), "value")
+    """Most frequent values per attribute, at most ``n``, ties in text order."""
+    order = W.partitionBy("entity", "name").orderBy(F.desc("n"), "value")
     first = distinct.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
-    return first.groupBy("name").agg(
+    return first.groupBy("entity", "name").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]
         ).alias("examples")

@@ -133,7 +133,7 @@ def limit_to(vectors: DataFrame, allowed: DataFrame, on: str) -> DataFrame:
 def hybrid_rank(hits: DataFrame, scored: DataFrame, weight: float = 0.5, n: int = 10) -> DataFrame:
     """Merge similarity with a structured score in [0, 1]: ``scored`` has (id, score)."""
     merged = hits.join(scored.select(F.col("id").cast("string"), "score"), "id", "inner")
-    total = F.round(F.col("similarity") * weight + F.col("score") * (1 - weight), DECIMALS)
+    total = F.round(F.col("similarity") * weight + F.col("score") * (1 - weight), DECIMALS + 2)
     order = W.partitionBy("query_id").orderBy(F.desc("total"), "id")
     return (
         merged.withColumn("total", total)

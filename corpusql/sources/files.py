@@ -53,7 +53,8 @@ def parser_name(ext: Column) -> Column:
 def corpus_scan(spark: SparkSession, path: str) -> DataFrame:
     """Every file below ``path`` with its metadata and parser.
 
-    The content column is never asked for, so no file is opened.
+    The content column is never asked for, so no file is opened. Files of zero
+    bytes hold no document; the file source leaves them out.
     """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -119,7 +119,8 @@ def run_updates(stream: DataFrame, keys: Sequence[str], label: str) -> DataFrame
         .start()
     )
     query.awaitTermination()
-    rows = spark.read.schema(stream.schema.add("batch", "bigint")).parquet(f"{out}/rows")
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    rows = spark.read.schema(schema).parquet(f"{out}/rows")
     rest = [c for c in stream.columns if c not in keys]
     newest = F.max_by(F.struct(*rest), "batch").alias("r")
     return rows.groupBy(*keys).agg(newest).select(*keys, *[f"r.{c}" for c in rest])
