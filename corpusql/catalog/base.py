@@ -53,6 +53,10 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def orders(spark: SparkSession, d: str) -> DataFrame:
+    return spread(load(spark, d, "orders"), "o_orderkey")
+
+
 DOCS_SQL = """
 docs AS (
   SELECT doc_id::VARCHAR AS doc_id, 'doc_' || doc_id || '.' || ext AS filename,
@@ -114,11 +118,17 @@ def stamp(column: str) -> Column:
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss")
 
 
+def six(name: str) -> Column:
+    """Six digits. The nudge keeps values that lie just between two roundings from
+    depending on the order of summation; the checking SQL does the same."""
+    return F.round(F.col(name) + 1e-9, 6)
+
+
 def joined(column: Column | str, separator: str = ",") -> Column:
     return F.array_join(column, separator)
 
 
 __all__ = [
     "CHUNKS_SQL", "DOCS_SQL", "LOG_SQL", "ORACLES", "QUERIES", "chunks", "documents", "event_log",
-    "ids", "joined", "load", "query", "spread", "stamp",
+    "ids", "joined", "load", "orders", "query", "six", "spread", "stamp",
 ]

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corpusql.catalog.base import CHUNKS_SQL, chunks, load, query, spread
+from corpusql.catalog.base import CHUNKS_SQL, chunks, load, query, six, spread
 from corpusql.functions import text as tx
 from corpusql.operators import quality as ql
 from corpusql.operators import schema as sc
@@ -62,14 +62,14 @@ def quality_flags(spark, d):
 
 
 @query("quality_review", """
-SELECT event_type AS entity, count(*)::BIGINT AS rows, round(avg((value / 20 < 0.85)::INTEGER), 6) AS low_share,
+SELECT event_type AS entity, count(*)::BIGINT AS rows, round(avg((value / 20 < 0.85)::INTEGER) + 1e-9, 6) AS low_share,
   avg((value / 20 < 0.85)::INTEGER) > 0.3 AS needs_review FROM events GROUP BY 1
 """)
 def quality_review(spark, d):
     rows = load(spark, d, "events").select(
         F.col("event_type").alias("entity"), (F.col("value") / 20).alias("confidence")
     )
-    return ql.extraction_flags(rows).withColumn("low_share", F.round("low_share", 6))
+    return ql.extraction_flags(rows).withColumn("low_share", six("low_share"))
 
 
 def rules():
@@ -122,14 +122,14 @@ WITH v AS ({union}), n AS (SELECT t, c, count(*) AS n FROM v GROUP BY ALL),
 p AS (SELECT a.t AS ta, a.c AS ca, b.t AS tb, b.c AS cb, count(*) AS shared FROM v a JOIN v b
       ON a.v = b.v AND a.kind = b.kind AND a.t <> b.t GROUP BY ALL)
 SELECT ta AS a_table, ca AS a_column, tb AS b_table, cb AS b_column, n::BIGINT AS "distinct", shared::BIGINT AS shared,
-  round(shared / n::DOUBLE, 6) AS containment FROM p JOIN n ON n.t = ta AND n.c = ca WHERE shared / n::DOUBLE >= 0.9 AND n >= 2
+  round(shared / n::DOUBLE + 1e-9, 6) AS containment FROM p JOIN n ON n.t = ta AND n.c = ca WHERE shared / n::DOUBLE >= 0.9 AND n >= 2
 """
 
 
 @query("discover_relationships", _related_sql())
 def discover_relationships(spark, d):
     made = sc.discover_relationships({t: load(spark, d, t) for t in RELATED})
-    return made.withColumn("containment", F.round("containment", 6))
+    return made.withColumn("containment", six("containment"))
 
 
 def attribute_rows(spark, d, part: str):

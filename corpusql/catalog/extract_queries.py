@@ -6,7 +6,7 @@ spellings documents use; the checking SQL computes them from the columns.
 
 from pyspark.sql import functions as F
 
-from corpusql.catalog.base import load, query
+from corpusql.catalog.base import load, orders, query, six
 from corpusql.catalog.model_queries import REPLY_TYPES, order_replies
 from corpusql.functions import standardize as sd
 from corpusql.operators import extract as ex
@@ -28,7 +28,7 @@ KEY = F.col
 def _null(spark, d):
     k = F.col("o_orderkey")
     words = [F.lit(w) for w in ("", "  ", "null", " None ", "N/A", "na", "-", "NaN-like", " kept ")]
-    return load(spark, d, "orders").select("o_orderkey", _pick(k, *words, F.col("o_orderpriority")).alias("raw"))
+    return orders(spark, d).select("o_orderkey", _pick(k, *words, F.col("o_orderpriority")).alias("raw"))
 
 
 @query("std_null_tokens", """
@@ -53,7 +53,7 @@ def number_texts(spark, d):
         F.concat(s, F.lit(" million")), F.concat(F.lit("USD "), s), F.concat(F.lit("-"), cents),
         F.concat(F.lit("("), s, F.lit(")")), F.concat(s, F.lit(" thousand units")), F.lit("inf"),
     )
-    return load(spark, d, "orders").select("o_orderkey", _pick(F.col("o_orderkey"), *forms).alias("raw"))
+    return orders(spark, d).select("o_orderkey", _pick(F.col("o_orderkey"), *forms).alias("raw"))
 
 
 def _number_sql(as_integer: bool) -> str:
@@ -84,7 +84,7 @@ FROM orders
 """)
 def std_boolean(spark, d):
     words = [F.lit(w) for w in ("Yes", "no", "ON", "Off", "available", "not included", " 1 ", "0")]
-    rows = load(spark, d, "orders").select(
+    rows = orders(spark, d).select(
         "o_orderkey", _pick(F.col("o_orderkey"), *words, F.col("o_orderpriority")).alias("raw")
     )
     return rows.select("o_orderkey", sd.boolean(F.col("raw")).alias("value"))
@@ -98,7 +98,7 @@ def date_texts(spark, d):
         fmt("MM-dd-yyyy"), fmt("d MMMM yyyy"), fmt("MMMM d, yyyy"), fmt("MMM d, yyyy"),
         F.concat(F.lit("13/45/"), fmt("yyyy")),
     )
-    return load(spark, d, "orders").select("o_orderkey", _pick(F.col("o_orderkey"), *forms).alias("raw"))
+    return orders(spark, d).select("o_orderkey", _pick(F.col("o_orderkey"), *forms).alias("raw"))
 
 
 # May is its own abbreviation, so the short form of a May date is a full date.
@@ -134,7 +134,7 @@ def raw_entities(spark, d):
     """Orders as attribute maps with untidy values, as an extractor returns them."""
     k = F.col("o_orderkey")
     price = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
-    return load(spark, d, "orders").select(
+    return orders(spark, d).select(
         F.col("o_orderkey").cast("string").alias("doc_id"),
         F.lit(0).alias("ordinal"),
         F.create_map(
@@ -215,7 +215,7 @@ def order_texts(spark, d):
         F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit("\nThanks for your order."),
     )
     thin = F.concat(F.lit("Status: "), F.col("o_orderstatus"), F.lit("\nNo more is known."))
-    return load(spark, d, "orders").select(
+    return orders(spark, d).select(
         F.col("o_orderkey").cast("string").alias("doc_id"), _pick(k, full, full, thin).alias("text")
     )
 
@@ -235,7 +235,7 @@ def extract_corpus(spark, d):
 
 
 @query("extraction_summary", """
-SELECT entity, count(*)::BIGINT AS entities, round(avg(c), 6) AS avg_confidence FROM (
+SELECT entity, count(*)::BIGINT AS entities, round(avg(c) + 1e-9, 6) AS avg_confidence FROM (
   SELECT o_orderstatus AS entity, 0.9 AS c FROM orders WHERE o_orderkey % 6 < 5
   UNION ALL SELECT o_orderstatus, 0.7 FROM orders WHERE o_orderkey % 6 = 3) GROUP BY 1
 """)
@@ -243,7 +243,7 @@ def extraction_summary(spark, d):
     parsed = ex.parse_replies(order_replies(spark, d))
     rows = ex.explode_entities(parsed, ["o_orderkey", "o_orderstatus"])
     made = ex.extraction_summary(rows.withColumnRenamed("o_orderstatus", "entity"), ["entity"])
-    return made.withColumn("avg_confidence", F.round("avg_confidence", 6))
+    return made.withColumn("avg_confidence", six("avg_confidence"))
 
 
 @query("rejected_replies", """

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corpusql.catalog.base import CHUNKS_SQL, DOCS_SQL, chunks, documents, load, query
+from corpusql.catalog.base import CHUNKS_SQL, DOCS_SQL, chunks, documents, load, orders, query, six
 from corpusql.operators import evaluate as ev
 from corpusql.operators import hybrid as hy
 
@@ -85,37 +85,37 @@ def order_answers(spark, d):
         .when(rest == 2, F.concat(status, urgency))
         .otherwise(F.lit("I do not know."))
     )
-    return load(spark, d, "orders").select(
+    return orders(spark, d).select(
         "o_orderkey", "o_orderstatus", gold.alias("gold_answer"), judged.alias("judged_answer")
     )
 
 
 @query("answer_accuracy", """
 SELECT o_orderstatus, count(*)::BIGINT AS answers, count(*) FILTER (o_orderkey % 4 < 2)::BIGINT AS correct,
-       round(avg((o_orderkey % 4 < 2)::INTEGER), 6) AS accuracy FROM orders GROUP BY 1
+       round(avg((o_orderkey % 4 < 2)::INTEGER) + 1e-9, 6) AS accuracy FROM orders GROUP BY 1
 """)
 def answer_accuracy(spark, d):
     made = ev.answer_accuracy(order_answers(spark, d), ["o_orderstatus"])
-    return made.withColumn("accuracy", F.round("accuracy", 6))
+    return made.withColumn("accuracy", six("accuracy"))
 
 
 @query("answer_recall", """
 SELECT o_orderkey, 3::BIGINT AS total_claims, CASE o_orderkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 0 END::BIGINT AS covered_claims,
-  round(CASE o_orderkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 0 END / 3.0, 6)::DOUBLE AS recall FROM orders
+  round(CASE o_orderkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 0 END / 3.0 + 1e-9, 6)::DOUBLE AS recall FROM orders
 """)
 def answer_recall(spark, d):
     made = ev.answer_recall(order_answers(spark, d), "o_orderkey")
     return made.select(
         "o_orderkey", F.col("total_claims").cast("bigint"), F.col("covered_claims").cast("bigint"),
-        F.round("recall", 6).alias("recall"),
+        six("recall").alias("recall"),
     )
 
 
 @query("answer_recall_mean", """
 SELECT sum(3)::BIGINT AS total_claims,
   sum(CASE o_orderkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 0 END)::BIGINT AS covered_claims,
-  round(sum(CASE o_orderkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 0 END) / sum(3), 6)::DOUBLE AS recall FROM orders
+  round(sum(CASE o_orderkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 0 END) / sum(3) + 1e-9, 6)::DOUBLE AS recall FROM orders
 """)
 def answer_recall_mean(spark, d):
     made = ev.mean_recall(ev.answer_recall(order_answers(spark, d), "o_orderkey"))
-    return made.withColumn("recall", F.round("recall", 6))
+    return made.withColumn("recall", six("recall"))

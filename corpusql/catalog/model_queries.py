@@ -6,7 +6,7 @@ list, broken in a repairable way, and not JSON at all.
 
 from pyspark.sql import functions as F
 
-from corpusql.catalog.base import CHUNKS_SQL, chunks, load, query
+from corpusql.catalog.base import CHUNKS_SQL, chunks, load, orders, query
 from corpusql.functions import modeljson as mj
 from corpusql.operators import model
 
@@ -29,7 +29,7 @@ def order_replies(spark, d):
         .when(rest == 4, F.concat(F.lit('{"entities":['), attributes, F.lit(",],}")))
         .otherwise(F.lit("Sorry, I cannot do that."))
     )
-    return load(spark, d, "orders").select("o_orderkey", "o_orderstatus", content.alias("content"))
+    return orders(spark, d).select("o_orderkey", "o_orderstatus", content.alias("content"))
 
 
 BODY_SQL = """'{"attributes":{"status":"' || o_orderstatus || '","total":"' || o_totalprice::DECIMAL(18,2)::VARCHAR
@@ -64,7 +64,7 @@ def repair_model_json(spark, d):
     )
     parsed = mj.parse_reply(raw)["json"]
     fields = F.from_json(parsed, "status string, priority string, k string")
-    return load(spark, d, "orders").select("o_orderkey", fields.alias("f")).select("o_orderkey", "f.*")
+    return orders(spark, d).select("o_orderkey", fields.alias("f")).select("o_orderkey", "f.*")
 
 
 def chunk_prompts(spark, d):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corpusql.catalog.base import load, query, stamp
+from corpusql.catalog.base import load, query, six, stamp
 from corpusql.functions import questions as qs
 from corpusql.plans import relational as rel
 
@@ -24,7 +24,7 @@ def q_count(spark, d):
 
 
 @query("q_aggregate", """
-SELECT sum(l_quantity::DECIMAL(18,2))::DOUBLE AS total, round(avg(l_quantity), 4) AS mean,
+SELECT sum(l_quantity::DECIMAL(18,2))::DOUBLE AS total, round(avg(l_quantity) + 1e-9, 6) AS mean,
        min(l_extendedprice) AS lowest, max(l_extendedprice) AS highest FROM lineitem WHERE l_discount > 0.05
 """)
 def q_aggregate(spark, d):
@@ -34,7 +34,7 @@ def q_aggregate(spark, d):
          ("lowest", "min", "l_extendedprice"), ("highest", "max", "l_extendedprice")],
         F.col("l_discount") > 0.05,
     )
-    return made.select(as_double("total"), F.round("mean", 4).alias("mean"), "lowest", "highest")
+    return made.select(as_double("total"), six("mean").alias("mean"), "lowest", "highest")
 
 
 @query("q_filter", """
@@ -87,7 +87,7 @@ def q_temporal(spark, d):
 
 
 @query("q_temporal_delay", """
-SELECT o_orderpriority, round(avg(date_diff('day', o_orderdate, l_shipdate)), 4) AS mean_days
+SELECT o_orderpriority, round(avg(date_diff('day', o_orderdate, l_shipdate)) + 1e-9, 6) AS mean_days
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1
 """)
 def q_temporal_delay(spark, d):
@@ -95,7 +95,7 @@ def q_temporal_delay(spark, d):
     orders = load(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
     both = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
     made = rel.mean_delay(both, "o_orderdate", "l_shipdate", ["o_orderpriority"])
-    return made.withColumn("mean_days", F.round("mean_days", 4))
+    return made.withColumn("mean_days", six("mean_days"))
 
 
 @query("q_temporal_last_month", """
@@ -135,7 +135,7 @@ def q_lookup(spark, d):
 
 
 @query("q_ratio", """
-SELECT l_returnflag, round(avg(CASE WHEN l_extendedprice <> 0 THEN l_discount * l_quantity / l_extendedprice * 100 END), 6) AS avg_pct,
+SELECT l_returnflag, round(avg(CASE WHEN l_extendedprice <> 0 THEN l_discount * l_quantity / l_extendedprice * 100 END) + 1e-9, 6) AS avg_pct,
        count(*)::BIGINT AS n FROM lineitem GROUP BY 1
 """)
 def q_ratio(spark, d):
@@ -143,7 +143,7 @@ def q_ratio(spark, d):
         load(spark, d, "lineitem"), "pct", F.col("l_discount") * F.col("l_quantity"), F.col("l_extendedprice")
     )
     made = rel.group_by(rows, ["l_returnflag"], [("avg_pct", "avg", "pct"), ("n", "count", "*")])
-    return made.withColumn("avg_pct", F.round("avg_pct", 6))
+    return made.withColumn("avg_pct", six("avg_pct"))
 
 
 @query("q_multi_join", """
@@ -168,7 +168,7 @@ def q_multi_join(spark, d):
 @query("q_yoy_growth", """
 WITH y AS (SELECT o_custkey, year(o_orderdate) AS y, sum(o_totalprice::DECIMAL(18,2)) AS v FROM orders GROUP BY ALL)
 SELECT a.o_custkey, a.v::DOUBLE AS current, b.v::DOUBLE AS previous,
-       round((a.v::DOUBLE - b.v::DOUBLE) / b.v::DOUBLE * 100, 4) AS growth_pct
+       round((a.v::DOUBLE - b.v::DOUBLE) / b.v::DOUBLE * 100, 6) AS growth_pct
 FROM y a JOIN y b ON a.o_custkey = b.o_custkey WHERE a.y = 1998 AND b.y = 1997
 """)
 def q_yoy_growth(spark, d):
@@ -179,7 +179,7 @@ def q_yoy_growth(spark, d):
     now, before = F.col("current").cast("double"), F.col("previous").cast("double")
     return made.select(
         "o_custkey", now.alias("current"), before.alias("previous"),
-        F.round((now - before) / before * 100, 4).alias("growth_pct"),
+        F.round((now - before) / before * 100, 6).alias("growth_pct"),
     )
 
 
@@ -193,14 +193,14 @@ def q_semantic_range(spark, d):
 
 @query("q_conditional_rate", """
 SELECT c_mktsegment, count(*)::BIGINT AS n, count(*) FILTER (o_orderstatus = 'F')::BIGINT AS matching,
-       round(avg((o_orderstatus = 'F')::INTEGER), 6) AS rate
+       round(avg((o_orderstatus = 'F')::INTEGER) + 1e-9, 6) AS rate
 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1
 """)
 def q_conditional_rate(spark, d):
     orders, customers = load(spark, d, "orders"), load(spark, d, "customer")
     rows = orders.join(customers, orders.o_custkey == customers.c_custkey)
     made = rel.conditional_rate(rows, ["c_mktsegment"], F.col("o_orderstatus") == "F")
-    return made.withColumn("rate", F.round("rate", 6))
+    return made.withColumn("rate", six("rate"))
 
 
 @query("q_sql", """

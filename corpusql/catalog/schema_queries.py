@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusql.catalog.base import joined, load, query, stamp
+from corpusql.catalog.base import joined, load, orders, query, six, stamp
 from corpusql.operators import schema as sc
 
 
@@ -25,7 +25,7 @@ def labelled_orders(spark, d):
         F.concat(F.lit("Gift: "), F.when(k % 3 == 0, "yes").otherwise("no")),
         F.lit("Thank you for your order."),
     )
-    return load(spark, d, "orders").select(k.alias("doc_id"), lines.alias("text"))
+    return orders(spark, d).select(k.alias("doc_id"), lines.alias("text"))
 
 
 def induced(spark, d):
@@ -52,12 +52,12 @@ attrs AS (SELECT 'Order' AS entity, name, CASE name WHEN 'order_status' THEN 'TE
 
 
 @query("induce_attributes", f"""
-WITH {ATTR_SQL} SELECT entity, name, type, round(confidence, 6) AS confidence, documents, examples,
+WITH {ATTR_SQL} SELECT entity, name, type, round(confidence + 1e-9, 6) AS confidence, documents, examples,
   documents < (SELECT count(*) FROM orders) AS is_nullable FROM attrs
 """)
 def induce_attributes(spark, d):
     return induced(spark, d).select(
-        "entity", "name", "type", F.round("confidence", 6).alias("confidence"), "documents",
+        "entity", "name", "type", six("confidence").alias("confidence"), "documents",
         joined("examples", "|").alias("examples"), "is_nullable",
     )
 
@@ -75,11 +75,11 @@ def induce_json_attributes(spark, d):
 
 
 @query("confidence_filter", f"""
-WITH {ATTR_SQL} SELECT entity, name, round(confidence, 6) AS confidence FROM attrs WHERE confidence >= 0.7
+WITH {ATTR_SQL} SELECT entity, name, round(confidence + 1e-9, 6) AS confidence FROM attrs WHERE confidence >= 0.7
 """)
 def confidence_filter(spark, d):
     kept = sc.confidence_filter(induced(spark, d))
-    return kept.select("entity", "name", F.round("confidence", 6).alias("confidence"))
+    return kept.select("entity", "name", six("confidence").alias("confidence"))
 
 
 @query("ensure_primary_key", f"""
@@ -99,7 +99,7 @@ def order_json(spark, d):
         F.struct("o_custkey").alias("customer"),
         F.when(k % 5 != 0, F.col("o_orderpriority")).alias("priority"),
     )
-    return load(spark, d, "orders").select(k.alias("doc_id"), F.to_json(body).alias("j"))
+    return orders(spark, d).select(k.alias("doc_id"), F.to_json(body).alias("j"))
 
 
 PROP_SQL = """
@@ -297,11 +297,11 @@ def schema_samples(spark, d):
 
 @query("completeness", """
 SELECT 'orders' AS table_name, 'o_orderkey' AS column_name, 1.0::DOUBLE AS completeness
-UNION ALL SELECT 'orders', 'status', round(count(*) FILTER (o_orderkey % 7 <> 0) / count(*)::DOUBLE, 6) FROM orders
+UNION ALL SELECT 'orders', 'status', round(count(*) FILTER (o_orderkey % 7 <> 0) / count(*)::DOUBLE + 1e-9, 6) FROM orders
 """)
 def completeness(spark, d):
-    rows = load(spark, d, "orders").select(
+    rows = orders(spark, d).select(
         "o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderstatus")).alias("status")
     )
     made = sc.completeness(rows, "orders")
-    return made.withColumn("completeness", F.round("completeness", 6))
+    return made.withColumn("completeness", six("completeness"))

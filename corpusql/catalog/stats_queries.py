@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corpusql.catalog.base import load, query
+from corpusql.catalog.base import load, query, six
 from corpusql.operators import quantile, stats
 
 
@@ -43,11 +43,11 @@ LINE_NUMBERS = ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_
 
 
 @query("stats_numeric", " UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, round(avg({c}), 4) AS mean, max({c})::DOUBLE AS max, min({c})::DOUBLE AS min, "
+    f"SELECT '{c}' AS column_name, round(avg({c}) + 1e-9, 6) AS mean, max({c})::DOUBLE AS max, min({c})::DOUBLE AS min, "
     f"count(*) FILTER ({c} <> 0)::BIGINT AS non_zero_count FROM lineitem" for c in LINE_NUMBERS))
 def stats_numeric(spark, d):
     made = stats.numeric(load(spark, d, "lineitem").select(*LINE_NUMBERS))
-    return made.select("column_name", F.round("mean", 4).alias("mean"), "max", "min", "non_zero_count")
+    return made.select("column_name", six("mean").alias("mean"), "max", "min", "non_zero_count")
 
 
 @query("stats_boolean", """
@@ -97,7 +97,7 @@ def _column_sql(source, table, column, kind, dtype):
         f"'{table}' AS table_name", f"'{column}' AS column_name", f"'{dtype}' AS column_type",
         "count(*)::BIGINT AS total_count", f"count({column})::BIGINT AS non_null_count",
         f"(count(*) - count({column}))::BIGINT AS null_count",
-        f"round(avg({column}), 4) AS mean" if number else "NULL::DOUBLE AS mean",
+        f"round(avg({column}) + 1e-9, 6) AS mean" if number else "NULL::DOUBLE AS mean",
         f"min({column})::DOUBLE AS min" if number else "NULL::DOUBLE AS min",
         f"max({column})::DOUBLE AS max" if number else "NULL::DOUBLE AS max",
         (f"count(*) FILTER ({column} <> 0)::BIGINT" if number else "NULL::BIGINT") + " AS non_zero_count",
@@ -121,7 +121,7 @@ SPARSE_COLUMNS = [
     _column_sql("so", "orders", *c) for c in SPARSE_COLUMNS))
 def column_statistics(spark, d):
     made = stats.column_statistics(sparse_orders(spark, d), "orders")
-    return made.withColumn("mean", F.round("mean", 4))
+    return made.withColumn("mean", six("mean"))
 
 
 ALL_COLUMNS = {
@@ -140,7 +140,7 @@ ALL_COLUMNS = {
     _column_sql(t, t, *c) for t, cols in ALL_COLUMNS.items() for c in cols))
 def all_table_statistics(spark, d):
     made = stats.all_table_statistics({t: load(spark, d, t) for t in ALL_COLUMNS})
-    return made.withColumn("mean", F.round("mean", 4))
+    return made.withColumn("mean", six("mean"))
 
 
 @query("statistics_text", """
@@ -162,7 +162,7 @@ def _extended_sql(columns):
     return " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, (SELECT v FROM (SELECT {c}::VARCHAR AS v, count(*) AS n FROM lineitem GROUP BY 1) "
         f"ORDER BY n DESC, v LIMIT 1) AS mode, "
-        + (f"round((SELECT quantile_cont({c}::DOUBLE, 0.95) FROM lineitem), 4)" if number else "NULL::DOUBLE")
+        + (f"round((SELECT quantile_cont({c}::DOUBLE, 0.95) FROM lineitem) + 1e-9, 6)" if number else "NULL::DOUBLE")
         + " AS percentile"
         for c, number in columns
     )
@@ -173,12 +173,12 @@ def _extended_sql(columns):
 def extended_statistics(spark, d):
     columns = ["l_quantity", "l_extendedprice", "l_linenumber", "l_returnflag"]
     made = stats.extended(load(spark, d, "lineitem").select(*columns))
-    return made.withColumn("percentile", F.round("percentile", 4))
+    return made.withColumn("percentile", six("percentile"))
 
 
 @query("exact_percentiles", """
-SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS percentile FROM lineitem GROUP BY 1
+SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5) + 1e-9, 6) AS percentile FROM lineitem GROUP BY 1
 """)
 def exact_percentiles(spark, d):
     made = quantile.exact_percentiles(load(spark, d, "lineitem"), "l_extendedprice", 0.5, ["l_returnflag"])
-    return made.withColumn("percentile", F.round("percentile", 4))
+    return made.withColumn("percentile", six("percentile"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from corpusql.catalog.base import CHUNKS_SQL, load, query, stamp
+from corpusql.catalog.base import CHUNKS_SQL, load, query, six, stamp
 from corpusql.session import shared_dir
 from corpusql.streaming import incremental as inc
 
@@ -32,19 +32,19 @@ def stream_ingest(spark, d):
 
 @query("stream_statistics", """
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS period_start, event_type, count(*)::BIGINT AS total_count,
-  count(value)::BIGINT AS non_null_count, round(avg(value), 4) AS mean, min(value) AS min, max(value) AS max,
+  count(value)::BIGINT AS non_null_count, round(avg(value) + 1e-9, 6) AS mean, min(value) AS min, max(value) AS max,
   count(*) FILTER (value <> 0)::BIGINT AS non_zero_count FROM events GROUP BY ALL
 """)
 def stream_statistics(spark, d):
     rows = inc.read_stream(spark, d, load(spark, d, "events").schema, "events.parquet")
     stats = inc.refresh_statistics(rows, "ts", "value", ["event_type"], "1 day", "1 day").drop("approx_unique")
     made = inc.run_updates(stats, ["period_start", "event_type"], "stream-statistics")
-    return made.withColumns({"period_start": stamp("period_start"), "mean": F.round("mean", 4)})
+    return made.withColumns({"period_start": stamp("period_start"), "mean": six("mean")})
 
 
 @query("stream_query_metrics", """
 SELECT strftime(time_bucket(INTERVAL '10 minutes', ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS period_start, count(*)::BIGINT AS total_queries,
-  count(*) FILTER (event_type <> 'error')::BIGINT AS successful_queries, round(avg(value), 4) AS avg_execution_time_ms
+  count(*) FILTER (event_type <> 'error')::BIGINT AS successful_queries, round(avg(value) + 1e-9, 6) AS avg_execution_time_ms
 FROM events GROUP BY 1
 """)
 def stream_query_metrics(spark, d):
@@ -55,5 +55,5 @@ def stream_query_metrics(spark, d):
     )
     made = inc.run_updates(inc.query_metrics(log), ["period_start"], "stream-metrics")
     return made.withColumns(
-        {"period_start": stamp("period_start"), "avg_execution_time_ms": F.round("avg_execution_time_ms", 4)}
+        {"period_start": stamp("period_start"), "avg_execution_time_ms": six("avg_execution_time_ms")}
     )

@@ -71,28 +71,33 @@ def parse_reply(reply: Column) -> Column:
     Level 0: clean or fenced. 1: cut out of surrounding chatter. 2: repaired.
     3: only the list of entities could be saved. NULL: not JSON.
     """
-    def on_body(body: Column) -> Column:
-        return let(slice_json(body), lambda cut: on_cut(body, cut))
+    none = F.struct(
+        F.lit(None).cast("string").alias("json"), F.lit(None).cast("int").alias("repair_level")
+    )
 
-    def on_cut(body: Column, cut: Column) -> Column:
-        return let(repair(cut), lambda fixed: choose(body, cut, fixed))
+    def level(n: int, text: Column) -> Column:
+        return F.struct(_one_value(text).alias("json"), F.lit(n).alias("repair_level"))
 
-    def choose(body: Column, cut: Column, fixed: Column) -> Column:
-        def level(n: int, text: Column) -> Column:
-            return F.struct(_one_value(text).alias("json"), F.lit(n).alias("repair_level"))
+    # Each step is inside the ``otherwise`` of the one before: a clean reply is
+    # parsed once and never reaches the cutting and repairing patterns.
+    def saved(cut: Column) -> Column:
+        return let(salvage(cut), lambda s: F.when(is_json(s), level(3, s)).otherwise(none))
 
-        none = F.struct(
-            F.lit(None).cast("string").alias("json"), F.lit(None).cast("int").alias("repair_level")
+    def repaired(cut: Column) -> Column:
+        return let(
+            repair(cut), lambda fixed: F.when(is_json(fixed), level(2, fixed)).otherwise(saved(cut))
         )
-        return (
-            F.when(is_json(body), level(0, body))
-            .when(is_json(cut), level(1, cut))
-            .when(is_json(fixed), level(2, fixed))
-            .when(is_json(salvage(cut)), level(3, salvage(cut)))
-            .otherwise(none)
+
+    def cut_out(body: Column) -> Column:
+        return let(
+            slice_json(body),
+            lambda cut: F.when(is_json(cut), level(1, cut)).otherwise(repaired(cut)),
         )
 
-    return let(strip_fences(reply), on_body)
+    return let(
+        strip_fences(reply),
+        lambda body: F.when(is_json(body), level(0, body)).otherwise(cut_out(body)),
+    )
 
 
 ENTITY_FIELDS = "struct<attributes:map<string,string>,confidence:double,source_text:string>"

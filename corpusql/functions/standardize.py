@@ -26,19 +26,32 @@ FALSE_WORDS = ("false", "no", "n", "0", "off", "disabled", "unavailable", "not i
 SUFFIX_SCALE = {"k": 1e3, "m": 1e6, "b": 1e9, "t": 1e12}
 WORD_SCALE = {"thousand": 1e3, "million": 1e6, "billion": 1e9, "trillion": 1e12}
 
-# English month names.
-MONTHS = (
-    "january february march april may june july august september october november december"
-).split()
-
 SUFFIXED = r"([0-9.]+)\s*([kKmMbBtT])(?:illion)?\z"
 WORDED = r"(?i)([0-9.]+)\s*(thousand|million|billion|trillion)"
 PLAIN_NUMBER = r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
 UNICODE_SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
 
+# The same characters as text, for trimming without a regular expression.
+SPACES = "".join(
+    chr(c)
+    for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+              0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+)
+NUMBER_NOISE = "$€£¥₹%,"
+
+# Date forms in the order they are tried: where to look, and how to read it.
+WORD = r"[\p{L}\p{N}_]+"
+DATE_FORMS = (
+    (r"\d{4}-\d{2}-\d{2}", "yyyy-MM-dd"),
+    (r"\d{2}/\d{2}/\d{4}", "MM/dd/yyyy"),
+    (r"\d{2}-\d{2}-\d{4}", "MM-dd-yyyy"),
+    (rf"\d{{1,2}}\s+{WORD}\s+\d{{4}}", "d MMMM yyyy"),
+    (rf"{WORD}\s+\d{{1,2}},?\s+\d{{4}}", "MMMM d yyyy"),
+)
+
 
 def _trim(value: Column) -> Column:
-    return F.regexp_replace(value, rf"\A{UNICODE_SPACE}|{UNICODE_SPACE}\z", "")
+    return F.btrim(value, F.lit(SPACES))
 
 
 def _scale(unit: Column, table: Mapping[str, float]) -> Column:
@@ -68,10 +81,8 @@ def _scaled(text: Column, pattern: str, table: Mapping[str, float]) -> Column:
 
 
 def real(value: Column) -> Column:
-    bare = _trim(F.regexp_replace(null_token(value), "[$€£¥₹]", ""))
-    bare = F.regexp_replace(_trim(F.regexp_replace(bare, "%", "")), ",", "")
     return let(
-        bare,
+        _trim(F.translate(null_token(value), NUMBER_NOISE, "")),
         lambda t: F.when(t.rlike(SUFFIXED), _scaled(t, SUFFIXED, SUFFIX_SCALE))
         .when(t.rlike(WORDED), _scaled(t, WORDED, WORD_SCALE))
         .otherwise(_plain_double(t)),
@@ -90,47 +101,40 @@ def boolean(value: Column) -> Column:
     )
 
 
-def _iso(text: Column, pattern: str, year: int, month: int, day: int) -> Column:
-    """ISO text of the first match of ``pattern`` when it is a real date."""
-    part = lambda group: F.regexp_extract(text, pattern, group)
-    month_text = part(month)
-    if r"\p{L}" in pattern:
-        position = F.array_position(F.lit(MONTHS), F.lower(month_text))
-        month_text = F.when(position > 0, position.cast("string"))
-    padded = F.concat_ws(
-        "-", part(year), F.lpad(month_text, 2, "0"), F.lpad(part(day), 2, "0")
-    )
-    good = (month_text != "") & (part(year) > "0000")
-    return F.when(good, F.date_format(F.try_to_date(padded, "yyyy-MM-dd"), "yyyy-MM-dd"))
+def _read_date(text: Column, pattern: str, form: str) -> Column:
+    """The first match of ``pattern`` as a date; NULL when it is no real date."""
+    found = F.regexp_extract(text, pattern, 0)
+    if "MMMM" in form:
+        found = F.regexp_replace(found, r"[\s,]+", " ")
+    return let(found, lambda m: F.when(m != "", F.try_to_date(m, form)))
 
 
-def iso_date(value: Column) -> Column:
-    """ISO text, or NULL when no accepted form holds a real date."""
-    word = r"([\p{L}\p{N}_]+)"
+def date(value: Column) -> Column:
+    """The first accepted form that holds a real date; otherwise NULL."""
     return let(
         null_token(value),
-        lambda t: F.coalesce(
-            _iso(t, r"(\d{4})-(\d{2})-(\d{2})", 1, 2, 3),
-            _iso(t, r"(\d{2})/(\d{2})/(\d{4})", 3, 1, 2),
-            _iso(t, r"(\d{2})-(\d{2})-(\d{4})", 3, 1, 2),
-            _iso(t, rf"(\d{{1,2}})\s+{word}\s+(\d{{4}})", 3, 2, 1),
-            _iso(t, rf"{word}\s+(\d{{1,2}}),?\s+(\d{{4}})", 3, 1, 2),
-        ),
+        lambda t: F.coalesce(*[_read_date(t, *form) for form in DATE_FORMS]),
     )
 
 
+def iso_date(value: Column) -> Column:
+    return let(date(value), lambda d: F.when(F.year(d) > 0, F.date_format(d, "yyyy-MM-dd")))
+
+
 def date_text(value: Column) -> Column:
     """ISO text where a date is found, otherwise the trimmed input."""
     return let(null_token(value), lambda t: F.coalesce(iso_date(t), t))
 
 
-def date(value: Column) -> Column:
-    return F.try_to_date(iso_date(value), "yyyy-MM-dd")
-
-
 def text(value: Column) -> Column:
-    collapsed = _trim(F.regexp_replace(null_token(value), UNICODE_SPACE, " "))
-    return F.regexp_replace(collapsed, r"\A[\"']+|[\"']+\z", "")
+    """White space collapsed, then quotes at both ends removed."""
+    collapsed = F.trim(F.regexp_replace(value, UNICODE_SPACE, " "))
+    return let(
+        collapsed,
+        lambda t: F.when(
+            ~F.lower(t).isin(*NULL_TOKENS), F.btrim(t, F.lit("\"'"))
+        ),
+    )
 
 
 _BY_TYPE = {"INTEGER": integer, "REAL": real, "BOOLEAN": boolean, "DATE": date_text}

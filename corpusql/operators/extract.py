@@ -66,50 +66,78 @@ def standardize_attributes(
     return rows.select(*rest, *typed, other.alias("other_attributes"))
 
 
-def conform(
+def check_rows(
     rows: DataFrame,
     entity: str,
     attributes: Sequence[Mapping[str, object]],
     map_col: str = "attributes",
     key_cols: Sequence[str] = ("doc_id", "ordinal"),
-) -> tuple[DataFrame, DataFrame]:
-    """Entity rows in the declared shape, and the rows that do not fit it.
+) -> DataFrame:
+    """Entity rows in the declared shape, with ``reason`` (empty when the row fits).
 
     A value that is present but does not parse to its type, or a missing value
-    in a column that must be filled, rejects the row with a reason. The key is
-    a digest of the source, so running again gives the same keys. Document and
-    chunk ids always travel along.
+    in a column that must be filled, is a reason. The key is a digest of the
+    source, so running again gives the same keys. Document and chunk ids always
+    travel along.
     """
-    pk = next((str(a["name"]) for a in attributes if a.get("is_primary_key")), f"{entity.lower()}_id")
+    pk = primary_key(entity, attributes)
     fields = [a for a in attributes if a["name"] != pk]
     own_key = any(a["name"] == pk for a in attributes)
     raw = {str(a["name"]): F.col(map_col)[str(a["name"])] for a in fields}
     typed = {n: sd.standardize(raw[n], str(a["type"])) for n, a in zip(raw, fields)}
     generated = ids.entity_id(F.lit(entity), *[F.col(c) for c in key_cols])
     key = F.coalesce(sd.text(F.col(map_col)[pk]), generated) if own_key else generated
-    shaped = rows.withColumns({pk: key, **typed})
 
     reasons = []
     for field, name in zip(fields, typed):
         present = sd.null_token(raw[name]).isNotNull()
-        if field["type"] != "DATE":
-            reasons.append(F.when(present & F.col(name).isNull(), F.lit(f"{name}: not {field['type']}")))
+        if field["type"] not in ("DATE", "TEXT", "JSON"):
+            reasons.append(F.when(F.col(name).isNull() & present, F.lit(f"{name}: not {field['type']}")))
         if not field.get("is_nullable", True):
-            reasons.append(F.when(~present, F.lit(f"{name}: missing")))
+            reasons.append(F.when(F.col(name).isNull() & ~present, F.lit(f"{name}: missing")))
     reason = F.concat_ws("; ", *reasons) if reasons else F.lit("")
-    checked = shaped.withColumn("reason", reason)
     lineage = [c for c in LINEAGE if c in rows.columns]
-    good = checked.filter(F.col("reason") == "").select(pk, *typed, *lineage)
-    bad = checked.filter(F.col("reason") != "").select(*key_cols, F.to_json(map_col).alias("attributes"), "reason")
-    return good, bad
+    kept = list(dict.fromkeys([*lineage, *key_cols, map_col]))
+    return rows.withColumns({pk: key, **typed}).select(pk, *typed, *kept, reason.alias("reason"))
+
+
+def primary_key(entity: str, attributes: Sequence[Mapping[str, object]]) -> str:
+    return next((str(a["name"]) for a in attributes if a.get("is_primary_key")), f"{entity.lower()}_id")
+
+
+def split_rows(
+    checked: DataFrame,
+    entity: str,
+    attributes: Sequence[Mapping[str, object]],
+    map_col: str = "attributes",
+    key_cols: Sequence[str] = ("doc_id", "ordinal"),
+) -> tuple[DataFrame, DataFrame]:
+    """Fitting rows, and the others with what was read and why it does not fit."""
+    pk = primary_key(entity, attributes)
+    names = [str(a["name"]) for a in attributes if a["name"] != pk]
+    lineage = [c for c in LINEAGE if c in checked.columns]
+    good = checked.filter(F.col("reason") == "").select(pk, *names, *lineage)
+    bad = checked.filter(F.col("reason") != "")
+    return good, bad.select(*key_cols, F.to_json(map_col).alias("attributes"), "reason")
+
+
+def conform(
+    rows: DataFrame, entity: str, attributes: Sequence[Mapping[str, object]]
+) -> tuple[DataFrame, DataFrame]:
+    """Rows that fit the declared columns, and the rejects."""
+    return split_rows(check_rows(rows, entity, attributes), entity, attributes)
 
 
 def conform_and_store(
     rows: DataFrame, entity: str, attributes: Sequence[Mapping[str, object]], path: str
 ) -> None:
-    """Append fitting rows to ``<path>/<entity>`` and the others to its rejects."""
-    shaped = materialize(rows, "entities")
-    good, bad = conform(shaped, entity, attributes)
+    """Append fitting rows to ``<path>/<entity>`` and the others to its rejects.
+
+    Values are standardised once: the checked rows are written to the shared
+    folder and both tables are filters on them.
+    """
+    checked = materialize(check_rows(rows, entity, attributes), "entities")
+    good, bad = split_rows(checked, entity, attributes)
     good.withColumn("extracted_at", F.current_timestamp()).write.mode("append").parquet(
         f"{path}/{entity.lower()}"
     )
