@@ -70,7 +70,7 @@ def induce_json_attributes(spark, d):
     """Keys of the JSON column; every event type is an entity."""
     events = load(spark, d, "events").withColumnRenamed("event_type", "entity")
     values = sc.json_values(events, "event_id", "props", ["entity"])
-    made = sc.induce_attributes(values, events, doc_col="event_id")
+    made = sc.induce_attributes(values, events)
     return made.select("entity", "name", "type", "confidence", "documents")
 
 

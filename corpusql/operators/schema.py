@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from corpusql.functions import standardize as sd
 from corpusql.functions import text as tx
+from corpusql.functions.binding import let
 
 MIN_CONFIDENCE = 0.7
 ITERATION_CONFIDENCE = 0.9
@@ -31,26 +32,37 @@ CARDINALITIES = ("one-to-one", "one-to-many", "many-to-one", "many-to-many")
 # ---------------------------------------------------------------- discovery
 
 
-def labelled_values(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, name, value) from ``Label: value`` lines."""
-    labels = F.regexp_extract_all(text_col, F.lit(LABEL_LINE), 1)
-    values = F.regexp_extract_all(text_col, F.lit(LABEL_LINE), 2)
-    pairs = F.arrays_zip(labels.alias("l"), values.alias("v"))
-    rows = docs.select(doc_col, F.explode(pairs).alias("p"))
-    return rows.select(
-        doc_col,
-        clean_name(tx.strip(F.col("p.l"))).alias("name"),
-        tx.strip(F.col("p.v")).alias("value"),
-    )
+def _observed(names: Column, values: Column) -> Column:
+    """Structs (name, value, first): ``first`` marks the first use of a name in its document."""
+    def rows(cleaned: Column) -> Column:
+        return F.transform(
+            F.arrays_zip(cleaned.alias("n"), values.alias("v")),
+            lambda p, i: F.struct(
+                p["n"].alias("name"),
+                p["v"].alias("value"),
+                (F.array_position(cleaned, p["n"]) == i + 1).alias("first"),
+            ),
+        )
+
+    return let(F.transform(names, clean_name), rows)
+
+
+def labelled_values(
+    docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()
+) -> DataFrame:
+    """(doc, name, value, first) from ``Label: value`` lines; one input row per document."""
+    labels = F.transform(F.regexp_extract_all(text_col, F.lit(LABEL_LINE), 1), tx.strip)
+    values = F.transform(F.regexp_extract_all(text_col, F.lit(LABEL_LINE), 2), tx.strip)
+    return docs.select(doc_col, *keep, F.inline(_observed(labels, values)))
 
 
 def json_values(
     docs: DataFrame, doc_col: str, json_col: str, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """(doc, name, value) from the keys of a JSON object per row."""
+    """(doc, name, value, first) from the keys of a JSON object per row."""
     entries = F.from_json(json_col, "map<string,string>")
-    return docs.select(doc_col, *keep, F.explode(entries).alias("key", "value")).select(
-        doc_col, *keep, clean_name(F.col("key")).alias("name"), "value"
+    return docs.select(
+        doc_col, *keep, F.inline(_observed(F.map_keys(entries), F.map_values(entries)))
     )
 
 
@@ -62,7 +74,6 @@ def induce_attributes(
     values: DataFrame,
     documents: DataFrame,
     entity: str | None = None,
-    doc_col: str = "doc_id",
     max_examples: int = MAX_EXAMPLES,
 ) -> DataFrame:
     """Attribute rows for the recurring labels of a corpus.
@@ -70,18 +81,24 @@ def induce_attributes(
     Without ``entity`` both frames carry an ``entity`` column, and all entities
     are described by the same plan. Confidence is the share of the entity's
     documents that hold the label. The type is the narrowest one that every
-    present value parses to. Values are counted per (name, value) first, so
-    types are tried once per distinct value, and a label found in every
-    document does not meet in one task as raw rows.
+    present value parses to. One shuffle, on (name, value) with counting inside
+    each task before it, feeds shares, types and examples: types are tried once
+    per distinct value, and a label found in every document does not meet in
+    one task as raw rows.
     """
     if entity is not None:
         values = values.withColumn("entity", F.lit(entity))
-        documents = documents.withColumn("entity", F.lit(entity))
     keys = ["entity", "name"]
-    distinct = values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    # The same filter on both uses of this aggregate lets them share its shuffle.
+    named = values.filter(F.col("entity").isNotNull() & F.col("name").isNotNull())
+    distinct = named.groupBy(*keys, "value").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("first").alias("documents")
+    )
     value = F.col("value")
     tried = distinct.select(
         *keys,
+        "n",
+        "documents",
         sd.null_token(value).isNotNull().alias("filled"),
         sd.real(value).alias("real"),
         sd.boolean(value).isNotNull().alias("boolean"),
@@ -92,19 +109,20 @@ def induce_attributes(
         return F.every(F.coalesce(parsed, F.lit(False)) | ~F.col("filled"))
 
     types = tried.groupBy(*keys).agg(
+        F.sum("n").alias("uses"),
+        F.sum("documents").alias("documents"),
         F.count_if("filled").alias("n_filled"),
         all_fit(F.col("real") == F.floor("real")).alias("is_integer"),
         all_fit(F.col("real").isNotNull()).alias("is_real"),
         all_fit(F.col("date")).alias("is_date"),
         all_fit(F.col("boolean")).alias("is_boolean"),
     )
-    # One row per (name, document) before counting documents.
-    shares = (
-        values.select(*keys, doc_col).distinct().groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("documents")
-        )
-    )
-    totals = documents.groupBy("entity").agg(F.count(F.lit(1)).alias("total"))
+    described = types.join(top_examples(distinct, max_examples), keys, "left")
+    if entity is not None:
+        described = described.withColumn("total", documents.select(F.count(F.lit(1))).scalar())
+    else:
+        totals = documents.groupBy("entity").agg(F.count(F.lit(1)).alias("total"))
+        described = described.join(totals, "entity")
     kind = (
         F.when(F.col("n_filled") == 0, "TEXT")
         .when(F.col("is_integer"), "INTEGER")
@@ -113,26 +131,22 @@ def induce_attributes(
         .when(F.col("is_boolean"), "BOOLEAN")
         .otherwise("TEXT")
     )
-    return (
-        shares.join(types, keys)
-        .join(top_examples(distinct, max_examples), keys, "left")
-        .join(totals, "entity")
-        .select(
-            *keys,
-            kind.alias("type"),
-            (F.col("documents") / F.col("total")).alias("confidence"),
-            F.lit(False).alias("is_primary_key"),
-            (F.col("documents") < F.col("total")).alias("is_nullable"),
-            F.lit(None).cast("string").alias("description"),
-            "examples",
-            "documents",
-        )
+    return described.select(
+        *keys,
+        kind.alias("type"),
+        (F.col("documents") / F.col("total")).alias("confidence"),
+        F.lit(False).alias("is_primary_key"),
+        (F.col("documents") < F.col("total")).alias("is_nullable"),
+        F.lit(None).cast("string").alias("description"),
+        "examples",
+        "documents",
+        "uses",
     )
 
 
 def top_examples(distinct: DataFrame, n: int) -> DataFrame:
-    """Most frequent values per attribute, at most ``n``, ties in text order."""
-    order = W.partitionBy("entity", "name").orderBy(F.desc("n"), "value")
+    """Most frequent values per attribute (uses, then documents, then text), at most ``n``."""
+    order = W.partitionBy("entity", "name").orderBy(F.desc("n"), F.desc("documents"), "value")
     first = distinct.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
     return first.groupBy("entity", "name").agg(
         F.transform(

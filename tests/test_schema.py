@@ -29,7 +29,7 @@ def test_induced_attributes(spark):
 
 
 def test_a_label_twice_in_a_document_counts_once(spark):
-    docs = spark.createDataFrame([(1, "A: x\nA: y"), (2, "B: z")], "doc_id int, text string")
+    docs = spark.createDataFrame([(1, "A: x\na: y\nA: x"), (2, "B: z")], "doc_id int, text string")
     got = {r.name: r.confidence for r in sc.induce_attributes(sc.labelled_values(docs), docs, "E").collect()}
     assert got == {"a": 0.5, "b": 0.5}
 
