@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusql.functions import ids
@@ -158,16 +157,16 @@ def extract_corpus(
     the shared folder before they are parsed: a lost executor must not lead to
     a second round of calls. ``entities`` maps an entity to its attribute types.
     """
-    def prompts(entity: str, types: Mapping[str, str]) -> DataFrame:
-        prompt = extraction_prompt(entity, list(types), F.col(text_col))
-        return docs.select(
+    def prompt_row(entity: str, types: Mapping[str, str]) -> Column:
+        return F.struct(
             F.md5(F.concat_ws("|", F.lit(entity), F.col(doc_col).cast("string"))).alias("prompt_id"),
-            doc_col,
             F.lit(entity).alias("entity"),
-            prompt.alias("prompt"),
+            extraction_prompt(entity, list(types), F.col(text_col)).alias("prompt"),
         )
 
-    all_prompts = reduce(DataFrame.unionByName, [prompts(e, t) for e, t in entities.items()])
+    # One pass over the documents, whatever the number of entities.
+    rows = F.array(*[prompt_row(e, t) for e, t in entities.items()])
+    all_prompts = docs.select(doc_col, F.inline(rows))
     keep = ["prompt_id", doc_col, "entity"]
     replies = materialize(batch_complete(all_prompts, complete, keep=keep), "replies")
     parsed = parse_replies(replies)

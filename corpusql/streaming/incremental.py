@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corpusql.operators.chunking import CHUNK_SIZE, OVERLAP, token_chunks
 from corpusql.session import shared_dir
-from corpusql.sources.sinks import write_chunks, write_documents
+from corpusql.sources.sinks import new_documents, read_if_present
 
 
 def read_stream(
@@ -38,14 +39,28 @@ def stream_ingest(
 ) -> StreamingQuery:
     """New documents of a stream to the ``documents`` and ``chunks`` tables.
 
-    Each batch is idempotent: rows whose id is already stored are left out, and
-    chunks are written before documents, so a batch that is repeated after a
-    failure completes what is missing and adds nothing twice.
+    Every micro-batch owns one partition of each table and overwrites it, so a
+    batch repeated after a failure replaces its own rows. Documents stored by
+    other batches are left out by id; chunk rows are never compared, so a batch
+    costs the same however many chunks there are.
     """
-    def write(batch: DataFrame, _: int) -> None:
-        batch = batch.dropDuplicates(["doc_id"])
-        write_chunks(token_chunks(batch, size, overlap), f"{out}/chunks")
-        write_documents(batch.select(*doc_columns), f"{out}/documents")
+    run = hashlib.md5(checkpoint.encode()).hexdigest()[:8]
+
+    def write(batch: DataFrame, number: int) -> None:
+        own = f"{run}-{number}"
+        stored = read_if_present(batch.sparkSession, f"{out}/documents")
+        if stored is not None:
+            stored = stored.filter(F.col("batch") != own)
+        fresh = new_documents(batch, stored).persist()
+        try:
+            token_chunks(fresh, size, overlap).write.mode("overwrite").parquet(
+                f"{out}/chunks/batch={own}"
+            )
+            fresh.select(*doc_columns).write.mode("overwrite").parquet(
+                f"{out}/documents/batch={own}"
+            )
+        finally:
+            fresh.unpersist()
 
     return (
         docs.writeStream.foreachBatch(write)
