@@ -42,8 +42,32 @@ def sentence_split(spark, d):
     return rows.groupBy("doc_id", F.md5("s").alias("sentence_md5")).agg(F.count(F.lit(1)).alias("n"))
 
 
-# The packing is a sequential fold, which plain SQL cannot state; golden rows test it.
-@query("sentence_chunks")
+# The packing is sequential: the SQL walks all documents in step, one sentence per round.
+@query("sentence_chunks", rf"""
+WITH RECURSIVE parts AS (
+  SELECT doc_id, string_split(regexp_replace(text, '([.!?]){tx.SPACE}+', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents),
+clean AS (SELECT doc_id, list_filter(list_transform(p, lambda s: regexp_replace(s, '\A{tx.SPACE}+|{tx.SPACE}+\z', '', 'g')),
+                                     lambda s: s <> '') AS p FROM parts),
+s AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS s FROM clean),
+n AS (SELECT doc_id, i, s, len(regexp_extract_all(s, '{tx.NON_SPACE}+')) AS n, regexp_extract_all(s, '{tx.TOKEN}', 1) AS t FROM s),
+r AS (
+  SELECT doc_id, 0::BIGINT AS i, []::VARCHAR[] AS o, []::BIGINT[] AS ns, []::VARCHAR[] AS made FROM (SELECT DISTINCT doc_id FROM n)
+  UNION ALL
+  SELECT r.doc_id, n.i,
+    CASE WHEN n.n > 128 THEN [] WHEN list_sum(r.ns || [n.n]) <= 128 THEN r.o || [n.s] ELSE r.o[-2:] || [n.s] END,
+    CASE WHEN n.n > 128 THEN [] WHEN list_sum(r.ns || [n.n]) <= 128 THEN r.ns || [n.n] ELSE r.ns[-2:] || [n.n] END,
+    CASE WHEN n.n > 128 THEN (CASE WHEN len(r.o) > 0 THEN [array_to_string(r.o, ' ')] ELSE [] END)
+           || list_transform(range(0, len(n.t), 112), lambda x: array_to_string(n.t[x + 1:x + 128], ''))
+         WHEN list_sum(r.ns || [n.n]) <= 128 THEN [] ELSE [array_to_string(r.o, ' ')] END
+  FROM r JOIN n ON n.doc_id = r.doc_id AND n.i = r.i + 1),
+ends AS (SELECT doc_id, i + 1 AS i, 1 AS j, array_to_string(o, ' ') AS text FROM r
+         WHERE len(o) > 0 AND (doc_id, i) IN (SELECT doc_id, max(i) FROM n GROUP BY 1)),
+rows AS (SELECT doc_id, i, unnest(range(1, len(made) + 1)) AS j, unnest(made) AS text FROM r UNION ALL SELECT * FROM ends),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS chunk_index FROM rows)
+SELECT doc_id || '_chunk_' || chunk_index AS chunk_id, doc_id::VARCHAR AS doc_id, chunk_index::INTEGER AS chunk_index,
+  len(regexp_extract_all(text, '{tx.NON_SPACE}+'))::INTEGER AS token_count, length(text)::INTEGER AS char_count, md5(text) AS text_md5
+FROM k
+""")
 def sentence_chunks(spark, d):
     made = ck.sentence_chunks(documents(spark, d), 128, 16)
     return made.select(

@@ -168,8 +168,8 @@ def user_attributes(spark, d):
 @query("validate_primary_key", """
 SELECT 'user_' || user_id AS entity, count(*) FILTER (event_id % 97 = 0)::BIGINT AS primary_keys,
   count(*) FILTER (event_id % 97 = 0) = 1 AS valid,
-  CASE count(*) FILTER (event_id % 97 = 0) WHEN 0 THEN 'Entity must have exactly one primary key' WHEN 1 THEN NULL
-  ELSE 'Entity has ' || count(*) FILTER (event_id % 97 = 0) || ' primary keys, expected 1' END AS message
+  CASE count(*) FILTER (event_id % 97 = 0) WHEN 0 THEN 'no primary key' WHEN 1 THEN NULL
+  ELSE count(*) FILTER (event_id % 97 = 0) || ' primary keys' END AS message
 FROM events GROUP BY user_id
 """)
 def validate_primary_key(spark, d):

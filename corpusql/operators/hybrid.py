@@ -11,6 +11,8 @@ from corpusql.operators.chunking import numbered_context, reassemble
 
 MAX_DOCUMENTS = 10
 DOC_CHARS, CONTEXT_CHARS = 5000, 15000
+
+# Fixed value: the answer when the filter leaves nothing.
 NO_DOCUMENTS = "No relevant documents found for your query."
 FOUND_CONFIDENCE = 0.8
 

@@ -16,6 +16,7 @@ from corpusql.functions.binding import let
 MIN_CONFIDENCE = 0.7
 ITERATION_CONFIDENCE = 0.9
 MAX_EXAMPLES = 5
+MASK_BITS = 62
 ROUNDS = 4
 
 LABEL_LINE = r"(?m)^[ \t]*([A-Za-z][A-Za-z0-9 _]{0,60}):(?!//)[ \t]*([^ \t\n\r][^\n\r]*)"
@@ -176,7 +177,7 @@ def ensure_primary_key(attributes: DataFrame) -> DataFrame:
         F.lit(1.0).alias("confidence"),
         F.lit(True).alias("is_primary_key"),
         F.lit(False).alias("is_nullable"),
-        F.lit("Auto-generated primary key").alias("description"),
+        F.lit("generated key").alias("description"),
     )
     return attributes.unionByName(added, allowMissingColumns=True)
 
@@ -268,12 +269,8 @@ def validate_primary_key(attributes: DataFrame) -> DataFrame:
         .withColumn("valid", F.col("primary_keys") == 1)
         .withColumn(
             "message",
-            F.when(F.col("primary_keys") == 0, "Entity must have exactly one primary key").when(
-                F.col("primary_keys") > 1,
-                F.concat(
-                    F.lit("Entity has "), F.col("primary_keys").cast("string"),
-                    F.lit(" primary keys, expected 1"),
-                ),
+            F.when(F.col("primary_keys") == 0, "no primary key").when(
+                F.col("primary_keys") > 1, F.format_string("%d primary keys", F.col("primary_keys"))
             ),
         )
     )
@@ -502,11 +499,12 @@ def discover_relationships(
     """Column pairs of different tables where one column's values lie in the other's.
 
     Only integer and string columns can be keys. Every value is reduced to the
-    set of columns that hold it in one shuffle; that set is no larger than the
-    number of columns, whatever the number of rows, and pairs are formed from
-    it.
+    set of columns that hold it in one shuffle. The set is a bit mask (a few
+    longs, folded inside each task first), so neither hot values nor many
+    distinct ones need object buffers; pairs are formed from the distinct sets.
     """
-    stacked, columns = None, []
+    columns: list[tuple[int, str, str]] = []
+    stacked = None
     for name, df in tables.items():
         picked = []
         for f in df.schema.fields:
@@ -522,7 +520,8 @@ def discover_relationships(
                 F.struct(
                     F.lit(kind).alias("kind"),
                     F.col(f"`{f.name}`").cast("string").alias("value"),
-                    F.lit(number).alias("col"),
+                    F.lit(number // MASK_BITS).alias("word"),
+                    F.lit(1 << number % MASK_BITS).cast("bigint").alias("bit"),
                 )
             )
         if picked:
@@ -532,10 +531,20 @@ def discover_relationships(
         raise ValueError("no integer or string column")
     # Texts are compared by digest: long documents must not travel as keys.
     digest = F.when(F.length("value") > 64, F.sha2("value", 256)).otherwise(F.col("value"))
+    masks = [f"mask{w}" for w in range(len(columns) // MASK_BITS + 1)]
     holders = stacked.groupBy("kind", digest.alias("value")).agg(
-        F.array_sort(F.collect_set("col")).alias("cols")
+        *[
+            F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(m)
+            for w, m in enumerate(masks)
+        ]
+    )
+    held = [
+        F.when(F.getbit(masks[number // MASK_BITS], F.lit(number % MASK_BITS)) == 1, F.lit(number))
+        for number, _, _ in columns
+    ]
+    shapes = holders.groupBy(*masks).agg(F.count(F.lit(1)).alias("n")).select(
+        "n", F.array_compact(F.array(*held)).alias("cols")
     )
-    shapes = holders.groupBy("cols").agg(F.count(F.lit(1)).alias("n"))
     sizes = shapes.select(F.explode("cols").alias("col"), "n").groupBy("col").agg(
         F.sum("n").alias("distinct")
     )

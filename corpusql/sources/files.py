@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from corpusql.functions import ids
 from corpusql.functions import text as tx
+from corpusql.sources.tables import SAMPLE_ROWS, TABLE_HEAD, TABLE_MORE, TABLE_ROW
 
 # Parser and source type by file extension.
 PARSERS = {
@@ -62,16 +63,17 @@ def corpus_scan(spark: SparkSession, path: str) -> DataFrame:
     return file_metadata(files).withColumn("parser", parser_name(F.col("extension")))
 
 
-def file_metadata(files: DataFrame) -> DataFrame:
-    name = file_name(F.col("path"))
+def file_metadata(files: DataFrame, *keep: str) -> DataFrame:
+    name, ext = file_name(F.col("path")), extension(F.col("path"))
     return files.select(
         ids.doc_id(name, F.col("path")).alias("doc_id"),
         name.alias("filename"),
         F.col("path").alias("file_path"),
         F.col("length").alias("file_size"),
-        extension(F.col("path")).alias("extension"),
-        source_type(extension(F.col("path"))).alias("source_type"),
+        ext.alias("extension"),
+        source_type(ext).alias("source_type"),
         F.col("modificationTime").alias("modified_at"),
+        *keep,
     )
 
 
@@ -90,23 +92,7 @@ def read_files(
         .filter(F.col("length") <= max_bytes)
         .filter(parser_name(extension(F.col("path"))) == parser)
     )
-    meta = [c for c in file_metadata(files).columns if c != "doc_id"]
-    with_meta = files.withColumns(
-        {
-            "filename": file_name(F.col("path")),
-            "extension": extension(F.col("path")),
-        }
-    )
-    return with_meta.select(
-        ids.doc_id(F.col("filename"), F.col("path")).alias("doc_id"),
-        F.col("filename"),
-        F.col("path").alias("file_path"),
-        F.col("length").alias("file_size"),
-        F.col("extension"),
-        source_type(F.col("extension")).alias("source_type"),
-        F.col("modificationTime").alias("modified_at"),
-        F.col("content"),
-    ).select("doc_id", *meta, "content")
+    return file_metadata(files, "content")
 
 
 def oversize_files(scan: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
@@ -185,12 +171,11 @@ def _csv_summary(names: pd.Series, extensions: pd.Series, contents: pd.Series) -
     for name, ext, content in zip(names, extensions, contents):
         try:
             table = pd.read_csv(io.BytesIO(content), delimiter="\t" if ext == "tsv" else ",")
-            head = table.head(10).to_dict("records")
-            lines = [f"CSV Data: {name}", f"Columns: {', '.join(map(str, table.columns))}"]
-            lines += [f"Rows: {len(table)}", "", "Data:"]
-            lines += [f"Row {i}: {row}" for i, row in enumerate(head, 1)]
+            head = table.head(SAMPLE_ROWS).to_dict("records")
+            lines = [TABLE_HEAD % (name, ", ".join(map(str, table.columns)), len(table))]
+            lines += [TABLE_ROW % (i, row) for i, row in enumerate(head, 1)]
             if len(table) > len(head):
-                lines.append(f"... ({len(table) - len(head)} more rows)")
+                lines.append(TABLE_MORE % (len(table) - len(head)))
             names_json = json.dumps([str(c) for c in table.columns])
             types_json = json.dumps({str(c): str(t) for c, t in table.dtypes.items()})
             out.append(("\n".join(lines), len(table), table.shape[1], names_json, types_json, None))

@@ -11,6 +11,12 @@ from pyspark.sql import types as T
 from corpusql.functions import ids
 
 SAMPLE_ROWS = 10
+
+# Layout of the text view of a table.
+TABLE_HEAD = "CSV Data: %s\nColumns: %s\nRows: %d\n\nData:"
+TABLE_ROW = "Row %d: %s"
+TABLE_MORE = "... (%d more rows)"
+
 LINE_ORDER = ("_file", "_block", "_line")
 
 
@@ -52,21 +58,13 @@ def table_to_document(
                                     shown.alias("shown")))
         ).alias("p")
     )
-    lines = F.transform(
-        "p", lambda x, i: F.concat(F.lit("Row "), (i + 1).cast("string"), F.lit(": "), x["shown"])
-    )
-    head = F.lit("\n".join([
-        f"CSV Data: {name}", "Columns: " + ", ".join(f.name for f in fields), "Rows: ",
-    ]))
-    more = F.when(
-        F.col("row_count") > F.size("p"),
-        F.concat(F.lit("\n... ("), (F.col("row_count") - F.size("p")).cast("string"),
-                 F.lit(" more rows)")),
-    ).otherwise(F.lit(""))
-    text = F.concat(
-        head, F.col("row_count").cast("string"), F.lit("\n\nData:"),
-        F.when(F.size("p") > 0, F.concat(F.lit("\n"), F.array_join(lines, "\n"))).otherwise(""),
-        more,
+    lines = F.transform("p", lambda x, i: F.format_string(TABLE_ROW, i + 1, x["shown"]))
+    names = ", ".join(f.name for f in fields)
+    head = F.format_string(TABLE_HEAD, F.lit(name), F.lit(names), F.col("row_count"))
+    left = F.col("row_count") - F.size("p")
+    more = F.when(left > 0, F.format_string(TABLE_MORE, left))
+    text = F.concat_ws(
+        "\n", head, F.when(F.size("p") > 0, F.array_join(lines, "\n")), more
     )
     return parts.withColumn("row_count", total).select(
         F.lit(name).alias("filename"), "row_count", F.lit(len(fields)).alias("column_count"),

@@ -55,7 +55,7 @@ def test_primary_key_check(spark):
     )
     got = {r.entity: (r.valid, r.message) for r in sc.validate_primary_key(rows).collect()}
     assert got["A"] == (True, None)
-    assert got["B"] == (False, "Entity has 2 primary keys, expected 1")
+    assert got["B"] == (False, "2 primary keys")
     assert got["C"][0] is False
 
 
@@ -157,3 +157,10 @@ def test_discovered_relationships(spark):
     assert got == [("deals", "company", "firms", "name", 1.0)]
     loose = sc.discover_relationships({"deals": deals, "firms": firms}, 0.5)
     assert loose.filter(F.col("a_column") == "name").count() == 1
+
+
+def test_relationships_over_more_columns_than_one_mask_holds(spark):
+    wide = spark.range(20).select(*[(F.col("id") + i * 100).alias(f"c{i}") for i in range(70)])
+    other = spark.range(20).select((F.col("id") + 6900).alias("key"))
+    got = sc.discover_relationships({"wide": wide, "other": other}).collect()
+    assert {(r.a_table, r.a_column, r.b_column) for r in got} == {("wide", "c69", "key"), ("other", "key", "c69")}
