@@ -30,6 +30,9 @@ def build_session(app_name: str = "corpusql", master: str | None = None, **conf:
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Recording the Python call site of every column expression costs more than
+        # planning the query.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         # Rows with long texts cross to Python: keep a batch within memory.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     }
@@ -49,6 +52,9 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
+_OWN_FOLDERS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder every executor can reach.
 
@@ -56,12 +62,16 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     local-mode session, where driver and executors are one process, may fall
     back to a temporary folder of its own.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
+        "spark.checkpoint.dir"
+    )
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="corpusql-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if context.applicationId not in _OWN_FOLDERS:
+            _OWN_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="corpusql-")
+        root = _OWN_FOLDERS[context.applicationId]
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 

@@ -31,6 +31,17 @@ def new_documents(docs: DataFrame, existing: DataFrame | None, key: str = "doc_i
     return fresh.join(existing.select(key), key, "left_anti")
 
 
+def leave_out(rows: DataFrame, stored: DataFrame | None, key: str) -> DataFrame:
+    """Rows whose key is not stored. Only keys are compared; ``rows`` is read as it is
+    when nothing is stored, otherwise the keys in common are taken out."""
+    if stored is None:
+        return rows
+    common = stored.select(key).join(rows.select(key), key, "left_semi").distinct()
+    if common.isEmpty():
+        return rows
+    return rows.join(common, key, "left_anti")
+
+
 def write_documents(
     docs: DataFrame, path: str, key: str = "doc_id", partition_by: Sequence[str] = ()
 ) -> None:
@@ -139,16 +150,19 @@ def ingest(
     """Files to the ``documents`` and ``chunks`` tables below ``out``; returns the summary.
 
     Files already ingested are skipped. Parsed text is written once to the
-    shared folder because three results are taken from it.
+    shared folder because three results are taken from it. Texts are not
+    shuffled unless something of this run is stored already.
     """
     parsed = materialize(parse_corpus(spark, path), "parsed")
     good = parsed.filter(F.col("text").isNotNull())
-    fresh = new_documents(good, read_if_present(spark, f"{out}/documents"))
+    fresh = leave_out(good, read_if_present(spark, f"{out}/documents"), "doc_id")
     chunks = materialize(token_chunks(fresh, size, overlap), "chunks")
     docs = chunk_counts(fresh.drop("text", "error"), chunks).withColumn(
         "ingested_at", F.current_timestamp()
     )
-    # Chunks go first: a run that stops in between is repaired by running again.
-    write_chunks(chunks, f"{out}/chunks")
-    write_documents(docs, f"{out}/documents")
+    # Chunks go first, and a write is all or nothing: after a run that stopped in
+    # between, the next run adds the documents and leaves their chunks alone.
+    missing = leave_out(chunks, read_if_present(spark, f"{out}/chunks"), "doc_id")
+    missing.write.mode("append").parquet(f"{out}/chunks")
+    docs.write.mode("append").parquet(f"{out}/documents")
     return ingest_summary(parsed.select("filename", "parser", "error"), chunks)

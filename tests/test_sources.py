@@ -175,3 +175,40 @@ def test_row_documents(spark):
     rows = spark.createDataFrame([(1, "text", 5)], "id int, body string, stars int")
     made = tables.row_documents(rows, "body", ["id"], "reviews").collect()[0]
     assert made.text == "text" and json.loads(made.metadata) == {"id": 1, "stars": 5}
+
+
+def test_a_run_that_stopped_between_the_two_writes_is_repaired(spark, tmp_path, tmp_path_factory):
+    out, half = (str(tmp_path_factory.mktemp(n)) for n in ("out", "half"))
+    for i in range(5):
+        (tmp_path / f"{i}.txt").write_text(f"text number {i} " * 30)
+    sinks.ingest(spark, str(tmp_path), out, 20, 5).collect()
+    spark.read.parquet(f"{out}/chunks").write.parquet(f"{half}/chunks")
+    (tmp_path / "new.txt").write_text("more")
+    sinks.ingest(spark, str(tmp_path), half, 20, 5).collect()
+    assert spark.read.parquet(f"{half}/documents").count() == 6
+    chunks = spark.read.parquet(f"{half}/chunks")
+    assert chunks.count() == chunks.select("chunk_id").distinct().count()
+    assert chunks.count() == spark.read.parquet(f"{out}/chunks").count() + 1
+
+
+class Session:
+    """Just what ``shared_dir`` asks of a session."""
+
+    def __init__(self, named, master):
+        settings = {"spark.checkpoint.dir": named} if named else {}
+        self.conf = self
+        self.sparkContext = self
+        self.get = lambda key, default=None: settings.get(key, default)
+        self.getConf = lambda: self
+        self.master, self.applicationId = master, f"app-{named}-{master}"
+
+
+def test_shared_folder_is_the_one_the_cluster_names():
+    from corpusql.session import shared_dir
+
+    assert shared_dir(Session("/shared/place/", "yarn"), "x").startswith("/shared/place/x-")
+    assert shared_dir(Session("/shared/place", "local[2]"), "x").startswith("/shared/place/x-")
+    local = Session(None, "local[2]")
+    assert shared_dir(local, "x") != shared_dir(local, "x")
+    with pytest.raises(ValueError):
+        shared_dir(Session(None, "yarn"), "x")
