@@ -106,7 +106,8 @@ def _read_date(text: Column, pattern: str, form: str) -> Column:
     found = F.regexp_extract(text, pattern, 0)
     if "MMMM" in form:
         found = F.regexp_replace(found, r"[\s,]+", " ")
-    return let(found, lambda m: F.when(m != "", F.try_to_date(m, form)))
+    parsed = let(found, lambda m: F.when(m != "", F.try_to_date(m, form)))
+    return let(parsed, lambda d: F.when(F.year(d) > 0, d))
 
 
 def date(value: Column) -> Column:
@@ -118,7 +119,7 @@ def date(value: Column) -> Column:
 
 
 def iso_date(value: Column) -> Column:
-    return let(date(value), lambda d: F.when(F.year(d) > 0, F.date_format(d, "yyyy-MM-dd")))
+    return F.date_format(date(value), "yyyy-MM-dd")
 
 
 def date_text(value: Column) -> Column:
