@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusql.session import materialize
 
@@ -51,13 +52,14 @@ def map_texts(
     of texts (null: empty) into one list or array per field.
     """
     schema = schema_with_id(df, id_col, fields)
+    kinds = list(to_arrow_schema(schema))[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = work()
         for whole in batches:
             for batch in slices(whole):
                 texts = pc.fill_null(batch.column(1), "").to_pylist()
-                columns = [batch.column(0), *[pa.array(x) for x in apply(texts)]]
+                columns = [batch.column(0), *[pa.array(x, kind.type) for x, kind in zip(apply(texts), kinds)]]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)

@@ -9,7 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusql.llm import bpe
+from corpusql.llm import bpe, toxicity
+from corpusql.llm.learning import held_out
 from corpusql.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,3 +43,10 @@ def op6_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     return bpe.round_trip(
         load(spark, d, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     )
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs, hidden = load(spark, d, "documents"), held_out("doc_id", 4, 2)
+    model = toxicity.train(docs, load(spark, d, "labels"), ~hidden)
+    return toxicity.score(docs, model).select("doc_id", hidden.alias("held_out"), "score", "predicted")
