@@ -69,19 +69,22 @@ def fit_sparse(
     return w[:-1], float(w[-1])
 
 
-def fit_line(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> tuple[float, float]:
-    """Slope and intercept of a logistic curve over one feature, by damped Newton steps on standardised values."""
+def fit_rising(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Calibration curve: places and the share of label 1 there, never falling (pooled neighbours), for interpolation.
+
+    Equal values count as one place. Each pool's share is smoothed by half a row of either
+    label, so no share is 0 or 1.
+    """
     if not len(y):
-        return 0.0, 0.0
-    mean, spread = float(x.mean()), float(x.std()) or 1.0
-    z = np.column_stack([(x - mean) / spread, np.ones(len(x))])
-    w = np.zeros(2)
-    for _ in range(50):
-        p = sigmoid(z @ w)
-        slope = z.T @ (p - y) / len(y) + penalty * w
-        bend = (z * (p * (1 - p))[:, None]).T @ z / len(y) + penalty * np.eye(2)
-        move = np.linalg.solve(bend, slope)
-        w -= move / max(1.0, float(np.abs(move).max()))
-        if np.abs(move).max() < 1e-9:
-            break
-    return float(w[0] / spread), float(w[1] - w[0] * mean / spread)
+        return np.zeros(1), np.full(1, 0.5)
+    places, which = np.unique(x, return_inverse=True)
+    ones = np.bincount(which, weights=y, minlength=len(places))
+    rows = np.bincount(which, minlength=len(places)).astype(float)
+    pools: list[list[float]] = []  # ones, rows, weighted place
+    for one, n, place in zip(ones, rows, places):
+        pools.append([one, n, place * n])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last)]
+    found = np.array(pools)
+    return found[:, 2] / found[:, 1], np.maximum.accumulate((found[:, 0] + 0.5) / (found[:, 1] + 1))
