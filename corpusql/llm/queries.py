@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusql.llm import bpe, quality, toxicity
+from corpusql.llm import bpe, quality, tokenfile, toxicity
 from corpusql.llm.learning import held_out
 from corpusql.session import load
 
@@ -57,3 +57,8 @@ def op5_quality(spark: SparkSession, d: str) -> DataFrame:
     docs, hidden = load(spark, d, "documents"), held_out("doc_id", 5, 0)
     model = quality.train(docs, load(spark, d, "labels"), ~hidden)
     return quality.score(docs, model).select("doc_id", hidden.alias("held_out"), "score", "predicted")
+
+
+@query("op8_token_files")
+def op8_token_files(spark: SparkSession, d: str) -> DataFrame:
+    return tokenfile.round_trip(load(spark, d, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
