@@ -8,8 +8,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusql.llm import bpe, quality, tokenfile, toxicity
+from corpusql.llm import bpe, lattice, pivots, quality, tokenfile, toxicity
 from corpusql.llm.learning import held_out
 from corpusql.session import load
 
@@ -62,3 +63,45 @@ def op5_quality(spark: SparkSession, d: str) -> DataFrame:
 @query("op8_token_files")
 def op8_token_files(spark: SparkSession, d: str) -> DataFrame:
     return tokenfile.round_trip(load(spark, d, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
+
+
+LINKS_SQL = """
+WITH RECURSIVE fit AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM fit a JOIN fit b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+low AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, l.component_id, e.vec_id = l.component_id AS kept
+FROM embeddings e JOIN low l ON e.vec_id = l.vec_id LEFT JOIN counts c ON e.vec_id = c.vec_id
+"""
+
+
+@query("op2_lattice_near_dedup", LINKS_SQL)
+def op2_lattice_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return lattice.near_duplicates(load(spark, d, "embeddings"))
+
+
+TOP_SQL = """
+WITH fit AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM fit q JOIN fit c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 5
+"""
+
+
+@query("op4_pivot_topk", TOP_SQL)
+def op4_pivot_topk(spark: SparkSession, d: str) -> DataFrame:
+    return pivots.top_k(load(spark, d, "embeddings"), F.col("id") % 50 == 0)
