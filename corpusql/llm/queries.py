@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusql.llm import bpe, lattice, pivots, quality, tokenfile, toxicity
+from corpusql.llm import bpe, chosenpath, lattice, pivots, quality, tokenfile, toxicity
 from corpusql.llm.learning import held_out
 from corpusql.session import load
 
@@ -105,3 +105,8 @@ WHERE rank <= 5
 @query("op4_pivot_topk", TOP_SQL)
 def op4_pivot_topk(spark: SparkSession, d: str) -> DataFrame:
     return pivots.top_k(load(spark, d, "embeddings"), F.col("id") % 50 == 0)
+
+
+@query("op7_chosen_path_join")
+def op7_chosen_path_join(spark: SparkSession, d: str) -> DataFrame:
+    return chosenpath.join(load(spark, d, "documents"))
