@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -15,12 +17,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusql.llm.common import map_texts
+from corpusql.llm.common import map_texts, slices
 from corpusql.session import materialize, shared_dir
 
 MAGIC = b"TOKFREQ1"
 FILE_IDS = 4 << 20
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 1_000_000
 
 # Length of the four values behind a control byte, and of all four together.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -109,9 +111,10 @@ def read_bytes(raw: bytes) -> tuple[list[int | None], list[np.ndarray]]:
 class WordTokenizer:
     """Ids of the ``tokenizers`` library, with a cache by white-space-free part.
 
-    For tokenizers that drop white space and never merge across it, as
-    their split step keeps letters, digits and signs only: ids of a text are the
-    ids of its parts in order. ``whole`` switches the cache off for others.
+    For tokenizers that lower the case, drop white space and never merge across
+    it or between a letter and a sign: ids of a text are the ids of its parts in
+    order, and a full stop or comma between a letter and a space is a part of its
+    own. ``whole`` switches the cache off for others.
     """
 
     def __init__(self, path: str, whole: bool = False) -> None:
@@ -122,11 +125,33 @@ class WordTokenizer:
         self.library.encode_special_tokens = True
         self.whole = whole
         self.known: dict[str, bytes] = {}
-        self.signs = frozenset(".,;:!?")
+        # The byte-level step of such tokenizers shows each byte as one printable letter.
+        hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+        self.byte_letters = {b: 256 + k for k, b in enumerate(hidden)}
+        # A sign before the stop or comma belongs to one run with it.
+        self.run_of_signs = re.compile(r"[^\w\s][.,][ \n]|_[.,][ \n]|[\u0300-\u036f\u0130\u03a3]")
 
     def _fresh(self, parts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in found)]
+
+    def _learn(self, parts: list[str]) -> None:
+        """Cache the ids of parts. Lower-cased composed words are one piece each, so the library's model takes them as they are."""
+        merge, others = self.library.model.tokenize, []
+        for part in parts:
+            if part.isalpha() and (part.isascii() or unicodedata.is_normalized("NFC", part)) and part.lower() == part:
+                raw = part if part.isascii() else part.encode("utf-8").decode("latin-1").translate(self.byte_letters)
+                ids = [token.id for token in merge(raw)]
+                self.known[part] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                others.append(part)
+        self.known.update(zip(others, self._fresh(others)))
+
+    def _parts(self, text: str) -> list[str]:
+        if self.run_of_signs.search(text):
+            return text.split(" ")
+        plain = text.lower().replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
+        return plain.split(" ")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self.whole:
@@ -134,17 +159,14 @@ class WordTokenizer:
         known = self.known
         if len(known) > CACHE_ENTRIES:
             known.clear()
-        cut = [text.split(" ") for text in texts]
+        cut = [self._parts(text) for text in texts]
         found = [list(map(known.get, parts)) for parts in cut]
-        fresh = {p for parts, ids in zip(cut, found) if None in ids for p, x in zip(parts, ids) if x is None}
-        # A plain word is the same in any case, and a sign after it is a piece of its own.
-        plain = {p: (q[:-1], q[-1]) for p in fresh if p.isascii() and (q := p.lower())[-1:] in self.signs and q[:-1].isalpha()}
-        alone = list({w for pair in plain.values() for w in pair}.union(fresh.difference(plain)).difference(known))
-        for start in range(0, len(alone), 10_000):
-            known.update(zip(alone[start : start + 10_000], self._fresh(alone[start : start + 10_000])))
+        gaps = [None in ids for ids in found]
+        fresh = list({p for parts, ids, gap in zip(cut, found, gaps) if gap for p, x in zip(parts, ids) if x is None})
+        for start in range(0, len(fresh), 10_000):
+            self._learn(fresh[start : start + 10_000])
         get = known.__getitem__
-        known.update((p, get(a) + get(b)) for p, (a, b) in plain.items())
-        return [b"".join(map(get, parts) if None in ids else ids) for parts, ids in zip(cut, found)]
+        return [b"".join(map(get, parts) if gap else ids) for parts, ids, gap in zip(cut, found, gaps)]
 
 
 _TOKENIZERS: dict[tuple[str, bool], WordTokenizer] = {}
@@ -153,7 +175,7 @@ _TOKENIZERS: dict[tuple[str, bool], WordTokenizer] = {}
 def encode(
     docs: DataFrame, path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", whole: bool = False
 ) -> DataFrame:
-    """(id, ids): little-endian unsigned 32-bit ids of every whole text as bytes, the end id last."""
+    """(id, n, control, data): ids of every whole text, the end id last, packed as in the files but not ranked yet."""
 
     def work():
         key = (path, whole)
@@ -161,12 +183,23 @@ def encode(
             _TOKENIZERS[key] = WordTokenizer(path, whole)
         own = _TOKENIZERS[key]
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        return lambda texts: [[ids + end for ids in own(texts)]]
 
-    return map_texts(docs, id_col, text_col, [("ids", T.BinaryType())], work)
+        def apply(texts: list[str]) -> list:
+            lists = [np.frombuffer(ids + end, "<u4") for ids in own(texts)]
+            return [[len(x) for x in lists], *zip(*map(pack, lists))]
 
+        return apply
 
-def frequency_order(encoded: DataFrame, ids_col: str = "ids") -> np.ndarray:
+    return map_texts(docs, id_col, text_col, [("n", T.LongType()), ("control", T.BinaryType()), ("data", T.BinaryType())], work)
+
+
+def unpacked(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The id arrays of rows whose last columns are n, control and data."""
+    for n, control, data in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns - 3, batch.num_columns))):
+        yield unpack(control, data, n)
+
+
+def frequency_order(encoded: DataFrame) -> np.ndarray:
     """All ids that occur, most frequent first, ties to the smaller id.
 
     Counted inside each task, then summed by id. The result is bounded by the vocabulary.
@@ -174,16 +207,15 @@ def frequency_order(encoded: DataFrame, ids_col: str = "ids") -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
-        for batch in batches:
-            for ids in batch.column(0):
-                one = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
-                if len(one) > len(total):
-                    total = np.concatenate([total, np.zeros(len(one) - len(total), np.int64)])
-                total[: len(one)] += one
+        for batch in (part for whole in batches for part in slices(whole, 2)):
+            one = np.bincount(np.concatenate([*unpacked(batch)]).astype(np.int64))
+            if len(one) > len(total):
+                total = np.concatenate([total, np.zeros(len(one) - len(total), np.int64)])
+            total[: len(one)] += one
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": used.astype(np.int64), "n": total[used]})
 
-    counts = encoded.select(ids_col).mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = encoded.select("n", "control", "data").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     rows = counts.toArrow()
     ids, n = rows.column("id").to_numpy(), rows.column("n").to_numpy()
     return ids[np.lexsort((ids, -n))]
@@ -213,7 +245,7 @@ def write(encoded: DataFrame, path: str, id_col: str = "doc_id", file_ids: int =
     rank_of = np.zeros(int(order.max()) + 1 if len(order) else 1, np.int64)
     rank_of[order] = np.arange(len(order))
     shipped = spark.sparkContext.broadcast((order, rank_of))
-    total = encoded.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()[0] // 4
+    total = encoded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     tasks = int(max(1, -(-total // (4 * file_ids)), min(total // 200_000, 2 * spark.sparkContext.defaultParallelism)))
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,8 +272,8 @@ def write(encoded: DataFrame, path: str, id_col: str = "doc_id", file_ids: int =
             return pa.RecordBatch.from_pydict(row)
 
         for batch in batches:
-            for name, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-                lists.append(np.frombuffer(ids.as_py(), "<u4"))
+            for name, ids in zip(batch.column(0).to_pylist(), unpacked(batch)):
+                lists.append(ids)
                 names.append(name)
                 held += len(lists[-1])
                 if held >= file_ids:
@@ -249,9 +281,9 @@ def write(encoded: DataFrame, path: str, id_col: str = "doc_id", file_ids: int =
         if names:
             yield flush()
 
-    rows = encoded.select(F.col(id_col).cast("long").alias("doc_id"), "ids", F.xxhash64("ids").alias("h"))
-    ranged = rows.repartitionByRange(tasks, "doc_id", "h").sortWithinPartitions("doc_id", "h", "ids")
-    manifest = ranged.select("doc_id", "ids").mapInArrow(save, "file string, docs long, n_tokens long, n_bytes long")
+    rows = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64("data", "control").alias("h"), "n", "control", "data")
+    ranged = rows.repartitionByRange(tasks, "doc_id", "h").sortWithinPartitions("doc_id", "h", "data")
+    manifest = ranged.select("doc_id", "n", "control", "data").mapInArrow(save, "file string, docs long, n_tokens long, n_bytes long")
     return materialize(manifest, "token-manifest")
 
 
