@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusql.llm import bpe, chosenpath, lattice, pivots, quality, tokenfile, toxicity
+from corpusql.llm import bpe, chosenpath, lattice, pivots, quality, suffixes, tokenfile, toxicity
 from corpusql.llm.learning import held_out
 from corpusql.session import load
 
@@ -110,3 +110,9 @@ def op4_pivot_topk(spark: SparkSession, d: str) -> DataFrame:
 @query("op7_chosen_path_join")
 def op7_chosen_path_join(spark: SparkSession, d: str) -> DataFrame:
     return chosenpath.join(load(spark, d, "documents"))
+
+
+@query("op9_suffix_array_dedup")
+def op9_suffix_array_dedup(spark: SparkSession, d: str) -> DataFrame:
+    cut = suffixes.remove_repeats(load(spark, d, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
