@@ -22,7 +22,7 @@ from corpusql.session import materialize, shared_dir
 
 MAGIC = b"TOKFREQ1"
 FILE_IDS = 4 << 20
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 1_200_000
 
 # Length of the four values behind a control byte, and of all four together.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -57,7 +57,7 @@ def unpack(control: bytes, data: bytes, count: int, step: int = 1 << 16) -> np.n
     codes = np.frombuffer(control, np.uint8)
     raw = np.frombuffer(data + b"\0" * 17, np.uint8)
     out = np.empty(len(codes) * 4, "<u4")
-    starts = np.concatenate([[0], np.cumsum(TOTALS[codes])])
+    starts = np.concatenate([[0], np.cumsum(TOTALS[codes])]).astype(np.int32 if len(data) < 2**31 - 64 else np.int64)
     for a in range(0, len(codes), step):
         part = codes[a : a + step]
         table = GATHER[part]
@@ -128,8 +128,10 @@ class WordTokenizer:
         # The byte-level step of such tokenizers shows each byte as one printable letter.
         hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
         self.byte_letters = {b: 256 + k for k, b in enumerate(hidden)}
-        # A sign before the stop or comma belongs to one run with it.
-        self.run_of_signs = re.compile(r"[^\w\s][.,][ \n]|_[.,][ \n]|[\u0300-\u036f\u0130\u03a3]")
+        # A sign before the stop or comma belongs to one run with it; some letters change with what stands by.
+        self.signs = re.compile(r"[!-/:-@\[-`{-~\x00-\x08\x0e-\x1f\x7f][.,][ \n]")
+        self.others = re.compile("[^0-9A-Za-zÀ-ÖØ-öø-ÿ \n\t\r][.,][ \n]|[\u0300-\u036f\u0130\u03a3]")
+        self.packers = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
     def _fresh(self, parts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(parts, add_special_tokens=False)
@@ -137,18 +139,23 @@ class WordTokenizer:
 
     def _learn(self, parts: list[str]) -> None:
         """Cache the ids of parts. Lower-cased composed words are one piece each, so the library's model takes them as they are."""
-        merge, others = self.library.model.tokenize, []
+        merge, others, known, packers = self.library.model.tokenize, [], self.known, self.packers
         for part in parts:
-            if part.isalpha() and (part.isascii() or unicodedata.is_normalized("NFC", part)) and part.lower() == part:
-                raw = part if part.isascii() else part.encode("utf-8").decode("latin-1").translate(self.byte_letters)
-                ids = [token.id for token in merge(raw)]
-                self.known[part] = struct.pack(f"<{len(ids)}I", *ids)
-            else:
+            if not part.isalpha() or not part.islower():
                 others.append(part)
-        self.known.update(zip(others, self._fresh(others)))
+                continue
+            raw = part
+            if not part.isascii():
+                if not unicodedata.is_normalized("NFC", part):
+                    others.append(part)
+                    continue
+                raw = part.encode("utf-8").decode("latin-1").translate(self.byte_letters)
+            ids = [token.id for token in merge(raw)]
+            known[part] = packers[len(ids)](*ids) if len(ids) < 16 else struct.pack(f"<{len(ids)}I", *ids)
+        known.update(zip(others, self._fresh(others)))
 
     def _parts(self, text: str) -> list[str]:
-        if self.run_of_signs.search(text):
+        if (self.signs if text.isascii() else self.others).search(text):
             return text.split(" ")
         plain = text.lower().replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
         return plain.split(" ")
@@ -193,10 +200,13 @@ def encode(
     return map_texts(docs, id_col, text_col, [("n", T.LongType()), ("control", T.BinaryType()), ("data", T.BinaryType())], work)
 
 
-def unpacked(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    """The id arrays of rows whose last columns are n, control and data."""
-    for n, control, data in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns - 3, batch.num_columns))):
-        yield unpack(control, data, n)
+def unpacked(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The id arrays of rows whose last columns are n, control and data, in one go."""
+    sizes, control, data = (batch.column(k).to_pylist() for k in range(batch.num_columns - 3, batch.num_columns))
+    groups = np.array([len(x) for x in control], np.int64)
+    values = unpack(b"".join(control), b"".join(data), int(4 * groups.sum()))
+    starts = (4 * (np.cumsum(groups) - groups)).tolist()
+    return [values[a : a + n] for a, n in zip(starts, sizes)]
 
 
 def frequency_order(encoded: DataFrame) -> np.ndarray:
@@ -208,7 +218,7 @@ def frequency_order(encoded: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in (part for whole in batches for part in slices(whole, 2)):
-            one = np.bincount(np.concatenate([*unpacked(batch)]).astype(np.int64))
+            one = np.bincount(np.concatenate(unpacked(batch)).astype(np.int64))
             if len(one) > len(total):
                 total = np.concatenate([total, np.zeros(len(one) - len(total), np.int64)])
             total[: len(one)] += one
@@ -271,7 +281,7 @@ def write(encoded: DataFrame, path: str, id_col: str = "doc_id", file_ids: int =
             names, lists, held, number = [], [], 0, number + 1
             return pa.RecordBatch.from_pydict(row)
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 3)):
             for name, ids in zip(batch.column(0).to_pylist(), unpacked(batch)):
                 lists.append(ids)
                 names.append(name)
