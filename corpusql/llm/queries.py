@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusql.llm import bpe, chosenpath, lattice, pivots, quality, suffixes, tokenfile, toxicity
+from corpusql.llm import bpe, chosenpath, lattice, license, mixing, pivots, quality, suffixes, tokenfile, toxicity
 from corpusql.llm.learning import held_out
 from corpusql.session import load
 
@@ -116,3 +116,83 @@ def op7_chosen_path_join(spark: SparkSession, d: str) -> DataFrame:
 def op9_suffix_array_dedup(spark: SparkSession, d: str) -> DataFrame:
     cut = suffixes.remove_repeats(load(spark, d, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op3_license_scan")
+def op3_license_scan(spark: SparkSession, d: str) -> DataFrame:
+    return license.scan(load(spark, d, "documents"))
+
+
+# The tree of the test tables: sources by their number in three domains.
+LEVELS = {
+    "domain": r"element_at(array('web', 'books', 'news'), coalesce(try_cast(regexp_extract(source, '(\\d{1,4})', 1) AS INT), 0) % 3 + 1)",
+    "lang": "lang",
+    "source": "source",
+}
+WEIGHTS = {
+    ("web",): 5, ("books",): 3, ("news",): 2,
+    ("web", "en"): 6, ("books", "en"): 4, ("news", "en"): 5,
+    ("web", "de"): 2, ("web", "fr"): 2, ("books", "de"): 2, ("books", "fr"): 3,
+}
+
+
+def mix_sql(budget: str, epochs: int, seed: int) -> str:
+    """The mixture in SQL: the same rule on plain windows."""
+    level = """
+{name}_in AS (
+  SELECT {own}, sum(tokens) * {epochs} AS capacity, max(w{depth}) AS weight{above_in}
+  FROM leaves {join} GROUP BY ALL),
+{name}_line AS (
+  SELECT *, coalesce(sum(capacity) OVER (PARTITION BY {parents} ORDER BY capacity::DOUBLE / weight, {last}
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken,
+         sum(weight) OVER (PARTITION BY {parents} ORDER BY capacity::DOUBLE / weight, {last}
+             ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM {name}_in),
+{name}_full AS (SELECT *, capacity * rest <= weight * (above - taken) AS isfull FROM {name}_line),
+{name}_open AS (
+  SELECT *, sum(CASE WHEN NOT isfull THEN weight END) OVER (PARTITION BY {parents}) AS ow,
+         above - coalesce(sum(CASE WHEN isfull THEN capacity END) OVER (PARTITION BY {parents}), 0) AS ob FROM {name}_full),
+{name}_part AS (SELECT *, CASE WHEN isfull THEN capacity ELSE weight * ob // ow END AS part FROM {name}_open),
+{name}_out AS (
+  SELECT {own}, part + CASE WHEN NOT isfull AND row_number() OVER (PARTITION BY {parents}, isfull ORDER BY {last})
+         <= above - sum(part) OVER (PARTITION BY {parents}) THEN 1 ELSE 0 END AS above FROM {name}_part)"""
+    names = list(LEVELS)
+    steps = []
+    for depth in range(1, 4):
+        own, parents = names[:depth], names[: depth - 1]
+        steps.append(level.format(
+            name=f"l{depth}", own=", ".join(own), last=own[-1], parents=", ".join(parents) or "0", depth=depth, epochs=epochs,
+            above_in=", above",
+            join=f"JOIN l{depth - 1}_out USING ({', '.join(parents)})" if parents else "CROSS JOIN total",
+        ))
+    case = {1: [], 2: []}
+    for path, weight in WEIGHTS.items():
+        same = " AND ".join(f"{c} = '{v}'" for c, v in zip(names, path))
+        case[len(path)].append(f"WHEN {same} THEN {weight}")
+    return f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         ['web', 'books', 'news'][coalesce(try_cast(regexp_extract(source, '(\\d{{1,4}})', 1) AS INTEGER), 0) % 3 + 1] AS domain,
+         coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')), 0)::HUGEINT AS n_tokens FROM documents),
+leaves AS (
+  SELECT domain, lang, source, sum(n_tokens)::HUGEINT AS tokens,
+         (CASE {' '.join(case[1])} ELSE 1 END)::HUGEINT AS w1, (CASE {' '.join(case[2])} ELSE 1 END)::HUGEINT AS w2, 1::HUGEINT AS w3
+  FROM docs GROUP BY ALL),
+total AS (SELECT least((SELECT sum(n_tokens)::HUGEINT {budget} FROM docs), (SELECT sum(tokens)::HUGEINT * {epochs} FROM leaves)) AS above),
+{','.join(steps)},
+budgets AS (
+  SELECT l.*, o.above AS budget, CASE WHEN tokens > 0 THEN o.above // tokens ELSE 0 END AS whole
+  FROM leaves l JOIN l3_out o USING (domain, lang, source)),
+placed AS (
+  SELECT d.*, b.whole, b.budget - b.whole * b.tokens AS rest,
+         md5('{seed}:' || (b.whole + 1) || ':' || coalesce(d.doc_id::VARCHAR, '')) AS place
+  FROM docs d JOIN budgets b USING (domain, lang, source)),
+summed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place) AS upto FROM placed),
+counted AS (SELECT *, whole + CASE WHEN whole < {epochs} AND upto <= rest THEN 1 ELSE 0 END AS epochs FROM summed)
+SELECT doc_id, domain, lang, source, n_tokens::BIGINT AS n_tokens, unnest(range(1, epochs::BIGINT + 1))::INTEGER AS epoch
+FROM counted WHERE epochs > 0
+"""
+
+
+@query("op10_mixing", mix_sql("* 3 // 4", 2, 17))
+def op10_mixing(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(load(spark, d, "documents"), LEVELS, WEIGHTS, budget_share=(3, 4), max_epochs=2, seed=17)
