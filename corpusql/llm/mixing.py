@@ -173,3 +173,24 @@ def mix(
     rows = materialize(rows, "tokens")
     leaves = plan(rows, names, weights, budget_share, max_epochs, seed, id_col)
     return take(rows, leaves, names, seed, id_col)
+
+
+def select(
+    docs: DataFrame,
+    levels: Mapping[str, Column | str],
+    weights: Mapping[tuple[str, ...], int],
+    budget_share: tuple[int, int],
+    max_epochs: int = 1,
+    seed: int = 0,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """The rows of the mixture with the columns of ``docs`` alone, a row once per epoch; see ``mix``."""
+    prefix = "_level"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    names = [f"{prefix}_{n}" for n in levels]
+    named = docs.select("*", *[F.coalesce(group(c).cast("string"), F.lit("")).alias(n) for n, c in zip(names, levels.values())])
+    rows = materialize(named.select(F.col(id_col), *names, token_count(text_col).alias("n_tokens")), "tokens")
+    leaves = plan(rows, names, weights, budget_share, max_epochs, seed, id_col)
+    return take(named, leaves, names, seed, id_col).select(*docs.columns)

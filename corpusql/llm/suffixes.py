@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -374,13 +374,14 @@ def remove_repeats(
     text_col: str = "text",
     min_bytes: int = MIN_BYTES,
     hot: int = HOT,
-    keep: list[str] = (),
+    keep: Sequence[str] = (),
+    as_text: bool = False,
 ) -> DataFrame:
     """(id, kept columns, n_bytes, n_removed, n_spans, kept): every document without the bytes of its repeats.
 
     A byte goes if it is in a string of ``min_bytes`` bytes that starts anywhere else too, in
     the same document or another; overlaps count, and all strings are judged on the input. ``kept`` is
-    what is left, as bytes, and may cut a character in two. Null texts are empty; texts under ``min_bytes``
+    what is left, as bytes, and may cut a character in two; ``as_text`` drops such halves and gives text. Null texts are empty; texts under ``min_bytes``
     bytes stay. Repeated rows are documents of their own, so both lose what they share.
     """
     marks = find_repeats(docs, id_col, text_col, min_bytes, hot).groupBy("h", "id").agg(
@@ -408,9 +409,10 @@ def remove_repeats(
                 removed.append(len(text) - len(kept[-1]))
                 spans_.append(len(start))
             sizes = [len(x) + r for x, r in zip(kept, removed)]
-            columns = [*batch.columns[2:], pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans_, pa.int64()), pa.array(kept, pa.binary())]
+            left = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            columns = [*batch.columns[2:], *(pa.array(c, pa.int64()) for c in (sizes, removed, spans_)), left]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
     return both.select("_raw", "spans", *names).mapInArrow(
-        strip, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary"
+        strip, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}"
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -141,6 +141,23 @@ def train(
     return ToxicityModel(out, intercept)
 
 
+def scorer(weights: np.ndarray, intercept: float) -> Callable[[list[str]], np.ndarray]:
+    """Texts to probabilities of label 1."""
+    used = np.flatnonzero(weights)
+    place = np.full(len(weights), -1, np.int32)
+    place[used] = np.arange(len(used))
+    own = weights[used].astype(np.float64)
+
+    def rate(texts: list[str]) -> np.ndarray:
+        sums = np.full(len(texts), intercept)
+        for start, part in blocks(texts, len(used)):
+            number, feature = present(part, place, max(1, len(used)))
+            sums[start : start + len(part)] += np.bincount(number, weights=own[feature], minlength=len(part))
+        return sigmoid(sums)
+
+    return rate
+
+
 def score(
     docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
@@ -154,20 +171,28 @@ def score(
     shipped = docs.sparkSession.sparkContext.broadcast((model.weights, model.intercept))
 
     def work():
-        weights, intercept = shipped.value
-        used = np.flatnonzero(weights)
-        place = np.full(len(weights), -1, np.int32)
-        place[used] = np.arange(len(used))
-        own = weights[used].astype(np.float64)
+        rate = scorer(*shipped.value)
 
         def apply(texts: list[str]) -> list:
-            sums = np.full(len(texts), intercept)
-            for start, part in blocks(texts, len(used)):
-                number, feature = present(part, place, max(1, len(used)))
-                sums[start : start + len(part)] += np.bincount(number, weights=own[feature], minlength=len(part))
-            probability = sigmoid(sums)
+            probability = rate(texts)
             return [probability, (probability >= threshold).astype(np.int32)]
 
         return apply
 
     return map_texts(docs, id_col, text_col, [("score", T.DoubleType()), ("predicted", T.IntegerType())], work)
+
+
+def keep_clean(
+    docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD
+) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores below the threshold. No shuffle."""
+    shipped = docs.sparkSession.sparkContext.broadcast((model.weights, model.intercept))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rate = scorer(*shipped.value)
+        for batch in (part for whole in batches for part in slices(whole, at)):
+            texts = [text or "" for text in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(rate(texts) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
