@@ -384,6 +384,8 @@ def remove_repeats(
     what is left, as bytes, and may cut a character in two; ``as_text`` drops such halves and gives text. Null texts are empty; texts under ``min_bytes``
     bytes stay. Repeated rows are documents of their own, so both lose what they share.
     """
+    if clash := {"n_bytes", "n_removed", "n_spans", "kept", "spans"}.intersection([id_col, *keep]):
+        raise ValueError(f"columns with the names of result columns: {sorted(clash)}")
     marks = find_repeats(docs, id_col, text_col, min_bytes, hot).groupBy("h", "id").agg(
         F.collect_set(F.struct("start", "stop")).alias("spans")
     ).withColumnRenamed("id", "_id").withColumnRenamed("h", "_h")
