@@ -108,57 +108,79 @@ def segments(data: np.ndarray, ends: np.ndarray, size: int, gram: int) -> tuple[
     return document[start], start, stop, anchor.view(np.int64), repeats
 
 
+def prefix_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the ``size`` bytes (8 at least) from each position that has them."""
+    whole = gram_hashes(data, size // 8 * 8)[: max(0, len(data) - size + 1)]
+    if size % 8 and len(whole):  # the last eight bytes overlap the ones before
+        whole = _join(whole, words8(data)[size - 8 : size - 8 + len(whole)])
+    return whole
+
+
 class SuffixArray:
-    """Suffix array of several strings with the common prefix of neighbours; suffixes end with their string.
+    """Suffixes of several strings whose first ``least`` bytes occur again, in order, with the common prefix of neighbours.
 
-    ``order`` has the suffixes of at least ``least`` bytes. Ranks by 8, 16, 32, ... bytes come from sorting pairs of
-    ranks; they also give the common prefix of two neighbours, largest step first.
+    Only such suffixes can be in an interval of ``least`` bytes or more. They are
+    gathered by a hash of these bytes, so one class is one stretch of the suffix array (classes stand in the order of
+    their hashes); inside a class suffixes are sorted eight bytes at a time, only where they are
+    still equal. Suffixes end with their string. Classes in which ``before`` has one value throughout are
+    left out: the repeat is part of one that starts further left.
     """
 
-    def __init__(self, data: np.ndarray, ends: np.ndarray, least: int) -> None:
-        count = len(data)
-        owner = np.searchsorted(ends, np.arange(count), side="right")
-        left = ends[owner] - np.arange(count)
-        inside = np.minimum(left, 8)
-        first = words8(data)
-        # Bytes past the end of the string count as nothing, not as zero bytes.
-        first &= ~np.uint64(0) << (np.uint64(8) * (np.uint64(8) - np.maximum(inside, 1).astype(np.uint64)))
-        _, ranks = np.unique(first, return_inverse=True)
-        _, ranks = np.unique(ranks * 9 + inside, return_inverse=True)
-        levels, width = [ranks.astype(np.int32)], 8
-        longest = int(left.max()) if count else 0
-        while width < longest and int(ranks.max()) + 1 < count:
-            after = np.zeros(count, np.int64)
-            on = np.flatnonzero(left > width)
-            after[on] = ranks[on + width] + 1
-            _, ranks = np.unique(ranks * (count + 1) + after, return_inverse=True)
-            levels.append(ranks.astype(np.int32))
-            width *= 2
-        wanted = np.flatnonzero(left >= least)
-        self.order = wanted[np.argsort(ranks[wanted], kind="stable")]
-        a, b = self.order[:-1].copy(), self.order[1:].copy()
+    def __init__(self, data: np.ndarray, ends: np.ndarray, least: int, before: np.ndarray) -> None:
+        left = ends[np.searchsorted(ends, np.arange(len(data)), side="right")] - np.arange(len(data))
+        words = words8(data)
+        starts = np.flatnonzero(left >= least)
+        hashes = prefix_hashes(data, least)[starts] if len(starts) else np.zeros(0, np.uint64)
+        sorted_ = np.argsort(hashes, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(hashes[sorted_]) != 0)) if len(starts) else starts
+        sizes = np.diff(np.append(first, len(starts)))
+        suffix = starts[sorted_]
+        if len(first):
+            code = before[suffix]
+            several = np.minimum.reduceat(code, first) != np.maximum.reduceat(code, first)
+            keep = np.repeat((sizes > 1) & several, sizes)
+            group = np.repeat(first, sizes)[keep]
+            suffix = suffix[keep]
+            group = np.unique(group, return_index=True)[1][np.unique(group, return_inverse=True)[1]] if len(group) else group
+        else:
+            group = suffix
+        classes = group.copy()
+        # Equal hashes of different bytes are all but impossible; then the sort starts at the first byte.
+        offset = least // 8 * 8
+        same = np.flatnonzero(classes[1:] == classes[:-1])
+        for at in range(0, offset, 8):
+            if (words[suffix[same] + at] != words[suffix[same + 1] + at]).any():
+                offset = 0
+                break
+        alive = np.arange(len(suffix))
+        while len(alive):
+            room = np.clip(left[suffix[alive]] - offset, 0, 8)
+            word = words[np.minimum(suffix[alive] + offset, len(data) - 1)]
+            # Bytes past the end of the string count as nothing.
+            word = np.where(room > 0, word & (~np.uint64(0) << (np.uint64(8) * (np.uint64(8) - np.maximum(room, 1).astype(np.uint64)))), np.uint64(0))
+            order = np.lexsort((room, word, group[alive]))
+            suffix[alive] = suffix[alive[order]]
+            room, word, old = room[order], word[order], group[alive]
+            new = np.append(True, (old[1:] != old[:-1]) | (word[1:] != word[:-1]) | (room[1:] != room[:-1]))
+            heads = np.flatnonzero(new)
+            group[alive] = alive[heads][np.cumsum(new) - 1]
+            count = np.diff(np.append(heads, len(alive)))
+            alive = alive[(np.repeat(count, count) > 1) & (room == 8)]
+            offset += 8
+        self.order = suffix
+        a, b = suffix[:-1], suffix[1:]
         self.common = np.zeros(len(a), np.int64)
-        step = 8 << (len(levels) - 1)
-        for level in reversed(levels):
-            alive = np.arange(len(a))
-            while len(alive):
-                x, y = a[alive] + self.common[alive], b[alive] + self.common[alive]
-                room = np.minimum(left[a[alive]], left[b[alive]]) - self.common[alive]
-                fits = np.flatnonzero(room >= step)
-                alive = alive[fits[level[x[fits]] == level[y[fits]]]]
-                self.common[alive] += step
-                if step < 8 << (len(levels) - 1):
-                    break
-            step //= 2
-        # Up to seven more bytes, and no further than the end of either string.
-        room = np.minimum(left[a], left[b]) if len(a) else self.common
+        limit = np.minimum(left[a], left[b]) if len(a) else self.common
+        alive = np.flatnonzero(classes[1:] == classes[:-1])
+        while len(alive):
+            alive = alive[limit[alive] - self.common[alive] >= 8]
+            alive = alive[words[a[alive] + self.common[alive]] == words[b[alive] + self.common[alive]]]
+            self.common[alive] += 8
+        alive = np.flatnonzero(classes[1:] == classes[:-1])
         for _ in range(7):
-            more = np.flatnonzero(self.common < room)
-            more = more[data[a[more] + self.common[more]] == data[b[more] + self.common[more]]]
-            if not len(more):
-                break
-            self.common[more] += 1
-        self.common = np.minimum(self.common, room)
+            alive = alive[self.common[alive] < limit[alive]]
+            alive = alive[data[a[alive] + self.common[alive]] == data[b[alive] + self.common[alive]]]
+            self.common[alive] += 1
 
 
 def repeat_tree(array: SuffixArray, before: np.ndarray, least: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
@@ -233,10 +255,10 @@ def _marks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
         data = np.frombuffer(b"".join(raw), np.uint8)
         ends = np.cumsum([len(x) for x in raw])
         begins = ends - [len(x) for x in raw]
-        array = SuffixArray(data, ends, least)
         before = np.empty(len(data), np.int64)
         before[1:] = data[:-1]
         before[begins] = 256 + np.arange(len(begins))
+        array = SuffixArray(data, ends, least, before)
         key, doc, lo = (table.column(c).to_pylist() for c in ("h", "id", "lo"))
         out: dict[str, list] = {"h": [], "id": [], "start": [], "stop": [], "node": [], "parent": []}
         for node, parent, length, places in repeat_tree(array, before, least):
@@ -339,9 +361,7 @@ def find_repeats(
             if not batch.num_rows:
                 continue
             raw_ = batch.column(4).to_pylist()
-            hashes = [gram_hashes(np.frombuffer(x, np.uint8), size // 8 * 8) for x in raw_]
-            if size % 8:  # the last bytes overlap the ones before
-                hashes = [_join(x[: len(r) - size + 1], gram_hashes(np.frombuffer(r, np.uint8), 8)[size - 8 :]) for x, r in zip(hashes, raw_)]
+            hashes = [prefix_hashes(np.frombuffer(x, np.uint8), size) for x in raw_]
             at = pa.array(np.repeat(np.arange(len(raw_)), [len(x) for x in hashes]))
             offset = np.concatenate([np.arange(len(x)) for x in hashes])
             start = batch.column(3).to_numpy()[at.to_numpy()] + offset

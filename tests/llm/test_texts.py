@@ -76,7 +76,7 @@ def test_interval_tree():
         before = np.empty(len(data), np.int64)
         before[1:] = data[:-1]
         before[begins] = 256 + np.arange(len(strings))
-        nodes = list(suffixes.repeat_tree(suffixes.SuffixArray(data, ends, least), before, least))
+        nodes = list(suffixes.repeat_tree(suffixes.SuffixArray(data, ends, least, before), before, least))
         places = {}
         for begin, end in zip(begins, ends):
             for p in range(begin, end - least + 1):
