@@ -107,11 +107,11 @@ WITH t AS (
          || ' for $' || o_totalprice::DECIMAL(18,2)::VARCHAR || ', before $1,000 off.' FROM orders)
 SELECT id,
   nullif(array_to_string(list_sort(list_distinct(regexp_extract_all(text,
-    '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b')))[1:10], ' '), '') AS emails,
+    '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b'))), ' '), '') AS emails,
   nullif(array_to_string(list_sort(list_distinct(regexp_extract_all(text,
-    '\b\d{4}-\d{2}-\d{2}\b|\b\d{2}/\d{2}/\d{4}\b')))[1:10], ' '), '') AS dates,
+    '\b\d{4}-\d{2}-\d{2}\b|\b\d{2}/\d{2}/\d{4}\b'))), ' '), '') AS dates,
   nullif(array_to_string(list_sort(list_distinct(regexp_extract_all(text,
-    '\$[\d,]+(?:\.\d{2})?')))[1:10], ' '), '') AS amounts
+    '\$[\d,]+(?:\.\d{2})?'))), ' '), '') AS amounts
 FROM t
 """)
 def regex_entities(spark, d):

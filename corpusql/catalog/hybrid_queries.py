@@ -63,6 +63,21 @@ def hybrid_context(spark, d):
     return made.withColumn("documents", F.col("documents").cast("bigint"))
 
 
+@query("hybrid_context_all", f"""
+WITH {CHUNKS_SQL}, {GOOD_SQL},
+t AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY chunk_index) AS text
+      FROM chunks WHERE doc_id IN (SELECT doc_id FROM good) GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM t)
+SELECT count(*)::BIGINT AS documents, md5(string_agg('[Document ' || i || ']' || chr(10) || text,
+  chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i)) AS context_md5 FROM r
+""")
+def hybrid_context_all(spark, d):
+    """The same without any limit."""
+    narrowed = hy.narrow_corpus(documents(spark, d).select("doc_id"), good_labels(spark, d), None)
+    made = hy.hybrid_context(chunks(spark, d), narrowed, None, None, None)
+    return made.select(F.col("documents").cast("bigint"), F.md5("context").alias("context_md5"))
+
+
 @query("hybrid_metadata", f"""
 WITH {DOCS_SQL}, {GOOD_SQL}
 SELECT doc_id, filename, extension FROM docs WHERE doc_id IN (SELECT doc_id FROM good)

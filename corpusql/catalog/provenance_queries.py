@@ -26,6 +26,17 @@ def result_sources(spark, d):
     results = made.filter((F.col("token_count") == 512) & (F.col("chunk_index") >= 2)).select(
         F.lit(1).alias("value"), "chunk_id"
     )
+    return pv.result_sources(results, made, typed_documents(spark, d), limit=10)
+
+
+@query("result_sources_all", f"""
+WITH {DOCS_SQL}, {CHUNKS_SQL}, r AS (SELECT DISTINCT doc_id FROM chunks WHERE token_count = 512)
+SELECT doc_id, filename, {TYPE_SQL} AS source_type FROM docs WHERE doc_id IN (SELECT doc_id FROM r)
+""")
+def result_sources_all(spark, d):
+    """Every document behind the full chunks."""
+    made = chunks(spark, d)
+    results = made.filter(F.col("token_count") == 512).select(F.lit(1).alias("value"), "chunk_id")
     return pv.result_sources(results, made, typed_documents(spark, d))
 
 

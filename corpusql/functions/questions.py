@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,6 +70,11 @@ def confidence(question: Column) -> Column:
     )
 
 
+def is_safe_text(statement: str) -> bool:
+    """The same rule for one statement at hand."""
+    return bool(re.match(READ_RULE, statement)) and not re.search(UNSAFE_RULE, statement)
+
+
 def is_safe_sql(statement: Column) -> Column:
     """Read-only: starts with SELECT or WITH and holds no data-changing word."""
     return statement.rlike(READ_RULE) & ~statement.rlike(UNSAFE_RULE)

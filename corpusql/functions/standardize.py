@@ -26,6 +26,7 @@ FALSE_WORDS = ("false", "no", "n", "0", "off", "disabled", "unavailable", "not i
 SUFFIX_SCALE = {"k": 1e3, "m": 1e6, "b": 1e9, "t": 1e12}
 WORD_SCALE = {"thousand": 1e3, "million": 1e6, "billion": 1e9, "trillion": 1e12}
 
+# Forms of scaled numbers.
 SUFFIXED = r"([0-9.]+)\s*([kKmMbBtT])(?:illion)?\z"
 WORDED = r"(?i)([0-9.]+)\s*(thousand|million|billion|trillion)"
 PLAIN_NUMBER = r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
@@ -41,6 +42,7 @@ NUMBER_NOISE = "$€£¥₹%,"
 
 # Date forms in the order they are tried: where to look, and how to read it.
 WORD = r"[\p{L}\p{N}_]+"
+# Date forms, in the order they are tried.
 DATE_FORMS = (
     (r"\d{4}-\d{2}-\d{2}", "yyyy-MM-dd"),
     (r"\d{2}/\d{2}/\d{4}", "MM/dd/yyyy"),

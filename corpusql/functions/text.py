@@ -19,6 +19,9 @@ NON_SPACE = r"[^ \t\n\x0B\f\r]"
 TOKEN = rf"({SPACE}*{NON_SPACE}+(?:{SPACE}+\z)?)"
 SENTENCE_END = rf"(?<=[.!?]){SPACE}+"
 
+# One rule for ``Label: value`` lines, for Java and Python alike: a label starts with a letter.
+LABEL_LINE = r"^[ \t]*[^\W\d_][\w ]*:(?!//)[ \t]*[^ \t\n\r][^\n\r]*"
+
 # Patterns of the basic entity finder.
 ENTITY_PATTERNS = {
     "emails": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
@@ -54,7 +57,7 @@ def line_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit("\n")) + 1
 
 
-def find_entities(text: Column, kind: str, limit: int | None = 10) -> Column:
+def find_entities(text: Column, kind: str, limit: int | None = None) -> Column:
     """Distinct matches of one pattern in sorted order; NULL when there is none."""
     found = F.array_sort(
         F.array_distinct(F.regexp_extract_all(text, F.lit(ENTITY_PATTERNS[kind]), 0))

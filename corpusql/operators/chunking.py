@@ -207,7 +207,7 @@ def sample_documents(
 def numbered_context(
     docs: DataFrame,
     order_by: Sequence[str],
-    max_docs: int,
+    max_docs: int | None,
     text_col: str = "text",
     group_cols: Sequence[str] = (),
     doc_chars: int | None = None,
@@ -218,14 +218,16 @@ def numbered_context(
     """Numbered blocks of the first ``max_docs`` documents per group, joined.
 
     The number of documents is the operator's feature: it bounds every group
-    before anything is gathered.
+    before anything is gathered. With None all documents of a group become one text,
+    for callers who know that it fits.
     """
     body = F.col(text_col) if doc_chars is None else F.substring(text_col, 1, doc_chars)
     if group_cols:
         order = W.partitionBy(*group_cols).orderBy(*order_by)
-        first = docs.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= max_docs)
+        first = docs.withColumn("n", F.row_number().over(order))
+        first = first if max_docs is None else first.filter(F.col("n") <= max_docs)
     else:
-        few = docs.orderBy(*order_by).limit(max_docs)
+        few = docs if max_docs is None else docs.orderBy(*order_by).limit(max_docs)
         first = few.withColumn("n", F.row_number().over(W.orderBy(*order_by)))
     block = F.concat(F.format_string(heading + "\n", F.col("n")), body)
     gathered = first.groupBy(*group_cols).agg(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusql.functions import text as tx
+from corpusql.functions.binding import let
 
 COVERED = 0.8
 
@@ -57,15 +58,18 @@ def answer_recall(
         )
 
     def is_covered(claim: Column) -> Column:
-        mine = words(claim)
-        shared = F.size(F.array_intersect(mine, F.col("_said")))
-        return (F.size(mine) > 0) & (shared >= F.size(mine) * covered_share)
-
-    claims = tx.sentences(F.col(gold))
-    counted = answers.withColumn("_said", words(F.coalesce(F.col(judged), F.lit("")))).select(
-        id_col,
-        F.size(claims).alias("total_claims"),
-        F.size(F.filter(claims, is_covered)).alias("covered_claims"),
+        def enough(mine: Column) -> Column:
+            shared = F.size(F.array_intersect(mine, F.col("_said")))
+            return (F.size(mine) > 0) & (shared >= F.size(mine) * covered_share)
+
+        return let(words(claim), enough)
+
+    def counts(claims: Column) -> Column:
+        return F.struct(F.size(claims).alias("total"), F.size(F.filter(claims, is_covered)).alias("covered"))
+
+    said = answers.withColumn("_said", words(F.coalesce(F.col(judged), F.lit(""))))
+    counted = said.withColumn("_n", let(tx.sentences(F.col(gold)), counts)).select(
+        id_col, F.col("_n.total").alias("total_claims"), F.col("_n.covered").alias("covered_claims")
     )
     return counted.withColumn(
         "recall", F.try_divide(F.col("covered_claims"), F.col("total_claims"))

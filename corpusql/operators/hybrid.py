@@ -47,19 +47,19 @@ def narrow_corpus(
 def hybrid_context(
     chunks: DataFrame,
     narrowed: DataFrame,
-    doc_chars: int = DOC_CHARS,
-    total_chars: int = CONTEXT_CHARS,
-    max_documents: int = MAX_DOCUMENTS,
+    doc_chars: int | None = DOC_CHARS,
+    total_chars: int | None = CONTEXT_CHARS,
+    max_documents: int | None = MAX_DOCUMENTS,
 ) -> DataFrame:
     """One row: numbered context over the narrowed documents, with their number.
 
-    With no document the row says so and has confidence zero. Character limits
-    are those of a prompt; the text itself is never changed in the tables.
+    With no document the row says so and has confidence zero. The limits are those of a
+    prompt, and None switches each off; the text itself is never changed in the tables.
     """
     wanted = narrowed.select("doc_id").distinct()
-    texts = reassemble(
-        chunks.join(wanted, "doc_id", "left_semi"), max_chars=doc_chars
-    )
+    # A document without a limit comes in segments; one prompt needs it whole.
+    whole = {} if doc_chars else {"segment_chunks": 1 << 31}
+    texts = reassemble(chunks.join(wanted, "doc_id", "left_semi"), max_chars=doc_chars, **whole)
     context = numbered_context(
         texts, ["doc_id"], max_documents, doc_chars=doc_chars, total_chars=total_chars
     )

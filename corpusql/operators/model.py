@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusql.functions.text import LABEL_LINE
 from corpusql.session import materialize
 
 Complete = Callable[[str], str]
@@ -91,24 +92,31 @@ def rule_based_extractor(prompt: str) -> str:
     """Default completion function: reads ``Label: value`` lines.
 
     A value is taken for an attribute when its label, in lower case with
-    underscores, is the attribute's name. Confidence is the share found.
+    underscores, is the attribute's name. A label that comes again starts the next
+    entity. Confidence is the share found.
     """
     head, _, body = prompt.partition("\nDocument:\n")
     names = re.search(r"^Attributes: (.*)$", head, re.M)
     wanted = [n.strip() for n in names.group(1).split(",")] if names else []
-    found: dict[str, str] = {}
-    for label, value in re.findall(r"^[ \t]*([A-Za-z][A-Za-z0-9 _]*):[ \t]*(\S.*)$", body, re.M):
+    found: list[dict[str, str]] = []
+    for line in re.findall(f"(?m){LABEL_LINE}", body):
+        label, _, value = line.partition(":")
         name = label.strip().lower().replace(" ", "_")
-        if name in wanted and name not in found:
-            found[name] = value.strip()
-    if not found:
-        return json.dumps({"entities": []})
-    entity = {
-        "attributes": {name: found.get(name) for name in wanted},
-        "confidence": round(len(found) / len(wanted), 4),
-        "source_text": body.strip().split("\n", 1)[0],
-    }
-    return json.dumps({"entities": [entity]})
+        if name not in wanted:
+            continue
+        if not found or name in found[-1]:
+            found.append({})
+        found[-1][name] = value.strip()
+    first_line = body.strip().split("\n", 1)[0]
+    entities = [
+        {
+            "attributes": {name: one.get(name) for name in wanted},
+            "confidence": round(len(one) / len(wanted), 4),
+            "source_text": first_line,
+        }
+        for one in found
+    ]
+    return json.dumps({"entities": entities})
 
 
 def model_usage(responses: DataFrame, keys: Sequence[str] = ("stage", "model")) -> DataFrame:

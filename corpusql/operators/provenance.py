@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusql.functions import ids
 
-MAX_SOURCES = 10
 LINEAGE_QUERIES = 20
 RECENT_QUERIES = 10
 
@@ -25,21 +24,27 @@ def result_sources(
     results: DataFrame,
     chunks: DataFrame,
     documents: DataFrame,
-    limit: int = MAX_SOURCES,
+    limit: int | None = None,
     columns: Sequence[str] = ("filename", "source_type"),
 ) -> DataFrame:
-    """Documents behind result rows that carry chunk ids, the first ``limit`` by id.
+    """Documents behind result rows that carry chunk or document ids: all, or the first ``limit`` by id.
 
-    Chunk ids are made distinct before any join, and only ids travel until the
-    few documents are known.
+    Ids are made distinct before any join, and only ids travel until the
+    documents are known. Rows that name their document need no chunk.
     """
     carried = [c for c in ("source_chunk_id", "chunk_id") if c in results.columns]
-    if not carried:
-        raise ValueError("results carry no chunk id")
-    found = results.select(F.explode(F.array(*[F.col(c) for c in carried])).alias("chunk_id"))
-    wanted = found.filter(F.col("chunk_id").isNotNull()).distinct()
-    docs = chunks.select("chunk_id", "doc_id").join(wanted, "chunk_id", "left_semi").select("doc_id").distinct()
-    few = docs.orderBy("doc_id").limit(limit)
+    if not carried and "doc_id" not in results.columns:
+        raise ValueError("results carry no chunk id and no document id")
+    named = None
+    if carried:
+        found = results.select(F.explode(F.array(*[F.col(c) for c in carried])).alias("chunk_id"))
+        wanted = found.filter(F.col("chunk_id").isNotNull()).distinct()
+        named = chunks.select("chunk_id", "doc_id").join(wanted, "chunk_id", "left_semi").select("doc_id")
+    if "doc_id" in results.columns:
+        direct = results.select("doc_id").filter(F.col("doc_id").isNotNull())
+        named = direct if named is None else named.union(direct)
+    docs = named.distinct()
+    few = docs if limit is None else docs.orderBy("doc_id").limit(limit)
     return documents.join(few, "doc_id", "left_semi").select("doc_id", *columns)
 
 
@@ -235,6 +240,9 @@ def entity_table_counts(tables: Mapping[str, DataFrame | None]) -> DataFrame:
                 "table_name string, row_count bigint, readable boolean",
             )
         )
+    if not parts:
+        rows = [(n, None, False) for n in broken]
+        return SparkSession.active().createDataFrame(rows, "table_name string, row_count bigint, readable boolean")
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -17,44 +17,45 @@ MIN_CONFIDENCE = 0.7
 ITERATION_CONFIDENCE = 0.9
 MAX_EXAMPLES = 5
 MASK_BITS = 62
-ROUNDS = 4
-
-LABEL_LINE = r"(?m)^[ \t]*([A-Za-z][A-Za-z0-9 _]{0,60}):(?!//)[ \t]*([^ \t\n\r][^\n\r]*)"
-
-ATTRIBUTE_SCHEMA = (
-    "entity string, name string, type string, confidence double, is_primary_key boolean, "
-    "is_nullable boolean, description string, examples array<string>"
-)
-
-# Relationship kinds.
-CARDINALITIES = ("one-to-one", "one-to-many", "many-to-one", "many-to-many")
 
 
 # ---------------------------------------------------------------- discovery
 
 
 def _observed(names: Column, values: Column) -> Column:
-    """Structs (name, value, first): ``first`` marks the first use of a name in its document."""
-    def rows(cleaned: Column) -> Column:
+    """Structs (name, value, first): ``first`` marks one use of each name in its document.
+
+    Uses are sorted by name and place, so a use is the first of its name if the one before it
+    has another name.
+    """
+    pairs = F.arrays_zip(F.transform(names, clean_name).alias("n"), values.alias("v"))
+    placed = F.transform(pairs, lambda p, i: F.struct(p["n"].alias("n"), i.alias("i"), p["v"].alias("v")))
+
+    def rows(ordered: Column) -> Column:
         return F.transform(
-            F.arrays_zip(cleaned.alias("n"), values.alias("v")),
+            ordered,
             lambda p, i: F.struct(
                 p["n"].alias("name"),
                 p["v"].alias("value"),
-                (F.array_position(cleaned, p["n"]) == i + 1).alias("first"),
+                ((i == 0) | (F.get(ordered, i - 1)["n"] != p["n"])).alias("first"),
             ),
         )
 
-    return let(F.transform(names, clean_name), rows)
+    return let(F.array_sort(placed), rows)
 
 
 def labelled_values(
     docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()
 ) -> DataFrame:
     """(doc, name, value, first) from ``Label: value`` lines; one input row per document."""
-    labels = F.transform(F.regexp_extract_all(text_col, F.lit(LABEL_LINE), 1), tx.strip)
-    values = F.transform(F.regexp_extract_all(text_col, F.lit(LABEL_LINE), 2), tx.strip)
-    return docs.select(doc_col, *keep, F.inline(_observed(labels, values)))
+    lines = F.regexp_extract_all(text_col, F.lit(f"(?Um){tx.LABEL_LINE}"), 0)
+    cut = F.transform(lines, lambda line: F.split(line, ":", 2))
+    both = docs.withColumn("_cut", cut).select(
+        doc_col, *keep,
+        F.transform("_cut", lambda p: tx.strip(p[0])).alias("_labels"),
+        F.transform("_cut", lambda p: tx.strip(p[1])).alias("_values"),
+    )
+    return both.select(doc_col, *keep, F.inline(_observed(F.col("_labels"), F.col("_values"))))
 
 
 def json_values(
@@ -382,40 +383,33 @@ def refine_schema_runs(
     round_col: str = "round",
     schema_col: str = "schema",
     order_col: str = "created_at",
-    rounds: int = ROUNDS,
 ) -> DataFrame:
     """Schema in force after each round; a failed round keeps the one before.
 
     A NULL schema is a failed round. If the first round failed the run is
-    fatal and has no schema. The number of rounds is fixed, so each round is one
-    conditional aggregate and no per-key window is needed; of several attempts
-    at a round the newest counts.
+    fatal and has no schema. The rounds are those of the data: every run has a
+    row for each round up to the last that any run made. Of several attempts at a round the
+    newest counts, and attempts are merged inside each task, so a key's window holds one row per round.
     """
-    tried = [
-        F.max_by(
-            F.when(F.col(round_col) == r, F.struct(F.col(schema_col).alias("s"))),
-            F.when(F.col(round_col) == r, F.col(order_col)),
-        ).alias(f"r{r}")
-        for r in range(1, rounds + 1)
-    ]
-    wide = runs.groupBy(*keys).agg(*tried)
-    rows = []
-    for r in range(1, rounds + 1):
-        ok = F.col(f"r{r}.s").isNotNull()
-        in_force = F.coalesce(*[F.col(f"r{q}.s") for q in range(r, 0, -1)])
-        fatal = F.col("r1.s").isNull()
-        rows.append(
-            F.struct(
-                F.lit(r).alias("round"),
-                F.when(~fatal, in_force).alias("schema"),
-                F.when(fatal, "fatal")
-                .when(F.col(f"r{r}").isNull(), "missing")
-                .when(ok, "refined")
-                .otherwise("kept")
-                .alias("status"),
-            )
-        )
-    return wide.select(*keys, F.inline(F.array(*rows)))
+    number = F.col(round_col).cast("int")
+    top = runs.select(F.max(number)).scalar()
+    newest = runs.groupBy(*keys, number.alias("round")).agg(
+        F.max_by(F.struct(F.col(schema_col).alias("s")), F.col(order_col)).alias("t")
+    )
+    every = runs.select(*keys).distinct().withColumn("top", top).select(
+        *keys, F.explode(F.sequence(F.lit(1), F.greatest("top", F.lit(1)))).alias("round")
+    )
+    made = every.join(newest, [*keys, "round"], "left")
+    line = W.partitionBy(*keys).orderBy("round")
+    first = F.first("t.s").over(line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    in_force = F.last("t.s", ignorenulls=True).over(line.rowsBetween(W.unboundedPreceding, 0))
+    status = (
+        F.when(first.isNull(), "fatal")
+        .when(F.col("t").isNull(), "missing")
+        .when(F.col("t.s").isNotNull(), "refined")
+        .otherwise("kept")
+    )
+    return made.select(*keys, "round", F.when(first.isNotNull(), in_force).alias("schema"), status.alias("status"))
 
 
 def explain_schema(tables: Mapping[str, DataFrame], attributes: DataFrame | None = None) -> DataFrame:
@@ -530,7 +524,8 @@ def discover_relationships(
     if stacked is None:
         raise ValueError("no integer or string column")
     # Texts are compared by digest: long documents must not travel as keys.
-    digest = F.when(F.length("value") > 64, F.sha2("value", 256)).otherwise(F.col("value"))
+    long = F.length("value") > 64
+    digest = F.when(long, F.concat(F.lit("#"), F.sha2("value", 256))).otherwise(F.concat(F.lit("="), "value"))
     masks = [f"mask{w}" for w in range(len(columns) // MASK_BITS + 1)]
     holders = stacked.groupBy("kind", digest.alias("value")).agg(
         *[

@@ -84,9 +84,17 @@ def _shipped(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     names, matrix = few["query_id"].tolist(), _matrix(few["vector"])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # The best of all batches so far: a task hands on at most k rows per query.
+        held: pd.DataFrame | None = None
         for batch in batches:
-            if len(batch):
-                yield _best(batch["id"].to_numpy(), _matrix(batch["vector"]), names, matrix, k)
+            if not len(batch):
+                continue
+            new = _best(batch["id"].to_numpy(), _matrix(batch["vector"]), names, matrix, k)
+            both = new if held is None else pd.concat([held, new], ignore_index=True)
+            ranked = both.sort_values(["similarity", "id"], ascending=[False, True], kind="stable")
+            held = ranked.groupby("query_id", sort=False).head(k)
+        if held is not None:
+            yield held
 
     return rows.mapInPandas(search, HITS)
 

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusql.functions.questions import (
-    complexity, confidence, is_safe_sql, question_class, requires_join,
+    complexity, confidence, is_safe_sql, is_safe_text, question_class, requires_join,
 )
 from corpusql.operators.quantile import exact_percentiles
 
@@ -180,11 +180,20 @@ def run_sql(
     args: Mapping[str, object] | Sequence[object] | None = None,
 ) -> DataFrame:
     """Read-only SQL over the given tables (as temporary views), with bound parameters."""
-    if not spark.range(1).select(is_safe_sql(F.lit(sql))).first()[0]:
+    if not is_safe_text(sql):
         raise ValueError("only SELECT and WITH statements are allowed")
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(sql, args=args)
+    own = {t.name for t in spark.catalog.listTables() if t.isTemporary}
+    before = {name: spark.table(name) for name in tables if name.lower() in own}
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(name)
+        return spark.sql(sql, args=args)  # names are resolved here, so the views may go
+    finally:
+        for name in tables:
+            if name in before:
+                before[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
 
 
 def classify_questions(questions: DataFrame, text_col: str = "question") -> DataFrame:

@@ -125,7 +125,7 @@ def _indent_json(texts: pd.Series) -> pd.Series:
     def render(value: str | None) -> str | None:
         try:
             return json.dumps(json.loads(value), indent=2)
-        except (ValueError, TypeError):
+        except Exception:  # whatever is wrong with one file (too deep nesting, say) must not stop the others
             return None
 
     return texts.map(render)

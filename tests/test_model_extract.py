@@ -134,3 +134,9 @@ def test_confidence_bound(spark, confidence, kept):
         body["confidence"] = confidence
     rows = spark.createDataFrame([("d", json.dumps({"entities": [body]}))], "doc_id string, content string")
     assert ex.explode_entities(ex.parse_replies(rows)).count() == kept
+
+
+def test_a_label_that_comes_again_starts_an_entity():
+    prompt = "Entity: D\nAttributes: company, größe\nDocument:\nCompany: A\nGröße: 1\nCompany: B\nother: x"
+    made = json.loads(model.rule_based_extractor(prompt))["entities"]
+    assert [e["attributes"] for e in made] == [{"company": "A", "größe": "1"}, {"company": "B", "größe": None}]

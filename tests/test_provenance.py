@@ -42,7 +42,10 @@ def test_sources(spark, docs, chunks):
     results = spark.createDataFrame([("d2_chunk_0", 1), ("d2_chunk_1", 2), ("zzz", 3), (None, 4)], "source_chunk_id string, v int")
     assert [r.doc_id for r in pv.result_sources(results, chunks, docs).collect()] == ["d2"]
     every = chunks.select("chunk_id")
-    assert pv.result_sources(every, chunks, docs).count() == 10
+    assert pv.result_sources(every, chunks, docs, limit=10).count() == 10
+    assert pv.result_sources(every, chunks, docs).count() == chunks.select("doc_id").distinct().count() > 10
+    named = spark.createDataFrame([("d3", 1), (None, 2)], "doc_id string, v int")
+    assert [r.doc_id for r in pv.result_sources(named, chunks, docs).collect()] == ["d3"]
     with pytest.raises(ValueError):
         pv.result_sources(docs.select("filename"), chunks, docs)
 

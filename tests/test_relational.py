@@ -97,3 +97,13 @@ def test_filters_reach_the_scan(spark, sf_dir, capsys):
 def test_top_k_never_sorts_everything(deals, capsys):
     rel.ranking(deals, ["-value", "deal_id"], 2).explain()
     assert "TakeOrderedAndProject" in capsys.readouterr().out
+
+
+def test_sql_leaves_the_callers_views_alone(spark):
+    spark.range(3).createOrReplaceTempView("kept_view")
+    other = spark.range(5)
+    assert rel.run_sql(spark, "SELECT count(*) AS n FROM kept_view", {"kept_view": other}).first().n == 5
+    assert spark.table("kept_view").count() == 3
+    rel.run_sql(spark, "SELECT * FROM gone_view", {"gone_view": other})
+    assert not spark.catalog.tableExists("gone_view")
+    spark.catalog.dropTempView("kept_view")

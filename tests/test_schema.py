@@ -124,13 +124,25 @@ def test_registry(spark):
 
 def test_rounds(spark):
     rows = spark.createDataFrame(
-        [("a", 1, "s1", 1), ("a", 2, None, 2), ("a", 3, "s3", 3), ("b", 1, None, 1), ("b", 2, "s2", 2), ("c", 1, "x", 1), ("c", 1, "y", 2)],
+        [("a", 1, "s1", 1), ("a", 2, None, 2), ("a", 3, "s3", 3), ("b", 1, None, 1), ("b", 2, "s2", 2), ("c", 1, "x", 1), ("c", 1, "y", 2)]
+        + [("six", r, f"v{r}", r) for r in range(1, 7)],
         "entity string, round int, schema string, created_at int",
     )
     got = {(r.entity, r.round): (r.schema, r.status) for r in sc.refine_schema_runs(rows, ["entity"]).collect()}
     assert [got["a", r] for r in (1, 2, 3, 4)] == [("s1", "refined"), ("s1", "kept"), ("s3", "refined"), ("s3", "missing")]
     assert got["b", 2] == (None, "fatal")
     assert got["c", 1] == ("y", "refined")
+    assert got["six", 6] == ("v6", "refined") and got["a", 6] == ("s3", "missing")
+
+
+def test_labels_of_any_length_and_alphabet(spark):
+    long = "a label of more than sixty one characters that goes on for a while"
+    text = f"{long}: 1\nGröße: 2\nhttp://x.y\nGröße: 3\n1st: no\n  Name :  Ann : Bob"
+    docs = spark.createDataFrame([("d", text)], "doc_id string, text string")
+    got = [(r.name, r.value, r.first) for r in sc.labelled_values(docs).collect()]
+    assert sorted(got) == sorted([
+        (long.replace(" ", "_"), "1", True), ("größe", "2", True), ("größe", "3", False), ("name", "Ann : Bob", True),
+    ])
 
 
 def test_explain_schema(spark):
