@@ -12,6 +12,7 @@ from corpusql.catalog import (  # noqa: F401  (importing registers the queries)
     source_queries,
     stats_queries,
     stream_queries,
+    structure_queries,
 )
 from corpusql.catalog.base import ORACLES, QUERIES
 

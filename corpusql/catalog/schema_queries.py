@@ -98,6 +98,9 @@ def order_json(spark, d):
         (k % 2 == 0).alias("even"), F.array("o_orderstatus", "o_orderpriority").alias("tags"),
         F.struct("o_custkey").alias("customer"),
         F.when(k % 5 != 0, F.col("o_orderpriority")).alias("priority"),
+        # Texts that look like something else.
+        F.lpad((k % 1000).cast("string"), 5, "0").alias("zip"), F.when(k % 2 == 0, "true").otherwise("null").alias("flag"),
+        F.concat(F.lit("[draft] "), "o_orderpriority").alias("note"), F.concat(F.lit("{"), "o_orderstatus", F.lit("}")).alias("mark"),
     )
     return orders(spark, d).select(k.alias("doc_id"), F.to_json(body).alias("j"))
 
@@ -105,7 +108,8 @@ def order_json(spark, d):
 PROP_SQL = """
 n AS (SELECT count(*) AS n, count(*) FILTER (o_orderkey % 5 <> 0) AS p FROM orders),
 props AS (SELECT 'Order' AS entity, * FROM (VALUES ('Order Key', 'integer'), ('price', 'number'), ('status', 'string'),
-  ('even', 'boolean'), ('tags', 'array'), ('customer', 'object'), ('priority', 'string')) v(property, json_type)),
+  ('even', 'boolean'), ('tags', 'array'), ('customer', 'object'), ('priority', 'string'),
+  ('zip', 'string'), ('flag', 'string'), ('note', 'string'), ('mark', 'string')) v(property, json_type)),
 required AS (SELECT props.*, CASE WHEN property = 'priority' THEN p = n ELSE n > 0 END AS required FROM props, n)
 """
 

@@ -12,9 +12,10 @@ from corpusql.functions import modeljson as mj
 from corpusql.functions import standardize as sd
 from corpusql.operators.model import Complete, batch_complete, extraction_prompt
 from corpusql.session import materialize
+from corpusql.sources.tables import leave_out, read_if_present
 
 MIN_CONFIDENCE = 0.7
-LINEAGE = ("doc_id", "chunk_id", "confidence", "source_text")
+LINEAGE = ("doc_id", "chunk_id", "source_chunk_id", "confidence", "source_text")
 
 
 def parse_replies(replies: DataFrame, content_col: str = "content") -> DataFrame:
@@ -133,10 +134,16 @@ def conform_and_store(
     """Append fitting rows to ``<path>/<entity>`` and the others to its rejects.
 
     Values are standardised once: the checked rows are written to the shared
-    folder and both tables are filters on them.
+    folder and both tables are filters on them. Keys come from the source, so rows that are
+    stored already are left out and a second run adds nothing.
     """
     checked = materialize(check_rows(rows, entity, attributes), "entities")
     good, bad = split_rows(checked, entity, attributes)
+    spark, name = rows.sparkSession, entity.lower()
+    good = leave_out(good, read_if_present(spark, f"{path}/{name}"), primary_key(entity, attributes))
+    stored = read_if_present(spark, f"{path}/{name}_rejects")
+    if stored is not None:
+        bad = bad.join(stored.select("doc_id", "ordinal"), ["doc_id", "ordinal"], "left_anti").select(*bad.columns)
     good.withColumn("extracted_at", F.current_timestamp()).write.mode("append").parquet(
         f"{path}/{entity.lower()}"
     )
@@ -150,24 +157,26 @@ def extract_corpus(
     doc_col: str = "doc_id",
     text_col: str = "text",
     min_confidence: float = MIN_CONFIDENCE,
+    keep: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Every document times every entity: (entity rows, rejects, usage rows).
 
-    The whole text of a document goes into its prompt. Replies are written to
+    ``docs`` may be chunks; ``keep`` names columns, such as the chunk id, that travel
+    with each entity. The whole text of a document goes into its prompt. Replies are written to
     the shared folder before they are parsed: a lost executor must not lead to
     a second round of calls. ``entities`` maps an entity to its attribute types.
     """
     def prompt_row(entity: str, types: Mapping[str, str]) -> Column:
         return F.struct(
-            F.md5(F.concat_ws("|", F.lit(entity), F.col(doc_col).cast("string"))).alias("prompt_id"),
+            F.md5(F.concat_ws("|", F.lit(entity), *[F.col(c).cast("string") for c in (doc_col, *keep)])).alias("prompt_id"),
             F.lit(entity).alias("entity"),
             extraction_prompt(entity, list(types), F.col(text_col)).alias("prompt"),
         )
 
     # One pass over the documents, whatever the number of entities.
     rows = F.array(*[prompt_row(e, t) for e, t in entities.items()])
-    all_prompts = docs.select(doc_col, F.inline(rows))
-    keep = ["prompt_id", doc_col, "entity"]
+    all_prompts = docs.select(doc_col, *keep, F.inline(rows))
+    keep = ["prompt_id", doc_col, *keep, "entity"]
     replies = materialize(batch_complete(all_prompts, complete, keep=keep), "replies")
     parsed = parse_replies(replies)
     found = explode_entities(parsed, keep, min_confidence)

@@ -188,19 +188,23 @@ def json_properties(docs: DataFrame, json_col: str, entity: str) -> DataFrame:
 
     A property with several types becomes a string; integers widen to numbers.
     """
-    value = F.col("value")
+    # As text a quoted "01234" or "[x]" looks like a number or a list; the variant keeps what it is.
+    value, made = F.col("value"), F.coalesce(F.schema_of_variant("variant"), F.lit("VOID"))
     kind = (
-        F.when(value.isNull(), "null")
-        .when(value.startswith("["), "array")
-        .when(value.startswith("{"), "object")
-        .when(value.isin("true", "false"), "boolean")
+        F.when(made == "VOID", "null")
+        .when(made.startswith("ARRAY"), "array")
+        .when(made.startswith("OBJECT"), "object")
+        .when(made == "BOOLEAN", "boolean")
+        .when(made == "STRING", "string")
         .when(value.rlike(r"\A-?\d+\z"), "integer")
-        .when(value.rlike(sd.PLAIN_NUMBER), "number")
-        .otherwise("string")
+        .otherwise("number")
+    )
+    both = docs.select(
+        F.from_json(json_col, "map<string,string>").alias("_text"), F.from_json(json_col, "map<string,variant>").alias("_kind")
     )
-    entries = F.explode(F.from_json(json_col, "map<string,string>")).alias("key", "value")
+    entries = both.select(F.explode("_text").alias("key", "value"), "_kind").withColumn("variant", F.col("_kind")[F.col("key")])
     total = docs.select(F.count(F.lit(1))).scalar()
-    seen = docs.select(entries).groupBy("key", kind.alias("kind")).agg(
+    seen = entries.groupBy("key", kind.alias("kind")).agg(
         F.count(F.lit(1)).alias("n")
     )
     typed = F.col("kind") != "null"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -14,12 +17,15 @@ TABLES = (
 ).split()
 
 
+INITIAL_PARTITIONS = "2000"
+
+
 def build_session(app_name: str = "corpusql", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators expect.
 
     Shuffle partitions start high and are merged by adaptive execution, so one
-    setting serves small and very large inputs. Nothing a cluster sets through
-    spark-submit is overridden unless passed in ``conf``.
+    setting serves small and very large inputs. Only what ``conf`` passes overrides
+    a setting made elsewhere; each default is applied where nothing was set.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -30,15 +36,22 @@ def build_session(app_name: str = "corpusql", master: str | None = None, **conf:
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        # Recording the Python call site of every column expression costs more than
-        # planning the query.
-        "spark.python.sql.dataFrameDebugging.enabled": "false",
         # Rows with long texts cross to Python: keep a batch within memory.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     }
-    for key, value in {**defaults, **conf}.items():
+    # Recording the Python call site of every column expression costs more than planning
+    # the query. The setting can only be made at the start.
+    for key, value in {"spark.python.sql.dataFrameDebugging.enabled": "false", **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    known = {**dict(spark.sparkContext.getConf().getAll()), **spark.conf.getAll}
+    partitions = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    if "spark.sql.shuffle.partitions" not in known:
+        defaults[partitions] = INITIAL_PARTITIONS
+    for key, value in defaults.items():
+        if key not in known:
+            spark.conf.set(key, value)
+    return spark
 
 
 _SCHEMAS: dict[str, T.StructType] = {}
@@ -59,18 +72,19 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder every executor can reach.
 
     The cluster names the shared folder in ``spark.checkpoint.dir``. Only a
-    local-mode session, where driver and executors are one process, may fall
-    back to a temporary folder of its own.
+    session in local mode, where driver and executors are one process (``local-cluster`` is not), may
+    fall back to a temporary folder of its own, which goes when the process ends.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
         "spark.checkpoint.dir"
     )
     if not root:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         if context.applicationId not in _OWN_FOLDERS:
-            _OWN_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="corpusql-")
+            own = _OWN_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="corpusql-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
         root = _OWN_FOLDERS[context.applicationId]
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 

@@ -4,23 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusql.operators.chunking import CHUNK_SIZE, OVERLAP, token_chunks
 from corpusql.session import materialize
 from corpusql.sources import files as fs
-
-
-def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at ``path``, or None when nothing was written there yet."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as problem:
-        if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+from corpusql.sources.tables import leave_out, read_if_present
 
 
 def new_documents(docs: DataFrame, existing: DataFrame | None, key: str = "doc_id") -> DataFrame:
@@ -31,17 +21,6 @@ def new_documents(docs: DataFrame, existing: DataFrame | None, key: str = "doc_i
     return fresh.join(existing.select(key), key, "left_anti")
 
 
-def leave_out(rows: DataFrame, stored: DataFrame | None, key: str) -> DataFrame:
-    """Rows whose key is not stored. Only keys are compared; ``rows`` is read as it is
-    when nothing is stored, otherwise the keys in common are taken out."""
-    if stored is None:
-        return rows
-    common = stored.select(key).join(rows.select(key), key, "left_semi").distinct()
-    if common.isEmpty():
-        return rows
-    return rows.join(common, key, "left_anti")
-
-
 def write_documents(
     docs: DataFrame, path: str, key: str = "doc_id", partition_by: Sequence[str] = ()
 ) -> None:

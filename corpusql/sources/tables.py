@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,3 +133,24 @@ def row_documents(
         F.col(text_col).alias("text"),
         F.to_json(F.struct(*rest)).alias("metadata"),
     )
+
+
+def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None when nothing was written there yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def leave_out(rows: DataFrame, stored: DataFrame | None, key: str) -> DataFrame:
+    """Rows whose key is not stored. Only keys are compared; ``rows`` is read as it is
+    when nothing is stored, otherwise the keys in common are taken out."""
+    if stored is None:
+        return rows
+    common = stored.select(key).join(rows.select(key), key, "left_semi").distinct()
+    if common.isEmpty():
+        return rows
+    return rows.join(common, key, "left_anti")

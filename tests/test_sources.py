@@ -212,3 +212,16 @@ def test_shared_folder_is_the_one_the_cluster_names():
     assert shared_dir(local, "x") != shared_dir(local, "x")
     with pytest.raises(ValueError):
         shared_dir(Session(None, "yarn"), "x")
+    with pytest.raises(ValueError):
+        shared_dir(Session(None, "local-cluster[2,1,1024]"), "x")
+
+
+def test_session_defaults_do_not_override(spark):
+    from corpusql.session import build_session
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "77")
+    try:
+        assert build_session().conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "77"
+        assert build_session().conf.get("spark.sql.session.timeZone") == "UTC"
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
