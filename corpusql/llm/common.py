@@ -65,29 +65,41 @@ def map_texts(
     return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def runs_of(batches: Iterator[pa.RecordBatch], key: str, at_least: int) -> Iterator[pa.Table]:
+def runs_of(
+    batches: Iterator[pa.RecordBatch], key: str, at_least: int, sized: str | None = None
+) -> Iterator[pa.Table]:
     """Tables of whole key groups from batches sorted by ``key``, ``at_least`` rows each but for the last.
 
-    A task holds one such table plus the largest group.
+    With ``sized``, the name of a text or binary column, ``at_least`` counts its bytes. A task holds one
+    such table plus the largest group.
     """
     held: list[pa.RecordBatch] = []
     rows = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+
+    def weight(part: pa.RecordBatch) -> int:
+        return pc.sum(pc.binary_length(part.column(sized))).as_py() or 0 if sized else part.num_rows
+
+    def pieces() -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            if sized and whole.num_rows:
+                yield from slices(whole, whole.schema.get_field_index(sized), max(1, at_least // 4))
+            elif whole.num_rows:
+                yield whole
+
+    for batch in pieces():
         if rows >= at_least:
             keys = batch.column(key)
             last = held[-1].column(key)[-1].as_py()
             same = pc.index(pc.not_equal(keys, pa.scalar(last, keys.type)), True).as_py()
             if same < 0:
                 held.append(batch)
-                rows += batch.num_rows
+                rows += weight(batch)
                 continue
             yield pa.Table.from_batches([*held, batch.slice(0, same)] if same else held)
             held, rows = [], 0
             batch = batch.slice(same)
         held.append(batch)
-        rows += batch.num_rows
+        rows += weight(batch)
     if held:
         yield pa.Table.from_batches(held)
 

@@ -15,9 +15,9 @@ from corpusql.session import materialize
 
 MIN_BYTES = 400
 GRAM = 64
-LONGEST_RUN = 4096
-HOT = 4096
-ROWS_AT_ONCE = 3000
+LONGEST_RUN = 1024
+HOT_BYTES = 3 << 20
+ARRAY_BYTES = 1 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,19 +44,18 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """A hash of the ``size`` bytes (a multiple of 8) from each position that has them."""
     if len(data) < size:
         return np.zeros(0, np.uint64)
-    level, width, parts, at, left = words8(data), 8, None, 0, size
-    levels = {8: level}
-    while 2 * width <= size:
-        levels[2 * width] = _join(levels[width][: len(levels[width]) - width], levels[width][width:])
-        width *= 2
+    # Hashes of 8, 16, 32, ... bytes; those that add up to the size are joined from left to right.
+    level, width, parts, at = words8(data), 8, None, 0
     count = len(data) - size + 1
-    while left:
-        while width > left:
-            width //= 2
-        piece = levels[width][at : at + count]
-        parts = piece if parts is None else _join(parts, piece)
-        at, left = at + width, left - width
-    return parts
+    while True:
+        if size & width:
+            piece = level[at : at + count]
+            parts = piece if parts is None else _join(parts, piece)
+            at += width
+        if at == size:
+            return parts
+        level = _join(level[: len(level) - width], level[width:])
+        width *= 2
 
 
 def window_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -250,7 +249,7 @@ def repeat_tree(array: SuffixArray, before: np.ndarray, least: int) -> Iterator[
 
 def _marks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Maximal repeats among the segments of whole anchor groups."""
-    for table in runs_of(batches, "f", ROWS_AT_ONCE):
+    for table in runs_of(batches, "f", ARRAY_BYTES, "raw"):
         raw = table.column("raw").to_pylist()
         data = np.frombuffer(b"".join(raw), np.uint8)
         ends = np.cumsum([len(x) for x in raw])
@@ -274,7 +273,7 @@ MARKS = "h long, id long, start long, stop long, node long, parent long"
 
 
 def find_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, hot: int = HOT
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, hot_bytes: int = HOT_BYTES
 ) -> DataFrame:
     """(h, id, start, stop, node, parent): where repeats of at least ``min_bytes`` bytes stand; h is a hash of id and text.
 
@@ -282,8 +281,8 @@ def find_repeats(
     equal windows come together by their anchor. Equal segments count as one with all their places,
     all of which are repeats. Different segments with one anchor, and segments that repeat inside, go to suffix
     arrays, whole anchor groups at a time: none of their suffixes agrees with
-    one of another group for ``min_bytes`` bytes. An anchor with more than ``hot`` different
-    segments (the border of a passage in very many texts) is too large for one task; its windows are
+    one of another group for ``min_bytes`` bytes. An anchor whose different segments have more than
+    ``hot_bytes`` bytes (the border of a passage in very many texts) is too large for one task; its windows are
     compared by hash over all tasks.
 
     node and parent number the maximal repeats of one suffix array (see ``repeat_tree``); they are null for equal
@@ -319,7 +318,8 @@ def find_repeats(
         F.count("*").alias("n"), F.min(F.struct("h", "id", "lo", "hi", "inner")).alias("one")
     )
     classes = materialize(equal, "segment-classes")
-    kinds = classes.groupBy("f").agg(F.count("*").alias("m")).filter("m > 1")
+    length = (F.col("one.hi") - F.col("one.lo") + size).cast("long")
+    kinds = classes.groupBy("f").agg(F.count("*").alias("k"), F.sum(length).alias("m")).filter("k > 1").drop("k")
 
     more = classes.filter("n > 1").select("f", "d1", "d2")
     nothing = F.lit(None).cast("long")
@@ -353,7 +353,7 @@ def find_repeats(
     )
     texts = materialize(bytes_of, "segment-bytes")
     count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = texts.filter(F.col("m") <= hot).select("f", "h", "id", "lo", "raw").repartition(count, "f").sortWithinPartitions("f")
+    sorted_ = texts.filter(F.col("m") <= hot_bytes).select("f", "h", "id", "lo", "raw").repartition(count, "f").sortWithinPartitions("f")
     repeats = sorted_.mapInArrow(lambda batches: _marks(batches, size), MARKS)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,7 +370,7 @@ def find_repeats(
                 "h": batch.column(1).take(at), "id": batch.column(2).take(at), "start": start.astype(np.int64),
             })
 
-    busy = texts.filter(F.col("m") > hot).select("f", "h", "id", "lo", "raw")
+    busy = texts.filter(F.col("m") > hot_bytes).select("f", "h", "id", "lo", "raw")
     each = busy.mapInArrow(windows, "f long, w long, h long, id long, start long")
     twice = each.groupBy("f", "w").agg(F.count("*").alias("n")).filter("n > 1").select("f", "w")
     hit = each.join(twice, ["f", "w"]).select(
@@ -393,7 +393,7 @@ def remove_repeats(
     id_col: str = "doc_id",
     text_col: str = "text",
     min_bytes: int = MIN_BYTES,
-    hot: int = HOT,
+    hot_bytes: int = HOT_BYTES,
     keep: Sequence[str] = (),
     as_text: bool = False,
 ) -> DataFrame:
@@ -406,7 +406,7 @@ def remove_repeats(
     """
     if clash := {"n_bytes", "n_removed", "n_spans", "kept", "spans"}.intersection([id_col, *keep]):
         raise ValueError(f"columns with the names of result columns: {sorted(clash)}")
-    marks = find_repeats(docs, id_col, text_col, min_bytes, hot).groupBy("h", "id").agg(
+    marks = find_repeats(docs, id_col, text_col, min_bytes, hot_bytes).groupBy("h", "id").agg(
         F.collect_set(F.struct("start", "stop")).alias("spans")
     ).withColumnRenamed("id", "_id").withColumnRenamed("h", "_h")
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")

@@ -101,16 +101,16 @@ def test_interval_tree():
         assert (got == want).all()
 
 
-@pytest.mark.parametrize("size, hot", [(400, 4096), (40, 4096), (40, 3), (43, 3)])
+@pytest.mark.parametrize("size, hot", [(400, 1 << 20), (40, 1 << 20), (40, 200), (43, 200)])
 def test_repeats_are_cut(spark, size, hot):
-    rng = random.Random(size + hot)
+    rng = random.Random(size + hot % 97)
     passage, other = invented(rng, 40), "é" * 120 + invented(rng, 90)
     texts = [invented(rng, rng.randint(5, 90)) for _ in range(25)]
     texts += [invented(rng, 20) + passage + invented(rng, 15) for _ in range(9)]
     texts += [other, other, other[7:] + "x", "ab" * 700, "q" * 450, "q" * 45, "", None, passage[:39], passage + passage]
     rows = [(i, t, 2) for i, t in enumerate(texts)] + [(2, texts[2], 2), (None, invented(rng, 30), 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_removed int")
-    got = suffixes.remove_repeats(df.drop("n_removed"), min_bytes=size, hot=hot).collect()
+    got = suffixes.remove_repeats(df.drop("n_removed"), min_bytes=size, hot_bytes=hot).collect()
     raw = [(i, (t or "").encode()) for i, t, _ in rows]
     seen = Counter(x[p : p + size] for _, x in raw for p in range(len(x) - size + 1))
     want = []
@@ -125,7 +125,7 @@ def test_repeats_are_cut(spark, size, hot):
     key = lambda r: (r[0] is None, r[0] or 0, r[4])
     assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got], key=key) == sorted(want, key=key)
     assert suffixes.remove_repeats(df.limit(0).drop("n_removed"), min_bytes=size).count() == 0
-    cut = suffixes.remove_repeats(df.drop("n_removed"), min_bytes=size, hot=hot, as_text=True)
+    cut = suffixes.remove_repeats(df.drop("n_removed"), min_bytes=size, hot_bytes=hot, as_text=True)
     assert all(isinstance(r.kept, str) for r in cut.collect())
 
 
