@@ -19,7 +19,7 @@ from corpusql.session import build_session  # noqa: E402
 HEADLINE = (
     # ingestion: text to chunks and back
     "token_chunks", "token_count", "sentence_split", "sentence_chunks", "doc_reassembly", "write_chunks",
-    "ingest_summary", "chunk_count_refresh", "regex_entities",
+    "ingest_corpus", "ingest_summary", "chunk_count_refresh", "regex_entities",
     # schema, extraction, standardisation
     "induce_attributes", "extract_corpus", "parse_model_json", "explode_entities", "std_numeric", "std_date",
     "standardize_entity", "conform_and_store", "relationship_check",

@@ -235,7 +235,7 @@ c AS (SELECT count(*) AS n, sum(token_count) AS t FROM chunks
       WHERE doc_id IN (SELECT doc_id FROM s WHERE parser IS NOT NULL AND error IS NULL))
 SELECT count(*)::BIGINT AS total_files,
   count(*) FILTER (parser IS NOT NULL AND error IS NULL)::BIGINT AS files_processed,
-  count(*) FILTER (parser IS NOT NULL AND error IS NOT NULL)::BIGINT AS files_failed,
+  count(*) FILTER (parser IS NOT NULL AND error IS NOT NULL)::BIGINT AS files_failed, 0::BIGINT AS files_skipped,
   (SELECT n FROM c)::BIGINT AS total_chunks, (SELECT t FROM c)::BIGINT AS total_tokens,
   (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT parser || '=' || count(*) AS x FROM s
      WHERE parser IS NOT NULL AND error IS NULL GROUP BY parser)) AS parsers_used,
@@ -272,6 +272,19 @@ def ingest_corpus(spark, d):
     return summary.select("total_files", "files_processed", "files_failed", "total_chunks")
 
 
+@query("ingest_again", """
+SELECT n + (SELECT count(*) FROM region) AS total_files, 0::BIGINT AS files_processed, n AS files_skipped, 0::BIGINT AS total_chunks
+FROM (SELECT (SELECT count(*) FROM documents) + (SELECT count(*) FROM labels) + (SELECT count(*) FROM supplier) AS n)
+""")
+def ingest_again(spark, d):
+    """A second run over the same folder stores nothing and says so."""
+    out = shared_dir(spark, "ingested")
+    folder = corpus_folder(spark, d)
+    sinks.ingest(spark, folder, out)
+    summary = sinks.ingest(spark, folder, out)
+    return summary.select("total_files", "files_processed", "files_skipped", "total_chunks")
+
+
 @query("jsonl_corpus", "SELECT md5(text) AS text_md5, length(text)::BIGINT AS chars FROM documents")
 def jsonl_corpus(spark, d):
     out = shared_dir(spark, "jsonl")

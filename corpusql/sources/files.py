@@ -77,17 +77,24 @@ def file_metadata(files: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+def name_pattern(parser: str) -> str:
+    """File names that one parser takes, in any case, as the file source understands it."""
+    either = ["".join(f"[{c}{c.upper()}]" for c in ext) for ext, name in PARSERS.items() if name == parser]
+    return f"*.{{{','.join(either)}}}"
+
+
 def read_files(
     spark: SparkSession, path: str, parser: str, max_bytes: int = MAX_FILE_BYTES
 ) -> DataFrame:
     """Metadata and bytes of the files one parser takes.
 
-    The size condition reaches the source, so a file too large for one row is
-    left out here; ``oversize_files`` reports those.
+    Name pattern and size condition reach the source, so the files of other parsers are not
+    opened, and a file too large for one row is left out here; ``oversize_files`` reports those.
     """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", name_pattern(parser))
         .load(path)
         .filter(F.col("length") <= max_bytes)
         .filter(parser_name(extension(F.col("path"))) == parser)

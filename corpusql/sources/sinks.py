@@ -43,16 +43,18 @@ def chunk_counts(docs: DataFrame, chunks: DataFrame, doc_col: str = "doc_id") ->
 
 
 def ingest_summary(status: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One row: files, failures, chunks, tokens, files per parser, first ten errors.
+    """One row: files, failures, skips, chunks, tokens, files per parser, first ten errors.
 
     ``status`` has one row per file with ``filename``, ``parser`` (NULL when the
-    type is not supported) and ``error``.
+    type is not supported), ``error`` and, optionally, ``skipped`` (stored by an earlier run).
     """
-    ok = F.col("parser").isNotNull() & F.col("error").isNull()
+    skipped = F.coalesce("skipped", F.lit(False)) if "skipped" in status.columns else F.lit(False)
+    ok = F.col("parser").isNotNull() & F.col("error").isNull() & ~skipped
     files = status.agg(
         F.count(F.lit(1)).alias("total_files"),
         F.count_if(ok).alias("files_processed"),
         F.count_if(F.col("parser").isNotNull() & F.col("error").isNotNull()).alias("files_failed"),
+        F.count_if(skipped).alias("files_skipped"),
     )
     # At most one row per parser, and at most ten errors, are gathered.
     parsers = status.filter(ok).groupBy("parser").count().agg(
@@ -74,7 +76,7 @@ def ingest_summary(status: DataFrame, chunks: DataFrame) -> DataFrame:
         files.withColumn("_s", pair)
         .withColumns({"parsers_used": parsers.scalar(), "errors": errors.scalar()})
         .select(
-            "total_files", "files_processed", "files_failed",
+            "total_files", "files_processed", "files_failed", "files_skipped",
             F.col("_s.n").alias("total_chunks"), F.col("_s.tokens").alias("total_tokens"),
             "parsers_used", "errors",
         )
@@ -134,7 +136,16 @@ def ingest(
     """
     parsed = materialize(parse_corpus(spark, path), "parsed")
     good = parsed.filter(F.col("text").isNotNull())
-    fresh = leave_out(good, read_if_present(spark, f"{out}/documents"), "doc_id")
+    stored = read_if_present(spark, f"{out}/documents")
+    status = parsed.select("doc_id", "filename", "parser", "error")
+    if stored is None:
+        status = status.withColumn("skipped", F.lit(False))
+    else:
+        known = stored.select("doc_id").distinct().withColumn("skipped", F.lit(True))
+        status = status.join(known, "doc_id", "left")
+    # Before this run's documents are there.
+    status = materialize(status, "status")
+    fresh = leave_out(good, stored, "doc_id")
     chunks = materialize(token_chunks(fresh, size, overlap), "chunks")
     docs = chunk_counts(fresh.drop("text", "error"), chunks).withColumn(
         "ingested_at", F.current_timestamp()
@@ -144,4 +155,4 @@ def ingest(
     missing = leave_out(chunks, read_if_present(spark, f"{out}/chunks"), "doc_id")
     missing.write.mode("append").parquet(f"{out}/chunks")
     docs.write.mode("append").parquet(f"{out}/documents")
-    return ingest_summary(parsed.select("filename", "parser", "error"), chunks)
+    return ingest_summary(status, chunks)
