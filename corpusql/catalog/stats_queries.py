@@ -140,7 +140,7 @@ ALL_COLUMNS = {
     _column_sql(t, t, *c) for t, cols in ALL_COLUMNS.items() for c in cols))
 def all_table_statistics(spark, d):
     made = stats.all_table_statistics({t: load(spark, d, t) for t in ALL_COLUMNS})
-    return made.withColumn("mean", six("mean"))
+    return made.drop("error").withColumn("mean", six("mean"))
 
 
 @query("statistics_text", """

@@ -1,4 +1,4 @@
-"""Exact percentiles without gathering a column in one task."""
+"""Exact percentiles without gathering or sorting a column."""
 
 from __future__ import annotations
 
@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusql.session import materialize
+# The sketch is off by one rank in ACCURACY at most. The bracket is MARGIN wide on either
+# side, which is more than that and, from SMALL values on, than the two ranks next to the wanted one.
+ACCURACY = 100_000
+MARGIN = 0.001
+SMALL = 3000
 
 
 def exact_percentiles(
@@ -17,49 +21,44 @@ def exact_percentiles(
     """Interpolated percentile of ``value_col`` per key; NULLs are ignored.
 
     The built-in exact percentile keeps all distinct values of a group in one
-    aggregation buffer. Here equal values are counted first, the counts are
-    range-partitioned and written once; the sum per range then says which range
-    holds the wanted rank, and only that range is walked.
+    aggregation buffer. Here a sketch of bounded size gives two values that are sure to have the
+    wanted ranks between them; a second scan counts the values below the lower one and keeps,
+    counted, those inside, a five-hundredth of the column. Only these are walked. Groups of
+    fewer than SMALL values are inside as a whole. Both passes aggregate inside each task first, and nothing is written.
     """
     keys = list(keys)
-    counted = (
-        df.filter(F.col(value_col).isNotNull())
-        .groupBy(*keys, F.col(value_col).cast("double").alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
+    values = df.filter(F.col(value_col).isNotNull()).select(*keys, F.col(value_col).cast("double").alias("value"))
+    cuts = [max(0.0, fraction - MARGIN), min(1.0, fraction + MARGIN)]
+    sketch = F.percentile_approx("value", F.array(*[F.lit(c) for c in cuts]), F.lit(ACCURACY))
+    found = values.groupBy(*keys).agg(
+        F.count("*").alias("total"), F.min("value").alias("least"), F.max("value").alias("most"), sketch.alias("s")
     )
-    ordered = counted.repartitionByRange(*keys, "value").withColumn(
-        "part", F.spark_partition_id()
+    few = F.col("total") < SMALL
+    bracket = found.select(
+        *keys,
+        "total",
+        F.when(few | F.lit(cuts[0] == 0.0), F.col("least")).otherwise(F.col("s")[0]).alias("low"),
+        F.when(few | F.lit(cuts[1] == 1.0), F.col("most")).otherwise(F.col("s")[1]).alias("high"),
     )
-    stored = materialize(ordered, "percentile")
-    # One row per key and range: as many rows as tasks wrote, so these windows are small.
-    ranges = stored.groupBy(*keys, "part").agg(F.sum("n").alias("part_n"))
-    by_key = W.partitionBy(*keys)
-    spans = (
-        ranges.withColumn("total", F.sum("part_n").over(by_key))
-        .withColumn("end", F.sum("part_n").over(by_key.orderBy("part")))
-        .withColumn("begin", F.col("end") - F.col("part_n"))
-        .withColumn("rank", (F.col("total") - 1) * F.lit(fraction))
-    )
-    # The two neighbouring ranks may lie in two ranges.
-    wanted = spans.filter(
-        (F.col("begin") <= F.ceil("rank")) & (F.col("end") > F.floor("rank"))
-    ).select(*keys, "part", "begin", "rank")
-    inside = stored.join(wanted, [*keys, "part"], "inner")
-    walk = W.partitionBy(*keys, "part").orderBy("value")
-    placed = inside.withColumn("last", F.col("begin") + F.sum("n").over(walk) - 1).withColumn(
-        "first", F.col("last") - F.col("n") + 1
+    if keys:
+        marked = values.join(bracket, keys)
+    else:
+        one = bracket.select(F.struct("total", "low", "high")).scalar()
+        marked = values.withColumn("_b", one).select("value", "_b.*")
+    # Everything below the bracket is one row, under NULL.
+    inside = F.when(F.col("value") >= F.col("low"), F.col("value"))
+    counted = marked.filter(F.col("value") <= F.col("high")).groupBy(*keys, inside.alias("value")).agg(
+        F.count("*").alias("n"), F.first("total").alias("total")
     )
+    walk = W.partitionBy(*keys).orderBy(F.col("value").asc_nulls_first())
+    rank = (F.col("total") - 1) * F.lit(fraction)
+    placed = counted.withColumn("last", F.sum("n").over(walk) - 1).withColumn("first", F.col("last") - F.col("n") + 1)
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("first") <= rank) & (F.col("last") >= rank), F.col("value")))
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("first") <= place) & (F.col("last") >= place), F.col("value")))
 
     low, high, share = F.col("low"), F.col("high"), F.col("share")
-    return (
-        placed.groupBy(*keys)
-        .agg(
-            at(F.floor("rank")).alias("low"),
-            at(F.ceil("rank")).alias("high"),
-            F.max(F.col("rank") - F.floor("rank")).alias("share"),
-        )
-        .select(*keys, (low + (high - low) * share).alias("percentile"))
+    ends = placed.groupBy(*keys).agg(
+        at(F.floor(rank)).alias("low"), at(F.ceil(rank)).alias("high"), F.max(rank - F.floor(rank)).alias("share")
     )
+    return ends.select(*keys, (low + (high - low) * share).alias("percentile"))

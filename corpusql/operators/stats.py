@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -227,18 +227,25 @@ def column_statistics(df: DataFrame, table_name: str) -> DataFrame:
 
 
 def all_table_statistics(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Statistics of several tables in one frame. A table that cannot be analysed is skipped."""
-    parts = []
+    """Statistics of several tables in one frame, with ``error``.
+
+    A table that cannot be planned (a missing file, an unsupported type) has one
+    row with its name and the error; the others are described all the same. What fails
+    only while it is read stops the whole frame, as it does for one table.
+    """
+    parts, failed = [], []
     for name, df in tables.items():
         try:
-            parts.append(column_statistics(df, name))
-        except Exception:  # the other tables must still be described
-            continue
+            parts.append(column_statistics(df, name).withColumn("error", F.lit(None).cast("string")))
+        except Exception as problem:  # the other tables must still be described
+            failed.append((name, f"{type(problem).__name__}: {str(problem)[:500]}"))
+    if failed:
+        parts.append(SparkSession.active().createDataFrame(failed, "table_name string, error string"))
     if not parts:
-        raise ValueError("no table could be described")
+        raise ValueError("no table given")
     out = parts[0]
     for part in parts[1:]:
-        out = out.unionByName(part)
+        out = out.unionByName(part, allowMissingColumns=True)
     return out
 
 
