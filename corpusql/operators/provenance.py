@@ -98,15 +98,9 @@ def trace_query(
         *base, F.explode_outer(F.array_distinct("source_docs")).alias("doc_id")
     )
     found = used.join(documents.select("doc_id", *columns, F.lit(1).alias("hit")), "doc_id", "left")
-    sizes = (
-        found.filter(F.col("hit") == 1).groupBy("query_id").agg(F.count(F.lit(1)).alias("document_count"))
-    )
-    return (
-        found.filter(F.col("hit").isNotNull() | F.col("doc_id").isNull())
-        .drop("hit")
-        .join(sizes, "query_id", "left")
-        .withColumn("document_count", F.coalesce("document_count", F.lit(0).cast("bigint")))
-    )
+    # A window over the sources of one query, which one log row holds: no second join.
+    counted = found.withColumn("document_count", F.count("hit").over(W.partitionBy("query_id")))
+    return counted.filter(F.col("hit").isNotNull() | F.col("doc_id").isNull()).drop("hit")
 
 
 def find_query(log: DataFrame, query_id: str) -> DataFrame:

@@ -17,23 +17,33 @@ def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def dedup_documents(
+def distinct_documents(
     docs: DataFrame, key: str = "doc_id", text_col: str = "text", seen: DataFrame | None = None
 ) -> DataFrame:
-    """The document with the smallest key of each content, with the number of copies.
+    """(content_hash, key, copies): the smallest key of each content, with the number of copies.
 
     Only the hash and the key are shuffled, and copies are folded inside each
-    task first, so a text that fills a third of the corpus is no hot spot. The
-    text is joined back for the documents that stay. ``seen`` holds hashes of
+    task first, so a text that fills a third of the corpus is no hot spot. ``seen`` holds hashes of
     earlier runs.
     """
-    hashed = docs.withColumn("content_hash", content_hash(F.col(text_col)))
+    hashed = docs.select(key, content_hash(F.col(text_col)).alias("content_hash"))
     kept = hashed.groupBy("content_hash").agg(
         F.min(key).alias(key), F.count(F.lit(1)).alias("copies")
     )
     if seen is not None:
         kept = kept.join(seen.select("content_hash"), "content_hash", "left_anti")
-    return docs.join(kept, key, "inner")
+    return kept
+
+
+def dedup_documents(
+    docs: DataFrame, key: str = "doc_id", text_col: str = "text", seen: DataFrame | None = None
+) -> DataFrame:
+    """The documents of ``distinct_documents`` with all their columns.
+
+    The join back shuffles whole rows by key unless one side is small; who needs ids
+    only takes ``distinct_documents``.
+    """
+    return docs.join(distinct_documents(docs, key, text_col, seen), key, "inner")
 
 
 def text_flags(docs: DataFrame, text_col: str = "text") -> DataFrame:
