@@ -201,12 +201,10 @@ class Encoder:
         """Ids of chunk lists. ``before`` is what each chunk has in front of it and its key lacks."""
         if len(cache) > CACHE_ENTRIES:
             cache.clear()
-        found = [list(map(cache.get, chunks)) for chunks in cut]
-        gaps = [None in ids for ids in found]
-        fresh = list({c for chunks, ids, gap in zip(cut, found, gaps) if gap for c, x in zip(chunks, ids) if x is None})
+        fresh = list(set().union(*cut).difference(cache))
         cache.update(zip(fresh, self._chunk_ids([before + c for c in fresh])))
         get = cache.__getitem__
-        return [b"".join(map(get, chunks) if gap else ids) for chunks, ids, gap in zip(cut, found, gaps)]
+        return [b"".join(map(get, chunks)) for chunks in cut]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers.

@@ -22,7 +22,7 @@ from corpusql.session import materialize, shared_dir
 
 MAGIC = b"TOKFREQ1"
 FILE_IDS = 4 << 20
-CACHE_ENTRIES = 1_200_000
+CACHE_ENTRIES = 800_000
 
 # Length of the four values behind a control byte, and of all four together.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -52,6 +52,20 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
+def pack_many(lists: list[np.ndarray]) -> tuple[list[bytes], list[bytes]]:
+    """``pack`` of each array, in one go."""
+    counts = np.array([len(x) for x in lists], np.int64)
+    groups = -(-counts // 4)
+    padded = np.zeros(int(4 * groups.sum()), np.uint32)
+    shift = 4 * (np.cumsum(groups) - groups) - (np.cumsum(counts) - counts)
+    padded[np.repeat(shift, counts) + np.arange(counts.sum())] = np.concatenate(lists) if lists else padded
+    control, data = pack(padded)
+    upto = np.concatenate([[0], np.cumsum(TOTALS[np.frombuffer(control, np.uint8)])])
+    ends = np.cumsum(groups)
+    borders = list(zip((ends - groups).tolist(), ends.tolist()))
+    return [control[a:b] for a, b in borders], [data[upto[a] : upto[b]] for a, b in borders]
+
+
 def unpack(control: bytes, data: bytes, count: int, step: int = 1 << 16) -> np.ndarray:
     """The values again, by table: a control byte names the place of each of its 16 result bytes."""
     codes = np.frombuffer(control, np.uint8)
@@ -167,13 +181,11 @@ class WordTokenizer:
         if len(known) > CACHE_ENTRIES:
             known.clear()
         cut = [self._parts(text) for text in texts]
-        found = [list(map(known.get, parts)) for parts in cut]
-        gaps = [None in ids for ids in found]
-        fresh = list({p for parts, ids, gap in zip(cut, found, gaps) if gap for p, x in zip(parts, ids) if x is None})
+        fresh = list(set().union(*cut).difference(known))
         for start in range(0, len(fresh), 10_000):
             self._learn(fresh[start : start + 10_000])
         get = known.__getitem__
-        return [b"".join(map(get, parts) if gap else ids) for parts, ids, gap in zip(cut, found, gaps)]
+        return [b"".join(map(get, parts)) for parts in cut]
 
 
 _TOKENIZERS: dict[tuple[str, bool], WordTokenizer] = {}
@@ -193,7 +205,7 @@ def encode(
 
         def apply(texts: list[str]) -> list:
             lists = [np.frombuffer(ids + end, "<u4") for ids in own(texts)]
-            return [[len(x) for x in lists], *zip(*map(pack, lists))]
+            return [[len(x) for x in lists], *pack_many(lists)]
 
         return apply
 
