@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusql.llm.common import runs_of, slices
@@ -247,9 +247,17 @@ def repeat_tree(array: SuffixArray, before: np.ndarray, least: int) -> Iterator[
             yield node, parent.get(node, -1), length, array.order[np.array(own, np.int64)]
 
 
-def _marks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Maximal repeats among the segments of whole anchor groups."""
+def _marks(batches: Iterator[pa.RecordBatch], least: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    """Maximal repeats among the segments of whole anchor groups, numbered within the array.
+
+    A maximal repeat has one anchor and an anchor is in one array, so anchor and number name it anywhere. With ``whole``, a segment
+    that stands for several equal ones is a repeat too: a node below the one that has its start, unless that one is as long.
+    """
     for table in runs_of(batches, "f", ARRAY_BYTES, "raw"):
+        # A repeated row is fetched as often as it is there; its segments count once.
+        keys = list(zip(*(table.column(c).to_pylist() for c in ("f", "d1", "d2"))))
+        first = sorted({key: i for i, key in reversed(list(enumerate(keys)))}.values())
+        table = table.take(pa.array(first, pa.int64())) if len(first) < len(keys) else table
         raw = table.column("raw").to_pylist()
         data = np.frombuffer(b"".join(raw), np.uint8)
         ends = np.cumsum([len(x) for x in raw])
@@ -258,35 +266,49 @@ def _marks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
         before[1:] = data[:-1]
         before[begins] = 256 + np.arange(len(begins))
         array = SuffixArray(data, ends, least, before)
-        key, doc, lo = (table.column(c).to_pylist() for c in ("h", "id", "lo"))
-        out: dict[str, list] = {"h": [], "id": [], "start": [], "stop": [], "node": [], "parent": []}
-        for node, parent, length, places in repeat_tree(array, before, least):
+        n = table.column("n").to_pylist()
+        owners: list[int] = []
+        rows: dict[str, list] = {"off": [], "length": [], "node": [], "parent": []}
+
+        def add(owner: int, *values: int | None) -> None:
+            owners.append(owner)
+            for column, value in zip(rows.values(), values):
+                column.append(value)
+
+        found = list(repeat_tree(array, before, least))
+        above = {i: -1 for i, copies in enumerate(n) if whole and copies > 1}
+        some: dict[int, int] = {}  # a segment of each node, from its places or those below it
+        for node, parent, length, places in found:
+            count = len(owners)
             owner = np.searchsorted(ends, places, side="right")
-            for place, o in zip(places.tolist(), owner.tolist()):
-                start = lo[o] + place - int(begins[o])
-                for column, value in zip(out.values(), (key[o], doc[o], start, start + length, node, parent)):
-                    column.append(value)
-        yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in out.items()})
-
-
-MARKS = "h long, id long, start long, stop long, node long, parent long"
-
-
-def find_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, hot_bytes: int = HOT_BYTES
-) -> DataFrame:
-    """(h, id, start, stop, node, parent): where repeats of at least ``min_bytes`` bytes stand; h is a hash of id and text.
-
-    Windows of ``min_bytes`` bytes are cut into segments with one anchor (see ``segments``), so
-    equal windows come together by their anchor. Equal segments count as one with all their places,
-    all of which are repeats. Different segments with one anchor, and segments that repeat inside, go to suffix
-    arrays, whole anchor groups at a time: none of their suffixes agrees with
-    one of another group for ``min_bytes`` bytes. An anchor whose different segments have more than
-    ``hot_bytes`` bytes (the border of a passage in very many texts) is too large for one task; its windows are
-    compared by hash over all tasks.
-
-    node and parent number the maximal repeats of one suffix array (see ``repeat_tree``); they are null for equal
-    segments and hot anchors.
+            for off, o in zip((places - begins[owner]).tolist(), owner.tolist()):
+                if off == 0 and o in above:
+                    if length < len(raw[o]):
+                        above[o] = node
+                        continue
+                    del above[o]
+                add(o, off, length, node, parent)
+            if whole:
+                o = int(owner[0]) if len(owner) else some[node]
+                some.setdefault(parent, o)
+                if len(owners) == count:  # no place but those below: a row without place tells length and parent
+                    add(o, None, length, node, parent)
+        for number, (o, parent) in enumerate(above.items(), len(found)):
+            add(o, 0, len(raw[o]), number, parent)
+        at = pa.array(owners, pa.int64())
+        own = [pa.array(table.column(c).take(at).combine_chunks()) for c in OWN]
+        yield pa.RecordBatch.from_arrays([*own, *(pa.array(v, pa.int64()) for v in rows.values())], names=[*OWN, *rows])
+
+
+# Of a class of equal segments: its key, its number of segments, and where one of them stands.
+OWN = ("f", "d1", "d2", "n", "h", "id", "lo")
+MARKS = "f long, d1 long, d2 long, n long, h long, id long, lo int, off long, length long, node long, parent long"
+
+
+def _compare(docs: DataFrame, id_col: str, text_col: str, min_bytes: int, hot_bytes: int, groups: bool) -> tuple[DataFrame, ...]:
+    """(segments, classes, marks): all segments; classes of equal ones; repeats that one segment of each class has in others or inside.
+
+    With ``groups``, marks name every group; without, repeats that classes of several segments cover anyway are left out.
     """
     size, gram = min_bytes, min(GRAM, min_bytes // 8 * 8)
     if gram < 8:
@@ -321,62 +343,103 @@ def find_repeats(
     length = (F.col("one.hi") - F.col("one.lo") + size).cast("long")
     kinds = classes.groupBy("f").agg(F.count("*").alias("k"), F.sum(length).alias("m")).filter("k > 1").drop("k")
 
-    more = classes.filter("n > 1").select("f", "d1", "d2")
-    nothing = F.lit(None).cast("long")
-    copies = pieces.join(more, ["f", "d1", "d2"]).select(
-        "h", "id", F.col("lo").cast("long").alias("start"), (F.col("hi") + size).cast("long").alias("stop"),
-        nothing.alias("node"), nothing.alias("parent"),
-    )
-
-    several = classes.join(kinds, "f").select("f", "one.*", "m")
-    inside = classes.filter((F.col("n") == 1) & F.col("one.inner")).join(kinds, "f", "left_anti").select(
-        "f", "one.*", F.lit(1).cast("long").alias("m")
+    several = classes.join(kinds, "f").select("f", "d1", "d2", "n", "one.*", "m")
+    alone = classes.join(kinds, "f", "left_anti").select("f", "d1", "d2", "n", "one.*", F.lit(1).cast("long").alias("m"))
+    inside = alone.filter(F.col("inner") & (F.lit(groups) | (F.col("n") == 1)))
+    wanted = several.union(inside).groupBy("h", "id").agg(
+        F.collect_list(F.struct("f", "m", "d1", "d2", "n", "lo", "hi")).alias("want")
     )
-    wanted = several.union(inside).groupBy("h", "id").agg(F.collect_list(F.struct("f", "m", "lo", "hi")).alias("want"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
-            out: dict[str, list] = {"f": [], "m": [], "h": [], "id": [], "lo": [], "raw": []}
+            out: dict[str, list] = {c: [] for c in ("m", *OWN, "raw")}
             for h, id_, raw_, want in zip(*(batch.column(c).to_pylist() for c in ("h", "id", "raw", "want"))):
                 for w in want:
-                    values = (w["f"], w["m"], h, id_, w["lo"], raw_[w["lo"] : w["hi"] + size])
+                    values = (w["m"], w["f"], w["d1"], w["d2"], w["n"], h, id_, w["lo"], raw_[w["lo"] : w["hi"] + size])
                     for column, value in zip(out.values(), values):
                         column.append(value)
-            kinds_ = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
+            kinds_ = [pa.int64()] * 7 + [pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_pydict({c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds_)})
 
     fetched = plain.withColumnRenamed("id", "_id").withColumnRenamed("h", "_h").join(
         wanted, (F.col("_h") == F.col("h")) & F.col("_id").eqNullSafe(F.col("id"))
     )
     bytes_of = fetched.select("h", "raw", "id", "want").mapInArrow(
-        fetch, "f long, m long, h long, id long, lo int, raw binary"
+        fetch, "m long, f long, d1 long, d2 long, n long, h long, id long, lo int, raw binary"
     )
     texts = materialize(bytes_of, "segment-bytes")
     count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = texts.filter(F.col("m") <= hot_bytes).select("f", "h", "id", "lo", "raw").repartition(count, "f").sortWithinPartitions("f")
-    repeats = sorted_.mapInArrow(lambda batches: _marks(batches, size), MARKS)
+    sorted_ = texts.filter(F.col("m") <= hot_bytes).select(*OWN, "raw").repartition(count, "f").sortWithinPartitions("f")
+    repeats = sorted_.mapInArrow(lambda batches: _marks(batches, size, groups), MARKS)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, 4, 1 << 20)):
+        for batch in (part for whole in batches for part in slices(whole, len(OWN), 1 << 20)):
             if not batch.num_rows:
                 continue
-            raw_ = batch.column(4).to_pylist()
+            raw_ = batch.column(len(OWN)).to_pylist()
             hashes = [prefix_hashes(np.frombuffer(x, np.uint8), size) for x in raw_]
             at = pa.array(np.repeat(np.arange(len(raw_)), [len(x) for x in hashes]))
             offset = np.concatenate([np.arange(len(x)) for x in hashes])
-            start = batch.column(3).to_numpy()[at.to_numpy()] + offset
-            yield pa.RecordBatch.from_pydict({
-                "f": batch.column(0).take(at), "w": np.concatenate(hashes).view(np.int64),
-                "h": batch.column(1).take(at), "id": batch.column(2).take(at), "start": start.astype(np.int64),
-            })
-
-    busy = texts.filter(F.col("m") > hot_bytes).select("f", "h", "id", "lo", "raw")
-    each = busy.mapInArrow(windows, "f long, w long, h long, id long, start long")
-    twice = each.groupBy("f", "w").agg(F.count("*").alias("n")).filter("n > 1").select("f", "w")
+            columns = [*(batch.column(k).take(at) for k in range(len(OWN))), offset, np.concatenate(hashes).view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*OWN, "off", "w"])
+
+    busy = texts.filter(F.col("m") > hot_bytes).select(*OWN, "raw")
+    if groups:
+        busy = busy.dropDuplicates(["f", "d1", "d2"])
+    each = busy.mapInArrow(windows, "f long, d1 long, d2 long, n long, h long, id long, lo int, off long, w long")
+    places = F.sum("n") if groups else F.count("*")
+    twice = each.groupBy("f", "w").agg(places.alias("places")).filter("places > 1").select("f", "w")
     hit = each.join(twice, ["f", "w"]).select(
-        "h", "id", "start", (F.col("start") + size).alias("stop"), nothing.alias("node"), nothing.alias("parent")
+        *OWN, "off", F.lit(size).cast("long").alias("length"), F.col("w").alias("node"), F.lit(-1).cast("long").alias("parent")
+    )
+    marks = repeats.union(hit)
+    if groups:  # an anchor with one class whose segments have no repeat inside: the class is its only group
+        length = (F.col("hi") - F.col("lo") + size).cast("long")
+        marks = marks.union(alone.filter(~F.col("inner") & (F.col("n") > 1)).select(
+            *OWN, F.lit(0).cast("long").alias("off"), length.alias("length"), F.lit(0).cast("long").alias("node"), F.lit(-1).cast("long").alias("parent")
+        ))
+    return pieces, classes, marks
+
+
+def _copies(pieces: DataFrame, classes: DataFrame) -> DataFrame:
+    """The segments that have equal ones."""
+    return pieces.join(classes.filter("n > 1").select("f", "d1", "d2"), ["f", "d1", "d2"])
+
+
+def find_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, hot_bytes: int = HOT_BYTES
+) -> DataFrame:
+    """(f, node, parent, length, h, id, start, stop): groups of equal strings of at least ``min_bytes`` bytes; h is a hash of id and text.
+
+    Windows of ``min_bytes`` bytes are cut into segments with one anchor (see ``segments``), so
+    equal windows come together by their anchor f. Of equal segments one goes on; its places count for all of
+    them. Different segments with one anchor, and segments that repeat inside, go to suffix
+    arrays, whole anchor groups at a time: none of their suffixes agrees with
+    one of another group for ``min_bytes`` bytes.
+
+    f and node together name a group, over all arrays, and ``length`` is the group's. A row is one occurrence; occurrences that are in a longer
+    group as well stand there alone, and ``parent`` is the node of the shorter group (same f; null: none). So all occurrences
+    of a group are its own rows and those of its descendants, ``start`` onwards for ``length`` bytes; a group without rows of its
+    own has one with null h, id, start and stop. Groups are maximal inside segments: a repeat
+    that goes on past the end of its segments goes on as another group.
+
+    An anchor whose different segments have more than ``hot_bytes`` bytes (the border of a passage in very many texts)
+    is too large for one task; its windows are compared by hash over all tasks. Each of its windows that occurs again is a group of
+    its own, with all its places, ``min_bytes`` long and without parent.
+    """
+    pieces, classes, marks = _compare(docs, id_col, text_col, min_bytes, hot_bytes, True)
+    other = _copies(pieces, classes).select("f", "d1", "d2", *[F.col(c).alias(f"_{c}") for c in ("h", "id", "lo")])
+    empty = F.col("off").isNull()
+    every = marks.withColumn("d1", F.when(~empty, F.col("d1"))).join(other, ["f", "d1", "d2"], "left")
+
+    def place(column: str) -> Column:
+        return F.when(~empty, F.when(F.col("_h").isNull(), F.col(column)).otherwise(F.col(f"_{column}")))
+
+    start = place("lo").cast("long") + F.col("off")
+    return every.select(
+        "f", "node", F.when(F.col("parent") >= 0, F.col("parent")).alias("parent"), "length", place("h").alias("h"), place("id").alias("id"),
+        start.alias("start"), (start + F.col("length")).alias("stop"),
     )
-    return copies.union(repeats).union(hit)
 
 
 def _merged(spans: list[dict]) -> tuple[np.ndarray, np.ndarray]:
@@ -406,7 +469,12 @@ def remove_repeats(
     """
     if clash := {"n_bytes", "n_removed", "n_spans", "kept", "spans"}.intersection([id_col, *keep]):
         raise ValueError(f"columns with the names of result columns: {sorted(clash)}")
-    marks = find_repeats(docs, id_col, text_col, min_bytes, hot_bytes).groupBy("h", "id").agg(
+    pieces, classes, found = _compare(docs, id_col, text_col, min_bytes, hot_bytes, False)
+    start = F.col("lo").cast("long")
+    copies = _copies(pieces, classes).select("h", "id", start.alias("start"), (F.col("hi") + min_bytes).cast("long").alias("stop"))
+    begin = start + F.col("off")
+    repeats = found.select("h", "id", begin.alias("start"), (begin + F.col("length")).alias("stop"))
+    marks = copies.union(repeats).groupBy("h", "id").agg(
         F.collect_set(F.struct("start", "stop")).alias("spans")
     ).withColumnRenamed("id", "_id").withColumnRenamed("h", "_h")
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")

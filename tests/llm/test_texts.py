@@ -129,6 +129,50 @@ def test_repeats_are_cut(spark, size, hot):
     assert all(isinstance(r.kept, str) for r in cut.collect())
 
 
+@pytest.mark.parametrize("hot", [1 << 20, 200])
+def test_groups_have_all_places(spark, hot):
+    rng, size = random.Random(hot), 120
+    passage, other, line = invented(rng, 60), invented(rng, 120), invented(rng, 45)[:130]
+    texts = [invented(rng, rng.randint(5, 60)) for _ in range(15)]
+    texts += [invented(rng, 9) + passage + invented(rng, 9) for _ in range(6)] * 2
+    texts += [other] * 4 + [other[7:] + "x", line, line, "x " + line, "y " + line + " z", "ab" * 70, "ab" * 70, "q" * 135, "", None]
+    for _ in range(6):  # a group whose places are all in longer groups
+        start = invented(rng, 50)[:125]
+        texts += [invented(rng, 4) + start + end + invented(rng, 4) for end in ("qqqq", "qqqq", "zzzz", "zzzz")]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(16, texts[16]), (None, invented(rng, 30) + passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = suffixes.find_repeats(df, min_bytes=size, hot_bytes=hot).collect()
+    raw = {(i, (t or "").encode()) for i, t in rows}
+    by_hash = {(r.h, r.doc_id): bytes(r.raw) for r in df.selectExpr(
+        "xxhash64(doc_id, cast(coalesce(text, '') AS binary)) AS h", "doc_id", "cast(coalesce(text, '') AS binary) AS raw").collect()}
+    assert {(i, x) for (_, i), x in by_hash.items()} == raw
+    every, length, above = {}, {}, {}
+    for r in found:
+        key = r.f, r.node
+        every.setdefault(key, []).extend([(r.h, r.id, r.start)] if r.start is not None else [])
+        assert r.start is None or r.stop - r.start == r.length >= size
+        assert (length.setdefault(key, r.length), above.setdefault(key, r.parent)) == (r.length, r.parent)
+    own = {key: list(places) for key, places in every.items()}
+    for key, places in own.items():
+        f, up = key[0], above.get(key)
+        while up is not None:
+            every[f, up] += places
+            up = above.get((f, up))
+    strings = {}
+    for key, places in every.items():
+        words = {by_hash[h, i][a : a + length[key]] for h, i, a in places}
+        assert len(words) == 1 and len(places) > 1
+        word = words.pop()
+        assert word not in strings
+        strings[word] = key
+        want = [(h, i, p) for (h, i), x in by_hash.items() for p in range(len(x) - len(word) + 1) if x[p : p + len(word)] == word
+                for _ in range(sum((a, (b or "").encode()) == (i, x) for a, b in rows))]
+        assert sorted(places, key=str) == sorted(want, key=str)
+    seen = Counter(x[p : p + size] for i, t in rows for x in [(t or "").encode()] for p in range(len(x) - size + 1))
+    assert all(any(w in s for s in strings) for w, n in seen.items() if n > 1)
+    assert len({f for f, _ in strings.values()}) > 3 and (hot == 200 or any(not own[key] for key in own))
+
+
 def test_rising_subsequence():
     rng = random.Random(0)
     for _ in range(200):
