@@ -128,7 +128,8 @@ class WordTokenizer:
     For tokenizers that lower the case, drop white space and never merge across
     it or between a letter and a sign: ids of a text are the ids of its parts in
     order, and a full stop or comma between a letter and a space is a part of its
-    own. ``whole`` switches the cache off for others.
+    own. ``whole`` switches the cache off for others. Texts that hold the content of an added token (a literal
+    <|endoftext|>) go to the library whole, which gives them that token's id as its plain call does.
     """
 
     def __init__(self, path: str, whole: bool = False) -> None:
@@ -136,7 +137,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.whole = whole
         self.known: dict[str, bytes] = {}
         # The byte-level step of such tokenizers shows each byte as one printable letter.
@@ -145,9 +145,16 @@ class WordTokenizer:
         # A sign before the stop or comma belongs to one run with it; some letters change with what stands by.
         self.signs = re.compile(r"[!-/:-@\[-`{-~\x00-\x08\x0e-\x1f\x7f][.,][ \n]")
         self.others = re.compile("[^0-9A-Za-zÀ-ÖØ-öø-ÿ \n\t\r][.,][ \n]|[\u0300-\u036f\u0130\u03a3]")
+        added = self.library.get_added_tokens_decoder().values()
+        # A normalized token is looked for after the normalizer, so letter case and white space may differ in the text.
+        self.added = re.compile("|".join(re.escape(t.content) for t in added if not t.normalized) or r"(?!)")
+        if any(t.normalized for t in added):
+            self.whole = True
         self.packers = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
-    def _fresh(self, parts: list[str]) -> list[bytes]:
+    def _fresh(self, parts: list[str], plain: bool = True) -> list[bytes]:
+        """Ids by the library. Lowered parts of texts without an added token may look like one, so ``plain`` is off for them."""
+        self.library.encode_special_tokens = not plain
         found = self.library.encode_batch_fast(parts, add_special_tokens=False)
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in found)]
 
@@ -166,7 +173,7 @@ class WordTokenizer:
                 raw = part.encode("utf-8").decode("latin-1").translate(self.byte_letters)
             ids = [token.id for token in merge(raw)]
             known[part] = packers[len(ids)](*ids) if len(ids) < 16 else struct.pack(f"<{len(ids)}I", *ids)
-        known.update(zip(others, self._fresh(others)))
+        known.update(zip(others, self._fresh(others, plain=False)))
 
     def _parts(self, text: str) -> list[str]:
         if (self.signs if text.isascii() else self.others).search(text):
@@ -180,12 +187,14 @@ class WordTokenizer:
         known = self.known
         if len(known) > CACHE_ENTRIES:
             known.clear()
-        cut = [self._parts(text) for text in texts]
+        special = [i for i, text in enumerate(texts) if self.added.search(text)]
+        apart = dict(zip(special, self._fresh([texts[i] for i in special]))) if special else {}
+        cut = [[] if i in apart else self._parts(text) for i, text in enumerate(texts)]
         fresh = list(set().union(*cut).difference(known))
         for start in range(0, len(fresh), 10_000):
             self._learn(fresh[start : start + 10_000])
         get = known.__getitem__
-        return [b"".join(map(get, parts)) for parts in cut]
+        return [apart[i] if i in apart else b"".join(map(get, parts)) for i, parts in enumerate(cut)]
 
 
 _TOKENIZERS: dict[tuple[str, bool], WordTokenizer] = {}

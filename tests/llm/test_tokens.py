@@ -78,6 +78,18 @@ def test_parts_equal_whole_texts():
     assert tokenfile.WordTokenizer(WORDS)(texts) == tokenfile.WordTokenizer(WORDS, whole=True)(texts)
 
 
+def test_added_tokens_as_the_plain_call_gives_them():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORDS)
+    texts = ["hello <|endoftext|> there", "Hello,<|startoftext|>World. <|endoftext|>", "HELLO <|ENDOFTEXT|> x", "<|endoftext |>", "<|endoftext|>", "no sign, here."]
+    texts += [f"{a}<|endoftext|>{b}" for a, b in zip(odd_texts(200), odd_texts(200)[::-1])] + odd_texts(200)
+    want = [library.encode(text, add_special_tokens=False).ids for text in texts]
+    assert want[0] == [3306, 49407, 997]
+    for whole in (False, True):
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in tokenfile.WordTokenizer(WORDS, whole)(texts)] == want
+
+
 def test_damaged_file():
     raw = tokenfile.file_bytes([1, None], [np.array([5, 5, 7]), np.array([], int)], np.array([5, 7]), np.array([0] * 5 + [0, 0, 1]))
     names, lists = tokenfile.read_bytes(raw)
