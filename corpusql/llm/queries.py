@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusql.llm import bpe, chosenpath, lattice, license, mixing, pivots, quality, suffixes, tokenfile, toxicity
+from corpusql.llm import bpe, chosenpath, exactcopies, lattice, license, mixing, pivots, quality, suffixes, tokenfile, toxicity
 from corpusql.llm.learning import held_out
 from corpusql.session import load
 
@@ -196,3 +196,16 @@ FROM counted WHERE epochs > 0
 @query("op10_mixing", mix_sql("* 3 // 4", 2, 17))
 def op10_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(load(spark, d, "documents"), LEVELS, WEIGHTS, budget_share=(3, 4), max_epochs=2, seed=17)
+
+
+COPIES_SQL = """
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+groups AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM texts GROUP BY text)
+SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.text) AS text_sha256
+FROM texts t JOIN groups g ON t.text = g.text
+"""
+
+
+@query("op13_exact_dedup", COPIES_SQL)
+def op13_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return exactcopies.copies(load(spark, d, "documents"))
