@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusql.llm import bpe, chosenpath, exactcopies, lattice, license, mixing, pivots, quality, suffixes, tokenfile, toxicity
+from corpusql.llm import bpe, chosenpath, exactcopies, lattice, license, merkle, mixing, pivots, quality, suffixes, tokenfile, toxicity
 from corpusql.llm.learning import held_out
 from corpusql.session import load
 
@@ -209,3 +209,74 @@ FROM texts t JOIN groups g ON t.text = g.text
 @query("op13_exact_dedup", COPIES_SQL)
 def op13_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exactcopies.copies(load(spark, d, "documents"))
+
+
+TREE_SQL = """
+WITH RECURSIVE
+digits AS (
+  SELECT doc_id, list_transform(range(1, len(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::UBIGINT) AS codes
+  FROM documents WHERE doc_id IS NOT NULL),
+sums AS (
+  SELECT doc_id, xor(4294967295::UBIGINT, list_reduce(codes, lambda c, b: {steps}, 4294967295::UBIGINT)) AS crc FROM digits),
+rows AS (
+  SELECT d.*, coalesce(s.crc % 7 = 0, false) AS hit, row_number() OVER (PARTITION BY d.lang ORDER BY d.doc_id NULLS FIRST) - 1 AS pos
+  FROM documents d LEFT JOIN sums s ON d.doc_id = s.doc_id),
+leaves AS (
+  SELECT doc_id, lang, pos, {leaf} AS leaf, CASE WHEN hit THEN {changed} ELSE {leaf} END AS late FROM rows),
+trees AS (
+  SELECT lang, 0 AS level, pos, leaf AS digest, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (max(n) + 1) // 2 FROM trees
+  WHERE n > 1 GROUP BY lang, level, pos // 2),
+subroots AS (
+  SELECT lang, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM trees WHERE n = 1),
+crown AS (
+  SELECT 0 AS level, pos, digest, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), (max(n) + 1) // 2 FROM crown WHERE n > 1 GROUP BY level, pos // 2),
+walk AS (
+  SELECT doc_id, lang, pos AS place, 0 AS level, pos, late, '' AS proof, false AS top FROM leaves
+  UNION ALL
+  SELECT w.doc_id, w.lang, w.place, CASE WHEN t.n = 1 THEN 0 ELSE w.level + 1 END, CASE WHEN t.n = 1 THEN s.pos ELSE w.pos // 2 END,
+         CASE WHEN t.n = 1 THEN w.late WHEN o.digest IS NULL THEN sha256(w.late)
+              WHEN w.pos % 2 = 0 THEN sha256(w.late || o.digest) ELSE sha256(o.digest || w.late) END,
+         w.proof || CASE WHEN t.n = 1 THEN '' ELSE coalesce(o.digest, '') END, t.n = 1
+  FROM walk w JOIN trees t ON NOT w.top AND t.lang IS NOT DISTINCT FROM w.lang AND t.level = w.level AND t.pos = w.pos
+  LEFT JOIN trees o ON o.lang IS NOT DISTINCT FROM w.lang AND o.level = w.level AND o.pos = xor(w.pos, 1)
+  JOIN subroots s ON s.lang IS NOT DISTINCT FROM w.lang),
+climb AS (
+  SELECT doc_id, lang, place, 0 AS level, pos, late, proof FROM walk WHERE top
+  UNION ALL
+  SELECT c.doc_id, c.lang, c.place, c.level + 1, c.pos // 2,
+         CASE WHEN o.digest IS NULL THEN sha256(c.late) WHEN c.pos % 2 = 0 THEN sha256(c.late || o.digest) ELSE sha256(o.digest || c.late) END,
+         c.proof || coalesce(o.digest, '')
+  FROM climb c JOIN crown t ON t.level = c.level AND t.pos = c.pos AND t.n > 1
+  LEFT JOIN crown o ON o.level = c.level AND o.pos = xor(c.pos, 1)),
+ended AS (SELECT * FROM climb QUALIFY level = max(level) OVER ()),
+root AS (SELECT digest FROM crown WHERE n = 1)
+SELECT l.doc_id, l.leaf, s.digest AS subroot, r.digest AS root, sha256(e.proof) AS proof_sha256, e.late AS folded_root, e.late = r.digest AS verified
+FROM leaves l JOIN ended e ON e.lang IS NOT DISTINCT FROM l.lang AND e.place = l.pos
+JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang CROSS JOIN root r
+"""
+
+
+def tree_sql() -> str:
+    """Leaves, trees and paths in SQL; crc32 bit by bit."""
+
+    def field(value: str) -> str:
+        return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}, '-')"
+
+    step = "xor(c, b)"
+    for _ in range(8):
+        step = f"list_transform([{step}], lambda v: xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))[1]"
+    parts = [field(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    own, changed = (f"sha256({' || '.join([*parts[:3], n, parts[4]])})" for n in (parts[3], field("(n_chars + 1)")))
+    return TREE_SQL.format(steps=step, leaf=own, changed=changed)
+
+
+@query("op11_merkle_manifest", tree_sql())
+def op11_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    later = F.when(hit, F.col("n_chars") + 1).otherwise(F.col("n_chars")).cast("string")
+    count = F.coalesce(F.concat(F.octet_length(later).cast("string"), F.lit(":"), later), F.lit("-"))
+    return merkle.verify(load(spark, d, "documents"), ["doc_id", "source", "lang", count, "text"])
