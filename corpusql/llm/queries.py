@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusql.llm import bpe, chosenpath, exactcopies, lattice, license, merkle, mixing, pivots, quality, suffixes, tokenfile, toxicity
+from corpusql.llm import bpe, chosenpath, exactcopies, lattice, license, merkle, mixing, negatives, pivots, quality, suffixes, tokenfile, toxicity
 from corpusql.llm.learning import held_out
 from corpusql.session import load
 
@@ -280,3 +280,29 @@ def op11_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
     later = F.when(hit, F.col("n_chars") + 1).otherwise(F.col("n_chars")).cast("string")
     count = F.coalesce(F.concat(F.octet_length(later).cast("string"), F.lit(":"), later), F.lit("-"))
     return merkle.verify(load(spark, d, "documents"), ["doc_id", "source", "lang", count, "text"])
+
+
+NEGATIVES_SQL = """
+WITH fit AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score
+  FROM fit a JOIN fit c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id AND len(a.v) = len(c.v)),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank,
+       s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+ AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+QUALIFY rank <= 10
+"""
+
+
+@query("op12_hard_negatives", NEGATIVES_SQL)
+def op12_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(load(spark, d, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
