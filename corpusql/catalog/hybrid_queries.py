@@ -65,17 +65,19 @@ def hybrid_context(spark, d):
 
 @query("hybrid_context_all", f"""
 WITH {CHUNKS_SQL}, {GOOD_SQL},
-t AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY chunk_index) AS text
-      FROM chunks WHERE doc_id IN (SELECT doc_id FROM good) GROUP BY 1),
-r AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM t)
-SELECT count(*)::BIGINT AS documents, md5(string_agg('[Document ' || i || ']' || chr(10) || text,
-  chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i)) AS context_md5 FROM r
+s AS (SELECT doc_id, chunk_index // 2 AS segment, count(*)::BIGINT AS chunks, string_agg(text, chr(10) || chr(10) ORDER BY chunk_index) AS text
+      FROM chunks WHERE doc_id IN (SELECT doc_id FROM good) AND text <> '' GROUP BY ALL),
+r AS (SELECT *, dense_rank() OVER (ORDER BY doc_id) AS i, min(segment) OVER (PARTITION BY doc_id) AS first FROM s)
+SELECT i::BIGINT AS document, segment::BIGINT AS segment, doc_id, chunks,
+  md5(CASE WHEN segment > first THEN chr(10) || chr(10)
+           ELSE CASE WHEN i > 1 THEN chr(10) || chr(10) || '---' || chr(10) || chr(10) ELSE '' END || '[Document ' || i || ']' || chr(10) END || text) AS block_md5
+FROM r
 """)
 def hybrid_context_all(spark, d):
-    """The same without any limit."""
+    """The same without any limit: the rows whose blocks, one behind the other, are the context. Small segments, so that many documents have several."""
     narrowed = hy.narrow_corpus(documents(spark, d).select("doc_id"), good_labels(spark, d), None)
-    made = hy.hybrid_context(chunks(spark, d), narrowed, None, None, None)
-    return made.select(F.col("documents").cast("bigint"), F.md5("context").alias("context_md5"))
+    made = hy.hybrid_blocks(chunks(spark, d), narrowed, segment_chunks=2)
+    return made.select("document", "segment", "doc_id", F.col("chunks").cast("bigint"), F.md5("block").alias("block_md5"))
 
 
 @query("hybrid_metadata", f"""

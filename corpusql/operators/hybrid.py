@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusql.operators.chunking import numbered_context, reassemble
+from corpusql.operators.chunking import BLANK_LINE, numbered_context, reassemble
+from corpusql.operators.ranks import numbered
+from corpusql.session import materialize
 
 MAX_DOCUMENTS = 10
 DOC_CHARS, CONTEXT_CHARS = 5000, 15000
@@ -16,6 +18,11 @@ DOC_CHARS, CONTEXT_CHARS = 5000, 15000
 NO_DOCUMENTS = "No relevant documents found for your query."
 FOUND_CONFIDENCE = 0.8
 
+# Layout of the context: a heading per document, and what stands between documents.
+HEADING = "[Document %d]"
+SEPARATOR = BLANK_LINE + "---" + BLANK_LINE
+SEGMENT_CHUNKS = 1000
+
 
 def filter_doc_ids(rows: DataFrame) -> DataFrame:
     """Ids in result rows: doc_id, else document_id, else id; as text, empties dropped."""
@@ -49,17 +56,19 @@ def hybrid_context(
     narrowed: DataFrame,
     doc_chars: int | None = DOC_CHARS,
     total_chars: int | None = CONTEXT_CHARS,
-    max_documents: int | None = MAX_DOCUMENTS,
+    max_documents: int = MAX_DOCUMENTS,
 ) -> DataFrame:
     """One row: numbered context over the narrowed documents, with their number.
 
     With no document the row says so and has confidence zero. The limits are those of a
-    prompt, and None switches each off; the text itself is never changed in the tables.
+    prompt; the text itself is never changed in the tables. One of the character limits may be None. A context over any number of
+    whole documents is no single value: ``hybrid_blocks`` gives its rows.
     """
+    longest = doc_chars if doc_chars is not None else total_chars
+    if longest is None or max_documents is None:
+        raise ValueError("a context in one value needs a limit of documents and of characters; see hybrid_blocks")
     wanted = narrowed.select("doc_id").distinct()
-    # A document without a limit comes in segments; one prompt needs it whole.
-    whole = {} if doc_chars else {"segment_chunks": 1 << 31}
-    texts = reassemble(chunks.join(wanted, "doc_id", "left_semi"), max_chars=doc_chars, **whole)
+    texts = reassemble(chunks.join(wanted, "doc_id", "left_semi"), max_chars=longest)
     context = numbered_context(
         texts, ["doc_id"], max_documents, doc_chars=doc_chars, total_chars=total_chars
     )
@@ -70,6 +79,49 @@ def hybrid_context(
     )
 
 
+def hybrid_blocks(
+    chunks: DataFrame,
+    narrowed: DataFrame,
+    order_by: Sequence[str] = ("doc_id",),
+    segment_chunks: int = SEGMENT_CHUNKS,
+    heading: str = HEADING,
+) -> DataFrame:
+    """(document, segment, doc_id, chunks, block): the numbered context over all narrowed documents, without any limit.
+
+    The blocks in the order of ``document`` (from 1, by ``order_by``, columns of ``narrowed``) and ``segment``, put one behind the
+    other, are the whole context: the first segment of a document brings the separator and its heading along, later
+    ones the blank line between chunks. Documents without text have no number, as in ``hybrid_context``.
+
+    Only ids are numbered, by range partitions. Texts are shuffled once, by document and segment of ``segment_chunks`` chunk numbers, so
+    neither the corpus nor a long document is ever one group.
+    """
+    part = F.col("chunk_index").cast("long")
+    pieces = chunks.filter(F.length("text") > 0).select(
+        "doc_id", F.floor(part / segment_chunks).alias("segment"), part.alias("i"), F.col("text").alias("t")
+    )
+    others = [c for c in order_by if c != "doc_id"]
+    wanted = narrowed.groupBy("doc_id").agg(F.count("*").alias("_n"), *[F.min(c).alias(f"_by_{c}") for c in others])
+    segments = materialize(pieces.select("doc_id", "segment").distinct().join(wanted, "doc_id"), "segments")
+    # The least segment with text stands for the document: one row each, small beside the texts.
+    first = segments.groupBy("doc_id", "_n", *[f"_by_{c}" for c in others]).agg(F.min("segment").alias("first"))
+    order = [F.col(c if c == "doc_id" else f"_by_{c}") for c in order_by] + [F.col("doc_id")]
+    numbers = numbered(materialize(first.withColumn("all", F.lit(0)), "documents"), "all", order, "document", "documents")
+    keys = segments.select("doc_id", "segment").join(
+        numbers.select("doc_id", (F.col("document") + 1).alias("document"), "first"), "doc_id"
+    )
+    gathered = pieces.join(keys, ["doc_id", "segment"]).groupBy("doc_id", "segment", "document", "first").agg(
+        F.array_sort(F.collect_list(F.struct("i", "t"))).alias("parts")
+    )
+    text = F.array_join(F.transform("parts", lambda p: p["t"]), BLANK_LINE)
+    opening = F.concat(
+        F.when(F.col("document") > 1, F.lit(SEPARATOR)).otherwise(F.lit("")), F.format_string(heading + "\n", F.col("document"))
+    )
+    lead = F.when(F.col("segment") == F.col("first"), opening).otherwise(F.lit(BLANK_LINE))
+    return gathered.select(
+        "document", "segment", "doc_id", F.size("parts").alias("chunks"), F.concat(lead, text).alias("block")
+    )
+
+
 def document_metadata(documents: DataFrame, narrowed: DataFrame, columns: Sequence[str | Column]) -> DataFrame:
     return documents.join(narrowed.select("doc_id").distinct(), "doc_id", "left_semi").select(
         "doc_id", *columns

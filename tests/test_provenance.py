@@ -128,3 +128,19 @@ def test_narrowing_and_context(spark, docs, chunks):
     none = hy.hybrid_context(chunks, docs.limit(0)).collect()[0]
     assert (none.documents, none.confidence, none.context) == (0, 0.0, hy.NO_DOCUMENTS)
     assert hy.document_metadata(docs, few, ["filename"]).count() == 2
+    with pytest.raises(ValueError):
+        hy.hybrid_context(chunks, few, None, None)
+
+
+@pytest.mark.parametrize("segment_chunks, order_by", [(1, ["doc_id"]), (2, ["filename", "doc_id"]), (1000, ["doc_id"])])
+def test_blocks_are_the_whole_context(spark, docs, chunks, segment_chunks, order_by):
+    """The rows put together are the same text as the one value with wide limits; empty and missing chunks included."""
+    odd = chunks.withColumn("text", F.when((F.col("doc_id") == "d7") | (F.col("chunk_index") == 1), "").otherwise(F.col("text")))
+    made = hy.hybrid_blocks(odd, docs.union(docs.limit(3)), order_by, segment_chunks)
+    rows = sorted(made.collect(), key=lambda r: (r.document, r.segment))
+    assert made.columns == ["document", "segment", "doc_id", "chunks", "block"]
+    assert len({(r.document, r.segment) for r in rows}) == len(rows)
+    if order_by == ["doc_id"]:
+        whole = hy.hybrid_context(odd, docs, None, 10**8, 10**6).first()
+        assert "".join(r.block for r in rows) == whole.context and rows[-1].document == whole.documents
+    assert hy.hybrid_blocks(odd, docs.limit(0)).count() == 0

@@ -101,6 +101,20 @@ def test_percentiles_against_numpy(spark, fraction, kind):
         assert got[g] == pytest.approx(np.quantile(values[g::2], fraction), abs=1e-9)
 
 
+@pytest.mark.parametrize("fraction", [0.0, 0.5, 0.951, 1.0])
+@pytest.mark.parametrize("keys", [[], ["g"]])
+def test_percentiles_in_rounds(spark, fraction, keys):
+    """So few values may be walked that several rounds of cells are needed; null is a key of its own."""
+    rng = np.random.default_rng(8)
+    values = np.where(rng.random(30_000) < 0.3, 2.0, np.exp(rng.normal(size=30_000) * 6))
+    df = spark.createDataFrame([(None if i % 3 == 0 else i % 3, float(v)) for i, v in enumerate(values)], "g int, v double")
+    got = {r.g if keys else 0: r.percentile for r in quantile.exact_percentiles(df, "v", fraction, keys, walk_rows=12).collect()}
+    want = {None: values[::3], 1: values[1::3], 2: values[2::3]} if keys else {0: values}
+    assert set(got) == set(want)
+    for g, own in want.items():
+        assert got[g] == pytest.approx(np.quantile(own, fraction), rel=1e-12)
+
+
 def test_percentile_of_one_and_of_none(spark):
     one = spark.createDataFrame([(5.0,)], "v double")
     assert quantile.exact_percentiles(one, "v", 0.95).collect()[0].percentile == 5.0
