@@ -78,7 +78,7 @@ FROM (SELECT 'x' || chr(10) || 'Columns: s_suppkey, s_name, s_nationkey, s_acctb
   || ''', ''s_nationkey'': ' || s_nationkey || ', ''s_acctbal'': ' || s_acctbal || '}' AS text FROM supplier)
 """)
 def csv_documents(spark, d):
-    made = fs.csv_documents(fs.read_files(spark, corpus_folder(spark, d) + "/tables", "CSV"))
+    made = fs.csv_documents(spark, corpus_folder(spark, d) + "/tables")
     anonymous = F.regexp_replace("text", r"\ACSV Data: [^\n]*", "x")
     return made.select(
         "row_count", "column_count", F.split("text", "\n")[1].alias("header"), F.md5(anonymous).alias("data_md5")

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from corpusql.functions import ids
 from corpusql.functions import text as tx
-from corpusql.sources.tables import SAMPLE_ROWS, TABLE_HEAD, TABLE_MORE, TABLE_ROW
+from corpusql.sources.csvfiles import csv_summaries, describe
 
 # Parser and source type by file extension.
 PARSERS = {
@@ -77,12 +77,17 @@ def file_metadata(files: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def name_pattern(parser: str) -> str:
-    """File names that one parser takes, in any case, as the file source understands it."""
-    either = ["".join(f"[{c}{c.upper()}]" for c in ext) for ext, name in PARSERS.items() if name == parser]
+def ext_pattern(*extensions: str) -> str:
+    """File names with one of the extensions, in any case, as the file source understands it."""
+    either = ["".join(f"[{c}{c.upper()}]" for c in ext) for ext in extensions]
     return f"*.{{{','.join(either)}}}"
 
 
+def name_pattern(parser: str) -> str:
+    """File names that one parser takes."""
+    return ext_pattern(*[ext for ext, name in PARSERS.items() if name == parser])
+
+
 def read_files(
     spark: SparkSession, path: str, parser: str, max_bytes: int = MAX_FILE_BYTES
 ) -> DataFrame:
@@ -173,28 +178,34 @@ CSV_RESULT = T.StructType(
 
 
 @F.pandas_udf(CSV_RESULT)
-def _csv_summary(names: pd.Series, extensions: pd.Series, contents: pd.Series) -> pd.DataFrame:
+def _csv_text(
+    names: pd.Series, first: pd.Series, counts: pd.Series, rows: pd.Series, widest: pd.Series, errors: pd.Series
+) -> pd.DataFrame:
     out = []
-    for name, ext, content in zip(names, extensions, contents):
-        try:
-            table = pd.read_csv(io.BytesIO(content), delimiter="\t" if ext == "tsv" else ",")
-            head = table.head(SAMPLE_ROWS).to_dict("records")
-            lines = [TABLE_HEAD % (name, ", ".join(map(str, table.columns)), len(table))]
-            lines += [TABLE_ROW % (i, row) for i, row in enumerate(head, 1)]
-            if len(table) > len(head):
-                lines.append(TABLE_MORE % (len(table) - len(head)))
-            names_json = json.dumps([str(c) for c in table.columns])
-            types_json = json.dumps({str(c): str(t) for c, t in table.dtypes.items()})
-            out.append(("\n".join(lines), len(table), table.shape[1], names_json, types_json, None))
-        except Exception as problem:  # a bad file must not stop the corpus
-            out.append((None, None, None, None, None, str(problem)))
+    for name, head, kinds, n, most, error in zip(names, first, counts, rows, widest, errors):
+        if head is None:
+            out.append((None, None, None, None, None, error or "no columns in the file"))
+        else:
+            out.append(describe(name, [list(x) for x in head], [list(map(int, x)) for x in kinds], int(n), int(most)))
     return pd.DataFrame(out, columns=CSV_RESULT.names)
 
 
-def csv_documents(files: DataFrame) -> DataFrame:
-    """Each CSV or TSV file as one document: its shape and its first ten rows."""
-    summary = _csv_summary("filename", "extension", "content")
-    return files.withColumn("_csv", summary).drop("content").select("*", "_csv.*").drop("_csv")
+def csv_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Each CSV or TSV file below ``path`` as one document: its shape, column types and first ten rows.
+
+    Files of any size: lines are read by as many tasks as a file has blocks and become records where they lie, value
+    kinds are counted in the tasks, and a file leaves only its counts and first rows. Quoted fields may span
+    lines. A file that cannot be read has a row with the error. Short rows miss their last values.
+    """
+    parts = [csv_summaries(spark, path, ext_pattern(ext), sep) for ext, sep in (("csv", ","), ("tsv", "\t"))]
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", name_pattern("CSV")).load(path).withColumn("location", F.col("_metadata.file_path"))
+    )
+    known = file_metadata(files, "location").join(parts[0].union(parts[1]), "location", "left")
+    text = _csv_text("filename", "first", "counts", "rows", "widest", "error")
+    kept = known.drop("location", "first", "counts", "rows", "widest", "error").columns
+    return known.withColumn("_csv", text).select(*kept, "_csv.*")
 
 
 def pdf_pages(files: DataFrame) -> DataFrame:

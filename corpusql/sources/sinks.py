@@ -102,7 +102,7 @@ def parse_corpus(spark: SparkSession, path: str) -> DataFrame:
     columns = ["doc_id", "filename", "file_path", "file_size", "extension", "source_type",
                "modified_at", "parser", "text", "error"]
     text = fs.text_documents(fs.read_files(spark, path, "Text")).withColumn("parser", F.lit("Text"))
-    table = fs.csv_documents(fs.read_files(spark, path, "CSV")).withColumn("parser", F.lit("CSV"))
+    table = fs.csv_documents(spark, path).withColumn("parser", F.lit("CSV"))
     pdf_files = fs.read_files(spark, path, "PDF")
     # A document is gathered whole here because it is one file of bounded size.
     assembled = (

@@ -67,7 +67,7 @@ def test_text_documents(spark, folder):
 
 
 def test_csv_documents(spark, folder):
-    rows = by_name(fs.csv_documents(fs.read_files(spark, folder, "CSV")))
+    rows = by_name(fs.csv_documents(spark, folder))
     people = rows["people.csv"]
     assert people.row_count == 2 and "Alice" in people.text
     assert people.text.splitlines()[:3] == ["CSV Data: people.csv", "Columns: name, age, city", "Rows: 2"]
@@ -80,7 +80,7 @@ def test_csv_documents(spark, folder):
 def test_csv_as_a_table_gives_the_same_text(spark, folder):
     rows = tables.csv_rows(spark, f"{folder}/people.csv")
     made = tables.table_to_document(rows, "people.csv", tables.LINE_ORDER).collect()[0]
-    same = by_name(fs.csv_documents(fs.read_files(spark, folder, "CSV")))["people.csv"]
+    same = by_name(fs.csv_documents(spark, folder))["people.csv"]
     assert made.text == same.text and made.row_count == 2 and made.column_count == 3
 
 
@@ -225,3 +225,56 @@ def test_session_defaults_do_not_override(spark):
         assert build_session().conf.get("spark.sql.session.timeZone") == "UTC"
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
+CSV_TEXTS = [
+    "a,b\n1,2,3\n4,5,6\n", "a,b\n1\n2,3\n", "a,a,\n1,2,3\n", "a,b\n", "a,b", 'a,b\n1,"x\n y"\n2,"p""q\n\n,r"\n', "a,b\n \n1,2\n\n3,x\n",
+    "a\nTrue\n\nFalse\n", "a,b\nTrue,\nFalse,x\n,y\n", "a,b\n1,inf\n2,1e5\n", "a,b\n1_0,+5\n 2 ,3\n", 'a,b\n"1","NA"\n', "\ufeffa,b\n1,2\n",
+    "a,b\n1,2\n3,4,5\n", 'a,b\n1,"x', "\n", 'a,b\n1,5" x\n2,y"\n3,"z"\n', "a,b\r\n1,x\r\n2,y\r\n", 'n,t\n1,"a"\n2,"b" \n', "x\n" + "1.5\n" * 15,
+    "a,b,c\n" + "".join(f'{i},"line {i}\nnext ""{i}""",{i / 4}\n' for i in range(60)), "a,b\nnull,1\nNone,2.5\n", "a,b\ntrue,1\n1,2\n",
+]
+
+
+def csv_by_pandas(name, content, sep):
+    import io
+
+    import pandas as pd
+
+    try:
+        table = pd.read_csv(io.BytesIO(content), delimiter=sep)
+    except Exception:
+        return None
+    head = table.head(10).to_dict("records")
+    lines = [f"CSV Data: {name}", "Columns: " + ", ".join(map(str, table.columns)), f"Rows: {len(table)}", "", "Data:"]
+    lines += [f"Row {i}: {row}" for i, row in enumerate(head, 1)]
+    lines += [f"... ({len(table) - len(head)} more rows)"] if len(table) > len(head) else []
+    return "\n".join(lines), len(table), table.shape[1], table.dtypes.astype(str).to_dict()
+
+
+@pytest.mark.parametrize("block", [None, 300, 40])
+def test_csv_files_of_many_blocks(spark, tmp_path, block):
+    """Records are the same however few bytes a task reads, and the same as by a reader of whole files."""
+    want = {}
+    for i, text in enumerate(CSV_TEXTS):
+        for sep, ext in ((",", "csv"), ("\t", "TSV")):
+            name, content = f"f {i}.{ext}", text.replace(",", sep).encode()
+            (tmp_path / name).write_bytes(content)
+            want[name] = csv_by_pandas(name, content, sep)
+    (tmp_path / "latin.csv").write_bytes("a,b\nx,caf\xe9\n".encode("latin-1"))
+    want["latin.csv"] = None
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    if block:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = by_name(fs.csv_documents(spark, str(tmp_path)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert set(got) == set(want)
+    for name, made in want.items():
+        row = got[name]
+        if made is None:
+            assert row.text is None and row.error, name
+        else:
+            assert row.error is None and (row.text, row.row_count, row.column_count, json.loads(row.dtypes)) == made, name
