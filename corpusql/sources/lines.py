@@ -6,22 +6,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LINE_FIELDS = "location string, block long, text string, at long"
+from corpusql.functions import ids
+from corpusql.functions import text as tx
+from corpusql.operators.chunking import CHUNK_SIZE, OVERLAP
 
-
-def read_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """(location, block, text, valid) of every line below ``path``. A carriage return before the line feed stays in the text.
+def read_lines(spark: SparkSession, path: str, glob: str | None = None, larger_than: int | None = None) -> DataFrame:
+    """(location, block, text) of every line below ``path``. A carriage return before the line feed stays in the text.
 
     ``block`` is the byte the reading task started from. A line belongs to the block its
     first byte lies in; the rows of a block come from one task, in the order of the file. Text that is not UTF-8 is NULL.
+    ``larger_than`` leaves out the files of so many bytes and less, before any is opened.
     """
     reader = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n")
     reader = reader.option("pathGlobFilter", glob) if glob else reader
-    return reader.text(path).select(
+    lines = reader.text(path)
+    if larger_than is not None:
+        lines = lines.filter(F.col("_metadata.file_size") > larger_than)
+    return lines.select(
         F.col("_metadata.file_path").alias("location"),
         F.col("_metadata.file_block_start").alias("block"),
         F.when(F.is_valid_utf8("value"), F.col("value")).alias("text"),
@@ -37,34 +42,101 @@ def runs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(new, batch.num_rows)
 
 
-def numbered_lines(lines: DataFrame) -> DataFrame:
-    """``read_lines`` with ``at``, the line's number in its block, from 0."""
+def placed_lines(lines: DataFrame) -> DataFrame:
+    """``lines`` (location, block, text, n) with ``at``, the line's number in its block, and ``upto``, the sum of ``n`` of the block's lines before it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, 0
+        last, held, total = None, 0, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            at = np.empty(batch.num_rows, np.int64)
+            n = batch.column("n").to_numpy()
+            at, upto = np.empty(batch.num_rows, np.int64), np.empty(batch.num_rows, np.int64)
             for a, b in zip(*runs(batch)):
                 key = (batch.column("location")[a].as_py(), batch.column("block")[a].as_py())
-                held = held if key == last else 0
+                if key != last:
+                    last, held, total = key, 0, 0
                 at[a:b] = np.arange(held, held + b - a)
-                last, held = key, held + b - a
-            yield batch.append_column("at", pa.array(at))
+                sums = total + np.cumsum(n[a:b])
+                upto[a:b] = sums - n[a:b]
+                held, total = held + b - a, int(sums[-1])
+            yield batch.append_column("at", pa.array(at)).append_column("upto", pa.array(upto))
+
+    return lines.mapInArrow(count, "location string, block long, text string, n long, at long, upto long")
 
-    return lines.mapInArrow(count, LINE_FIELDS)
+
+def long_text_files(spark: SparkSession, path: str, glob: str, larger_than: int) -> DataFrame:
+    """(location, block, lines, tokens, bytes, chars, invalid) of the blocks of large text files: some hundred bytes for a block's millions."""
+    lines = read_lines(spark, path, glob, larger_than)
+    return lines.groupBy("location", "block").agg(
+        F.count("*").alias("lines"), F.sum(tx.token_count(F.col("text")).cast("long")).alias("tokens"),
+        F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.length("text")).alias("chars"),
+        F.count_if(F.col("text").isNull()).alias("invalid"),
+    )
 
 
-def line_numbers(lines: DataFrame) -> DataFrame:
-    """(location, block, text, line): ``line`` is the number in the file, from 0.
+def long_text_chunks(
+    spark: SparkSession, path: str, glob: str, larger_than: int, files: DataFrame, blocks: DataFrame,
+    size: int = CHUNK_SIZE, overlap: int = OVERLAP,
+) -> DataFrame:
+    """The rows of ``token_chunks`` for text files too large for one value: the same windows, read by many tasks.
 
-    The lines of each block are counted once more, without their text; the sums
-    have a row per block, some hundred bytes for a hundred megabytes of lines.
+    ``files`` (location, doc_id, file_size) says which files, ``blocks`` is ``long_text_files`` of them. Token numbers come from sums per
+    block. Each line gives each window it reaches into a piece; a window is put together
+    from its pieces, so a group holds ``size`` tokens. White space behind a line's last token goes to the windows of the next token, that
+    at the end of the file to those of the last one. One line must fit into a value.
     """
-    counts = lines.groupBy("location", "block").agg(F.count("*").alias("n"))
-    earlier = W.partitionBy("location").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    before = counts.select("location", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    return numbered_lines(lines).join(before, ["location", "block"]).select(
-        "location", "block", "text", (F.col("before") + F.col("at")).alias("line")
+    if size < 1 or overlap < 0 or overlap >= size:
+        raise ValueError("need 0 <= overlap < size")
+    step = size - overlap
+    of_file, earlier = W.partitionBy("location"), W.partitionBy("location").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    offsets = blocks.join(files.select("location", "doc_id", "file_size"), "location").select(
+        "location", "block", "doc_id",
+        F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("tokens_before"),
+        F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("lines_before"),
+        F.sum("tokens").over(of_file).alias("total"), F.sum("lines").over(of_file).alias("all_lines"),
+        (F.col("file_size") - F.sum("bytes").over(of_file) - F.sum("lines").over(of_file) + 1).alias("feeds"),
+    )
+    lines = read_lines(spark, path, glob, larger_than).join(files.select("location"), "location", "left_semi")
+    counted = lines.select("location", "block", "text", tx.token_count(F.col("text")).cast("long").alias("n"))
+    placed = placed_lines(counted).join(offsets, ["location", "block"]).filter("total > 0")
+    line = F.col("lines_before") + F.col("at")
+    first = F.col("tokens_before") + F.col("upto")
+    # The line feed before a line is white space before its first token; a feed at the end of the file stands behind the last line.
+    body = F.concat(
+        F.when(line > 0, F.lit("\n")).otherwise(F.lit("")), F.col("text"),
+        F.when((line == F.col("all_lines") - 1) & (F.col("feeds") > 0), F.lit("\n")).otherwise(F.lit("")),
+    )
+    rows = placed.select("doc_id", "n", "total", line.alias("line"), first.alias("o"), body.alias("body"))
+    rows = rows.withColumn("toks", F.regexp_extract_all("body", F.lit(rf"({tx.SPACE}*{tx.NON_SPACE}+)"), 1))
+    rows = rows.withColumn("tail", F.regexp_extract("body", rf"({tx.SPACE}*)\z", 1))
+
+    def reach(from_token: Column, to_token: Column) -> Column:
+        """Windows that hold any of the tokens."""
+        low = F.greatest(F.floor((from_token - size) / step) + 1, F.lit(0))
+        return F.sequence(low, F.floor(to_token / step))
+
+    o, n = F.col("o"), F.col("n")
+
+    def piece(w: Column) -> Column:
+        start, stop = F.greatest(w * step, o), F.least(w * step + size, o + n)
+        text = F.array_join(F.slice("toks", (start - o + 1).cast("int"), (stop - start).cast("int")), "")
+        return F.struct(w.alias("w"), F.lit(0).alias("part"), text.alias("t"), (stop - start).alias("k"))
+
+    none = F.array().cast("array<struct<w: bigint, part: int, t: string, k: bigint>>")
+    words = F.when(n > 0, F.transform(reach(o, o + n - 1), piece)).otherwise(none)
+    owner = F.least(o + n, F.col("total") - 1)
+    behind = F.when(F.col("tail") != "", F.transform(
+        reach(owner, owner), lambda w: F.struct(w.alias("w"), F.lit(1).alias("part"), F.col("tail").alias("t"), F.lit(0).cast("long").alias("k"))
+    )).otherwise(none)
+    pieces = rows.select("doc_id", "line", F.inline(F.concat(words, behind)))
+    gathered = pieces.groupBy("doc_id", "w").agg(
+        F.array_sort(F.collect_list(F.struct("line", "part", "t"))).alias("parts"), F.sum("k").cast("int").alias("token_count")
+    )
+    text = F.array_join(F.transform("parts", lambda p: p["t"]), "")
+    start = (F.col("w") * step).cast("int")
+    return gathered.select(
+        ids.chunk_id(F.col("doc_id"), F.col("w")).alias("chunk_id"), "doc_id", F.col("w").cast("int").alias("chunk_index"),
+        text.alias("text"), "token_count", start.alias("start_token"), (start + F.col("token_count")).alias("end_token"),
+        F.length(text).alias("char_count"),
     )

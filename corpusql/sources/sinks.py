@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusql.operators.chunking import CHUNK_SIZE, OVERLAP, token_chunks
 from corpusql.session import materialize
 from corpusql.sources import files as fs
+from corpusql.sources.lines import long_text_chunks, long_text_files
 from corpusql.sources.tables import leave_out, read_if_present
 
 
@@ -97,13 +98,18 @@ def write_result(df: DataFrame, path: str, fmt: str = "json") -> None:
         raise ValueError("fmt is csv or json")
 
 
-def parse_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of all supported files below ``path``; failed files carry an error."""
-    columns = ["doc_id", "filename", "file_path", "file_size", "extension", "source_type",
-               "modified_at", "parser", "text", "error"]
-    text = fs.text_documents(fs.read_files(spark, path, "Text")).withColumn("parser", F.lit("Text"))
+PARSED = ["doc_id", "filename", "file_path", "file_size", "extension", "source_type", "modified_at", "parser", "text", "error"]
+
+
+def parse_corpus(spark: SparkSession, path: str, max_bytes: int = fs.MAX_FILE_BYTES) -> DataFrame:
+    """Documents of all supported files below ``path``; failed files carry an error.
+
+    Text files over ``max_bytes`` have neither text nor error: their text is no single value, and
+    ``long_documents`` reads it.
+    """
+    text = fs.text_documents(fs.read_files(spark, path, "Text", max_bytes)).withColumn("parser", F.lit("Text"))
     table = fs.csv_documents(spark, path).withColumn("parser", F.lit("CSV"))
-    pdf_files = fs.read_files(spark, path, "PDF")
+    pdf_files = fs.read_files(spark, path, "PDF", max_bytes)
     # A document is gathered whole here because it is one file of bounded size.
     assembled = (
         fs.page_assembly(fs.pdf_pages(pdf_files), segment_pages=1 << 31)
@@ -115,28 +121,61 @@ def parse_corpus(spark: SparkSession, path: str) -> DataFrame:
     )
     scan = fs.corpus_scan(spark, path)
     rest = scan.filter(F.col("parser").isNull()).withColumn("error", F.lit(None).cast("string"))
-    others = fs.oversize_files(scan).unionByName(rest).withColumn(
+    others = fs.oversize_files(scan, max_bytes).unionByName(rest).withColumn(
         "text", F.lit(None).cast("string")
     )
-    parsed = [d.select(*columns) for d in (text, table, pdf, others)]
+    parsed = [d.select(*PARSED) for d in (text, table, pdf, others)]
     out = parsed[0]
     for part in parsed[1:]:
         out = out.unionByName(part)
     return out
 
 
+def long_documents(
+    spark: SparkSession, path: str, known: DataFrame | None, size: int = CHUNK_SIZE, overlap: int = OVERLAP,
+    max_bytes: int = fs.MAX_FILE_BYTES,
+) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, error) and the chunks of the text files over ``max_bytes``, but for documents in ``known``.
+
+    Each file is read by as many tasks as it has blocks. JSON of this size stays as it is written.
+    """
+    glob = fs.name_pattern("Text")
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+        .filter(F.col("length") > max_bytes).withColumn("location", F.col("_metadata.file_path"))
+    )
+    named = leave_out(fs.file_metadata(files, "location"), known, "doc_id")
+    blocks = materialize(long_text_files(spark, path, glob, max_bytes), "blocks")
+    bad = blocks.groupBy("location").agg(F.sum("invalid").alias("invalid"))
+    checked = materialize(named.join(bad, "location", "left").select("location", "doc_id", "file_size", "invalid"), "long-files")
+    status = checked.select("doc_id", F.when(F.col("invalid") > 0, F.lit("not valid UTF-8")).alias("error"))
+    good = checked.filter("coalesce(invalid, 0) = 0").select("location", "doc_id", "file_size")
+    return status, long_text_chunks(spark, path, glob, max_bytes, good, blocks, size, overlap)
+
+
 def ingest(
-    spark: SparkSession, path: str, out: str, size: int = CHUNK_SIZE, overlap: int = OVERLAP
+    spark: SparkSession, path: str, out: str, size: int = CHUNK_SIZE, overlap: int = OVERLAP,
+    max_bytes: int = fs.MAX_FILE_BYTES,
 ) -> DataFrame:
     """Files to the ``documents`` and ``chunks`` tables below ``out``; returns the summary.
 
     Files already ingested are skipped. Parsed text is written once to the
     shared folder because three results are taken from it. Texts are not
-    shuffled unless something of this run is stored already.
+    shuffled unless something of this run is stored already. A text file over ``max_bytes`` becomes the
+    same chunks as any other, without being one value at any time.
     """
-    parsed = materialize(parse_corpus(spark, path), "parsed")
-    good = parsed.filter(F.col("text").isNotNull())
+    parsed = materialize(parse_corpus(spark, path, max_bytes), "parsed")
     stored = read_if_present(spark, f"{out}/documents")
+    long = (F.col("parser") == "Text") & F.col("text").isNull() & F.col("error").isNull()
+    pieces = None
+    if not parsed.filter(long).isEmpty():
+        found, pieces = long_documents(spark, path, stored, size, overlap, max_bytes)
+        late = found.select("doc_id", F.col("error").alias("late"))
+        parsed = parsed.join(late, "doc_id", "left").withColumn("error", F.coalesce("error", "late")).drop("late")
+        parsed = materialize(parsed.withColumn("whole", ~long), "checked")
+    else:
+        parsed = parsed.withColumn("whole", F.lit(True))
+    good = parsed.filter(F.col("text").isNotNull() | (~F.col("whole") & F.col("error").isNull())).drop("whole")
     status = parsed.select("doc_id", "filename", "parser", "error")
     if stored is None:
         status = status.withColumn("skipped", F.lit(False))
@@ -146,7 +185,8 @@ def ingest(
     # Before this run's documents are there.
     status = materialize(status, "status")
     fresh = leave_out(good, stored, "doc_id")
-    chunks = materialize(token_chunks(fresh, size, overlap), "chunks")
+    made = token_chunks(fresh, size, overlap)
+    chunks = materialize(made if pieces is None else made.unionByName(pieces), "chunks")
     docs = chunk_counts(fresh.drop("text", "error"), chunks).withColumn(
         "ingested_at", F.current_timestamp()
     )

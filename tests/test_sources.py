@@ -278,3 +278,37 @@ def test_csv_files_of_many_blocks(spark, tmp_path, block):
             assert row.text is None and row.error, name
         else:
             assert row.error is None and (row.text, row.row_count, row.column_count, json.loads(row.dtypes)) == made, name
+
+
+LONG_TEXTS = [
+    "one two three four five six seven", "a\n\n\n  b c  \n d\t\n", "\n\n x", "word\n", "  lead and trail  \n \n", "é ü\r\nç\n" * 9, "\n \n", "x" * 50,
+    "".join(f"line {i} " + "w " * (i % 7) + ("\n" if i % 3 else "\n\n \n") for i in range(30)),
+]
+
+
+@pytest.mark.parametrize("block", [None, 150])
+def test_long_texts_have_the_chunks_of_short_ones(spark, tmp_path, tmp_path_factory, block):
+    """Read by lines over many tasks, files give the very rows of texts that are one value."""
+    for i, text in enumerate(LONG_TEXTS):
+        (tmp_path / f"t {i}.txt").write_bytes(text.encode())
+    (tmp_path / "bad.md").write_bytes(b"ok\n\xff\xfe not text\n")
+    (tmp_path / "t.csv").write_text("a\n1\n")
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    results = []
+    for limit in (fs.MAX_FILE_BYTES, 3):
+        out = str(tmp_path_factory.mktemp("out"))
+        if block:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            summary = sinks.ingest(spark, str(tmp_path), out, 5, 2, max_bytes=limit).collect()[0].asDict()
+            again = sinks.ingest(spark, str(tmp_path), out, 5, 2, max_bytes=limit).collect()[0]
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert again.files_skipped == len(LONG_TEXTS) + 1 and again.total_chunks == 0
+        rows = sorted(map(tuple, spark.read.parquet(f"{out}/chunks").collect()))
+        docs = spark.read.parquet(f"{out}/documents").select("filename", "chunk_count")
+        results.append((summary, rows, sorted(map(tuple, docs.collect()))))
+    assert results[0] == results[1] and len(results[0][1]) > 60
+    assert results[0][0]["files_failed"] == 1 and "bad.md" in results[0][0]["errors"]
