@@ -42,10 +42,10 @@ def build_structure(spark, d):
 WITH {BUILT_SQL}
 SELECT 'source' AS part, doc_id AS value FROM stored WHERE total_price > 300000
 UNION ALL SELECT 'row', order_status || ' ' || count(*) FROM stored GROUP BY order_status
-UNION ALL SELECT 'log', v FROM (VALUES ('big ok'), ('shares ok'), ('drop failed'), ('typo failed')) t(v)
+UNION ALL SELECT 'log', v FROM (VALUES ('big ok'), ('shares ok'), ('drop failed'), ('typo failed'), ('zero failed')) t(v)
 """)
 def query_structured(spark, d):
-    """Two questions over the stored table, a forbidden statement and one that cannot be planned; all are logged."""
+    """Two questions over the stored table, a forbidden statement, one that cannot be planned and one that fails while it runs; all are logged."""
     out = shared_dir(spark, "asked")
     chunks = order_chunks(spark, d)
     st.build_structure(chunks, ["Order"], out)
@@ -55,6 +55,7 @@ def query_structured(spark, d):
         "shares": "SELECT order_status, count(*) AS n FROM `order` GROUP BY order_status",
         "drop": "DROP TABLE `order`",
         "typo": "SELECT no_such_column FROM `order`",
+        "zero": "SELECT doc_id, 1 / (length(order_status) - length(order_status)) AS r FROM `order`",
     }
     got = {
         name: st.query_structured(spark, name, sql, tables, chunks, chunks.select("doc_id"), f"{out}/log")

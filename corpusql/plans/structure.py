@@ -7,12 +7,14 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusql.operators import extract as ex
 from corpusql.operators import provenance as pv
 from corpusql.operators import schema as sc
 from corpusql.operators.model import Complete, rule_based_extractor
 from corpusql.plans import relational as rel
+from corpusql.session import materialize
 from corpusql.sources.tables import read_if_present
 
 MAX_ATTRIBUTES = 10_000
@@ -66,6 +68,16 @@ def entity_tables(spark: SparkSession, out: str, entities: Sequence[str]) -> dic
     return {name: df for name, df in found.items() if df is not None}
 
 
+def _stored(rows: DataFrame) -> DataFrame:
+    """The rows written once; any column names and columns without a type are allowed."""
+    names = [f"c{i}" for i in range(len(rows.columns))]
+    kinds = [f.dataType for f in rows.schema]
+    plain = rows.toDF(*names).select(*[
+        F.col(n).cast("string").alias(n) if isinstance(k, T.NullType) else F.col(n) for n, k in zip(names, kinds)
+    ])
+    return materialize(plain, "result").toDF(*rows.columns)
+
+
 def query_structured(
     spark: SparkSession,
     question: str,
@@ -78,8 +90,9 @@ def query_structured(
 ) -> tuple[DataFrame | None, DataFrame | None, DataFrame]:
     """Safety check, SQL, rows, source documents and log row: (rows, sources, log).
 
-    A statement that is not allowed or cannot be planned is logged with its error and has
-    neither rows nor sources. Rows without document or chunk ids have no sources. The log
+    The statement runs once: its rows are written to the shared folder, and what is returned, the sources and the log come from
+    there. A statement that is not allowed, cannot be planned or fails while it runs is logged with its error and has
+    neither rows nor sources; the time logged is that of the run. Rows without document or chunk ids have no sources. The log
     keeps at most 100 source ids of a query, as a record of where to look; ``sources`` has all.
     """
     started = time.time()
@@ -87,15 +100,16 @@ def query_structured(
     error = None
     listed: list[str] = []
     try:
-        rows = rel.run_sql(spark, sql, tables)
+        rows = _stored(rel.run_sql(spark, sql, tables))
+        spent = time.time() - started
         if {"doc_id", "chunk_id", "source_chunk_id"}.intersection(rows.columns):
             sources = pv.result_sources(rows, chunks, documents, source_limit, columns=[])
             listed = [r["doc_id"] for r in sources.orderBy("doc_id").limit(100).collect()]
     except Exception as problem:  # a failed query is part of the log
-        error = f"{type(problem).__name__}: {str(problem)[:500]}"
+        error, spent = f"{type(problem).__name__}: {str(problem)[:500]}", time.time() - started
         rows = sources = None
     one = spark.createDataFrame(
-        [(question, sql, listed, (time.time() - started) * 1000, error)],
+        [(question, sql, listed, spent * 1000, error)],
         "question string, sql string, docs array<string>, ms double, error string",
     )
     log = pv.log_rows(
