@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +12,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusql.operators.chunking import CHUNK_SIZE, OVERLAP, token_chunks
-from corpusql.session import shared_dir
-from corpusql.sources.sinks import new_documents, read_if_present
+from corpusql.session import materialize, shared_dir
+from corpusql.sources.tables import leave_out, read_if_present
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DEFAULT_STORE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
 
 
 def read_stream(
@@ -40,18 +45,22 @@ def stream_ingest(
     """New documents of a stream to the ``documents`` and ``chunks`` tables.
 
     Every micro-batch owns one partition of each table and overwrites it, so a
-    batch repeated after a failure replaces its own rows. Documents stored by
-    other batches are left out by id; chunk rows are never compared, so a batch
-    costs the same however many chunks there are.
+    batch repeated after a failure replaces its own rows. Which ids this run has seen is keyed state of the stream, in a
+    RocksDB store per partition with its changes in the checkpoint: a batch looks up its own ids and nothing else, so
+    its cost does not grow with the tables, which are neither listed nor read. Only when it starts, a run looks once for
+    documents of other runs; their ids are left out as well. Of rows that share an id within a batch one stays.
     """
     run = hashlib.md5(checkpoint.encode()).hexdigest()[:8]
+    spark = docs.sparkSession
+    stored = read_if_present(spark, f"{out}/documents")
+    others = None
+    if stored is not None:
+        others = materialize(stored.filter(~F.col("batch").startswith(f"{run}-")).select("doc_id").distinct(), "known-ids")
+        others = None if others.isEmpty() else others
 
     def write(batch: DataFrame, number: int) -> None:
         own = f"{run}-{number}"
-        stored = read_if_present(batch.sparkSession, f"{out}/documents")
-        if stored is not None:
-            stored = stored.filter(F.col("batch") != own)
-        fresh = new_documents(batch, stored).persist()
+        fresh = leave_out(batch, others, "doc_id").persist()
         try:
             token_chunks(fresh, size, overlap).write.mode("overwrite").parquet(
                 f"{out}/chunks/batch={own}"
@@ -62,12 +71,27 @@ def stream_ingest(
         finally:
             fresh.unpersist()
 
-    return (
-        docs.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    with _setting(spark, STATE_STORE, ROCKSDB):
+        return (
+            docs.dropDuplicates(["doc_id"]).writeStream.foreachBatch(write)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+
+
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for a query that starts inside; a choice made elsewhere wins."""
+    if spark.conf.get(key, None) not in (None, DEFAULT_STORE):
+        yield
+        return
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
 def refresh_statistics(

@@ -22,6 +22,23 @@ def test_ingest_is_incremental_and_idempotent(spark, tmp_path):
     assert run("c2") == (["a", "b", "c"], 3)
 
 
+def test_batches_do_not_read_the_tables(spark, tmp_path, monkeypatch):
+    """Ids are state of the stream: the tables are looked at when a run starts, however many batches follow."""
+    inbox, out = tmp_path / "in", tmp_path / "out"
+    for i in range(4):
+        rows = [(f"d{k}", f"text {k}") for k in range(3 * i, 3 * i + 5)] + [("d0", "text 0")]
+        spark.createDataFrame(rows, "doc_id string, text string").coalesce(1).write.parquet(str(inbox / f"p{i}"))
+    looked = []
+    monkeypatch.setattr(inc, "read_if_present", lambda s, path: looked.append(path))
+    stream = inc.read_stream(spark, f"{inbox}/*", spark.read.parquet(f"{inbox}/*").schema, max_files_per_trigger=1)
+    query = inc.stream_ingest(stream, str(out), str(tmp_path / "c"))
+    query.awaitTermination()
+    docs = spark.read.parquet(str(out / "documents"))
+    assert sorted(r.doc_id for r in docs.collect()) == sorted(f"d{k}" for k in range(14))
+    assert docs.select("batch").distinct().count() == 4 and len(looked) == 1
+    assert spark.conf.get(inc.STATE_STORE, None) in (None, inc.DEFAULT_STORE)
+
+
 def events(spark, path, *rows):
     made = spark.createDataFrame(list(rows), "executed_at timestamp, execution_time_ms double, error string")
     made.coalesce(1).write.mode("append").parquet(path)
