@@ -12,12 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from corpusql.llm.common import map_texts, slices
+from corpusql.llm.common import schema_with_id, slices
 from corpusql.session import materialize, shared_dir
 
 MAGIC = b"TOKFREQ1"
@@ -52,20 +54,6 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
-def pack_many(lists: list[np.ndarray]) -> tuple[list[bytes], list[bytes]]:
-    """``pack`` of each array, in one go."""
-    counts = np.array([len(x) for x in lists], np.int64)
-    groups = -(-counts // 4)
-    padded = np.zeros(int(4 * groups.sum()), np.uint32)
-    shift = 4 * (np.cumsum(groups) - groups) - (np.cumsum(counts) - counts)
-    padded[np.repeat(shift, counts) + np.arange(counts.sum())] = np.concatenate(lists) if lists else padded
-    control, data = pack(padded)
-    upto = np.concatenate([[0], np.cumsum(TOTALS[np.frombuffer(control, np.uint8)])])
-    ends = np.cumsum(groups)
-    borders = list(zip((ends - groups).tolist(), ends.tolist()))
-    return [control[a:b] for a, b in borders], [data[upto[a] : upto[b]] for a, b in borders]
-
-
 def unpack(control: bytes, data: bytes, count: int, step: int = 1 << 16) -> np.ndarray:
     """The values again, by table: a control byte names the place of each of its 16 result bytes."""
     codes = np.frombuffer(control, np.uint8)
@@ -129,10 +117,11 @@ class WordTokenizer:
     it or between a letter and a sign: ids of a text are the ids of its parts in
     order, and a full stop or comma between a letter and a space is a part of its
     own. ``whole`` switches the cache off for others. Texts that hold the content of an added token (a literal
-    <|endoftext|>) go to the library whole, which gives them that token's id as its plain call does.
+    <|endoftext|>) go to the library whole, which gives them that token's id as its plain call does. ``letter`` is the
+    struct code of an id: ``H`` for two bytes, ``I`` for four.
     """
 
-    def __init__(self, path: str, whole: bool = False) -> None:
+    def __init__(self, path: str, whole: bool = False, letter: str = "I") -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -150,35 +139,51 @@ class WordTokenizer:
         self.added = re.compile("|".join(re.escape(t.content) for t in added if not t.normalized) or r"(?!)")
         if any(t.normalized for t in added):
             self.whole = True
-        self.packers = [struct.Struct(f"<{n}I").pack for n in range(16)]
+        self.letter = letter
+        self.packers = [struct.Struct(f"<{n}{letter}").pack for n in range(16)]
+        # Letters, then nothing but signs: the tokenizer splits between them, unless lowering the letter adds a mark.
+        self.ending = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
 
     def _fresh(self, parts: list[str], plain: bool = True) -> list[bytes]:
         """Ids by the library. Lowered parts of texts without an added token may look like one, so ``plain`` is off for them."""
         self.library.encode_special_tokens = not plain
         found = self.library.encode_batch_fast(parts, add_special_tokens=False)
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in found)]
+        return [struct.pack(f"<{len(ids)}{self.letter}", *ids) for ids in (x.ids for x in found)]
 
     def _learn(self, parts: list[str]) -> None:
         """Cache the ids of parts. Lower-cased composed words are one piece each, so the library's model takes them as they are."""
-        merge, others, known, packers = self.library.model.tokenize, [], self.known, self.packers
+        known, ending = self.known, self.ending.fullmatch
+        words, pairs, others = [], [], []
         for part in parts:
-            if not part.isalpha() or not part.islower():
+            if part.isalpha():
+                words.append(part)
+            elif part.islower() and (cut := ending(part)) and cut[1].isalpha() and unicodedata.is_normalized("NFC", part):
+                pairs.append((part, *cut.groups()))
+            else:
                 others.append(part)
+        words += [word for _, word, _ in pairs if word not in known]
+        merge, packers = self.library.model.tokenize, self.packers
+        for word in words:
+            raw = word
+            if not word.islower():
+                others.append(word)
                 continue
-            raw = part
-            if not part.isascii():
-                if not unicodedata.is_normalized("NFC", part):
-                    others.append(part)
+            if not word.isascii():
+                if not unicodedata.is_normalized("NFC", word):
+                    others.append(word)
                     continue
-                raw = part.encode("utf-8").decode("latin-1").translate(self.byte_letters)
+                raw = word.encode("utf-8").decode("latin-1").translate(self.byte_letters)
             ids = [token.id for token in merge(raw)]
-            known[part] = packers[len(ids)](*ids) if len(ids) < 16 else struct.pack(f"<{len(ids)}I", *ids)
+            known[word] = packers[len(ids)](*ids) if len(ids) < 16 else struct.pack(f"<{len(ids)}{self.letter}", *ids)
+        others += {signs for _, _, signs in pairs if signs not in known}
         known.update(zip(others, self._fresh(others, plain=False)))
+        for part, word, signs in pairs:
+            known[part] = known[word] + known[signs]
 
     def _parts(self, text: str) -> list[str]:
         if (self.signs if text.isascii() else self.others).search(text):
             return text.split(" ")
-        plain = text.lower().replace(", ", " , ").replace(". ", " . ").replace(".\n", " . ")
+        plain = text.lower().replace("\n", " ").replace(", ", " , ").replace(". ", " . ")
         return plain.split(" ")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -203,51 +208,58 @@ _TOKENIZERS: dict[tuple[str, bool], WordTokenizer] = {}
 def encode(
     docs: DataFrame, path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", whole: bool = False
 ) -> DataFrame:
-    """(id, n, control, data): ids of every whole text, the end id last, packed as in the files but not ranked yet."""
+    """(id, n, ids, counts): ids of every whole text, the end id last, in two bytes each where the vocabulary allows it, else four.
+
+    Each task ends with one row that has no ``n`` and no ``ids``, but ``counts``: the ids it has met and how often.
+    """
+    schema = schema_with_id(docs, id_col, [("n", T.LongType()), ("ids", T.BinaryType()), ("counts", T.BinaryType())])
+    kinds = to_arrow_schema(schema)
 
-    def work():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (path, whole)
         if key not in _TOKENIZERS:
             _TOKENIZERS[key] = WordTokenizer(path, whole)
+            short = max(_TOKENIZERS[key].library.get_vocab_size(), end_id or 0) < 1 << 16
+            if short:
+                _TOKENIZERS[key] = WordTokenizer(path, whole, "H")
         own = _TOKENIZERS[key]
-        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-
-        def apply(texts: list[str]) -> list:
-            lists = [np.frombuffer(ids + end, "<u4") for ids in own(texts)]
-            return [[len(x) for x in lists], *pack_many(lists)]
-
-        return apply
+        kind = "<u2" if own.letter == "H" else "<u4"
+        end = b"" if end_id is None else np.array([end_id], kind).tobytes()
+        total = np.zeros(1, np.int64)
+        for batch in (part for held in batches for part in slices(held)):
+            found = [ids + end for ids in own(pc.fill_null(batch.column(1), "").to_pylist())]
+            one = np.bincount(np.frombuffer(b"".join(found), kind), minlength=len(total))
+            one[: len(total)] += total
+            total = one
+            sizes = pa.array([len(x) // np.dtype(kind).itemsize for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(found, pa.binary()), pa.nulls(len(found), pa.binary())], schema=kinds)
+        used = np.flatnonzero(total)
+        counts = used.astype("<i8").tobytes() + total[used].astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, kinds.field(0).type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts])], schema=kinds)
 
-    return map_texts(docs, id_col, text_col, [("n", T.LongType()), ("control", T.BinaryType()), ("data", T.BinaryType())], work)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-def unpacked(batch: pa.RecordBatch) -> list[np.ndarray]:
-    """The id arrays of rows whose last columns are n, control and data, in one go."""
-    sizes, control, data = (batch.column(k).to_pylist() for k in range(batch.num_columns - 3, batch.num_columns))
-    groups = np.array([len(x) for x in control], np.int64)
-    values = unpack(b"".join(control), b"".join(data), int(4 * groups.sum()))
-    starts = (4 * (np.cumsum(groups) - groups)).tolist()
-    return [values[a : a + n] for a, n in zip(starts, sizes)]
+def id_arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The id arrays of rows whose last columns are n and ids."""
+    sizes, raw = (batch.column(k).to_pylist() for k in (-2, -1))
+    return [np.frombuffer(x, f"<u{len(x) // n}") if n else np.zeros(0, "<u2") for n, x in zip(sizes, raw)]
 
 
 def frequency_order(encoded: DataFrame) -> np.ndarray:
     """All ids that occur, most frequent first, ties to the smaller id.
 
-    Counted inside each task, then summed by id. The result is bounded by the vocabulary.
+    Summed by id from the counts of the encoding tasks, so no ids are read again. The result is bounded by the vocabulary.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, np.int64)
-        for batch in (part for whole in batches for part in slices(whole, 2)):
-            one = np.bincount(np.concatenate(unpacked(batch)).astype(np.int64))
-            if len(one) > len(total):
-                total = np.concatenate([total, np.zeros(len(one) - len(total), np.int64)])
-            total[: len(one)] += one
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"id": used.astype(np.int64), "n": total[used]})
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                ids, n = np.frombuffer(raw, "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_pydict({"id": ids, "n": n})
 
-    counts = encoded.select("n", "control", "data").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    rows = counts.toArrow()
+    counts = encoded.select("counts").filter("counts IS NOT NULL").mapInArrow(spread, "id long, n long")
+    rows = counts.groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     ids, n = rows.column("id").to_numpy(), rows.column("n").to_numpy()
     return ids[np.lexsort((ids, -n))]
 
@@ -273,7 +285,7 @@ def write(encoded: DataFrame, path: str, id_col: str = "doc_id", file_ids: int =
     """
     spark = encoded.sparkSession
     order = frequency_order(encoded)
-    rank_of = np.zeros(int(order.max()) + 1 if len(order) else 1, np.int64)
+    rank_of = np.zeros(int(order.max()) + 1 if len(order) else 1, np.uint32)
     rank_of[order] = np.arange(len(order))
     shipped = spark.sparkContext.broadcast((order, rank_of))
     total = encoded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -302,8 +314,8 @@ def write(encoded: DataFrame, path: str, id_col: str = "doc_id", file_ids: int =
             names, lists, held, number = [], [], 0, number + 1
             return pa.RecordBatch.from_pydict(row)
 
-        for batch in (part for whole in batches for part in slices(whole, 3)):
-            for name, ids in zip(batch.column(0).to_pylist(), unpacked(batch)):
+        for batch in (part for whole in batches for part in slices(whole, 2)):
+            for name, ids in zip(batch.column(0).to_pylist(), id_arrays(batch)):
                 lists.append(ids)
                 names.append(name)
                 held += len(lists[-1])
@@ -312,9 +324,9 @@ def write(encoded: DataFrame, path: str, id_col: str = "doc_id", file_ids: int =
         if names:
             yield flush()
 
-    rows = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64("data", "control").alias("h"), "n", "control", "data")
-    ranged = rows.repartitionByRange(tasks, "doc_id", "h").sortWithinPartitions("doc_id", "h", "data")
-    manifest = ranged.select("doc_id", "n", "control", "data").mapInArrow(save, "file string, docs long, n_tokens long, n_bytes long")
+    rows = encoded.filter("n IS NOT NULL").select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64("ids").alias("h"), "n", "ids")
+    ranged = rows.repartitionByRange(tasks, "doc_id", "h").sortWithinPartitions("doc_id", "h", "ids")
+    manifest = ranged.select("doc_id", "n", "ids").mapInArrow(save, "file string, docs long, n_tokens long, n_bytes long")
     return materialize(manifest, "token-manifest")
 
 

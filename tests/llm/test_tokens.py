@@ -78,6 +78,13 @@ def test_parts_equal_whole_texts():
     assert tokenfile.WordTokenizer(WORDS)(texts) == tokenfile.WordTokenizer(WORDS, whole=True)(texts)
 
 
+def test_words_with_signs_and_lines():
+    texts = [f"{w}{s}{e}" for w in ("word", "été", "Über", "e\u0301a", "ŉ", "x_y", "it's", "ﬁn", "ß", "ab1") for s in ("!", "%%%", "'", "'s", "_", "...", "<|", "") for e in ("", " end", "\nnext, line.\n", ",\nof. it")]
+    assert tokenfile.WordTokenizer(WORDS)(texts) == tokenfile.WordTokenizer(WORDS, whole=True)(texts)
+    for one, two in zip(tokenfile.WordTokenizer(WORDS)(texts), tokenfile.WordTokenizer(WORDS, letter="H")(texts)):
+        assert np.frombuffer(one, "<u4").tolist() == np.frombuffer(two, "<u2").tolist()
+
+
 def test_added_tokens_as_the_plain_call_gives_them():
     from tokenizers import Tokenizer
 
@@ -102,10 +109,9 @@ def test_files_hold_documents_in_order(spark, tmp_path):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
     rng = random.Random(1)
     rows = [(i, rng.choice(["", None, "A few words, and more. Of them!"]) if i % 3 else f"text {i} " * (i % 40)) for i in range(300)]
-    rows += [(7, "again seven"), (None, "no id")]
+    rows += [(7, "again seven"), (None, "no id"), (700, "end <|endoftext|> of"), (701, "Word!! word%%% a's, it's$ x_y_ été!? ŉ! ÅB! ﬁ. ǆ?")]
     rng.shuffle(rows)
     df = spark.createDataFrame([(a, b, 1) for a, b in rows], "doc_id long, text string, start int")
     packed = tokenfile.encode(df, WORDS, 2)
