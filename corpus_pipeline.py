@@ -12,6 +12,8 @@ from corpusql.session import load, materialize
 
 MIX_SEED = 29
 MIX_SHARE = (9, 10)
+# A passage of over 50 words has more bytes than this, unless its words are very short.
+PASSAGE_BYTES = 240
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +32,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes or more that stand elsewhere too are cut out; n_chars follows. No row goes, even if nothing is left of it."""
+    """Strings of ``PASSAGE_BYTES`` bytes or more that stand elsewhere too are cut out; n_chars follows. No row goes, even if nothing is left of it."""
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     own = [f"column_{i}" for i in range(len(others))]  # so that no extra column has the name of a result
     plain = docs.select("doc_id", "text", *[F.col(c).alias(o) for c, o in zip(others, own)])
-    cut = suffixes.remove_repeats(plain, keep=own, as_text=True)
+    cut = suffixes.remove_repeats(plain, min_bytes=PASSAGE_BYTES, keep=own, as_text=True)
     count = F.length("kept").cast(docs.schema["n_chars"].dataType)
     back = cut.select("doc_id", F.col("kept").alias("text"), count.alias("n_chars"), *[F.col(o).alias(c) for c, o in zip(others, own)])
     return back.select(*docs.columns)
