@@ -266,13 +266,49 @@ def test_pipeline(spark, sf_dir):
     assert all(r.n_tokens >= 0 and len(r.decoded_sha256) == 64 for r in now.collect())
 
 
+def without_repeats(texts, length):
+    """Each text without the bytes of strings of ``length`` bytes that start twice anywhere, by counting all of them."""
+    raw = {i: (text or "").encode() for i, text in texts.items()}
+    starts = Counter(hash(b[k : k + length]) for b in raw.values() for k in range(len(b) - length + 1))
+    out = {}
+    for i, b in raw.items():
+        gone = np.zeros(len(b) + 1, int)
+        for k in range(len(b) - length + 1):
+            if starts[hash(b[k : k + length])] > 1:
+                gone[k] += 1
+                gone[k + length] -= 1
+        left = np.frombuffer(b, np.uint8)[np.cumsum(gone)[:-1] == 0] if b else b""
+        out[i] = bytes(left).decode("utf-8", "ignore")
+    return out
+
+
+def test_passages_of_over_50_words_go(spark, sf_dir):
+    """A passage of 51 to 60 words in several documents is cut from all of them; documents without one stay as they are."""
+    rng = random.Random(31)
+    rows, planted = [], {}
+    for i in range(60):
+        text = invented(rng, 150)
+        if i % 3 == 0:
+            # words of five letters on average, as in the test tables
+            planted.setdefault(i % 9, " ".join(rng.choice(WORDS) + rng.choice(["", "", "lo", "nar"]) for _ in range(rng.randint(51, 60))))
+            text = f"{text} {planted[i % 9]} {invented(rng, 40)}"
+        rows.append((i, text, "en", "s1", len(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    cut = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, docs, sf_dir).collect()}
+    for i, text, *_ in rows:
+        if i % 3 == 0:
+            assert planted[i % 9] not in cut[i] and len(cut[i]) <= len(text) - len(planted[i % 9]) + 12
+        else:
+            assert cut[i] == text
+
+
 def test_pipeline_stages_agree_with_operators(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()}
     assert kept == {r.doc_id for r in chosenpath.join(docs).collect() if r.kept}
     cut = {r.doc_id: r for r in corpus_pipeline.cut_repeats(spark, docs, sf_dir).collect()}
-    for row in suffixes.remove_repeats(docs).collect():
-        assert cut[row.doc_id].text == bytes(row.kept).decode("utf-8", "ignore") and cut[row.doc_id].n_chars == len(cut[row.doc_id].text)
+    for doc_id, kept in without_repeats({r.doc_id: r.text for r in docs.collect()}, corpus_pipeline.PASSAGE_BYTES).items():
+        assert cut[doc_id].text == kept and cut[doc_id].n_chars == len(kept)
     rest = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         rest = stage(spark, rest, sf_dir)
