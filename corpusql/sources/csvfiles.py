@@ -9,7 +9,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,17 +84,22 @@ def quote_states(lines: DataFrame, sep: str) -> DataFrame:
     return lines.mapInArrow(walk, STATES)
 
 
-def _strung(blocks: pd.DataFrame) -> pd.DataFrame:
-    """Of one file's blocks: the state each starts in, and the records that started before it."""
-    blocks = blocks.sort_values("block")
-    inside, before, rows = False, 0, []
-    for block, out0, out1, n0, n1 in blocks[["block", "out0", "out1", "n0", "n1"]].itertuples(index=False):
-        rows.append((block, inside, before))
-        before += n1 if inside else n0
-        inside = bool(out1 if inside else out0)
-    out = pd.DataFrame(rows, columns=["block", "inside", "before"])
-    out["location"], out["open"], out["invalid"] = blocks["location"].iloc[0], inside, bool(blocks["invalid"].any())
-    return out[["location", "block", "inside", "before", "open", "invalid"]]
+def _strung(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For files with their blocks in order: the state each block starts in, and the records that started before it."""
+    names = ["location", "block", "inside", "before", "open", "invalid"]
+    kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.bool_()]
+    for batch in batches:
+        out: list[tuple] = []
+        for location, blocks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            inside, before, rows = False, 0, []
+            for b in blocks:
+                rows.append((b["block"], inside, before))
+                before += b["n1"] if inside else b["n0"]
+                inside = b["out1"] if inside else b["out0"]
+            bad = any(b["invalid"] for b in blocks)
+            out += [(location, *row, inside, bad) for row in rows]
+        columns = list(zip(*out)) if out else [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
 
 def csv_records(lines: DataFrame, sep: str) -> tuple[DataFrame, DataFrame]:
@@ -109,7 +113,8 @@ def csv_records(lines: DataFrame, sep: str) -> tuple[DataFrame, DataFrame]:
         F.max_by("out0", "at").alias("out0"), F.max_by("out1", "at").alias("out1"), F.max("n0").alias("n0"),
         F.max("n1").alias("n1"), F.count_if(F.col("text").isNull()).cast("boolean").alias("invalid"),
     )
-    blocks = ends.groupBy("location").applyInPandas(
+    ordered = F.array_sort(F.collect_list(F.struct("block", "out0", "out1", "n0", "n1", "invalid")))
+    blocks = ends.groupBy("location").agg(ordered.alias("blocks")).mapInArrow(
         _strung, "location string, block long, inside boolean, before long, open boolean, invalid boolean"
     )
     error = F.when(F.col("invalid"), F.lit("not valid UTF-8")).when(F.col("open"), F.lit("the file ends inside quotes"))
