@@ -31,7 +31,7 @@ HEADLINE = (
     # provenance, hybrid, evaluation
     "result_sources", "trace_query", "document_lineage", "audit_summary", "hybrid_context", "answer_recall",
     # vectors, duplicates, relationships, streams
-    "vector_topk", "dedup_documents", "discover_relationships", "stream_ingest", "stream_query_metrics",
+    "vector_topk", "bm25_rank", "dedup_documents", "discover_relationships", "stream_ingest", "stream_query_metrics",
 )
 
 

@@ -5,6 +5,7 @@ from corpusql.catalog import (  # noqa: F401  (importing registers the queries)
     documented_queries,
     extract_queries,
     hybrid_queries,
+    index_queries,
     model_queries,
     provenance_queries,
     question_queries,

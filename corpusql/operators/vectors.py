@@ -139,8 +139,9 @@ def limit_to(vectors: DataFrame, allowed: DataFrame, on: str) -> DataFrame:
 
 
 def hybrid_rank(hits: DataFrame, scored: DataFrame, weight: float = 0.5, n: int = 10) -> DataFrame:
-    """Merge similarity with a structured score in [0, 1]: ``scored`` has (id, score)."""
-    merged = hits.join(scored.select(F.col("id").cast("string"), "score"), "id", "inner")
+    """Merge similarity with a score in [0, 1]: ``scored`` has (id, score), or (query_id, id, score) where it differs by query."""
+    keys = ["query_id", "id"] if "query_id" in scored.columns else ["id"]
+    merged = hits.join(scored.select(*[F.col(c).cast("string") for c in keys], "score"), keys, "inner")
     total = F.round(F.col("similarity") * weight + F.col("score") * (1 - weight), DECIMALS + 2)
     order = W.partitionBy("query_id").orderBy(F.desc("total"), "id")
     return (
@@ -148,3 +149,26 @@ def hybrid_rank(hits: DataFrame, scored: DataFrame, weight: float = 0.5, n: int
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= n)
     )
+
+
+def rerank(
+    hits: DataFrame, vectors: DataFrame, queries: DataFrame, n: int = 10, weight: float = 0.5, half: float = 10.0,
+    id_col: str = "id", vector_col: str = "embedding",
+) -> DataFrame:
+    """Hits of a word search (query_id, id, score) in the order of words and vectors together.
+
+    A word score has no upper bound; ``score / (score + half)`` maps it to 0 to 1. Only the vectors of hits are read
+    on; hits without a vector, or with one of other length, go.
+    """
+    own = _columns(vectors, id_col, vector_col, "id")
+    asked = queries.select(F.col("query_id").cast("string"), F.col(vector_col).alias("asked")).filter(F.col("asked").isNotNull())
+    pairs = hits.join(asked, "query_id").join(own, "id").filter(F.size("asked") == F.size("vector"))
+
+    def dot(a: str, b: str) -> Column:
+        products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+        return F.aggregate(products, F.lit(0.0), lambda s, p: s + p)
+
+    length = F.sqrt(dot("asked", "asked")) * F.sqrt(dot("vector", "vector"))
+    similar = F.round(F.when(length > 0, dot("asked", "vector") / length).otherwise(0.0), DECIMALS)
+    both = pairs.select("query_id", "id", similar.alias("similarity"))
+    return hybrid_rank(both, hits.select("query_id", "id", (F.col("score") / (F.col("score") + half)).alias("score")), weight, n)
