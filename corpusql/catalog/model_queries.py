@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpusql.catalog.base import CHUNKS_SQL, chunks, load, orders, query
 from corpusql.functions import modeljson as mj
 from corpusql.operators import model
+from corpusql.session import shared_dir
 
 REPLY_TYPES = {"status": "TEXT", "total": "REAL"}
 
@@ -91,6 +92,20 @@ def batch_complete(spark, d):
     return made.select("prompt_id", "content", "model", "completion_tokens", "error")
 
 
+@query("complete_stored", f"""
+WITH {CHUNKS_SQL}
+SELECT chunk_id AS prompt_id, CASE WHEN contains(text, '.') THEN length(text) || ' characters' ELSE '' END AS content,
+  CASE WHEN NOT contains(text, '.') THEN 'no sentence' END AS error,
+  CASE WHEN contains(text, '.') AND chunk_index = 0 THEN 0 ELSE 1 END::INTEGER AS run FROM chunks
+""")
+def complete_stored(spark, d):
+    """Replies to first chunks are kept; the run over all chunks asks for the others and for what failed."""
+    prompts, path = chunk_prompts(spark, d), shared_dir(spark, "stored-replies")
+    model.complete_stored(prompts.filter(F.col("stage") == "induction"), shout, path, slices=2)
+    made = model.complete_stored(prompts, shout, path, slices=4, at_once=4)
+    return made.select("prompt_id", "content", "error", "run")
+
+
 @query("model_usage", f"""
 WITH {CHUNKS_SQL}
 SELECT CASE WHEN chunk_index = 0 THEN 'induction' ELSE 'extraction' END AS stage, 'rules' AS model, count(*)::BIGINT AS calls,

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusql.functions.text import LABEL_LINE
-from corpusql.session import materialize
+from corpusql.session import materialize, shared_dir
+from corpusql.sources.tables import read_if_present
 
 Complete = Callable[[str], str]
 
@@ -23,6 +26,7 @@ RESPONSE_FIELDS = (
 )
 MAX_TRIES, FIRST_DELAY = 3, 1.0
 PROMPT_CHUNKS = 10
+SLICES = 16
 
 
 class RateLimited(Exception):
@@ -33,9 +37,31 @@ def _token_count(text: str) -> int:
     return len(text.split())
 
 
-def _call(complete: Complete, prompt: str, model: str, tries: int, delay: float) -> tuple:
+class Pace:
+    """When the calls of one task may start: ``interval`` seconds apart, and none while a rate error is waited out."""
+
+    def __init__(self, interval: float = 0.0) -> None:
+        self.interval, self.next, self.lock = interval, 0.0, threading.Lock()
+
+    def wait(self) -> None:
+        """Take a moment once it has come. While it is not there nobody holds it, so a pause moves all who wait."""
+        while True:
+            with self.lock:
+                left = self.next - time.monotonic()
+                if left <= 0:
+                    self.next = time.monotonic() + self.interval
+                    return
+            time.sleep(left)
+
+    def pause(self, seconds: float) -> None:
+        with self.lock:
+            self.next = max(self.next, time.monotonic() + seconds)
+
+
+def _call(complete: Complete, prompt: str, model: str, tries: int, delay: float, pace: Pace) -> tuple:
     started, error = time.monotonic(), None
     for attempt in range(tries):
+        pace.wait()
         try:
             content = complete(prompt)
             used = _token_count(prompt), _token_count(content)
@@ -44,7 +70,7 @@ def _call(complete: Complete, prompt: str, model: str, tries: int, delay: float)
         except RateLimited as problem:
             error = str(problem)
             if attempt + 1 < tries:
-                time.sleep(delay * 2**attempt)
+                pace.pause(delay * 2**attempt)
         except Exception as problem:
             error = str(problem)
             break
@@ -59,12 +85,21 @@ def batch_complete(
     keep: Sequence[str] = ("prompt_id",),
     tries: int = MAX_TRIES,
     first_delay: float = FIRST_DELAY,
+    at_once: int = 1,
+    per_second: float | None = None,
 ) -> DataFrame:
     """One reply per prompt row. A prompt that fails keeps its row, with the error.
 
     Rate errors are tried again after 1, 2, ... times ``first_delay``; others are
     not. Prompts stream through Arrow batches; nothing is held across batches.
+
+    ``at_once`` calls of a task run side by side (``complete`` must then be safe to call from threads): a provider is
+    waited for, not computed on. ``per_second`` bounds the calls a task starts, and a rate error holds back all calls of
+    the task, not only its own, so a provider that is busy is not asked ``at_once`` times more. The whole job starts at most
+    ``per_second`` times the number of tasks that run.
     """
+    if at_once < 1 or (per_second is not None and per_second <= 0):
+        raise ValueError("at_once is 1 or more, per_second above 0")
     keep = list(keep)
     fields = RESPONSE_FIELDS.split(", ")
     names = [f.split()[0] for f in fields]
@@ -72,16 +107,65 @@ def batch_complete(
     schema = T.StructType(kept + T.StructType.fromDDL(RESPONSE_FIELDS).fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            replies = [
-                _call(complete, p, model, tries, first_delay) for p in batch[prompt_col]
-            ]
-            answer = pd.DataFrame(replies, columns=names, index=batch.index)
-            yield pd.concat([batch[keep], answer], axis=1)
+        pace = Pace(1 / per_second if per_second else 0.0)
+
+        def one(prompt: str) -> tuple:
+            return _call(complete, prompt, model, tries, first_delay, pace)
+
+        with ThreadPoolExecutor(at_once) as pool:
+            for batch in batches:
+                replies = list(pool.map(one, batch[prompt_col]))
+                answer = pd.DataFrame(replies, columns=names, index=batch.index)
+                yield pd.concat([batch[keep], answer], axis=1)
 
     return prompts.select(*keep, prompt_col).mapInPandas(run, schema)
 
 
+def complete_stored(
+    prompts: DataFrame,
+    complete: Complete,
+    path: str,
+    model: str = "rules",
+    prompt_col: str = "prompt",
+    id_col: str = "prompt_id",
+    slices: int = SLICES,
+    **options: float,
+) -> DataFrame:
+    """``batch_complete`` whose replies stay at ``path``: what was answered once is not asked again.
+
+    Prompts without a stored reply are dealt to ``slices`` by hash, and each slice's replies are appended when all of it
+    is answered. A run that stops, or loses executors, repeats calls of one slice at most; the next run asks for
+    what is missing and for what failed. A reply belongs to an id, a prompt and a model: a changed prompt is asked again.
+    Ids must not be null, and each stands for one prompt.
+
+    Returns (id, prompt_hash, reply columns, run) of these prompts, failures of this run included.
+    """
+    spark = prompts.sparkSession
+    hashed = F.sha2(F.coalesce(F.col(prompt_col), F.lit("")), 256)
+    keyed = prompts.select(id_col, F.col(prompt_col).alias("prompt"), hashed.alias("prompt_hash"))
+    keys, replies = [id_col, "prompt_hash"], f"{path}/replies"
+    stored, run = read_if_present(spark, replies), 0
+    missing = keyed
+    if stored is not None:
+        run = stored.agg(F.max("run")).first()[0] + 1
+        answered = stored.filter(F.col("error").isNull() & (F.col("model") == model))
+        missing = keyed.join(answered.select(*keys), keys, "left_anti")
+    place = shared_dir(spark, "prompts")
+    part = F.pmod(F.xxhash64(*keys), F.lit(slices)).cast("int")
+    missing.withColumn("slice", part).write.partitionBy("slice").parquet(place)
+    waiting = read_if_present(spark, place)
+    for row in waiting.select("slice").distinct().orderBy("slice").collect() if waiting is not None else ():
+        asked = waiting.filter(F.col("slice") == row.slice)
+        made = batch_complete(asked, complete, model, "prompt", keys, **options)
+        made.withColumn("run", F.lit(run)).write.mode("append").parquet(replies)
+    found = read_if_present(spark, replies)
+    if found is None:
+        empty = batch_complete(keyed.limit(0), complete, model, "prompt", keys)
+        return empty.withColumn("run", F.lit(run))
+    valid = found.filter((F.col("model") == model) & (F.col("error").isNull() | (F.col("run") == run)))
+    return valid.join(keyed.select(*keys), keys, "left_semi")
+
+
 def extraction_prompt(entity: str, attributes: Sequence[str], text: Column) -> Column:
     """Prompt whose layout the rule-based default understands."""
     head = f"Entity: {entity}\nAttributes: {', '.join(attributes)}\nDocument:\n"

@@ -54,15 +54,18 @@ def build_session(app_name: str = "corpusql", master: str | None = None, **conf:
     return spark
 
 
-_SCHEMAS: dict[str, T.StructType] = {}
+_SCHEMAS: dict[tuple[str, int, int], T.StructType] = {}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table by name. Its schema is read from the file once per process."""
+    """A table by name. Its schema is read once per process, and again when the path has changed."""
     path = f"{sf_dir}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place)
+    key = (path, status.getModificationTime(), status.getLen())
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 _OWN_FOLDERS: dict[str, str] = {}

@@ -15,11 +15,20 @@ from corpusql.sources.tables import leave_out, read_if_present
 
 
 def new_documents(docs: DataFrame, existing: DataFrame | None, key: str = "doc_id") -> DataFrame:
-    """Documents not stored yet, each id once."""
-    fresh = docs.dropDuplicates([key])
-    if existing is None:
-        return fresh
-    return fresh.join(existing.select(key), key, "left_anti")
+    """Documents not stored yet, each id once.
+
+    The rows are written to the shared folder as they come; ids alone are counted and compared with those stored. Only
+    rows whose id comes twice are shuffled, and of these the one with the least hash of its whole row stays, so a second run
+    gives the same.
+    """
+    rows = materialize(docs, "incoming")
+    twice = materialize(rows.groupBy(key).count().filter("count > 1").select(F.col(key).alias("_key")), "doubles")
+    if not twice.isEmpty():
+        same, whole = rows[key].eqNullSafe(twice["_key"]), F.struct(*[rows[c] for c in rows.columns])
+        least = F.min_by(whole, F.sha2(F.to_json(whole), 256)).alias("_row")
+        one = rows.join(twice, same, "left_semi").groupBy(key).agg(least).select("_row.*")
+        rows = rows.join(twice, same, "left_anti").unionByName(one)
+    return leave_out(rows, existing, key)
 
 
 def write_documents(

@@ -1,4 +1,6 @@
 import json
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,6 +40,65 @@ def test_replies_errors_and_retries(spark, tmp_path):
     assert {n: len((tmp_path / n).read_text()) for n in ("fine", "busy", "never", "bad")} == {"fine": 1, "busy": 3, "never": 3, "bad": 1}
 
 
+def test_calls_side_by_side_keep_their_rows(spark):
+    def complete(prompt):
+        time.sleep(0.2)
+        return prompt + "!"
+
+    rows = prompts(spark, *[f"p{i}" for i in range(20)]).coalesce(1)
+    model.batch_complete(rows, complete, at_once=10).count()
+    started = time.monotonic()
+    got = {r.prompt_id: r.content for r in model.batch_complete(rows, complete, at_once=10).collect()}
+    assert got == {str(i): f"p{i}!" for i in range(20)} and time.monotonic() - started < 3
+    with pytest.raises(ValueError):
+        model.batch_complete(rows, complete, at_once=0)
+
+
+def test_pace_spaces_calls_and_a_pause_holds_all():
+    pace, moments = model.Pace(0.05), []
+
+    def call():
+        pace.wait()
+        moments.append(time.monotonic())
+
+    threads = [threading.Thread(target=call) for _ in range(6)]
+    started = time.monotonic()
+    for t in threads:
+        t.start()
+    time.sleep(0.02)
+    pace.pause(0.4)
+    for t in threads:
+        t.join()
+    moments.sort()
+    assert all(b - a > 0.045 for a, b in zip(moments, moments[1:]))
+    assert sum(m - started < 0.4 for m in moments) == 1
+
+
+def test_stored_replies_are_not_asked_again(spark, tmp_path):
+    log, path = tmp_path / "calls", str(tmp_path / "stored")
+
+    def complete(prompt):
+        with open(str(log), "a") as out:
+            out.write(prompt + "\n")
+        if prompt == "bad" or prompt == "stop":
+            raise ValueError("no")
+        return prompt + "!"
+
+    def run(*texts, **more):
+        log.write_text("")
+        rows = model.complete_stored(prompts(spark, *texts), complete, path, slices=3, **more).collect()
+        return {r.prompt_id: (r.content, r.error) for r in rows}, sorted(log.read_text().split())
+
+    assert run() == ({}, [])
+    first = {"0": ("a!", None), "1": ("b!", None), "2": ("", "no")}
+    assert run("a", "b", "bad") == (first, ["a", "b", "bad"])
+    assert run("a", "b", "bad") == (first, ["bad"])
+    # A changed prompt and a new one; other models have replies of their own.
+    assert run("a", "c", "bad", None, at_once=2)[1] == ["bad", "c"]
+    assert run("a", "b", model="other") == ({"0": ("a!", None), "1": ("b!", None)}, ["a", "b"])
+    assert run("a", "b") == ({"0": ("a!", None), "1": ("b!", None)}, [])
+
+
 def test_usage(spark):
     rows = spark.createDataFrame(
         [("s", "m", 1, 2, 3, 10.0, None), ("s", "m", 4, 5, 9, 30.0, None), ("t", "m", 0, 0, 0, 5.0, "x")],

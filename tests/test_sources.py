@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from corpusql.session import load
 from corpusql.sources import files as fs
 from corpusql.sources import sinks, tables
 
@@ -312,3 +313,23 @@ def test_long_texts_have_the_chunks_of_short_ones(spark, tmp_path, tmp_path_fact
         results.append((summary, rows, sorted(map(tuple, docs.collect()))))
     assert results[0] == results[1] and len(results[0][1]) > 60
     assert results[0][0]["files_failed"] == 1 and "bad.md" in results[0][0]["errors"]
+
+
+def test_of_rows_with_one_id_the_same_one_stays(spark, tmp_path):
+    rows = [("a", "x", 1), ("a", "y", None), ("b", "z", 2), (None, "n", 3), (None, "m", 4), ("c", None, None)] + [("hot", f"t{i % 50}", i) for i in range(300)]
+    kept = set()
+    for number in range(3):
+        docs = spark.createDataFrame(rows[number:] + rows[:number], "doc_id string, text string, n int").repartition(number + 2)
+        fresh = sinks.new_documents(docs, None).collect()
+        assert sorted(str(r.doc_id) for r in fresh) == ["None", "a", "b", "c", "hot"]
+        kept.add(tuple(sorted(map(str, fresh))))
+    assert len(kept) == 1
+    stored = spark.createDataFrame([("a", "other")], "doc_id string, text string")
+    assert {r.doc_id for r in sinks.new_documents(docs, stored).collect()} == {None, "b", "c", "hot"}
+
+
+def test_a_table_written_again_is_read_with_its_new_columns(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/t.parquet")
+    assert load(spark, str(tmp_path), "t").columns == ["id"]
+    spark.range(3).selectExpr("id", "id * 2 AS twice").write.mode("overwrite").parquet(f"{tmp_path}/t.parquet")
+    assert load(spark, str(tmp_path), "t").columns == ["id", "twice"]
