@@ -212,6 +212,60 @@ def test_license_scan(spark):
     assert license.scan(df.limit(0)).count() == 0
 
 
+PROBES = {
+    "Released under the BSD License": "BSD", "Released under the ISC License": "ISC", "Licensed under CC BY 4.0": "CC-BY-4.0",
+    "Licensed under CC BY-NC-SA 4.0": "CC-BY-NC-SA-4.0", "Licensed under the Apache License, Version 1.0": None,
+    "This work is licensed under the GNU Lesser General Public License, version 3": "LGPL-3.0",
+    "This work is licensed under the GNU General Public License, version 2": None, "Released under the Boost License": None,
+    "Released under the MIT BSD License": None, "Released under a license that is not the MIT License": None,
+    license.TEMPLATES["ISC-permission"]: "ISC-permission", license.TEMPLATES["MPL-2.0-notice"]: "MPL-2.0-notice",
+    license.TEMPLATES["GPL-3.0-header"].replace("version 3", "version 2"): "GPL-2.0-header",
+    license.TEMPLATES["GPL-3.0-header"].replace("version 3", "version 1"): None,
+    license.TEMPLATES["BSD-2-Clause-text"].replace("INCIDENTAL", "x").replace("2. Redistributions", "* Redistributions"): "BSD-2-Clause-text",
+    license.TEMPLATES["BSD-3-Clause-text"].replace("copyright holder nor", "University nor"): "BSD-3-Clause-text",
+    license.TEMPLATES["MIT-permission"].replace("this software", "this library"): "MIT-permission",
+}
+
+
+@pytest.mark.parametrize("text", PROBES)
+def test_near_names_are_told_apart(text):
+    found = license.Scanner(license.TEMPLATES, 0.8)(f"Some words. {text}. Other words.")
+    assert [r[0] for r in found] == ([PROBES[text]] if PROBES[text] else [])
+
+
+def every_start(scanner, text):
+    """All places with enough agreeing words of all templates tried, best first; counted plainly, no stretches, no word filters."""
+    words = license.WORD.findall(text.lower())
+    found = []
+    for name, template in scanner.templates.items():
+        size, slack = len(template), max(2, len(template) // 4)
+        agree = Counter(at - j for at, w in enumerate(words) for j, x in enumerate(template) if w == x)
+        near = [s for s in agree if sum(agree[s + d] for d in range(-slack, slack + 1)) >= 0.8 * size - 1e-9]
+        found += scanner.candidates(words, name, sorted(near, key=lambda s: (-agree[s], s)))
+    return sorted((name, m) for name, _, _, m in scanner.best(found))
+
+
+def test_license_scan_against_every_start(monkeypatch):
+    rng = random.Random(7)
+    monkeypatch.setattr(license, "STRETCH", 64)
+    names = ["Apache-2.0", "Apache-2.0-header", "CC-BY-4.0", "CC-BY-NC-4.0", "GPL-3.0-header", "ISC", "ISC-permission", "LGPL-3.0", "MIT", "MIT-permission"]
+    scanner = license.Scanner({n: license.TEMPLATES[n] for n in names}, 0.8)
+    hits = 0
+    for _ in range(40):
+        parts = []
+        for name in rng.choices(names, k=3):
+            words = license.TEMPLATES[name].split()
+            for _ in range(rng.randrange(len(words) // 4 + 1)):
+                at = rng.randrange(len(words))
+                words[at : at + 1] = rng.choice([[], ["zzz"], [words[at], "the"], [words[at], rng.choice(["lesser", "nc", "mit"])]])
+            parts += [invented(rng, rng.randrange(30)), " ".join(words)]
+        text = " ".join(parts)
+        got = sorted((r[0], r[3]) for r in scanner(text))
+        assert got == every_start(scanner, text)
+        hits += len(got)
+    assert hits > 40
+
+
 def test_lines_of_the_tables_are_found(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = {(r.doc_id, r.license) for r in QUERIES["op3_license_scan"](spark, sf_dir).collect()}
