@@ -6,6 +6,7 @@ from corpusql.catalog.base import (
     CHUNKS_SQL, DOCS_SQL, LOG_SQL, chunks, documents, event_log, load, query, six, stamp,
 )
 from corpusql.operators import provenance as pv
+from corpusql.session import shared_dir
 from corpusql.sources.files import source_type
 
 TYPE_SQL = """CASE extension WHEN 'pdf' THEN 'pdf' WHEN 'csv' THEN 'csv' WHEN 'tsv' THEN 'csv' WHEN 'txt' THEN 'text'
@@ -90,6 +91,22 @@ def document_lineage(spark, d):
     return pv.document_lineage(documents(spark, d), chunks(spark, d), event_log(spark, d))
 
 
+@query("stored_lineage", f"""
+WITH {LOG_SQL},
+r AS (SELECT doc_id, query_id, row_number() OVER (PARTITION BY doc_id ORDER BY executed_at DESC, query_id) AS rank,
+             count(*) OVER (PARTITION BY doc_id) AS total_queries FROM uses WHERE doc_id IS NOT NULL)
+SELECT doc_id, query_id, rank::INTEGER AS rank, total_queries::BIGINT AS total_queries FROM r WHERE rank <= 20
+""")
+def stored_lineage(spark, d):
+    """Newest queries and their number per document, from uses stored with three log writes, one of them repeated."""
+    log, path = event_log(spark, d), shared_dir(spark, "uses")
+    for part in (0, 1, 2, 1):
+        rows = log.filter(F.pmod(F.hash("query_id"), F.lit(3)) == part)
+        pv.store_uses(rows, path, part, buckets=8)
+    newest = pv.stored_document_queries(spark, path)
+    return newest.join(pv.stored_use_counts(spark, path), "doc_id").select("doc_id", "query_id", "rank", "total_queries")
+
+
 @query("lineage_counts", f"""
 WITH {DOCS_SQL}, {CHUNKS_SQL}, {LOG_SQL}
 SELECT doc_id, filename, (SELECT count(*) FROM chunks c WHERE c.doc_id = docs.doc_id)::BIGINT AS chunk_count,

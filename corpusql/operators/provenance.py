@@ -10,8 +10,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusql.functions import ids
+from corpusql.session import materialize
+from corpusql.sources.tables import read_if_present
 
 LINEAGE_QUERIES = 20
+# Folders of the stored uses; a lookup opens those of its documents.
+USE_BUCKETS = 64
 RECENT_QUERIES = 10
 
 LOG_SCHEMA = (
@@ -129,16 +133,67 @@ def document_queries(log: DataFrame, doc_id: str | None = None, n: int = LINEAGE
     return uses.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
+def _use_bucket(doc_id: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(buckets)).cast("int")
+
+
+def store_uses(rows: DataFrame, path: str, batch: int, buckets: int = USE_BUCKETS) -> None:
+    """Which queries used a document, from the log rows of one write, next to the log.
+
+    A batch holds the newest ``LINEAGE_QUERIES`` uses of each of its documents and, with each of them, the number of all: the newest
+    over all batches are among these, so a document that every query uses adds no more than that. A batch that is
+    written again replaces itself. All batches have the same number of ``buckets``.
+    """
+    uses = materialize(_uses(rows).filter(F.col("doc_id").isNotNull()), "uses")
+    order = W.partitionBy("doc_id").orderBy(F.desc("executed_at"), "query_id")
+    newest = uses.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= LINEAGE_QUERIES)
+    counts = uses.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"))
+    both = newest.join(counts, "doc_id").withColumns({"buckets": F.lit(buckets), "bucket": _use_bucket(F.col("doc_id"), buckets)})
+    # A bucket of one batch is one file, sorted so that statistics leave most of it out; large ones are cut by size.
+    placed = both.repartition("bucket").sortWithinPartitions("bucket", "doc_id")
+    placed.write.mode("overwrite").option("maxRecordsPerFile", 5_000_000).partitionBy("bucket").parquet(f"{path}/batch={batch}")
+
+
+def _stored_uses(spark: SparkSession, path: str, doc_ids: Sequence[str] | None) -> DataFrame:
+    rows = read_if_present(spark, path)
+    if rows is None:
+        raise ValueError(f"no stored uses at {path}")
+    if doc_ids is None:
+        return rows
+    first = rows.select("buckets").first()
+    wanted = spark.createDataFrame([(d,) for d in doc_ids], "doc_id string")
+    buckets = [r[0] for r in wanted.select(_use_bucket(F.col("doc_id"), first[0])).distinct().collect()] if first else []
+    return rows.filter(F.col("bucket").isin(buckets) & F.col("doc_id").isin(list(doc_ids)))
+
+
+def stored_document_queries(
+    spark: SparkSession, path: str, doc_ids: Sequence[str] | None = None, n: int = LINEAGE_QUERIES
+) -> DataFrame:
+    """``document_queries`` of stored uses. For named documents only their folders are read, however long the log is."""
+    if n > LINEAGE_QUERIES:
+        raise ValueError(f"{LINEAGE_QUERIES} queries per document are stored")
+    rows = _stored_uses(spark, path, doc_ids).select("doc_id", "query_id", "question", "executed_at")
+    order = W.partitionBy("doc_id").orderBy(F.desc("executed_at"), "query_id")
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+
+
+def stored_use_counts(spark: SparkSession, path: str, doc_ids: Sequence[str] | None = None) -> DataFrame:
+    """(doc_id, total_queries) over all batches."""
+    rows = _stored_uses(spark, path, doc_ids).filter(F.col("rank") == 1)
+    return rows.groupBy("doc_id").agg(F.sum("total").alias("total_queries"))
+
+
 def document_lineage(
     documents: DataFrame,
     chunks: DataFrame,
     log: DataFrame,
     doc_id: str | None = None,
     n: int = LINEAGE_QUERIES,
+    stored: str | None = None,
 ) -> DataFrame:
     """Long form: one row per chunk (in order) and per recent query of a document.
 
-    Rows are not packed into arrays, so a document with very many chunks stays
+    With ``stored``, the path of stored uses, the log is not read. Rows are not packed into arrays, so a document with very many chunks stays
     spread over tasks. ``lineage_counts`` has the numbers.
     """
     if doc_id is not None:
@@ -152,7 +207,11 @@ def document_lineage(
         F.col("chunk_id").alias("item_id"),
         F.col("token_count").cast("bigint").alias("token_count"),
     )
-    used = document_queries(log, doc_id, n).join(known, "doc_id", "left_semi").select(
+    if stored is None:
+        queries = document_queries(log, doc_id, n)
+    else:
+        queries = stored_document_queries(documents.sparkSession, stored, None if doc_id is None else [doc_id], n)
+    used = queries.join(known, "doc_id", "left_semi").select(
         "doc_id",
         F.lit("query").alias("item"),
         F.col("rank").cast("bigint").alias("position"),

@@ -144,3 +144,35 @@ def test_blocks_are_the_whole_context(spark, docs, chunks, segment_chunks, order
         whole = hy.hybrid_context(odd, docs, None, 10**8, 10**6).first()
         assert "".join(r.block for r in rows) == whole.context and rows[-1].document == whole.documents
     assert hy.hybrid_blocks(odd, docs.limit(0)).count() == 0
+
+
+def test_stored_uses_equal_the_log(spark, log, tmp_path):
+    path = str(tmp_path / "uses")
+    with pytest.raises(ValueError):
+        pv.stored_document_queries(spark, path)
+    for batch, part in enumerate(["query_id < 'q15'", "query_id >= 'q30'", "query_id BETWEEN 'q15' AND 'q29'", "false"]):
+        pv.store_uses(log.filter(part), path, batch, buckets=4)
+    pv.store_uses(log.filter("query_id < 'q15'"), path, 0, buckets=4)
+
+    def plain(df):
+        return sorted(map(tuple, df.select("doc_id", "query_id", "question", "executed_at", "rank").collect()))
+
+    assert plain(pv.stored_document_queries(spark, path)) == plain(pv.document_queries(log))
+    one = pv.stored_document_queries(spark, path, ["d1", "d7", "none"], 3)
+    assert plain(one) == plain(pv.document_queries(log, "d1", 3).union(pv.document_queries(log, "d7", 3)))
+    plan = one._jdf.queryExecution().toString()
+    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    counts = {r.doc_id: r.total_queries for r in pv.stored_use_counts(spark, path).collect()}
+    assert counts == {f"d{i}": 40 if i == 1 else 1 for i in range(40)}
+    with pytest.raises(ValueError):
+        pv.stored_document_queries(spark, path, n=pv.LINEAGE_QUERIES + 1)
+
+
+def test_lineage_of_a_document_from_stored_uses(spark, log, tmp_path):
+    path = str(tmp_path / "uses")
+    pv.store_uses(log, path, 0, buckets=4)
+    docs = spark.createDataFrame([("d1",), ("d2",)], "doc_id string")
+    parts = spark.createDataFrame([("d1", "d1_chunk_0", 0, 5), ("d2", "d2_chunk_0", 0, 7)], "doc_id string, chunk_id string, chunk_index int, token_count int")
+    for doc_id in ("d1", None):
+        got, want = (sorted(map(str, pv.document_lineage(docs, parts, log, doc_id, stored=s).collect())) for s in (path, None))
+        assert got == want and len(got) >= 21
