@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,10 +17,12 @@ from corpusql.sources.tables import leave_out, read_if_present
 WORD = r"[\p{L}\p{N}]+"
 # Buckets are folders of the postings; a question opens the folders of its words.
 BUCKETS = 64
-# Documents of one batch whose places of a word are one row.
+# Neighbouring documents of a batch whose places of a word are one row; a power of two.
 SEGMENT_DOCS = 4096
 # Above this many different words in all questions the words are joined instead of named in the filter.
 NAMED_WORDS = 2000
+# (question, word) pairs that are sent to every task at once.
+SENT_PAIRS = 500_000
 K1, B = 1.2, 0.75
 DECIMALS = 6
 
@@ -57,8 +61,8 @@ def append(
     Null texts count as empty: such documents are known and count for the mean length, but hold no word. Of rows
     that share an id the one with the least text counts. Rows without an id are left out.
 
-    The places of a word come in rows of at most about ``segment_docs`` documents, so a word that every text holds is
-    many rows and no large group. A batch is written under its own number and counts once its last small file,
+    Documents that lie next to each other are a segment. The places of a word in a segment are one row, so a word that every
+    text holds is many rows and no large group, and each row is complete before anything is shuffled. A batch is written under its own number and counts once its last small file,
     ``batches``, is there: a run that stopped in between is overwritten by the next.
     """
     spark = docs.sparkSession
@@ -72,23 +76,29 @@ def append(
     if not twice.isEmpty():
         double = counted.join(twice, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
         counted = counted.join(twice, "id", "left_anti").unionByName(double)
-    entries = materialize(counted.select("id", F.size(words(F.col("text"))).alias("length"), word_counts(F.col("text")).alias("counts")), "index-words")
+    if segment_docs < 1 or segment_docs & (segment_docs - 1):
+        raise ValueError("segment_docs is a power of two")
+    made = counted.select("id", F.size(words(F.col("text"))).alias("length"), word_counts(F.col("text")).alias("counts"))
+    # The number holds its partition in the upper bits: no segment spans two.
+    number_in = F.monotonically_increasing_id()
+    entries = materialize(made.withColumn("_n", number_in).select(
+        "id", "length", "counts", F.floor(F.col("_n") / segment_docs).alias("segment"), F.pmod("_n", F.lit(segment_docs)).cast("int").alias("place")
+    ), "index-words")
     sums = entries.agg(F.count("*"), F.sum("length")).first()
     if not sums[0]:
         return 0
-    segments = -(-sums[0] // segment_docs)
     places = (
-        entries.withColumn("segment", F.pmod(F.xxhash64("id"), F.lit(segments)).cast("int"))
-        .select("id", "length", "segment", F.inline("counts"))
+        entries.select("segment", "place", F.inline("counts"))
         .groupBy("word", "segment")
-        .agg(F.array_sort(F.collect_list(F.struct("id", "times", "length"))).alias("places"))
-        .select("word", "segment", F.size("places").alias("documents"), F.aggregate("places", F.lit(0).cast("long"), lambda a, p: a + p["times"]).alias("occurrences"),
-                "places", bucket(F.col("word"), buckets).alias("bucket"))
+        .agg(F.array_sort(F.collect_list(F.struct("place", "times"))).alias("held"))
+        .select("word", "segment", F.size("held").alias("documents"), F.aggregate("held", F.lit(0).cast("long"), lambda a, p: a + p["times"]).alias("occurrences"),
+                F.col("held.place").alias("places"), F.col("held.times").alias("times"), bucket(F.col("word"), buckets).alias("bucket"))
     )
     # One file per bucket unless it is large; sorted by word, so that a file's statistics leave most row groups out.
-    rows = places.repartition(F.col("bucket"), F.pmod(F.xxhash64("segment"), F.lit(max(1, segments // 256)))).sortWithinPartitions("bucket", "word", "segment")
+    parts = max(1, sums[0] // (256 * segment_docs))
+    rows = places.repartition(F.col("bucket"), F.pmod(F.xxhash64("segment"), F.lit(parts))).sortWithinPartitions("bucket", "word", "segment")
     rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={number}")
-    entries.select("id", "length").write.mode("overwrite").parquet(f"{path}/documents/batch={number}")
+    entries.select("id", "length", "segment", "place").write.mode("overwrite").parquet(f"{path}/documents/batch={number}")
     end = spark.createDataFrame([(number, sums[0], sums[1], buckets)], "batch int, documents long, words long, buckets int")
     end.coalesce(1).write.mode("append").parquet(f"{path}/batches")
     return sums[0]
@@ -138,30 +148,75 @@ def search(
     A word counts once per question. The weight of a word is ``ln(1 + (N - n + 0.5) / (n + 0.5))`` over the ``N`` documents of
     the index. Scores are rounded to six digits. Questions without a word of the index give no row.
 
-    A row of postings meets each question that holds its word; partial scores are summed inside each task before
-    (question, document) is shuffled, and only ``k`` rows a task go on to the ranking.
+    Each task scores whole segments: their postings meet there, all questions are summed up in turn, and at most ``k`` rows a
+    question and segment go on to the ranking. Neither (question, document) nor (word, document) pairs become rows. The
+    questions go to every task, ``SENT_PAIRS`` words at a time.
     """
     _, docs, total, _ = totals(spark, path)
-    mean = max(total / docs, 1e-9)
     asked = questions.select(F.col(query_id_col).cast("string").alias("query_id"), F.explode(F.array_distinct(words(F.col(question_col)))).alias("word"))
-    asked = materialize(asked, "question-words")
-    found = materialize(postings(spark, path, asked).select("word", "documents", "places"), "postings")
-    weights = found.groupBy("word").agg(F.sum("documents").alias("n")).select(
-        "word", F.log1p((F.lit(float(docs)) - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("weight")
-    )
-    parts = asked.join(weights, "word").join(found.select("word", "places"), "word").select("query_id", "weight", F.inline("places"))
-    part = F.col("weight") * F.col("times") * (k1 + 1) / (F.col("times") + k1 * (1 - b + b * F.col("length") / mean))
-    scored = parts.groupBy("query_id", "id").agg(F.round(F.sum(part) + 1e-9, DECIMALS).alias("score"), F.count("*").alias("matched"))
+    asked = materialize(asked.distinct(), "question-words")
+    blocks = max(1, -(-asked.count() // SENT_PAIRS))
+    part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    found = [_scored(spark, path, asked.filter(part == i), k, docs, max(total / docs, 1e-9), k1, b) for i in range(blocks)]
+    hits = found[0]
+    for more in found[1:]:
+        hits = hits.unionByName(more)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _scored(spark: SparkSession, path: str, asked: DataFrame, k: int, docs: int, mean: float, k1: float, b: float) -> DataFrame:
+    """(query_id, id, score, matched): the best ``k`` of each segment for the questions in ``asked``."""
+    rows = postings(spark, path, asked)
+    weight = F.log1p((F.lit(float(docs)) - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    weights = dict(rows.groupBy("word").agg(F.sum("documents").alias("n")).select("word", weight).toPandas().itertuples(index=False, name=None))
+    of: dict[str, list[str]] = {}
+    for query_id, word in asked.select("query_id", "word").toPandas().itertuples(index=False, name=None):
+        if word in weights:
+            of.setdefault(query_id, []).append(word)
+
+    def score(places: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(places) and len(held):
+            at = held["place"].to_numpy()
+            names = np.empty(at.max() + 1, object)
+            norm = np.zeros(at.max() + 1)
+            names[at] = held["id"].to_numpy()
+            norm[at] = k1 * (1 - b + b * held["length"].to_numpy() / mean)
+            parts = {}
+            for word, where, times in zip(places["word"], places["places"], places["times"]):
+                where, times = np.asarray(where, np.int64), np.asarray(times, np.float64)
+                parts[word] = where, weights[word] * times * (k1 + 1) / (times + norm[where])
+            for query_id, mine in of.items():
+                total, matched = np.zeros(len(norm)), np.zeros(len(norm), np.int64)
+                for where, part in (parts[w] for w in mine if w in parts):
+                    total[where] += part
+                    matched[where] += 1
+                total = np.round(total + 1e-9, DECIMALS)
+                hit = np.flatnonzero(matched)
+                if len(hit) > k:
+                    hit = hit[total[hit] >= np.partition(total[hit], len(hit) - k)[len(hit) - k]]
+                    hit = hit[np.lexsort((names[hit].astype(str), -total[hit]))[:k]]
+                out += zip([query_id] * len(hit), names[hit], total[hit], matched[hit])
+        return pd.DataFrame(out, columns=["query_id", "id", "score", "matched"])
+
+    n = totals(spark, path)[0]
+    keys = ["batch", "segment"]
+    left = rows.select(*keys, "word", "places", "times").groupBy(*keys)
+    right = _committed(spark, path, "documents", n).select(*keys, "id", "length", "place").groupBy(*keys)
+    found = left.cogroup(right).applyInPandas(score, "query_id string, id string, score double, matched long")
+    return found.withColumn("score", F.round("score", DECIMALS))
 
 
 def holding_all(spark: SparkSession, path: str, phrase: str) -> DataFrame:
     """(id) of the documents that hold every word of the phrase, found in the index alone."""
     asked = materialize(spark.range(1).select(F.explode(F.array_distinct(words(F.lit(phrase)))).alias("word")), "phrase")
     need = asked.count()
-    found = postings(spark, path, asked).select(F.inline("places"))
-    return found.groupBy("id").count().filter(F.col("count") == need).select("id")
+    keys = ["batch", "segment", "place"]
+    found = postings(spark, path, asked).select("batch", "segment", F.explode("places").alias("place"))
+    all_words = found.groupBy(*keys).count().filter(F.col("count") == need)
+    documents = _committed(spark, path, "documents", totals(spark, path)[0])
+    return documents.join(all_words, keys, "left_semi").select("id")
 
 
 def mentions(

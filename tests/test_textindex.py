@@ -41,9 +41,10 @@ def path(spark, tmp_path_factory):
     return where
 
 
-@pytest.mark.parametrize("named", [ix.NAMED_WORDS, 1])
-def test_ranking_against_brute_force(spark, path, named, monkeypatch):
+@pytest.mark.parametrize("named, sent", [(ix.NAMED_WORDS, ix.SENT_PAIRS), (1, 4)])
+def test_ranking_against_brute_force(spark, path, named, sent, monkeypatch):
     monkeypatch.setattr(ix, "NAMED_WORDS", named)
+    monkeypatch.setattr(ix, "SENT_PAIRS", sent)
     asked = {"a": "the quick FOX", "b": "lazy lazy", "c": "nothing of this kind", "d": None, "e": "über 42 the common"}
     got = ix.search(spark, path, spark.createDataFrame(list(asked.items()), "query_id string, question string"), 7).collect()
     for name, question in asked.items():
