@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,9 @@ BLOCKS = 2
 SCALE = 4.0
 PROBES = 3
 MIN_COSINE = 0.93
+CELL_ROWS = 128
+BLOCK_ROWS = 1024
+MARKS = 512
 
 
 def decode_e8(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,6 +123,8 @@ def near_duplicates(
     blocks: int = BLOCKS,
     scale: float = SCALE,
     probes: int = PROBES,
+    cell_rows: int = CELL_ROWS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(id, n_links, component_id, kept): one row per row of ``vectors``.
 
@@ -132,8 +138,12 @@ def near_duplicates(
     Null and zero vectors, those with null or non-finite components and those
     without a ``within`` value have no links and are kept. Rows that repeat an id are
     copies of it: each is returned, and links count rows. Null ids are like any
-    other row without links. Cells hold keys and ids only; a large cell
-    is a skewed join key that adaptive execution splits.
+    other row without links.
+
+    Cells of up to ``cell_rows`` entries become pairs of ids, so a row has a bounded number of them. Larger
+    ones never do: their rows are dealt over pairs of blocks of about ``block_rows``, the cosines are one matrix
+    product in a task, and only counts per row and a spanning forest leave it. A pair that meets in several
+    large cells is counted in the one with the least key, and no longer among the small ones.
     """
     key = F.col(within) if within else F.lit(0)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), key.cast("string").alias("part"), F.col(vector_col).alias("v"))
@@ -164,8 +174,12 @@ def near_duplicates(
 
     reps = classes.select("rep", "part", "v", F.size("v").cast("long").alias("d"))
     found = materialize(reps.mapInArrow(cells, "key long, id long, own boolean"), "cells")
-    own = found.filter("own").select("key", F.col("id").alias("x"))
-    other = found.select("key", F.col("id").alias("y"))
+    sizes = found.groupBy("key").agg(F.count_if("own").alias("owners"), F.count("*").alias("n")).filter("owners > 0")
+    large = materialize(sizes.filter(F.col("n") > cell_rows).select("key", "n"), "large-cells")
+    some_large = not large.isEmpty()
+    small = found.join(large, "key", "left_anti") if some_large else found
+    own = small.filter("own").select("key", F.col("id").alias("x"))
+    other = small.select("key", F.col("id").alias("y"))
     met = own.join(other, "key").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     pairs = met.distinct()
 
@@ -185,10 +199,25 @@ def near_duplicates(
     both = pairs.join(left, "a").join(right, "b").filter("pa = pb").select("a", "b", "va", "vb", *sized)
     links = materialize(both.mapInArrow(verify, "a long, b long"), "links")
 
+    partial, edges = None, links
+    if some_large:
+        inside = found.join(large, "key")
+        named_cells = materialize(
+            inside.groupBy("id").agg(F.collect_set(F.when(F.col("own"), F.col("key"))).alias("owns"), F.collect_set("key").alias("cells")),
+            "cells-of-rows",
+        )
+        counted = materialize(_in_blocks(inside, named_cells, classes, min_cosine, block_rows), "block-links")
+        partial = counted.filter("count > 0").select(F.col("id").alias("rep"), F.col("count").alias("n"))
+        forest = counted.filter("root <> id").select(F.least("id", "root").alias("a"), F.greatest("id", "root").alias("b"))
+        edges = links.union(forest)
+        links = _met_nowhere_large(links, named_cells)
+
     count = classes.select(F.col("rep").alias("y"), "n")
     ways = links.select(F.col("a").alias("rep"), F.col("b").alias("y")).union(links.select("b", "a"))
-    outside = ways.join(count, "y").groupBy("rep").agg(F.sum("n").alias("outside"))
-    groups = components(links).select(F.col("id").alias("rep"), "component")
+    counts = ways.join(count, "y").select("rep", "n")
+    counts = counts if partial is None else counts.union(partial)
+    outside = counts.groupBy("rep").agg(F.sum("n").alias("outside"))
+    groups = components(edges).select(F.col("id").alias("rep"), "component")
     per_class = (
         classes.select("h1", "h2", "rep", "n").join(outside, "rep", "left").join(groups, "rep", "left")
         .select(
@@ -206,6 +235,104 @@ def near_duplicates(
     )
 
 
+def _met_nowhere_large(links: DataFrame, cells: DataFrame) -> DataFrame:
+    """Links whose two rows share no large cell that one of them owns; the others are counted in blocks."""
+    left = cells.select(F.col("id").alias("a"), F.col("owns").alias("owns_a"), F.col("cells").alias("cells_a"))
+    right = cells.select(F.col("id").alias("b"), F.col("owns").alias("owns_b"), F.col("cells").alias("cells_b"))
+    meets = F.arrays_overlap("owns_a", "cells_b") | F.arrays_overlap("owns_b", "cells_a")
+    return links.join(left, "a", "left").join(right, "b", "left").filter(~F.coalesce(meets, F.lit(False))).select("a", "b")
+
+
+def _in_blocks(inside: DataFrame, cells: DataFrame, classes: DataFrame, min_cosine: float, block_rows: int) -> DataFrame:
+    """(id, count, root) of large cells: rows linked to ``id`` counted once over all cells, and a linked row of its block pair.
+
+    ``inside`` has (key, id, own, n). A row goes to every pair of blocks that holds its own block.
+    """
+    blocks = F.ceil(F.col("n") / block_rows)
+    # A row that is in one cell by several probes is one row of it.
+    rows = inside.groupBy("key", "id").agg(F.max("own").alias("own"), F.first("n").alias("n"))
+    dealt = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    vectors = classes.select(F.col("rep").alias("id"), "part", "v", F.col("n").alias("weight"))
+    placed = dealt.join(vectors, "id").join(cells, "id").select(
+        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "part", F.size("v").alias("d"),
+        "block", "id", "own", "weight", "v", "owns", "cells",
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        key, low, high, d = (table.column(c)[0].as_py() for c in ("key", "low", "high", "d"))
+        block = table.column("block").to_numpy()
+        ids, weight = table.column("id").to_numpy(), table.column("weight").to_numpy()
+        first, second = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        unit = unit_rows(matrix(table.column("v").combine_chunks(), d))
+        linked = unit[first] @ unit[second].T
+        edge = np.nonzero(np.abs(linked - min_cosine) < 1e-9)
+        exact = np.einsum("ij,ij->i", unit[first[edge[0]]], unit[second[edge[1]]]) >= min_cosine
+        linked = linked >= min_cosine
+        linked[edge] = exact
+        own = table.column("own").to_numpy(zero_copy_only=False).astype(bool)
+        linked &= own[first][:, None] | own[second][None]
+        if low == high:
+            np.fill_diagonal(linked, False)
+        roots = _roots(linked, first, second, len(ids))
+        counted = linked & ~_met_before(table, key, first, second) if linked.any() else linked
+        count = np.zeros(len(ids), np.int64)
+        count[first] += counted @ weight[second]
+        if low != high:
+            count[second] += counted.T @ weight[first]
+        kept = (count > 0) | (roots != np.arange(len(ids)))
+        return pa.table({"id": ids[kept], "count": count[kept], "root": ids[roots[kept]]})
+
+    return placed.groupBy("key", "low", "high", "part", "d").applyInArrow(compare, "id long, count long, root long")
+
+
+def _met_before(table: pa.Table, key: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Which pairs of rows already share a large cell with a smaller key that one of them owns."""
+    marks = []
+    for name in ("owns", "cells"):
+        column = table.column(name).combine_chunks()
+        values = column.flatten().to_numpy()
+        rows = np.repeat(np.arange(len(column)), pc.list_value_length(column).to_numpy())
+        marks.append((rows[values < key], values[values < key]))
+    (own_rows, own_keys), (cell_rows, cell_keys) = marks
+    keys = np.unique(own_keys)
+    met = np.zeros((len(first), len(second)), bool)
+    for start in range(0, len(keys), MARKS):
+        some = keys[start : start + MARKS]
+        held = []
+        for rows, values in ((own_rows, own_keys), (cell_rows, cell_keys)):
+            at = np.minimum(np.searchsorted(some, values), len(some) - 1)
+            fits = some[at] == values
+            m = np.zeros((table.num_rows, len(some)), np.float32)
+            m[rows[fits], at[fits]] = 1
+            held.append(m)
+        owns, cells = held
+        met |= (owns[first] @ cells[second].T + cells[first] @ owns[second].T) > 0
+    return met
+
+
+def _roots(linked: np.ndarray, first: np.ndarray, second: np.ndarray, rows: int) -> np.ndarray:
+    """For every row of a block pair the first row of its connected part; each row is looked at once."""
+    root = np.full(rows, -1)
+    side = np.full(rows, -1), np.full(rows, -1)
+    side[0][first], side[1][second] = np.arange(len(first)), np.arange(len(second))
+    for start in range(rows):
+        if root[start] >= 0:
+            continue
+        root[start] = start
+        waiting = [start]
+        while waiting:
+            now = waiting.pop()
+            near = [second[linked[side[0][now]]]] if side[0][now] >= 0 else []
+            near += [first[linked[:, side[1][now]]]] if side[1][now] >= 0 else []
+            for found in near:
+                new = found[root[found] < 0]
+                root[new] = start
+                waiting.extend(new.tolist())
+    return root
+
+
 def hash_text(text: str) -> int:
     import xxhash
 

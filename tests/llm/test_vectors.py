@@ -80,6 +80,32 @@ def test_near_duplicates(spark):
     assert lattice.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cell_rows, block_rows", [(4, 16), (60, 1024), (10**6, 1024)])
+def test_large_cells_are_compared_in_blocks(spark, cell_rows, block_rows):
+    """Near, not equal, vectors in one cell and in several; the sizes of cells and blocks change no row."""
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal((6, 16))
+    rows = [(i, (centre[i % 6] + (0.05, 0.2)[i % 2] * rng.standard_normal(16)).tolist(), int(i % 7 == 0)) for i in range(600)]
+    rows += [(1000 + i, rows[5][1], 0) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in lattice.near_duplicates(df, cell_rows=cell_rows, block_rows=block_rows).collect()}
+    unit, label = lattice.unit_rows(np.array([r[1] for r in rows])), np.array([r[2] for r in rows])
+    linked = (unit @ unit.T >= 0.93) & (label[:, None] == label[None])
+    index = lattice.Lattice(16, lattice.TABLES, lattice.BLOCKS, lattice.SCALE)
+    keys = list(index.keys(unit, lattice.PROBES))
+    own = {t: k for t, p, k in keys if p == 0}
+    met = np.zeros_like(linked)
+    for t, _, k in keys:
+        met |= (own[t][:, None] == k[None]) | (own[t][None] == k[:, None])
+    linked &= met | (unit @ unit.T >= 1 - 1e-12)
+    np.fill_diagonal(linked, False)
+    root = lattice._roots(linked, np.arange(len(rows)), np.arange(len(rows)), len(rows))
+    assert linked.sum() > 20_000 and len(got) == len(rows)
+    for k, (name, _, _) in enumerate(rows):
+        assert got[name].n_links == linked[k].sum()
+        assert got[name].component_id == rows[root[k]][0]
+
+
 @pytest.mark.parametrize("ring_rows, query_rows", [(4096, 4096), (7, 3)])
 def test_exact_top_k(spark, ring_rows, query_rows):
     df, rows = vectors(spark)
