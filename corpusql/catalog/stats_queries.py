@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from corpusql.catalog.base import load, query, six
-from corpusql.operators import quantile, stats
+from corpusql.operators import quantile, stats, statstore
+from corpusql.session import shared_dir
 
 
 def sparse_orders(spark, d):
@@ -182,3 +183,52 @@ SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5) + 1e-9, 6) AS per
 def exact_percentiles(spark, d):
     made = quantile.exact_percentiles(load(spark, d, "lineitem"), "l_extendedprice", 0.5, ["l_returnflag"])
     return made.withColumn("percentile", six("percentile"))
+
+
+BATCHES = 3
+STORED = ["l_orderkey", "l_quantity", "l_discount", "l_returnflag", "l_shipdate"]
+
+
+def _stored_sql(column):
+    number = column in ("l_orderkey", "l_quantity", "l_discount")
+    value = f"{column}::DOUBLE" if number else "NULL::DOUBLE"
+    return (
+        f"SELECT '{column}' AS column_name, count(*)::BIGINT AS total_count, count({column})::BIGINT AS non_null_count, "
+        f"(count(*) - count({column}))::BIGINT AS null_count, round(avg({value}) + 1e-9, 6) AS mean, min({value}) AS min, "
+        f"max({value}) AS max, " + (f"count(*) FILTER ({column} <> 0)::BIGINT" if number else "NULL::BIGINT") + " AS non_zero_count FROM l"
+    )
+
+
+@query("stored_statistics", """
+WITH l AS (SELECT l_orderkey, CASE WHEN l_orderkey % 5 <> 0 THEN l_quantity END AS l_quantity, l_discount, l_returnflag, l_shipdate FROM lineitem)
+""" + " UNION ALL ".join(_stored_sql(c) for c in STORED))
+def stored_statistics(spark, d):
+    """Three batches, one of them stored twice; the statistics come from the stored rows."""
+    rows = load(spark, d, "lineitem").withColumn("l_quantity", F.when(F.col("l_orderkey") % 5 != 0, F.col("l_quantity"))).select(*STORED)
+    out = shared_dir(spark, "statistics")
+    for i in (*range(BATCHES), 0):
+        statstore.add_batch(rows.filter(F.col("l_orderkey") % BATCHES == i), out, f"b{i}")
+    made = statstore.stored_statistics(spark, out).withColumn("mean", six("mean"))
+    return made.drop("column_type", "approx_unique", "p50", "p95")
+
+
+FREQUENT = 0.0201
+
+
+@query("frequent_values", f"""
+WITH l AS (SELECT l_returnflag, l_quantity::INTEGER::VARCHAR AS quantity FROM lineitem),
+v AS (SELECT 'l_returnflag' AS column_name, l_returnflag AS value, count(*)::BIGINT AS n FROM l GROUP BY 2
+  UNION ALL SELECT 'quantity', quantity, count(*)::BIGINT FROM l GROUP BY 2)
+SELECT column_name, value, n, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value)::INTEGER AS rank
+FROM v WHERE n >= {FREQUENT} * (SELECT count(*) FROM l)
+""")
+def frequent_values(spark, d):
+    """Batches by ship date; a value that some batch did not store is counted there."""
+    batch = F.concat(F.lit("y"), F.floor((F.year("l_shipdate") - 1990) / BATCHES).cast("string"))
+    rows = load(spark, d, "lineitem").select(
+        "l_returnflag", F.col("l_quantity").cast("int").cast("string").alias("quantity"), batch.alias("batch")
+    )
+    out = shared_dir(spark, "frequent")
+    for name in sorted(r[0] for r in rows.select("batch").distinct().collect()):
+        statstore.add_batch(rows.filter(F.col("batch") == name).drop("batch"), out, name, FREQUENT)
+    return statstore.frequent_values(rows, out, "batch", FREQUENT)

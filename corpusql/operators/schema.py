@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +20,8 @@ MIN_CONFIDENCE = 0.7
 ITERATION_CONFIDENCE = 0.9
 MAX_EXAMPLES = 5
 MASK_BITS = 62
+SAMPLE_VALUES = 256
+DOUBT = 1e-12
 
 
 # ---------------------------------------------------------------- discovery
@@ -491,42 +496,144 @@ def backfill(old_rows: DataFrame, new_rows: DataFrame) -> DataFrame:
     return old_rows.unionByName(new_rows, allowMissingColumns=True)
 
 
+RELATED = (
+    "a_table string, a_column string, b_table string, b_column string, `distinct` long, shared long, containment double"
+)
+
+
+def _key_columns(tables: Mapping[str, DataFrame]) -> list[tuple[int, str, str, str]]:
+    """(number, table, column, kind) of the integer and string columns."""
+    found = []
+    for name, df in tables.items():
+        for f in df.schema.fields:
+            kind = "int" if isinstance(f.dataType, T.IntegralType) else "text" if isinstance(f.dataType, T.StringType) else None
+            if kind:
+                found.append((len(found), name, f.name, kind))
+    return found
+
+
+def _possible_columns(
+    tables: Mapping[str, DataFrame], columns: list[tuple[int, str, str, str]], min_containment: float, min_distinct: int
+) -> set[int]:
+    """Columns of the pairs that samples do not rule out. The driver holds ``SAMPLE_VALUES`` hashes a column and one number a pair."""
+    spark = next(iter(tables.values())).sparkSession
+
+    def hashed(name: str) -> tuple[DataFrame, list[int]]:
+        own = [(n, c, k) for n, t, c, k in columns if t == name]
+        values = [F.when(F.col(f"`{c}`").isNotNull(), F.xxhash64(F.lit(k), F.col(f"`{c}`").cast("string"))).alias(f"c{n}") for n, c, k in own]
+        return tables[name].select(*values), [n for n, _, _ in own]
+
+    def everywhere(per_task: Callable[[list[int]], Callable]) -> DataFrame:
+        out = None
+        for name in dict.fromkeys(t for _, t, _, _ in columns):
+            frame, numbers = hashed(name)
+            made = frame.mapInArrow(per_task(numbers), "col int, hash long")
+            out = made if out is None else out.union(made)
+        return out.distinct()
+
+    def rows_of(numbers: list[int], held: list[np.ndarray]) -> pa.RecordBatch:
+        cols = np.repeat(np.array(numbers, np.int32), [len(h) for h in held])
+        return pa.RecordBatch.from_pydict({"col": cols, "hash": np.concatenate(held)})
+
+    def least(numbers: list[int]) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [np.zeros(0, np.int64) for _ in numbers]
+            for batch in batches:
+                for i in range(len(numbers)):
+                    new = batch.column(i).drop_null().to_numpy()
+                    if len(held[i]) == SAMPLE_VALUES:
+                        new = new[new < held[i][-1]]
+                    if len(new):
+                        held[i] = np.unique(np.concatenate([held[i], new]))[:SAMPLE_VALUES]
+            yield rows_of(numbers, held)
+
+        return run
+
+    order = W.partitionBy("col").orderBy("hash")
+    least_of_all = everywhere(least).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= SAMPLE_VALUES)
+    samples: dict[int, set[int]] = {n: set() for n, _, _, _ in columns}
+    for row in least_of_all.select("col", "hash").collect():
+        samples[row["col"]].add(row["hash"])
+    wanted = np.array(sorted(set().union(*samples.values())), np.int64)
+    if not len(wanted):
+        return set()
+
+    def look_up(numbers: list[int]) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = np.zeros((len(numbers), len(wanted)), bool)
+            for batch in batches:
+                for i in range(len(numbers)):
+                    new = batch.column(i).drop_null().to_numpy()
+                    at = np.minimum(np.searchsorted(wanted, new), len(wanted) - 1)
+                    seen[i, at[wanted[at] == new]] = True
+            yield rows_of(numbers, [wanted[s] for s in seen])
+
+        return run
+
+    sampled = spark.createDataFrame([(n, h) for n, s in samples.items() for h in s], "a int, hash long")
+    met = everywhere(look_up).withColumnRenamed("col", "b").join(sampled, "hash").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    hits = {(r["a"], r["b"]): r["n"] for r in met.collect()}
+    table_of = {n: t for n, t, _, _ in columns}
+    kept: set[int] = set()
+    for (a, b), n in hits.items():
+        size = len(samples[a])
+        if table_of[a] == table_of[b] or size < min_distinct:
+            continue
+        short = n < size * min_containment * (1 - 1e-9) if size < SAMPLE_VALUES else _at_most(n, size, min_containment) < DOUBT
+        if not short:
+            kept |= {a, b}
+    return kept
+
+
+def _at_most(hits: int, draws: int, share: float) -> float:
+    """Chance of at most so many hits in draws that each hit with the given share."""
+    if share <= 0 or hits >= draws:
+        return 1.0
+    if share >= 1:
+        return 0.0
+    return sum(math.comb(draws, i) * share**i * (1 - share) ** (draws - i) for i in range(hits + 1))
+
+
 def discover_relationships(
     tables: Mapping[str, DataFrame], min_containment: float = 0.9, min_distinct: int = 2
 ) -> DataFrame:
     """Column pairs of different tables where one column's values lie in the other's.
 
-    Only integer and string columns can be keys. Every value is reduced to the
+    Only integer and string columns can be keys. First the ``SAMPLE_VALUES`` distinct values with the least
+    hashes of each column, a sample that tasks find without a shuffle, are looked up in all columns: a pair goes if a column of fewer values
+    misses the containment, or if a column that reaches it would show so few hits once in 1 / ``DOUBT`` draws.
+    Only the columns of pairs that are left take part in the exact comparison, which decides alone.
+
+    There every value is reduced to the
     set of columns that hold it in one shuffle. The set is a bit mask (a few
     longs, folded inside each task first), so neither hot values nor many
     distinct ones need object buffers; pairs are formed from the distinct sets.
     """
+    found = _key_columns(tables)
+    if not found:
+        raise ValueError("no integer or string column")
+    kept = _possible_columns(tables, found, min_containment, min_distinct)
     columns: list[tuple[int, str, str]] = []
     stacked = None
     for name, df in tables.items():
         picked = []
-        for f in df.schema.fields:
-            kind = (
-                "int" if isinstance(f.dataType, T.IntegralType)
-                else "text" if isinstance(f.dataType, T.StringType) else None
-            )
-            if kind is None:
-                continue
-            number = len(columns)
-            columns.append((number, name, f.name))
+        for number, kind, column in ((n, k, c) for n, t, c, k in found if t == name and n in kept):
+            place = len(columns)
+            columns.append((place, name, column))
             picked.append(
                 F.struct(
                     F.lit(kind).alias("kind"),
-                    F.col(f"`{f.name}`").cast("string").alias("value"),
-                    F.lit(number // MASK_BITS).alias("word"),
-                    F.lit(1 << number % MASK_BITS).cast("bigint").alias("bit"),
+                    F.col(f"`{column}`").cast("string").alias("value"),
+                    F.lit(place // MASK_BITS).alias("word"),
+                    F.lit(1 << place % MASK_BITS).cast("bigint").alias("bit"),
                 )
             )
         if picked:
             rows = df.select(F.inline(F.array(*picked))).filter(F.col("value").isNotNull())
             stacked = rows if stacked is None else stacked.unionByName(rows)
+    spark = next(iter(tables.values())).sparkSession
     if stacked is None:
-        raise ValueError("no integer or string column")
+        return spark.createDataFrame([], RELATED)
     # Texts are compared by digest: long documents must not travel as keys.
     long = F.length("value") > 64
     digest = F.when(long, F.concat(F.lit("#"), F.sha2("value", 256))).otherwise(F.concat(F.lit("="), "value"))
@@ -554,9 +661,7 @@ def discover_relationships(
         .groupBy("a", "b")
         .agg(F.sum("n").alias("shared"))
     )
-    names = next(iter(tables.values())).sparkSession.createDataFrame(
-        columns, "col int, table_name string, column_name string"
-    )
+    names = spark.createDataFrame(columns, "col int, table_name string, column_name string")
 
     def named(side: str) -> DataFrame:
         return names.select(

@@ -176,3 +176,25 @@ def test_relationships_over_more_columns_than_one_mask_holds(spark):
     other = spark.range(20).select((F.col("id") + 6900).alias("key"))
     got = sc.discover_relationships({"wide": wide, "other": other}).collect()
     assert {(r.a_table, r.a_column, r.b_column) for r in got} == {("wide", "c69", "key"), ("other", "key", "c69")}
+
+
+def test_samples_rule_out_columns_but_no_related_pair(spark):
+    rows = 3000
+    orders = spark.createDataFrame(
+        [(i, i % 1000 if i % 11 else 5000 + i, f"only here {i}", f"c{i % 1000}") for i in range(rows)],
+        "order_id long, firm long, note string, code string",
+    )
+    firms = spark.createDataFrame([(i, f"c{i}", f"text {i}") for i in range(4000)], "firm_id long, firm_code string, text string")
+    tables = {"orders": orders, "firms": firms, "none": spark.createDataFrame([], "x long, y string")}
+    columns = sc._key_columns(tables)
+    kept = {c for n, _, c, _ in columns if n in sc._possible_columns(tables, columns, 0.75, 2)}
+    assert kept == {"order_id", "firm", "firm_id", "code", "firm_code"}
+    got = {(r.a_column, r.b_column): (r["distinct"], r.shared) for r in sc.discover_relationships(tables, 0.75).collect()}
+    ids = {i % 1000 if i % 11 else 5000 + i for i in range(rows)}
+    assert got == {
+        ("order_id", "firm_id"): (3000, 3000), ("firm", "firm_id"): (len(ids), sum(i < 4000 for i in ids)),
+        ("code", "firm_code"): (1000, 1000), ("firm_id", "order_id"): (4000, 3000),
+    }
+    nothing = {"notes": orders.select("note"), "texts": firms.select("text")}
+    assert sc.discover_relationships(nothing).count() == 0
+    assert sc._at_most(200, 256, 0.9) > 1e-12 > sc._at_most(170, 256, 0.9)
