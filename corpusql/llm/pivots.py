@@ -168,7 +168,7 @@ def top_k(
 
     Pivots and ring borders come from a bounded sample (``sample_rows``), then every vector gets its
     nearest pivot, its distance and its ring. A ring with more than ``ring_rows`` vectors (equal ones, say)
-    is cut into several cells, and so are more than ``query_rows`` queries, so a task holds one bounded cell. First each
+    is cut into several cells, and a cell that more than ``query_rows`` queries ask is copied once for about so many of them, so a task holds one bounded cell. First each
     query searches the cell nearest to it; its k-th score then rules out, by the triangle
     inequality, all other rings but those that could still hold a better vector.
     """
@@ -221,14 +221,12 @@ def _search(spark, same: DataFrame, index: Index, d: int, k: int, ring_rows: int
     cells = np.array([-(-r["n"] // ring_rows) for r in rings])
     first = np.cumsum(cells) - cells
     asked = same.filter("asks").select("id", "v")
-    turns = max(1, -(-asked.count() // query_rows))
     directory = spark.createDataFrame(
         [(r["pivot"], r["ring"], int(a), int(c)) for r, a, c in zip(rings, first, cells)], "pivot long, ring long, first long, cells long"
     )
     base = keyed.join(F.broadcast(directory), ["pivot", "ring"]).select(
         (F.col("first") + F.pmod(F.xxhash64("id"), F.col("cells"))).alias("cell"), "id", "v", "r", "pivot"
     )
-    stored = base.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1)))) if turns > 1 else base.withColumn("turn", F.lit(0))
 
     def route(nearest_only: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +250,7 @@ def _search(spark, same: DataFrame, index: Index, d: int, k: int, ring_rows: int
                         number, cell = number[other], cell[other]
                     out = batch.take(pa.array(number))
                     floors = out.column(2).cast(pa.float64()) if out.num_columns > 2 else pa.array(np.full(len(number), -np.inf))
-                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), out.column(0), out.column(1), floors], names=["cell", "id", "v", "floor"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), out.column(0), floors], names=["cell", "id", "floor"])
 
         return run
 
@@ -271,10 +269,14 @@ def _search(spark, same: DataFrame, index: Index, d: int, k: int, ring_rows: int
         return pa.table(dict(zip(["query_id", "vec_id", "score"], columns)))
 
     def ask(routed: DataFrame) -> DataFrame:
-        cut = routed.withColumn("turn", F.pmod(F.xxhash64("id"), F.lit(turns)).cast("int"))
+        # A cell is copied as often as its own queries need, and one that no query asks is not moved.
+        routes = materialize(routed, "routes")
+        load = routes.groupBy("cell").agg(F.ceil(F.count("*") / query_rows).alias("turns"))
+        stored = base.join(load, "cell").withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).drop("turns")
+        cut = routes.join(load, "cell").join(asked, "id").withColumn("turn", F.pmod(F.xxhash64("id"), F.col("turns"))).drop("turns")
         return stored.groupBy("cell", "turn").cogroup(cut.groupBy("cell", "turn")).applyInArrow(look, HITS)
 
-    shape = "cell long, id long, v array<long>, floor double"
+    shape = "cell long, id long, floor double"
     home = materialize(ask(asked.mapInArrow(route(True), shape)), "home-hits")
     floors = home.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n"), F.min("score").alias("least"))
     known = F.when(F.col("n") >= k, F.col("least").cast("double")).otherwise(F.lit(float("-inf")))
