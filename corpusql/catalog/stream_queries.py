@@ -17,7 +17,7 @@ def stream_ingest(spark, d):
     schema = load(spark, d, "documents").schema
     out = shared_dir(spark, "stream")
     for run in ("first", "second"):
-        rows = inc.read_stream(spark, d, schema, "documents.parquet")
+        rows = inc.read_table_stream(spark, f"{d}/documents.parquet", schema)
         query = inc.stream_ingest(rows, out, f"{out}/checkpoint-{run}", doc_columns=["doc_id", "lang"])
         query.awaitTermination()
     docs = spark.read.parquet(f"{out}/documents")
@@ -36,7 +36,7 @@ SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS period_start, eve
   count(*) FILTER (value <> 0)::BIGINT AS non_zero_count FROM events GROUP BY ALL
 """)
 def stream_statistics(spark, d):
-    rows = inc.read_stream(spark, d, load(spark, d, "events").schema, "events.parquet")
+    rows = inc.read_table_stream(spark, f"{d}/events.parquet", load(spark, d, "events").schema)
     stats = inc.refresh_statistics(rows, "ts", "value", ["event_type"], "1 day", "1 day").drop("approx_unique")
     made = inc.run_updates(stats, ["period_start", "event_type"], "stream-statistics")
     return made.withColumns({"period_start": stamp("period_start"), "mean": six("mean")})
@@ -48,7 +48,7 @@ SELECT strftime(time_bucket(INTERVAL '10 minutes', ts, TIMESTAMP '1970-01-01'),
 FROM events GROUP BY 1
 """)
 def stream_query_metrics(spark, d):
-    rows = inc.read_stream(spark, d, load(spark, d, "events").schema, "events.parquet")
+    rows = inc.read_table_stream(spark, f"{d}/events.parquet", load(spark, d, "events").schema)
     log = rows.select(
         F.col("ts").alias("executed_at"), F.col("value").alias("execution_time_ms"),
         F.when(F.col("event_type") == "error", F.lit("failed")).alias("error"),

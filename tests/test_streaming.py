@@ -1,7 +1,9 @@
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
+from corpusql.catalog import stream_queries
 from corpusql.streaming import incremental as inc
 
 
@@ -82,3 +84,23 @@ def test_timestamp_without_zone_is_accepted(spark, tmp_path):
     stream = inc.read_stream(spark, path, spark.read.parquet(path).schema)
     made = inc.run_updates(inc.refresh_statistics(stream, "ts", "v", [], "1 hour", "1 hour"), ["period_start"], "ntz")
     assert made.count() == 1
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_tables_of_one_or_many_files_are_streamed(spark, tmp_path, folder):
+    """A table may be a single file or a folder of part files; the queries stream every row of either."""
+    documents = spark.createDataFrame(
+        [(i, f"word{i} two three", "en", "web", 15) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long"
+    )
+    events = spark.createDataFrame(
+        [(i, datetime(2024, 1, 1 + i % 2, 3), "error" if i % 4 else "view", float(i)) for i in range(40)],
+        "event_id long, ts timestamp, event_type string, value double",
+    )
+    for name, rows in (("documents", documents), ("events", events)):
+        rows.repartition(3 if folder else 1).write.parquet(str(tmp_path / (name if not folder else f"{name}.parquet")))
+        if not folder:
+            next((tmp_path / name).glob("part-*.parquet")).rename(tmp_path / f"{name}.parquet")
+    got = stream_queries.stream_ingest(spark, str(tmp_path)).collect()
+    assert sorted(int(r.doc_id) for r in got) == list(range(40)) and {(r.chunks, r.tokens) for r in got} == {(1, 3)}
+    assert sum(r.total_count for r in stream_queries.stream_statistics(spark, str(tmp_path)).collect()) == 40
+    assert sum(r.total_queries for r in stream_queries.stream_query_metrics(spark, str(tmp_path)).collect()) == 40
