@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from corpusql.functions.binding import let
 from corpusql.session import materialize
 from corpusql.sources.tables import leave_out, read_if_present
 
@@ -32,17 +35,59 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)
 
 
-def word_counts(text: Column) -> Column:
-    """Array of (word, times): the words are sorted once, and runs of equal ones are measured. No row leaves for it."""
+_PLACES = T.ArrayType(T.IntegerType())
+SEGMENT_ROWS = T.StructType([
+    T.StructField(name, kind) for name, kind in [
+        ("id", T.StringType()), ("length", T.IntegerType()), ("place", T.IntegerType()), ("word", T.StringType()),
+        ("documents", T.IntegerType()), ("occurrences", T.LongType()), ("places", _PLACES), ("times", _PLACES), ("segment", T.LongType()),
+    ]
+])
 
-    def runs(ordered: Column) -> Column:
-        n = F.size(ordered)
-        places = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
-        first = F.filter(places, lambda i: (i < n) & ((i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1))))
-        return let(first, lambda starts: F.transform(starts, lambda s, i: F.struct(
-            F.get(ordered, s).alias("word"), (F.coalesce(F.get(starts, i + 1), n) - s).alias("times"))))
 
-    return let(F.array_sort(words(text)), runs)
+def _segments(batches: Iterator[pa.RecordBatch], segment_docs: int) -> Iterator[pa.RecordBatch]:
+    """SEGMENT_ROWS of (id, words): a row for each document, and one for each word of a segment with all its places there.
+
+    A task's documents are numbered as they come, with the task's number in the upper bits, so no segment spans two tasks.
+    """
+    from pyspark import TaskContext
+
+    schema = to_arrow_schema(SEGMENT_ROWS)
+    base, number = TaskContext.get().partitionId() << 33, 0
+    held: list[pa.RecordBatch] = []
+
+    def rows(count: int, **values: np.ndarray | pa.Array) -> pa.RecordBatch:
+        columns = [pa.array(values[f.name]).cast(f.type) if f.name in values else pa.nulls(count, f.type) for f in schema]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    def segment() -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        own, n = (base + number - 1) // segment_docs, table.num_rows
+        lists = pa.concat_arrays(table.column("words").chunks)
+        length = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        yield rows(n, id=pa.concat_arrays(table.column("id").chunks), length=length, place=np.arange(n), segment=np.full(n, own))
+        words_ = lists.flatten().dictionary_encode()
+        # (word, place) as one number: sorted, with how often it is there.
+        pairs = words_.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), length)
+        pairs, times = np.unique(pairs, return_counts=True)
+        first = np.flatnonzero(np.diff(pairs // n, prepend=-1))
+        ends = pa.array(np.append(first, len(pairs)), pa.int32())
+        yield rows(
+            len(first), word=words_.dictionary.take(pa.array(pairs[first] // n)), documents=np.diff(np.append(first, len(pairs))),
+            occurrences=np.add.reduceat(times, first) if len(first) else times, segment=np.full(len(first), own),
+            places=pa.ListArray.from_arrays(ends, pa.array(pairs % n, pa.int32())),
+            times=pa.ListArray.from_arrays(ends, pa.array(times, pa.int32())),
+        )
+
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            held.append(batch.slice(at, segment_docs - number % segment_docs))
+            at, number = at + held[-1].num_rows, number + held[-1].num_rows
+            if number % segment_docs == 0:
+                yield from segment()
+                held.clear()
+    if held:
+        yield from segment()
 
 
 def bucket(word: Column, buckets: int = BUCKETS) -> Column:
@@ -71,6 +116,8 @@ def append(
     stored = None if done is None else _committed(spark, path, "documents", number)
     given = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     fresh = leave_out(given.filter("id IS NOT NULL"), stored, "id")
+    if fresh.select("id").isEmpty():
+        return 0  # found by ids alone: no text is shuffled
     counted = fresh
     twice = fresh.groupBy("id").count().filter("count > 1").select("id")
     if not twice.isEmpty():
@@ -78,27 +125,21 @@ def append(
         counted = counted.join(twice, "id", "left_anti").unionByName(double)
     if segment_docs < 1 or segment_docs & (segment_docs - 1):
         raise ValueError("segment_docs is a power of two")
-    made = counted.select("id", F.size(words(F.col("text"))).alias("length"), word_counts(F.col("text")).alias("counts"))
-    # The number holds its partition in the upper bits: no segment spans two.
-    number_in = F.monotonically_increasing_id()
-    entries = materialize(made.withColumn("_n", number_in).select(
-        "id", "length", "counts", F.floor(F.col("_n") / segment_docs).alias("segment"), F.pmod("_n", F.lit(segment_docs)).cast("int").alias("place")
+    made = materialize(counted.select("id", words(F.col("text")).alias("words")).mapInArrow(
+        lambda batches: _segments(batches, segment_docs), SEGMENT_ROWS
     ), "index-words")
+    entries = made.filter("word IS NULL").select("id", "length", "segment", "place")
     sums = entries.agg(F.count("*"), F.sum("length")).first()
     if not sums[0]:
         return 0
-    places = (
-        entries.select("segment", "place", F.inline("counts"))
-        .groupBy("word", "segment")
-        .agg(F.array_sort(F.collect_list(F.struct("place", "times"))).alias("held"))
-        .select("word", "segment", F.size("held").alias("documents"), F.aggregate("held", F.lit(0).cast("long"), lambda a, p: a + p["times"]).alias("occurrences"),
-                F.col("held.place").alias("places"), F.col("held.times").alias("times"), bucket(F.col("word"), buckets).alias("bucket"))
+    places = made.filter("word IS NOT NULL").select(
+        "word", "segment", "documents", "occurrences", "places", "times", bucket(F.col("word"), buckets).alias("bucket")
     )
     # One file per bucket unless it is large; sorted by word, so that a file's statistics leave most row groups out.
     parts = max(1, sums[0] // (256 * segment_docs))
     rows = places.repartition(F.col("bucket"), F.pmod(F.xxhash64("segment"), F.lit(parts))).sortWithinPartitions("bucket", "word", "segment")
     rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={number}")
-    entries.select("id", "length", "segment", "place").write.mode("overwrite").parquet(f"{path}/documents/batch={number}")
+    entries.write.mode("overwrite").parquet(f"{path}/documents/batch={number}")
     end = spark.createDataFrame([(number, sums[0], sums[1], buckets)], "batch int, documents long, words long, buckets int")
     end.coalesce(1).write.mode("append").parquet(f"{path}/batches")
     return sums[0]

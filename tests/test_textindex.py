@@ -100,3 +100,30 @@ def test_rerank(spark):
     asked = spark.createDataFrame([("q", [1.0, 0.0]), ("p", [1.0, 0.0])], "query_id string, embedding array<double>")
     got = {(r.query_id, r.rank): (r.id, r.total) for r in vc.rerank(hits, vectors, asked, 5).collect()}
     assert got == {("q", 1): ("b", pytest.approx(0.545455, abs=1e-6)), ("q", 2): ("a", 0.25), ("p", 1): ("b", 0.875)}
+
+
+def test_known_documents_are_left_out_by_ids_alone(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "index")
+    docs = spark.createDataFrame([(i, f"word{i % 3} word{i % 3} other") for i in range(10)], "doc_id long, text string")
+    assert ix.append(docs, path, buckets=4, segment_docs=4) == 10
+    monkeypatch.setattr(ix, "materialize", lambda *_: pytest.fail("texts were read for documents that are known"))
+    assert ix.append(docs, path, buckets=4, segment_docs=4) == 0
+
+
+def test_a_task_gives_the_complete_rows_of_its_segments(spark):
+    """Segments go over batches and a batch over segments; the places of a word in a segment are one row."""
+    texts = [["b", "a", "b"], [], ["a"], ["c", "c", "c"], ["a", "b"]]
+    rows = spark.createDataFrame([(str(i), w) for i, w in enumerate(texts)], "id string, words array<string>").coalesce(1)
+    for size in (1, 3, 100):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = rows.mapInArrow(lambda batches: ix._segments(batches, 2), ix.SEGMENT_ROWS).collect()
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
+        own = [(r.id, r.length, r.segment, r.place) for r in got if r.word is None]
+        assert own == [(str(i), len(w), i // 2, i % 2) for i, w in enumerate(texts)]
+        held = {(r.word, r.segment): (r.documents, r.occurrences, r.places, r.times) for r in got if r.word is not None}
+        assert held == {
+            ("a", 0): (1, 1, [0], [1]), ("b", 0): (1, 2, [0], [2]), ("a", 1): (1, 1, [0], [1]), ("c", 1): (1, 3, [1], [3]),
+            ("a", 2): (1, 1, [0], [1]), ("b", 2): (1, 1, [0], [1]),
+        }
