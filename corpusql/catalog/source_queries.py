@@ -21,13 +21,13 @@ def corpus_folder(spark, d: str) -> str:
     key = (spark.sparkContext.applicationId, d)
     if key not in _FOLDERS:
         root = shared_dir(spark, "corpus")
-        one = {"maxRecordsPerFile": 1}
-        docs = spread(load(spark, d, "documents"), "doc_id")
-        docs.select("text").write.options(**one).text(f"{root}/notes")
-        spread(load(spark, d, "labels")).write.options(**one).json(f"{root}/labels")
+        docs, row = spread(load(spark, d, "documents"), "doc_id"), F.struct("*")
+        sinks.write_files(docs, F.col("text"), f"{root}/notes", "txt")
+        sinks.write_files(spread(load(spark, d, "labels")), F.to_json(row), f"{root}/labels", "json")
         suppliers = spread(load(spark, d, "supplier"))
-        suppliers.write.options(header=True, **one).csv(f"{root}/tables/supplier")
-        load(spark, d, "region").write.options(**one).parquet(f"{root}/other")
+        header = F.lit(",".join(suppliers.columns) + "\n")
+        sinks.write_files(suppliers, F.concat(header, F.to_csv(row)), f"{root}/tables/supplier", "csv")
+        load(spark, d, "region").write.option("maxRecordsPerFile", 1).parquet(f"{root}/other")
         _FOLDERS[key] = root
     return _FOLDERS[key]
 
@@ -132,7 +132,7 @@ def page_assembly(spark, d):
 SELECT 'txt' AS extension, 'text' AS source_type, strlen(text)::BIGINT + 1 AS file_size FROM documents
 """)
 def file_metadata(spark, d):
-    files = spark.read.format("binaryFile").load(corpus_folder(spark, d) + "/notes")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(corpus_folder(spark, d) + "/notes")
     return fs.file_metadata(files).select("extension", "source_type", "file_size")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusql.llm.common import schema_with_id, slices
-from corpusql.session import materialize, shared_dir
+from corpusql.session import file_store, materialize, shared_dir
 
 MAGIC = b"TOKFREQ1"
 FILE_IDS = 4 << 20
@@ -264,16 +264,6 @@ def frequency_order(encoded: DataFrame) -> np.ndarray:
     return ids[np.lexsort((ids, -n))]
 
 
-def _store(path: str):
-    """(file system, path) of a folder in any store pyarrow knows; a path without a scheme is local."""
-    from pyarrow import fs
-
-    if "://" in path or path.startswith("file:"):
-        plain = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
-        return fs.FileSystem.from_uri(plain)
-    return fs.LocalFileSystem(), path
-
-
 def write(encoded: DataFrame, path: str, id_col: str = "doc_id", file_ids: int = FILE_IDS) -> DataFrame:
     """Write the ids in ascending document order, and return the manifest: (file, docs, n_tokens, n_bytes).
 
@@ -295,7 +285,7 @@ def write(encoded: DataFrame, path: str, id_col: str = "doc_id", file_ids: int =
         from pyspark import TaskContext
 
         by_rank, ranks = shipped.value
-        store, folder = _store(path)
+        store, folder = file_store(path)
         store.create_dir(folder, recursive=True)
         part = TaskContext.get().partitionId()
         names: list[int | None] = []

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusql.operators.chunking import CHUNK_SIZE, OVERLAP, token_chunks
-from corpusql.session import materialize
+from corpusql.session import file_store, many_files, materialize
 from corpusql.sources import files as fs
 from corpusql.sources.lines import long_text_chunks, long_text_files
 from corpusql.sources.tables import leave_out, read_if_present
@@ -107,6 +109,46 @@ def write_result(df: DataFrame, path: str, fmt: str = "json") -> None:
         raise ValueError("fmt is csv or json")
 
 
+FOLDER_FILES = 1000
+
+
+def write_files(rows: DataFrame, content: Column, path: str, suffix: str) -> int:
+    """One file per row below ``path``, holding the text ``content`` (null: empty) and a line feed; returns how many.
+
+    Spark's writers can make a file per row too, but every file of theirs is set up, given its permissions and
+    renamed by itself. Here a task writes its files into a folder of its own, and the folder gets its name when it is
+    complete: a repeated task leaves one such folder. Inside, ``FOLDER_FILES`` share a folder, so that Spark lists many
+    folders side by side. Readers look into folders with ``recursiveFileLookup``.
+    """
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        store, folder = file_store(path)
+        part, number = TaskContext.get().partitionId(), 0
+        own, done = f"{folder}/_{part:06d}-{uuid.uuid4().hex}", f"{folder}/part-{part:06d}"
+        for batch in batches:
+            for value in batch.column(0):
+                inner = f"{own}/{number // FOLDER_FILES:06d}"
+                if number % FOLDER_FILES == 0:
+                    store.create_dir(inner, recursive=True)
+                with store.open_output_stream(f"{inner}/{number:08d}.{suffix}") as out:
+                    out.write((value.as_py() or "").encode() + b"\n")
+                number += 1
+        if number:
+            try:
+                store.move(own, done)
+            except OSError:
+                # An attempt before this one was complete.
+                if store.get_file_info(done).type.name != "Directory":
+                    raise
+                store.delete_dir(own)
+        yield pa.RecordBatch.from_pydict({"files": pa.array([number], pa.int64())})
+
+    made = rows.select(content.cast("string").alias("content")).mapInArrow(save, "files long")
+    return made.agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
+
+
 PARSED = ["doc_id", "filename", "file_path", "file_size", "extension", "source_type", "modified_at", "parser", "text", "error"]
 
 
@@ -173,7 +215,8 @@ def ingest(
     shuffled unless something of this run is stored already. A text file over ``max_bytes`` becomes the
     same chunks as any other, without being one value at any time.
     """
-    parsed = materialize(parse_corpus(spark, path, max_bytes), "parsed")
+    with many_files(spark):
+        parsed = materialize(parse_corpus(spark, path, max_bytes), "parsed")
     stored = read_if_present(spark, f"{out}/documents")
     long = (F.col("parser") == "Text") & F.col("text").isNull() & F.col("error").isNull()
     pieces = None

@@ -3,7 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from corpusql.session import load
+from corpusql.catalog import source_queries
+from corpusql.session import load, many_files
 from corpusql.sources import files as fs
 from corpusql.sources import sinks, tables
 
@@ -333,3 +334,37 @@ def test_a_table_written_again_is_read_with_its_new_columns(spark, tmp_path):
     assert load(spark, str(tmp_path), "t").columns == ["id"]
     spark.range(3).selectExpr("id", "id * 2 AS twice").write.mode("overwrite").parquet(f"{tmp_path}/t.parquet")
     assert load(spark, str(tmp_path), "t").columns == ["id", "twice"]
+
+
+def test_one_file_per_row_is_written_by_its_task(spark, tmp_path, monkeypatch):
+    """Each row is one file whose folder counts when it is complete; an attempt that comes second leaves no file twice."""
+    monkeypatch.setattr(sinks, "FOLDER_FILES", 3)
+    texts = [f"text {i}\nsecond line, ü" for i in range(20)] + [None, "", "text 0\nsecond line, ü"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    for _ in range(2):
+        assert sinks.write_files(rows, F.col("text"), str(tmp_path / "notes"), "txt") == 23
+    files = [p for p in (tmp_path / "notes").rglob("*.txt")]
+    assert sorted(p.read_text() for p in files) == sorted((t or "") + "\n" for t in texts)
+    assert max(len(list(p.parent.iterdir())) for p in files) == 3
+    assert fs.corpus_scan(spark, str(tmp_path)).count() == 23
+    assert fs.text_documents(fs.read_files(spark, str(tmp_path), "Text")).filter("error IS NULL").count() == 23
+
+
+def test_corpus_files_are_not_written_one_by_one_by_the_spark_writer(spark, sf_dir, monkeypatch):
+    made = []
+    write = sinks.write_files
+    monkeypatch.setattr(sinks, "write_files", lambda rows, *rest: made.append(write(rows, *rest)) or made[-1])
+    monkeypatch.setattr(source_queries, "_FOLDERS", {})
+    folder = source_queries.corpus_folder(spark, sf_dir)
+    tables = [spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("documents", "labels", "supplier")]
+    assert made == tables
+    got = {r.extension: r["count"] for r in fs.corpus_scan(spark, folder).groupBy("extension").count().collect()}
+    assert [got["txt"], got["json"], got["csv"]] == tables
+
+
+def test_many_small_files_share_tasks_during_a_parse(spark):
+    key = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(key)
+    with many_files(spark):
+        assert spark.conf.get(key) == str(64 << 10)
+    assert spark.conf.get(key) == before
