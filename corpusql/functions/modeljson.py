@@ -21,8 +21,13 @@ _REPAIRS = (
 
 
 def strip_fences(reply: Column) -> Column:
-    body = F.regexp_replace(strip(reply), r"\A```(?:json)?", "")
-    return strip(F.regexp_replace(body, r"```\z", ""))
+    def opened(text: Column) -> Column:
+        return strip(F.when(text.startswith("```"), F.regexp_replace(text, r"\A```(?:json)?", "")).otherwise(text))
+
+    def closed(text: Column) -> Column:
+        return F.when(text.endswith("```"), F.regexp_replace(text, r"```\z", "")).otherwise(text)
+
+    return strip(let(strip(reply), lambda text: F.when(text.contains("```"), closed(opened(text))).otherwise(text)))
 
 
 def slice_json(body: Column) -> Column:
@@ -71,6 +76,11 @@ def parse_reply(reply: Column) -> Column:
     Level 0: clean or fenced. 1: cut out of surrounding chatter. 2: repaired.
     3: only the list of entities could be saved. NULL: not JSON.
     """
+    return let(strip_fences(reply), parse_body)
+
+
+def parse_body(body: Column) -> Column:
+    """The same for a reply without fences. ``body`` should be a column: it is named several times."""
     none = F.struct(
         F.lit(None).cast("string").alias("json"), F.lit(None).cast("int").alias("repair_level")
     )
@@ -94,10 +104,7 @@ def parse_reply(reply: Column) -> Column:
             lambda cut: F.when(is_json(cut), level(1, cut)).otherwise(repaired(cut)),
         )
 
-    return let(
-        strip_fences(reply),
-        lambda body: F.when(is_json(body), level(0, body)).otherwise(cut_out(body)),
-    )
+    return F.when(is_json(body), level(0, body)).otherwise(cut_out(body))
 
 
 ENTITY_FIELDS = "struct<attributes:map<string,string>,confidence:double,source_text:string>"

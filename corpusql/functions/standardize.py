@@ -83,11 +83,12 @@ def _scaled(text: Column, pattern: str, table: Mapping[str, float]) -> Column:
 
 
 def real(value: Column) -> Column:
+    # A plain number has neither a suffix nor a word, and is by far the most frequent form.
     return let(
         _trim(F.translate(null_token(value), NUMBER_NOISE, "")),
-        lambda t: F.when(t.rlike(SUFFIXED), _scaled(t, SUFFIXED, SUFFIX_SCALE))
-        .when(t.rlike(WORDED), _scaled(t, WORDED, WORD_SCALE))
-        .otherwise(_plain_double(t)),
+        lambda t: F.when(t.rlike(PLAIN_NUMBER), t.try_cast("double"))
+        .when(t.rlike(SUFFIXED), _scaled(t, SUFFIXED, SUFFIX_SCALE))
+        .when(t.rlike(WORDED), _scaled(t, WORDED, WORD_SCALE)),
     )
 
 
@@ -114,9 +115,10 @@ def _read_date(text: Column, pattern: str, form: str) -> Column:
 
 def date(value: Column) -> Column:
     """The first accepted form that holds a real date; otherwise NULL."""
+    # Every form has one of these signs inside; a value without them is not looked through form by form.
     return let(
         null_token(value),
-        lambda t: F.coalesce(*[_read_date(t, *form) for form in DATE_FORMS]),
+        lambda t: F.when(t.rlike(r"[-/\s]"), F.coalesce(*[_read_date(t, *form) for form in DATE_FORMS])),
     )
 
 

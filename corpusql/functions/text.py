@@ -45,7 +45,7 @@ def token_count(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def sentences(text: Column) -> Column:

@@ -12,7 +12,7 @@ from corpusql.functions import modeljson as mj
 from corpusql.functions import standardize as sd
 from corpusql.operators.model import Complete, batch_complete, extraction_prompt
 from corpusql.session import materialize
-from corpusql.sources.tables import leave_out, read_if_present
+from corpusql.sources.tables import read_if_present
 
 MIN_CONFIDENCE = 0.7
 LINEAGE = ("doc_id", "chunk_id", "source_chunk_id", "confidence", "source_text")
@@ -20,8 +20,9 @@ LINEAGE = ("doc_id", "chunk_id", "source_chunk_id", "confidence", "source_text")
 
 def parse_replies(replies: DataFrame, content_col: str = "content") -> DataFrame:
     """Adds ``json`` and ``repair_level``; both are NULL when no JSON can be found."""
-    parsed = replies.withColumn("_p", mj.parse_reply(F.col(content_col)))
-    return parsed.withColumns({"json": F.col("_p.json"), "repair_level": F.col("_p.repair_level")}).drop("_p")
+    bare = replies.withColumn("_b", mj.strip_fences(F.col(content_col)))
+    parsed = bare.withColumn("_p", mj.parse_body(F.col("_b")))
+    return parsed.withColumns({"json": F.col("_p.json"), "repair_level": F.col("_p.repair_level")}).drop("_b", "_p")
 
 
 def explode_entities(
@@ -135,12 +136,14 @@ def conform_and_store(
 
     Values are standardised once: the checked rows are written to the shared
     folder and both tables are filters on them. Keys come from the source, so rows that are
-    stored already are left out and a second run adds nothing.
+    stored already are left out, by one join, and a second run adds nothing.
     """
     checked = materialize(check_rows(rows, entity, attributes), "entities")
     good, bad = split_rows(checked, entity, attributes)
-    spark, name = rows.sparkSession, entity.lower()
-    good = leave_out(good, read_if_present(spark, f"{path}/{name}"), primary_key(entity, attributes))
+    spark, name, key = rows.sparkSession, entity.lower(), primary_key(entity, attributes)
+    stored = read_if_present(spark, f"{path}/{name}")
+    if stored is not None:
+        good = good.join(stored.select(key), key, "left_anti")
     stored = read_if_present(spark, f"{path}/{name}_rejects")
     if stored is not None:
         bad = bad.join(stored.select("doc_id", "ordinal"), ["doc_id", "ordinal"], "left_anti").select(*bad.columns)

@@ -9,10 +9,11 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusql.functions.text import LABEL_LINE
 from corpusql.session import materialize, shared_dir
@@ -27,6 +28,8 @@ RESPONSE_FIELDS = (
 MAX_TRIES, FIRST_DELAY = 3, 1.0
 PROMPT_CHUNKS = 10
 SLICES = 16
+LONGEST_HEAD, KNOWN_HEADS = 4096, 64
+LABEL_LINES = re.compile(f"(?m){LABEL_LINE}")
 
 
 class RateLimited(Exception):
@@ -101,24 +104,27 @@ def batch_complete(
     if at_once < 1 or (per_second is not None and per_second <= 0):
         raise ValueError("at_once is 1 or more, per_second above 0")
     keep = list(keep)
-    fields = RESPONSE_FIELDS.split(", ")
-    names = [f.split()[0] for f in fields]
     kept = [prompts.schema[c] for c in keep]
-    schema = T.StructType(kept + T.StructType.fromDDL(RESPONSE_FIELDS).fields)
+    answer = T.StructType.fromDDL(RESPONSE_FIELDS)
+    schema, kinds = T.StructType(kept + answer.fields), to_arrow_schema(answer)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pace = Pace(1 / per_second if per_second else 0.0)
 
         def one(prompt: str) -> tuple:
             return _call(complete, prompt, model, tries, first_delay, pace)
 
         with ThreadPoolExecutor(at_once) as pool:
+            ask = map if at_once == 1 else pool.map
             for batch in batches:
-                replies = list(pool.map(one, batch[prompt_col]))
-                answer = pd.DataFrame(replies, columns=names, index=batch.index)
-                yield pd.concat([batch[keep], answer], axis=1)
+                if not batch.num_rows:
+                    continue
+                replies = zip(*ask(one, batch.column(len(keep)).to_pylist()))
+                columns = [pa.array(values, field.type) for values, field in zip(replies, kinds)]
+                # Kept columns pass as they are.
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=schema.names)
 
-    return prompts.select(*keep, prompt_col).mapInPandas(run, schema)
+    return prompts.select(*keep, prompt_col).mapInArrow(run, schema)
 
 
 def complete_stored(
@@ -172,6 +178,20 @@ def extraction_prompt(entity: str, attributes: Sequence[str], text: Column) -> C
     return F.concat(F.lit(head), text)
 
 
+_WANTED: dict[str, list[str]] = {}
+
+
+def _wanted(head: str) -> list[str]:
+    """The attributes a prompt asks for; a few short heads are remembered."""
+    wanted = _WANTED.get(head)
+    if wanted is None:
+        names = re.search(r"^Attributes: (.*)$", head, re.M)
+        wanted = [n.strip() for n in names.group(1).split(",")] if names else []
+        if len(head) <= LONGEST_HEAD and len(_WANTED) < KNOWN_HEADS:
+            _WANTED[head] = wanted
+    return wanted
+
+
 def rule_based_extractor(prompt: str) -> str:
     """Default completion function: reads ``Label: value`` lines.
 
@@ -180,10 +200,9 @@ def rule_based_extractor(prompt: str) -> str:
     entity. Confidence is the share found.
     """
     head, _, body = prompt.partition("\nDocument:\n")
-    names = re.search(r"^Attributes: (.*)$", head, re.M)
-    wanted = [n.strip() for n in names.group(1).split(",")] if names else []
+    wanted = _wanted(head)
     found: list[dict[str, str]] = []
-    for line in re.findall(f"(?m){LABEL_LINE}", body):
+    for line in LABEL_LINES.findall(body):
         label, _, value = line.partition(":")
         name = label.strip().lower().replace(" ", "_")
         if name not in wanted:

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from corpusql.functions import standardize as sd
 from corpusql.functions import text as tx
 from corpusql.functions.binding import let
+from corpusql.session import materialize
 
 MIN_CONFIDENCE = 0.7
 ITERATION_CONFIDENCE = 0.9
@@ -46,7 +47,7 @@ def _observed(names: Column, values: Column) -> Column:
             ),
         )
 
-    return let(F.array_sort(placed), rows)
+    return let(F.sort_array(placed), rows)
 
 
 def labelled_values(
@@ -91,16 +92,16 @@ def induce_attributes(
     present value parses to. One shuffle, on (name, value) with counting inside
     each task before it, feeds shares, types and examples: types are tried once
     per distinct value, and a label found in every document does not meet in
-    one task as raw rows.
+    one task as raw rows. The counted values are written to the shared folder, so the texts are read once.
     """
     if entity is not None:
         values = values.withColumn("entity", F.lit(entity))
     keys = ["entity", "name"]
-    # The same filter on both uses of this aggregate lets them share its shuffle.
     named = values.filter(F.col("entity").isNotNull() & F.col("name").isNotNull())
-    distinct = named.groupBy(*keys, "value").agg(
+    counted = named.groupBy(*keys, "value").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("first").alias("documents")
     )
+    distinct = materialize(counted, "label-values")
     value = F.col("value")
     tried = distinct.select(
         *keys,
@@ -109,7 +110,7 @@ def induce_attributes(
         sd.null_token(value).isNotNull().alias("filled"),
         sd.real(value).alias("real"),
         sd.boolean(value).isNotNull().alias("boolean"),
-        sd.iso_date(value).isNotNull().alias("date"),
+        sd.date(value).isNotNull().alias("date"),
     )
 
     def all_fit(parsed: Column) -> Column:

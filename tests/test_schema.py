@@ -198,3 +198,13 @@ def test_samples_rule_out_columns_but_no_related_pair(spark):
     nothing = {"notes": orders.select("note"), "texts": firms.select("text")}
     assert sc.discover_relationships(nothing).count() == 0
     assert sc._at_most(200, 256, 0.9) > 1e-12 > sc._at_most(170, 256, 0.9)
+
+
+def test_texts_are_read_once_for_the_attributes(spark, tmp_path):
+    """Types and examples come from stored counts: a text that is gone afterwards is not asked for again."""
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(list(enumerate(CALLS)), "doc_id int, text string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    made = sc.induce_attributes(sc.labelled_values(docs), docs, "Deal")
+    assert "regexp_extract_all" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.name: r.type for r in made.collect()}["deal_value"] == "INTEGER"

@@ -68,3 +68,15 @@ def test_text_standardisers_are_idempotent(column, kind):
 def test_numbers_are_idempotent(column):
     once = column([v for v, _ in NUMBERS], lambda c: sd.real(c).cast("string"))
     assert column(once, lambda c: sd.real(c).cast("string")) == once
+
+
+def test_numbers_and_dates_in_one_look(spark):
+    """Plain numbers come first and dates need a sign inside; neither changes what is read."""
+    from pyspark.sql import functions as F
+
+    values = ["12.5", "-1e3", "1.5k", "-2 million", "7 thousand units", "3 bananas", "1.2.3", ".", "12345", "1998-02-03", "on 02/03/1998 x",
+              "3 March 1998", "March 3, 1998", "19980203", "31/12", "1998-13-45", None]
+    rows = spark.createDataFrame([(v,) for v in values], "v string")
+    got = [tuple(r) for r in rows.select(sd.real(F.col("v")), sd.iso_date(F.col("v"))).collect()]
+    assert [r for r, _ in got][:9] == [12.5, -1000.0, 1500.0, -2e6, 7000.0, None, None, None, 12345.0]
+    assert [d for _, d in got][8:] == [None, "1998-02-03", "1998-02-03", "1998-03-03", "1998-03-03", None, None, None, None]
