@@ -7,6 +7,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpusql.llm import chosenpath, license, mixing, suffixes
@@ -367,3 +368,19 @@ def test_pipeline_stages_agree_with_operators(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         rest = stage(spark, rest, sf_dir)
         assert rest.count() == 0
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 24])
+def test_texts_without_repeats_are_not_shuffled(spark, monkeypatch, bits):
+    """With a full bit table every text is asked, with a wide one few are; the rows are the same."""
+    monkeypatch.setattr(suffixes, "FILTER_BITS", bits)
+    same = "the passage that stands in two of the texts"
+    texts = [f"{i} begins like no other {i * 7919} " for i in range(300)] + [f"a {same} b", f"c {same} d", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in suffixes.remove_repeats(df, min_bytes=40).collect()}
+    assert len(rows) == 304 and [i for i, r in rows.items() if r.n_removed] == [300, 301]
+    assert rows[300].n_removed == len(same) + 2 and rows[300].n_spans == 1 and bytes(rows[302].kept) == b""
+    keys = df.withColumn("h", F.xxhash64("doc_id"))
+    noted = suffixes._noted(keys, F.col("h"), suffixes._note(keys.filter("doc_id >= 300"), "h"))
+    assert noted.filter("noted and doc_id >= 300").count() == 4
+    assert noted.filter("noted").count() == 4 or bits == 64
