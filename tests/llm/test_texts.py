@@ -1,5 +1,6 @@
 """Chosen-path join, suffix arrays, license scans, mixing and the pipeline on small fixtures against brute force."""
 
+import hashlib
 import itertools
 import random
 from collections import Counter
@@ -337,6 +338,27 @@ def without_repeats(texts, length):
     return out
 
 
+def test_query_counts_bytes_of_passages(spark, tmp_path):
+    """Passages of over 50 words that repeat stay in ``op9`` at 399 bytes and go at 400; n_bytes is the size of the input either way."""
+    rng = random.Random(43)
+    passages = {}
+    for size in (399, 400):
+        words = [rng.choice(WORDS) for _ in range(60)]
+        words += ["é" * ((size - len(" ".join(words))) // 2 - 1)]
+        text = " ".join(words)
+        passages[size] = text + "." * (size - len(text.encode()))
+    assert all(len(p.encode()) == size and len(p.split()) > 50 for size, p in passages.items())
+    sizes = [None, 399, 400]
+    texts = [f"{invented(rng, 40)} {i}{passages.get(sizes[i % 3], '')}{i} {invented(rng, 20)}" for i in range(9)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in QUERIES["op9_suffix_array_dedup"](spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        gone = sizes[i % 3] == 400
+        kept = text.replace(passages[400], "") if gone else text
+        want = (len(text.encode()), 400 * gone, int(gone), hashlib.sha256(kept.encode()).hexdigest())
+        assert tuple(rows[i])[1:] == want
+
+
 def test_passages_of_over_50_words_go(spark, sf_dir):
     """A passage of 51 to 60 words in several documents is cut from all of them; documents without one stay as they are."""
     rng = random.Random(31)
