@@ -11,11 +11,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusql.sources.lines import read_lines, runs
+from corpusql.sources.lines import runs
+from corpusql.sources.listing import Listing, read_lines
 from corpusql.sources.tables import SAMPLE_ROWS, TABLE_HEAD, TABLE_MORE, TABLE_ROW
 
 # Texts that stand for a missing value, and for a truth value.
@@ -237,9 +238,9 @@ def describe(name: str, first: list[list[str]], counts: list[list[int]], rows: i
     return "\n".join(lines), n, len(head), json.dumps(names), json.dumps(dict(zip(names, kinds))), None
 
 
-def csv_summaries(spark: SparkSession, path: str, glob: str, sep: str) -> DataFrame:
+def csv_summaries(files: Listing, extension: str, sep: str) -> DataFrame:
     """(location, first, counts, rows, widest, error) of each file that has records or cannot be read."""
-    lines = read_lines(spark, path, glob)
+    lines = read_lines(files, [extension])
     records, failed = csv_records(lines, sep)
     found = parse_records(records, sep)
     size = found.filter("rows IS NOT NULL").groupBy("location").agg(F.sum("rows").alias("rows"), F.max("widest").alias("widest"))

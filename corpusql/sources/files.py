@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from corpusql.functions import ids
 from corpusql.functions import text as tx
 from corpusql.sources.csvfiles import csv_summaries, describe
+from corpusql.sources.listing import Listing, has_extension, list_files, read_whole
 
 # Parser and source type by file extension.
 PARSERS = {
@@ -51,16 +52,14 @@ def parser_name(ext: Column) -> Column:
     return _lookup(F.lower(ext), PARSERS)
 
 
-def corpus_scan(spark: SparkSession, path: str) -> DataFrame:
+def corpus_scan(spark: SparkSession, path: str, files: Listing | None = None) -> DataFrame:
     """Every file below ``path`` with its metadata and parser.
 
-    The content column is never asked for, so no file is opened. Files of zero
-    bytes hold no document; the file source leaves them out.
+    No file is opened. Files of zero bytes hold no document and are left out. Here and below ``files`` is a listing of
+    ``path``, where there is one already.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    )
-    return file_metadata(files).withColumn("parser", parser_name(F.col("extension")))
+    files = files or list_files(spark, path)
+    return file_metadata(files.rows).withColumn("parser", parser_name(F.col("extension")))
 
 
 def file_metadata(files: DataFrame, *keep: str) -> DataFrame:
@@ -77,34 +76,20 @@ def file_metadata(files: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def ext_pattern(*extensions: str) -> str:
-    """File names with one of the extensions, in any case, as the file source understands it."""
-    either = ["".join(f"[{c}{c.upper()}]" for c in ext) for ext in extensions]
-    return f"*.{{{','.join(either)}}}"
-
-
-def name_pattern(parser: str) -> str:
-    """File names that one parser takes."""
-    return ext_pattern(*[ext for ext, name in PARSERS.items() if name == parser])
+def extensions_of(parser: str) -> list[str]:
+    """Extensions of the files that one parser takes."""
+    return [ext for ext, name in PARSERS.items() if name == parser]
 
 
 def read_files(
-    spark: SparkSession, path: str, parser: str, max_bytes: int = MAX_FILE_BYTES
+    spark: SparkSession, path: str, parser: str, max_bytes: int = MAX_FILE_BYTES, files: Listing | None = None
 ) -> DataFrame:
     """Metadata and bytes of the files one parser takes.
 
-    Name pattern and size condition reach the source, so the files of other parsers are not
-    opened, and a file too large for one row is left out here; see ``oversize_files``.
+    The files of other parsers are not opened, and a file too large for one row is left out here; see ``oversize_files``.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", name_pattern(parser))
-        .load(path)
-        .filter(F.col("length") <= max_bytes)
-        .filter(parser_name(extension(F.col("path"))) == parser)
-    )
-    return file_metadata(files, "content")
+    found = read_whole(files or list_files(spark, path), extensions_of(parser), max_bytes)
+    return file_metadata(found.filter(parser_name(extension(F.col("path"))) == parser), "content")
 
 
 def oversize_files(scan: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
@@ -191,19 +176,17 @@ def _csv_text(
     return pd.DataFrame(out, columns=CSV_RESULT.names)
 
 
-def csv_documents(spark: SparkSession, path: str) -> DataFrame:
+def csv_documents(spark: SparkSession, path: str, files: Listing | None = None) -> DataFrame:
     """Each CSV or TSV file below ``path`` as one document: its shape, column types and first ten rows.
 
     Files of any size: lines are read by as many tasks as a file has blocks and become records where they lie, value
     kinds are counted in the tasks, and a file leaves only its counts and first rows. Quoted fields may span
     lines. A file that cannot be read has a row with the error. Short rows miss their last values.
     """
-    parts = [csv_summaries(spark, path, ext_pattern(ext), sep) for ext, sep in (("csv", ","), ("tsv", "\t"))]
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", name_pattern("CSV")).load(path).withColumn("location", F.col("_metadata.file_path"))
-    )
-    known = file_metadata(files, "location").join(parts[0].union(parts[1]), "location", "left")
+    files = files or list_files(spark, path)
+    parts = [csv_summaries(files, ext, sep) for ext, sep in (("csv", ","), ("tsv", "\t"))]
+    found = files.rows.filter(has_extension(*extensions_of("CSV")))
+    known = file_metadata(found, "location").join(parts[0].union(parts[1]), "location", "left")
     text = _csv_text("filename", "first", "counts", "rows", "widest", "error")
     kept = known.drop("location", "first", "counts", "rows", "widest", "error").columns
     return known.withColumn("_csv", text).select(*kept, "_csv.*")

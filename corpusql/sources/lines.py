@@ -2,35 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusql.functions import ids
 from corpusql.functions import text as tx
 from corpusql.operators.chunking import CHUNK_SIZE, OVERLAP
-
-def read_lines(spark: SparkSession, path: str, glob: str | None = None, larger_than: int | None = None) -> DataFrame:
-    """(location, block, text) of every line below ``path``. A carriage return before the line feed stays in the text.
-
-    ``block`` is the byte the reading task started from. A line belongs to the block its
-    first byte lies in; the rows of a block come from one task, in the order of the file. Text that is not UTF-8 is NULL.
-    ``larger_than`` leaves out the files of so many bytes and less, before any is opened.
-    """
-    reader = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n")
-    reader = reader.option("pathGlobFilter", glob) if glob else reader
-    lines = reader.text(path)
-    if larger_than is not None:
-        lines = lines.filter(F.col("_metadata.file_size") > larger_than)
-    return lines.select(
-        F.col("_metadata.file_path").alias("location"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.when(F.is_valid_utf8("value"), F.col("value")).alias("text"),
-    )
+from corpusql.sources.listing import Listing, read_lines
 
 
 def runs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -65,9 +48,9 @@ def placed_lines(lines: DataFrame) -> DataFrame:
     return lines.mapInArrow(count, "location string, block long, text string, n long, at long, upto long")
 
 
-def long_text_files(spark: SparkSession, path: str, glob: str, larger_than: int) -> DataFrame:
+def long_text_files(files: Listing, extensions: Sequence[str], larger_than: int) -> DataFrame:
     """(location, block, lines, tokens, bytes, chars, invalid) of the blocks of large text files: some hundred bytes for a block's millions."""
-    lines = read_lines(spark, path, glob, larger_than)
+    lines = read_lines(files, extensions, larger_than)
     return lines.groupBy("location", "block").agg(
         F.count("*").alias("lines"), F.sum(tx.token_count(F.col("text")).cast("long")).alias("tokens"),
         F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.length("text")).alias("chars"),
@@ -76,7 +59,7 @@ def long_text_files(spark: SparkSession, path: str, glob: str, larger_than: int)
 
 
 def long_text_chunks(
-    spark: SparkSession, path: str, glob: str, larger_than: int, files: DataFrame, blocks: DataFrame,
+    listed: Listing, extensions: Sequence[str], larger_than: int, files: DataFrame, blocks: DataFrame,
     size: int = CHUNK_SIZE, overlap: int = OVERLAP,
 ) -> DataFrame:
     """The rows of ``token_chunks`` for text files too large for one value: the same windows, read by many tasks.
@@ -97,7 +80,7 @@ def long_text_chunks(
         F.sum("tokens").over(of_file).alias("total"), F.sum("lines").over(of_file).alias("all_lines"),
         (F.col("file_size") - F.sum("bytes").over(of_file) - F.sum("lines").over(of_file) + 1).alias("feeds"),
     )
-    lines = read_lines(spark, path, glob, larger_than).join(files.select("location"), "location", "left_semi")
+    lines = read_lines(listed, extensions, larger_than, files)
     counted = lines.select("location", "block", "text", tx.token_count(F.col("text")).cast("long").alias("n"))
     placed = placed_lines(counted).join(offsets, ["location", "block"]).filter("total > 0")
     line = F.col("lines_before") + F.col("at")

@@ -13,6 +13,7 @@ from corpusql.operators.chunking import CHUNK_SIZE, OVERLAP, token_chunks
 from corpusql.session import file_store, many_files, materialize
 from corpusql.sources import files as fs
 from corpusql.sources.lines import long_text_chunks, long_text_files
+from corpusql.sources.listing import Listing, has_extension, list_files
 from corpusql.sources.tables import leave_out, read_if_present
 
 
@@ -152,15 +153,18 @@ def write_files(rows: DataFrame, content: Column, path: str, suffix: str) -> int
 PARSED = ["doc_id", "filename", "file_path", "file_size", "extension", "source_type", "modified_at", "parser", "text", "error"]
 
 
-def parse_corpus(spark: SparkSession, path: str, max_bytes: int = fs.MAX_FILE_BYTES) -> DataFrame:
+def parse_corpus(
+    spark: SparkSession, path: str, max_bytes: int = fs.MAX_FILE_BYTES, files: Listing | None = None
+) -> DataFrame:
     """Documents of all supported files below ``path``; failed files carry an error.
 
     Text files over ``max_bytes`` have neither text nor error: their text is no single value, and
     ``long_documents`` reads it.
     """
-    text = fs.text_documents(fs.read_files(spark, path, "Text", max_bytes)).withColumn("parser", F.lit("Text"))
-    table = fs.csv_documents(spark, path).withColumn("parser", F.lit("CSV"))
-    pdf_files = fs.read_files(spark, path, "PDF", max_bytes)
+    files = files or list_files(spark, path)
+    text = fs.text_documents(fs.read_files(spark, path, "Text", max_bytes, files)).withColumn("parser", F.lit("Text"))
+    table = fs.csv_documents(spark, path, files).withColumn("parser", F.lit("CSV"))
+    pdf_files = fs.read_files(spark, path, "PDF", max_bytes, files)
     # A document is gathered whole here because it is one file of bounded size.
     assembled = (
         fs.page_assembly(fs.pdf_pages(pdf_files), segment_pages=1 << 31)
@@ -170,7 +174,7 @@ def parse_corpus(spark: SparkSession, path: str, max_bytes: int = fs.MAX_FILE_BY
     pdf = pdf_files.drop("content").join(assembled, "doc_id", "left").withColumn(
         "parser", F.lit("PDF")
     )
-    scan = fs.corpus_scan(spark, path)
+    scan = fs.corpus_scan(spark, path, files)
     rest = scan.filter(F.col("parser").isNull()).withColumn("error", F.lit(None).cast("string"))
     others = fs.oversize_files(scan, max_bytes).unionByName(rest).withColumn(
         "text", F.lit(None).cast("string")
@@ -184,24 +188,21 @@ def parse_corpus(spark: SparkSession, path: str, max_bytes: int = fs.MAX_FILE_BY
 
 def long_documents(
     spark: SparkSession, path: str, known: DataFrame | None, size: int = CHUNK_SIZE, overlap: int = OVERLAP,
-    max_bytes: int = fs.MAX_FILE_BYTES,
+    max_bytes: int = fs.MAX_FILE_BYTES, files: Listing | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(doc_id, error) and the chunks of the text files over ``max_bytes``, but for documents in ``known``.
 
     Each file is read by as many tasks as it has blocks. JSON of this size stays as it is written.
     """
-    glob = fs.name_pattern("Text")
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-        .filter(F.col("length") > max_bytes).withColumn("location", F.col("_metadata.file_path"))
-    )
-    named = leave_out(fs.file_metadata(files, "location"), known, "doc_id")
-    blocks = materialize(long_text_files(spark, path, glob, max_bytes), "blocks")
+    files, extensions = files or list_files(spark, path), fs.extensions_of("Text")
+    large = files.rows.filter(has_extension(*extensions) & (F.col("length") > max_bytes))
+    named = leave_out(fs.file_metadata(large, "location"), known, "doc_id")
+    blocks = materialize(long_text_files(files, extensions, max_bytes), "blocks")
     bad = blocks.groupBy("location").agg(F.sum("invalid").alias("invalid"))
     checked = materialize(named.join(bad, "location", "left").select("location", "doc_id", "file_size", "invalid"), "long-files")
     status = checked.select("doc_id", F.when(F.col("invalid") > 0, F.lit("not valid UTF-8")).alias("error"))
     good = checked.filter("coalesce(invalid, 0) = 0").select("location", "doc_id", "file_size")
-    return status, long_text_chunks(spark, path, glob, max_bytes, good, blocks, size, overlap)
+    return status, long_text_chunks(files, extensions, max_bytes, good, blocks, size, overlap)
 
 
 def ingest(
@@ -216,12 +217,13 @@ def ingest(
     same chunks as any other, without being one value at any time.
     """
     with many_files(spark):
-        parsed = materialize(parse_corpus(spark, path, max_bytes), "parsed")
+        files = list_files(spark, path)
+        parsed = materialize(parse_corpus(spark, path, max_bytes, files), "parsed")
     stored = read_if_present(spark, f"{out}/documents")
     long = (F.col("parser") == "Text") & F.col("text").isNull() & F.col("error").isNull()
     pieces = None
     if not parsed.filter(long).isEmpty():
-        found, pieces = long_documents(spark, path, stored, size, overlap, max_bytes)
+        found, pieces = long_documents(spark, path, stored, size, overlap, max_bytes, files)
         late = found.select("doc_id", F.col("error").alias("late"))
         parsed = parsed.join(late, "doc_id", "left").withColumn("error", F.coalesce("error", "late")).drop("late")
         parsed = materialize(parsed.withColumn("whole", ~long), "checked")
