@@ -134,3 +134,9 @@ def test_the_driver_does_not_keep_the_names_of_a_second_ingest(spark, many, tmp_
     again = sinks.ingest(spark, many, out).collect()[0]
     assert (again.files_processed, again.files_skipped, again.total_files) == (0, 450, 450)
     assert [held(f) for f in parsed] == [0, 0]
+
+
+def test_the_driver_does_not_keep_the_names_of_an_ingest(spark, many, tmp_path_factory, parsed):
+    summary = sinks.ingest(spark, many, str(tmp_path_factory.mktemp("out"))).collect()[0]
+    assert (summary.files_processed, summary.files_failed, summary.total_chunks) == (450, 0, 450)
+    assert [held(f) for f in parsed] == [0]
