@@ -12,6 +12,7 @@ from corpusql.functions import text as tx
 from corpusql.session import shared_dir
 from corpusql.sources import files as fs
 from corpusql.sources import sinks, tables
+from corpusql.sources.listing import list_files
 
 _FOLDERS: dict[tuple[str, str], str] = {}
 
@@ -132,8 +133,8 @@ def page_assembly(spark, d):
 SELECT 'txt' AS extension, 'text' AS source_type, strlen(text)::BIGINT + 1 AS file_size FROM documents
 """)
 def file_metadata(spark, d):
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(corpus_folder(spark, d) + "/notes")
-    return fs.file_metadata(files).select("extension", "source_type", "file_size")
+    files = list_files(spark, corpus_folder(spark, d) + "/notes")
+    return fs.file_metadata(files.rows).select("extension", "source_type", "file_size")
 
 
 @query("source_type_map", f"""

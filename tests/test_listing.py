@@ -4,6 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from corpusql.catalog import source_queries
 from corpusql.sources import files as fs
 from corpusql.sources import listing, sinks
 
@@ -140,3 +141,8 @@ def test_the_driver_does_not_keep_the_names_of_an_ingest(spark, many, tmp_path_f
     summary = sinks.ingest(spark, many, str(tmp_path_factory.mktemp("out"))).collect()[0]
     assert (summary.files_processed, summary.files_failed, summary.total_chunks) == (450, 0, 450)
     assert [held(f) for f in parsed] == [0]
+
+
+def test_the_driver_does_not_keep_the_names_of_file_metadata(spark, sf_dir):
+    rows = source_queries.file_metadata(spark, sf_dir)
+    assert held(rows) == 0 and rows.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
