@@ -143,6 +143,11 @@ def test_the_driver_does_not_keep_the_names_of_an_ingest(spark, many, tmp_path_f
     assert [held(f) for f in parsed] == [0]
 
 
+def test_the_driver_does_not_keep_the_names_of_a_scan(spark, many):
+    scan = fs.corpus_scan(spark, many)
+    assert held(scan) == 0 and scan.count() == 450
+
+
 def test_the_driver_does_not_keep_the_names_of_file_metadata(spark, sf_dir):
     rows = source_queries.file_metadata(spark, sf_dir)
     assert held(rows) == 0 and rows.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
