@@ -148,6 +148,11 @@ def test_the_driver_does_not_keep_the_names_of_a_scan(spark, many):
     assert held(scan) == 0 and scan.count() == 450
 
 
+def test_the_driver_does_not_keep_the_names_of_texts(spark, many):
+    texts = fs.text_documents(fs.read_files(spark, f"{many}/txt", "Text"))
+    assert held(texts) == 0 and sorted(r.text for r in texts.collect()) == sorted(f"text {i}" for i in range(150))
+
+
 def test_the_driver_does_not_keep_the_names_of_file_metadata(spark, sf_dir):
     rows = source_queries.file_metadata(spark, sf_dir)
     assert held(rows) == 0 and rows.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
